@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, exact_dedup, jaccard, langid, packing, pii, quality, tokens, topk
+from . import chunked_bpe, exact_dedup, jaccard, langid, linededup, packing, pii, quality, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.near_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=5, p=4, q=5)
 
@@ -65,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_langid, op4_quality, op5_pii, op6_packing, op8_jaccard, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_langid, op4_quality, op5_pii, op6_packing, op7_line_dedup, op8_jaccard, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_topk": """
