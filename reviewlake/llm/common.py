@@ -38,9 +38,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a scan; costs no job and works on any file system."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
+    """Catalyst's size estimate, which costs no job; where it has none, the bytes of all strings."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 50:
+        return size
+    strings = [F.octet_length(F.col(f"`{c}`")) for c, t in df.dtypes if t == "string"]
+    total = sum((F.coalesce(x, F.lit(0)) for x in strings), F.lit(16))
+    return int(df.agg(F.sum(total)).first()[0] or 0)
 
 
 def tasks_for(df: DataFrame, mb: float, least: int = 12) -> int:

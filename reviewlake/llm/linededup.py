@@ -29,6 +29,8 @@ from .jaccard import INDEX, PROBE, only_ids, stored
 
 #: Edits, and the least code points of a line that is compared.
 TAU, MIN_CHARS = 2, 24
+#: Classes of characters that are counted to tell far lines apart cheaply (a power of two up to 8).
+BAG = 8
 #: Pairs that a group may yield at once, for each of its rows.
 PAIRS_PER_ROW = 8
 #: Parts into which the occurrences of one class are dealt when they meet its result.
@@ -202,7 +204,6 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
                         fresh[k] = s
             keys = np.array(list(fresh), np.int64)
             sig, line, flag = signatures(list(fresh.values()), tau)
-            size = np.fromiter(map(len, fresh.values()), np.int64, len(fresh))
             bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -213,7 +214,6 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
                 a, z = edges[k], edges[k + 1]
                 for c, x in zip(cols, (k, low[a:z].tobytes(), who[a:z].tobytes(), mark[a:z].tobytes()), strict=True):
                     c.append(x)
-            del size
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sig", "keys", "flags"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +267,8 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
     return flat.repartition(max(8, buckets // 4), "bucket").mapInArrow(meet, "kind int, a long, b long, c int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, tau: int, min_chars: int) -> DataFrame:
-    """The pairs (a, b) of line keys whose lines are at most tau edits apart."""
+def fetched(docs: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
+    """(id, line, bag) of the lines with the given keys; a bag counts characters by ``BAG`` hashes."""
 
     def texts(batches):
         seen: set[int] = set()
@@ -282,18 +282,52 @@ def verified(docs: DataFrame, pairs: DataFrame, tau: int, min_chars: int) -> Dat
                         lines.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
+    def bags(batches):
+        for b in batches:
+            rows = [np.bincount((np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") * np.uint32(2654435761)) >> np.uint32(29), minlength=BAG).astype(np.int32) for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["id", "line", "bag"])
+
+    lines = only_ids(docs.select("text").mapInArrow(texts, "id long, line string"), ids, "left_semi")
+    return stored(lines.groupBy("id").agg(F.min("line").alias("line")).mapInArrow(bags, "id long, line string, bag array<int>"), "lines")
+
+
+def verified(lines: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
+    """The pairs (a, b) of line keys whose lines are at most tau edits apart."""
+
     def run(batches):
         for b in batches:
             mask = pa.array(edit_distances(b.column(1).to_pylist(), b.column(3).to_pylist(), tau) <= tau)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(2).filter(mask)], ["u", "v"])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    lines = only_ids(docs.select("text").mapInArrow(texts, "id long, line string"), ids, "left_semi")
-    lines = stored(lines.groupBy("id").agg(F.min("line").alias("line")), "lines")
     full = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     return full.select("a", "la", "b", "lb").mapInArrow(run, "u long, v long")
 
 
+def _across(large: DataFrame, lines: DataFrame, names: DataFrame, tau: int) -> DataFrame:
+    """Pairs of large groups that are in different components and may yet be near.
+
+    An edit moves a line's bag of characters by at most two.  Two of the bag's sums are a grid
+    in the join key, so a line meets those in its own and the next cells only; the whole bag
+    is compared as the rows meet.
+    """
+    bag = F.col("bag")
+    half = lambda ks: sum((bag[k] for k in ks), F.lit(0))
+    known = lines.select("id", *[bag[k].alias(f"b{k}") for k in range(BAG)], half(range(0, BAG, 2)).alias("p"), half((0, 1, 4, 5)).alias("q"))
+    rows = large.join(known, "id").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+    rows = rows.join(mixed, "sig", "left_semi")
+    wide = 2 * tau + 1
+    cell = lambda c, d: F.floor((F.col(c) + d) / wide).cast("int")
+    index = rows.filter(F.col("flag") == INDEX).withColumn("cp", cell("p", 0)).withColumn("cq", cell("q", 0))
+    probe = rows.filter(F.col("flag") == PROBE)
+    for c, at in (("cp", "p"), ("cq", "q")):
+        probe = probe.withColumn(c, F.explode(F.array_distinct(F.array(cell(at, -tau), cell(at, tau)))))
+    i, j = index.alias("i"), probe.alias("j")
+    apart = sum((F.abs(F.col(f"i.b{k}") - F.col(f"j.b{k}")) for k in range(BAG)), F.lit(0))
+    meet = (F.col("i.sig") == F.col("j.sig")) & (F.col("i.cp") == F.col("j.cp")) & (F.col("i.cq") == F.col("j.cq")) & (F.col("i.component") != F.col("j.component")) & (apart <= 2 * tau)
+    return i.join(j, meet).select(F.least("i.id", "j.id").alias("a"), F.greatest("i.id", "j.id").alias("b")).distinct()
+
+
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per compared line: id, line_no, class_id, class_line_no, class_size, n_links, kept.
 
@@ -310,18 +344,14 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     every = stored(occurrences(docs, min_chars), "occurrences")
     buckets = int(min(60_000, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
     met = stored(_meeting(docs, tau, min_chars, buckets), "segments")
-    first = stored(verified(docs, met.filter("kind = 1").select("a", "b").distinct(), tau, min_chars), "links")
-    links = first
+    pairs = met.filter("kind = 1").select("a", "b").distinct()
+    lines = fetched(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), min_chars)
+    links = first = stored(verified(lines, pairs, tau), "links")
     large = met.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("c").alias("flag"))
     if not large.isEmpty():
         names = connected_components(first).withColumnRenamed("node", "id")
-        rows = large.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-        rows = rows.join(mixed, "sig", "left_semi")
-        index = rows.filter(F.col("flag") == INDEX).select("sig", F.col("id").alias("i"), F.col("component").alias("ci"))
-        probe = rows.filter(F.col("flag") == PROBE).select("sig", F.col("id").alias("p"), F.col("component").alias("cp"))
-        more = index.join(probe, "sig").filter("ci <> cp").select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
-        links = stored(first.union(verified(docs, stored(more, "pairs"), tau, min_chars)).distinct(), "links")
+        more = stored(verified(lines, _across(large, lines, names, tau), tau), "links")
+        links = first.union(more).distinct()
     names = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("class"))
     degree = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     linked = names.join(degree, "key")
