@@ -10,11 +10,13 @@ over for a set's costliest segments.
 
 The steps: (1) sets that are equal become one class; (2) class representatives emit segment
 signatures, packed by bucket into binary rows, and a bucket keeps those that two sets share;
-(3) in each signature's group every set is checked against the smallest one, and verified
-links give first components; (4) signatures whose group lies within one component cost
-nothing; a set pays for the cheapest others that its weights still need, and only those yield
-candidates; (5) candidates are verified on the whole texts.  No step emits all pairs of a
-group of copies, and no link between different components is lost.
+(3) every set is compared with one pivot, a set that shares many signatures, and verified
+links give first components; (4) sets of one pivot can be similar only as the sum of their
+distances allows, or if they differ from the pivot in the same tokens: the rare ones among
+those yield candidates; (5) signatures whose group lies within one component or one pivot
+cost nothing; a set pays for the cheapest others that its weights still need, and only those
+yield candidates; all candidates are verified on the whole texts.  No step emits all pairs
+of a group of copies, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BUCKET_MB = 2.0
 #: Sets in bands up to this size get one-deletion neighbourhoods.
 SMALL = 64
 INDEX, PROBE = 0x4000, 0x8000
+#: Deltas to a pivot are kept up to so many times the distance of a link.
+REACH = 4
 WHOLE = 0xFFFF  # unit number of a signature that is a unit of its own
 
 _U = np.uint64
@@ -105,6 +109,16 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bounds
 
 
+def portions(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where its texts exceed ``most`` bytes, so that long texts do not meet."""
+    _, offs = text_bytes(batch.column(text))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
@@ -222,7 +236,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     """id, n and two 64-bit sums that equal sets share."""
 
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, 1)):
             tokens, bounds = shingle_sets(*text_bytes(b.column(1)), width)
             k1 = _sum_by(mix64(tokens ^ _U(0x243F6A8885A308D3)), bounds).astype(np.int64)
             k2 = _sum_by(mix64(tokens + _U(0x13198A2E03707344)), bounds).astype(np.int64)
@@ -237,7 +251,7 @@ def _shared_signatures(docs: DataFrame, bands: Bands, width: int, buckets: int)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, 1)):
             ids = b.column(0).to_numpy()
             tokens, bounds = shingle_sets(*text_bytes(b.column(1)), width)
             sig, row, flag, unit, spare = signatures(tokens, bounds, bands)
@@ -314,49 +328,111 @@ def _shared_signatures(docs: DataFrame, bands: Bands, width: int, buckets: int)
     return flat.repartition(max(8, buckets // 4), "bucket").mapInArrow(meet, "kind int, a long, b long, c long, d int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts' shingle sets are similar enough."""
+def with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with both texts, ta and tb."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = only_ids(docs, ids, "left_semi")
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int, reach: int = 0) -> DataFrame:
+    """(a, b, na, nb, apart, linked, delta) of pairs: sizes, tokens in which the sets differ,
+    whether they are similar enough, and those tokens if they are at most ``reach`` times as
+    many as a link allows."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for y in portions(whole, 1) for x in portions(y, 3)):
             sets = []
             for k in (1, 3):
                 _, place, back = np.unique(b.column(k - 1).to_numpy(), return_index=True, return_inverse=True)
-                some = b.column(k).take(pa.array(place))
-                tokens, bounds = shingle_sets(*text_bytes(some), width)
-                sets.append((tokens, bounds, back))
+                sets.append((*shingle_sets(*text_bytes(b.column(k).take(pa.array(place))), width), back))
             (ta, ba, ia), (tb, bb, ib) = sets
-            good = []
+            rows: list[list] = [[], [], [], [], []]
             for i, j in zip(ia.tolist(), ib.tolist(), strict=True):
                 x, y = ta[ba[i] : ba[i + 1]], tb[bb[j] : bb[j + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and q * both >= p * (len(x) + len(y) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(2).filter(mask)], ["u", "v"])
+                apart = len(x) + len(y) - 2 * both
+                near = apart * (q + p) <= reach * (q - p) * (len(x) + len(y))
+                for c, v in zip(rows, (len(x), len(y), apart, both > 0 and q * both >= p * (len(x) + len(y) - both), np.setxor1d(x, y, assume_unique=True).astype(np.int64) if near else None), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, t) for c, t in zip(rows, kinds, strict=True)]], ["a", "b", "na", "nb", "apart", "linked", "delta"])
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "ta", "b", "tb").mapInArrow(run, "u long, v long")
+    full = with_texts(docs, pairs)
+    return full.select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long, na long, nb long, apart long, linked boolean, delta array<long>")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts' shingle sets are similar enough, as (u, v)."""
+    return compared(docs, pairs, width, p, q).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _candidates(shared: DataFrame, info: DataFrame, labels: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of different first components in the cheapest signatures that a set must pay for."""
-    who = info.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def pivots(stars: DataFrame) -> DataFrame:
+    """(a, b): one set to compare each set b with: of those that share at least half as many
+    signatures as the best does, the one that most others are compared with."""
+    popular = stars.groupBy("a").agg(F.count("*").alias("popular"))
+    best = stars.groupBy("b").agg(F.max("times").alias("best"))
+    some = stars.join(best, "b").filter("times * 2 >= best").join(popular, "a")
+    return some.groupBy("b").agg(F.max_by("a", F.struct("popular", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _around_pivots(near: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """What follows for sets compared with the same pivot: certain links, and candidates.
+
+    ``near`` has (a, b, na, nb, apart, delta).  The sets of a pivot differ from each other in
+    at most the sum of their distances to it; where that suffices, a link is certain, and all
+    such links are implied by those with the set of least surplus.  Any other similar pair
+    must share tokens of both deltas: so many that, with rare tokens first, one lies far
+    enough to the front of both.  Surplus: (q + p) apart - (q - p) n.
+    """
+    surplus = lambda d, n: (q + p) * F.col(d) - (q - p) * F.col(n)
+    members = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("apart").alias("d"), surplus("apart", "nb").alias("k"))
+    own = near.groupBy(F.col("a").alias("pivot")).agg((-(q - p) * F.first("na")).alias("k")).select("pivot", F.col("pivot").alias("id"), "k")
+    least = members.select("pivot", "id", "k").union(own).groupBy("pivot").agg(F.min_by("id", F.struct("k", "id")).alias("low"), F.min("k").alias("low_k"))
+    every = members.select("pivot", "id", "k").union(own).join(least, "pivot")
+    certain = every.filter("k + low_k <= 0 and id <> low").select(F.col("low").alias("u"), F.col("id").alias("v"))
+    rows = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.explode("delta").alias("token"))
+    often = rows.groupBy("pivot", "token").agg(F.count("*").alias("often"))
+    rows = rows.join(often, ["pivot", "token"]).join(members, ["pivot", "id"]).join(least.select("pivot", "low_k"), "pivot")
+    w = Window.partitionBy("pivot", "id").orderBy("often", "token")
+    rest = F.col("d") - F.row_number().over(w) + 1  # most that can be shared from this token on
+    rows = rows.withColumn("rest", rest).filter("often > 1")
+    most = F.floor((F.col("n") + F.floor(F.col("n") * q / p)) * (q - p) / (q + p))
+    least_shared = F.greatest(F.lit(1), F.col("d") - most, F.ceil((F.col("k") + F.greatest(F.col("low_k"), 1 - F.col("k"))) / (2 * (q + p))))
+    return certain, rows.filter(F.col("rest") >= least_shared).select("pivot", "token", "id", "n", "k", "rest")
+
+
+def _delta_candidates(rows: DataFrame, names: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs of one pivot in different components whose deltas may share enough tokens."""
+    rows = rows.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("pivot", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("pivot", "token")
+    rows = rows.join(mixed, ["pivot", "token"], "left_semi")
+    x, y = rows.alias("x"), rows.alias("y")
+    shared = F.greatest(F.lit(1), F.ceil((F.col("x.k") + F.col("y.k")) / (2 * (q + p))))
+    fits = (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p) & (F.least("x.rest", "y.rest") >= shared)
+    meet = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits
+    return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _candidates(shared: DataFrame, info: DataFrame, names: DataFrame, groups: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs of different components and pivots in the cheapest signatures a set must pay for."""
+    who = info.join(names, "id", "left").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("pivot", F.coalesce("pivot", "id"))
     rows = shared.join(who, "id")
-    by = rows.groupBy("sig", "component").agg(F.sum((F.col("flags").bitwiseAND(PROBE) > 0).cast("long")).alias("probes"))
-    whole = by.groupBy("sig").agg(F.sum("probes").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig", "all")
-    mixed = rows.join(whole, "sig")
-    index = mixed.filter(F.col("flags").bitwiseAND(INDEX) > 0).join(by, ["sig", "component"]).withColumn("cost", F.col("all") - F.col("probes"))
+    probe = (F.col("flags").bitwiseAND(PROBE) > 0).cast("long")
+    by = rows.groupBy("sig", "component", "pivot").agg(F.sum(probe).alias("probes"))
+    over = lambda *c: F.sum("probes").over(Window.partitionBy(*c))
+    by = by.withColumn("cost", over("sig") - over("sig", "component") - over("sig", "pivot") + F.col("probes")).filter("cost > 0").select("sig", "component", "pivot", "cost")
+    index = rows.filter(F.col("flags").bitwiseAND(INDEX) > 0).join(by, ["sig", "component", "pivot"])
     index = index.withColumn("unit_key", F.when(F.col("unit") == WHOLE, F.col("sig")).otherwise(F.col("unit").cast("long")))
-    units = index.filter("cost > 0").groupBy("id", "unit_key").agg(F.sum("cost").alias("cost"), F.first("spare").alias("spare"))
+    units = index.groupBy("id", "unit_key").agg(F.sum("cost").alias("cost"), F.first("spare").alias("spare"))
     order = Window.partitionBy("id").orderBy("cost", "unit_key")
     units = units.withColumn("no", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("id")))
     chosen = units.filter("no <= many - spare").select("id", "unit_key")
-    pays = index.filter("cost > 0").join(chosen, ["id", "unit_key"]).select("sig", F.col("id").alias("r"), F.col("component").alias("cr"), F.col("n").alias("nr"))
-    probes = mixed.filter(F.col("flags").bitwiseAND(PROBE) > 0).select("sig", F.col("id").alias("s"), F.col("component").alias("cs"), F.col("n").alias("ns"))
-    fits = (F.col("cr") != F.col("cs")) & (F.col("nr") * bands.q >= F.col("ns") * bands.p) & ((F.col("nr") < F.col("ns")) | ((F.col("nr") == F.col("ns")) & (F.col("r") != F.col("s"))))
+    pays = index.join(chosen, ["id", "unit_key"]).select("sig", F.col("id").alias("r"), F.col("component").alias("cr"), F.col("pivot").alias("pr"), F.col("n").alias("nr"))
+    asked = pays.select("sig").distinct()
+    probes = rows.filter(probe > 0).join(asked, "sig", "left_semi").select("sig", F.col("id").alias("s"), F.col("component").alias("cs"), F.col("pivot").alias("ps"), F.col("n").alias("ns"))
+    fits = (F.col("cr") != F.col("cs")) & (F.col("pr") != F.col("ps")) & (F.col("nr") * bands.q >= F.col("ns") * bands.p) & ((F.col("nr") < F.col("ns")) | ((F.col("nr") == F.col("ns")) & (F.col("r") != F.col("s"))))
     return pays.join(probes, "sig").filter(fits).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
@@ -383,16 +459,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = stored(_shared_signatures(alone, bands, width, buckets), "signatures")
     shared = found.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("c").alias("flags"), F.col("d").alias("unit"))
     info = found.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n"), F.min("c").alias("spare"))
-    # (3) every set of a group against its first
+    # (3) every set against a pivot
     stars = found.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("times"))
     sizes = info.select("id", "n")
     stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    stars = stars.filter((low * q >= high * p) & (F.col("times") * 40 >= low)).select("a", "b")
-    links = stored(verified(known, stars, width, p, q), "links")
-    labels = connected_components(links)
-    # (4), (5) what may still link different components
-    more = stored(verified(known, stored(_candidates(shared, info, labels, bands), "pairs"), width, p, q), "links")
+    stars = pivots(stars.filter((low * q >= high * p) & (F.col("times") * 40 >= low)).select("a", "b", "times"))
+    near = stored(compared(known, stars, width, p, q, REACH), "pivots")
+    direct = near.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    certain, rows = _around_pivots(near.filter("delta is not null"), p, q)
+    links = stored(direct.union(certain), "links")
+    names = connected_components(links).withColumnRenamed("node", "id")
+    # (4) sets of one pivot, by the tokens in which they differ from it
+    within = stored(verified(known, stored(_delta_candidates(rows, names, p, q), "pairs"), width, p, q), "links")
+    links = links.union(within)
+    names = stored(connected_components(links).withColumnRenamed("node", "id"), "names")
+    groups = near.filter("delta is not null").select(F.col("b").alias("id"), F.col("a").alias("pivot"))
+    groups = groups.union(groups.select(F.col("pivot").alias("id"), "pivot").distinct().join(groups.select("id"), "id", "left_anti"))
+    # (5) what may still link different components and pivots
+    more = stored(verified(known, stored(_candidates(shared, info, names, groups, bands), "pairs"), width, p, q), "links")
     same = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
     final = connected_components(links.union(more).union(same)).withColumnRenamed("node", "id")
     out = profile.join(final, "id", "left")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, input_bytes, mix64, session
-from .jaccard import INDEX, PROBE, only_ids, stored
+from .jaccard import INDEX, PROBE, only_ids, portions, stored
 
 #: Edits, and the least code points of a line that is compared.
 TAU, MIN_CHARS = 2, 24
@@ -35,6 +35,8 @@ BAG = 8
 PAIRS_PER_ROW = 8
 #: Parts into which the occurrences of one class are dealt when they meet its result.
 SALT = 32
+#: Characters of padded lines that are compared at a time.
+CELLS = 1 << 21
 BUCKET_MB = 4.0
 
 _U = np.uint64
@@ -138,9 +140,11 @@ def edit_distances(left: list[str], right: list[str], tau: int) -> np.ndarray:
                 old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (c != d))
         out[i] = min(row[-1], tau + 1)
     live = live[m[live] > tau]
-    for lo in range(0, len(live), 20_000):
-        some = live[lo : lo + 20_000]
-        some = some[np.argsort(-n[some], kind="stable")]
+    live = live[np.argsort(-n[live], kind="stable")]
+    lo = 0
+    while lo < len(live):  # as many pairs at a time as their padded rows leave room for
+        some = live[lo : lo + max(1, CELLS // (int(m[live[lo]]) + tau + 66))]
+        lo += len(some)
         pm, pn = m[some], n[some]
         wide = int(pm.max()) + 2 * tau + 66
         ca, cb = np.zeros((len(some), wide), np.uint32), np.zeros((len(some), int(pn.max()) + 1), np.uint32)
@@ -195,7 +199,7 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, 0)):
             fresh: dict[int, str] = {}
             for t in b.column(0).to_pylist():
                 for s in lines_of(t):
