@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import severity as sev
 from ..functions.hashing import fingerprint
@@ -21,7 +20,6 @@ DDL = (
 ORDINALS = ("collector_ord", "file_ord", "line_ord", "rule_ord")
 #: Collectors in the order in which equal fingerprints win.
 COLLECTORS = ("secrets", "heuristics", "external", "coverage", "mutation", "history", "blast-radius", "complexity")
-SCHEMA = T.StructType.fromDDL(DDL)
 
 
 def make(

@@ -124,7 +124,7 @@ def review(ctx: Context, collectors: list[Collector] | None = None, deep: bool =
         if out is not None:
             parts.append(out)
             ran.append(c.name)
-    rows = findings.union(parts) if parts else ctx.spark.createDataFrame([], findings.SCHEMA)
+    rows = findings.union(parts) if parts else ctx.spark.createDataFrame([], findings.DDL)
     kept = findings.in_order(findings.first_wins(rows)).drop(*findings.ORDINALS) if parts else rows
     return Report(kept, notes, ran, external_absent())
 

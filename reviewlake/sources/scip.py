@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship
+
 # Field numbers of documents, of their parts and of an occurrence's parts; the definition bit.
 DOCUMENTS, PATH, OCCURRENCES = 2, 1, 2
 RANGE, SYMBOL, ROLES = 1, 2, 3
@@ -84,6 +86,7 @@ def read(files: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["file", "line", "symbol", "is_def"]).astype({"line": "int32", "is_def": "bool"})
 
+    ship(files.sparkSession)
     return files.select("content").mapInPandas(run, "file string, line int, symbol string, is_def boolean")
 
 
