@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Rows in one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
 
 
 def session(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
