@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
+#: Edges whose components one task finds by itself; more go through the rounds of stars.
+EDGES_AT_ONCE = 400_000
 #: Rows in one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
 
@@ -105,8 +107,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges to (node, component), the component being its smallest node.
 
     Alternating large-star and small-star rounds over the edge table: each round is two keyed
-    aggregations with map-side partials, so no component is ever gathered in one task.  A
-    partition's own edges are first reduced to a spanning forest.
+    aggregations with map-side partials, so no component is gathered in one task.  A
+    partition's own edges are first reduced to a spanning forest; if few edges are left of
+    all, one task finishes them the same way.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -124,6 +127,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").mapInArrow(_local_forest, "u long, v long").distinct()
     e = checkpoint(e)
+    if e.count() <= EDGES_AT_ONCE:  # few enough for one task's memory
+        e = checkpoint(e.repartition(1).mapInArrow(_local_forest, "u long, v long"))
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     before = mark(e)
     while before[0]:
         e = checkpoint(star(star(e, True), False))
