@@ -19,14 +19,15 @@ def normalize_snippet(s: Column) -> Column:
 
 def shannon_entropy(s: Column) -> Column:
     """Bits per byte over the byte histogram; 0 for the empty string."""
-    octets = utf8_bytes(s)
-    n = F.octet_length(s).cast("double")
 
-    def share(b: Column) -> Column:
-        p = F.size(F.filter(octets, lambda x: x == b)) / n
-        return -p * F.log2(p)
+    def bits(octets: Column) -> Column:
+        def share(b: Column) -> Column:
+            p = F.size(F.filter(octets, lambda x: x == b)) / F.size(octets).cast("double")
+            return -p * F.log2(p)
 
-    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(octets), F.lit(0.0), lambda a, b: a + share(b)))
+        return F.aggregate(F.array_distinct(octets), F.lit(0.0), lambda a, b: a + share(b))
+
+    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(bound(utf8_bytes(s), bits))
 
 
 def truncate(s: Column, most: int = 40) -> Column:
@@ -57,12 +58,21 @@ def hashed_cells(s: Column, dim: int = DIM) -> Column:
     return F.transform(tokens(s), cell)
 
 
+def bound(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it in its own lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def feature_hash(s: Column, dim: int = DIM) -> Column:
     """L2-normalised array<double> of signed token counts; all zero without tokens."""
-    cells = hashed_cells(s, dim)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["idx"] == i), F.lit(0.0), lambda a, c: a + c["sign"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    def dense(cells: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(c["idx"] == i, c["sign"].cast("double")).otherwise(F.lit(0.0))))
+
+    def unit(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+        return bound(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(raw, lambda x: x / n))
+
+    return bound(bound(hashed_cells(s, dim), dense), unit)
 
 
 def dot(a: Column, b: Column) -> Column:
