@@ -9,9 +9,9 @@ line are indexed by length and number, substrings of the longer one probe them,
 verified by a banded bit-parallel edit distance over many pairs at a time.
 
 Equal lines are one line from the start: a task folds its own copies before it emits
-anything.  A group of lines that share a segment yields its pairs only while it is small; in
-a larger one each line is first checked against one other, and only pairs that this leaves in
-different components follow.
+anything.  A group of lines that share a segment yields its pairs only while it is small; the
+lines of a larger one meet in a grid over their counts of characters, which keeps apart what
+differs too much.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .jaccard import INDEX, PROBE, only_ids, portions, stored
 
 #: Edits, and the least code points of a line that is compared.
 TAU, MIN_CHARS = 2, 24
-#: Classes of characters that are counted to tell far lines apart cheaply (a power of two up to 8).
-BAG = 8
+#: Classes of characters that are counted to tell far lines apart cheaply (a power of two).
+BAG = 16
 #: Pairs that a group may yield at once, for each of its rows.
 PAIRS_PER_ROW = 8
 #: Parts into which the occurrences of one class are dealt when they meet its result.
@@ -288,7 +288,7 @@ def fetched(docs: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
 
     def bags(batches):
         for b in batches:
-            rows = [np.bincount((np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") * np.uint32(2654435761)) >> np.uint32(29), minlength=BAG).astype(np.int32) for s in b.column(1).to_pylist()]
+            rows = [np.bincount((np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") * np.uint32(2654435761)) >> np.uint32(33 - BAG.bit_length()), minlength=BAG).astype(np.int32) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["id", "line", "bag"])
 
     lines = only_ids(docs.select("text").mapInArrow(texts, "id long, line string"), ids, "left_semi")
@@ -307,19 +307,17 @@ def verified(lines: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
     return full.select("a", "la", "b", "lb").mapInArrow(run, "u long, v long")
 
 
-def _across(large: DataFrame, lines: DataFrame, names: DataFrame, tau: int) -> DataFrame:
-    """Pairs of large groups that are in different components and may yet be near.
+def _across(large: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
+    """Pairs of lines of a large group that may be near, from their bags of characters.
 
-    An edit moves a line's bag of characters by at most two.  Two of the bag's sums are a grid
-    in the join key, so a line meets those in its own and the next cells only; the whole bag
-    is compared as the rows meet.
+    An edit moves a line's bag by at most two.  Two of the bag's sums are a grid in the join
+    key, so a line meets those in its own and the next cells only; the whole bag is compared
+    as the rows meet, so that few pairs come out that are no links.
     """
     bag = F.col("bag")
     half = lambda ks: sum((bag[k] for k in ks), F.lit(0))
-    known = lines.select("id", *[bag[k].alias(f"b{k}") for k in range(BAG)], half(range(0, BAG, 2)).alias("p"), half((0, 1, 4, 5)).alias("q"))
-    rows = large.join(known, "id").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    rows = rows.join(mixed, "sig", "left_semi")
+    known = lines.select("id", *[bag[k].alias(f"b{k}") for k in range(BAG)], half(range(0, BAG, 2)).alias("p"), half(k for k in range(BAG) if not k & 2).alias("q"))
+    rows = large.join(known, "id")
     wide = 2 * tau + 1
     cell = lambda c, d: F.floor((F.col(c) + d) / wide).cast("int")
     index = rows.filter(F.col("flag") == INDEX).withColumn("cp", cell("p", 0)).withColumn("cq", cell("q", 0))
@@ -328,7 +326,7 @@ def _across(large: DataFrame, lines: DataFrame, names: DataFrame, tau: int) -> D
         probe = probe.withColumn(c, F.explode(F.array_distinct(F.array(cell(at, -tau), cell(at, tau)))))
     i, j = index.alias("i"), probe.alias("j")
     apart = sum((F.abs(F.col(f"i.b{k}") - F.col(f"j.b{k}")) for k in range(BAG)), F.lit(0))
-    meet = (F.col("i.sig") == F.col("j.sig")) & (F.col("i.cp") == F.col("j.cp")) & (F.col("i.cq") == F.col("j.cq")) & (F.col("i.component") != F.col("j.component")) & (apart <= 2 * tau)
+    meet = (F.col("i.sig") == F.col("j.sig")) & (F.col("i.cp") == F.col("j.cp")) & (F.col("i.cq") == F.col("j.cq")) & (F.col("i.id") != F.col("j.id")) & (apart <= 2 * tau)
     return i.join(j, meet).select(F.least("i.id", "j.id").alias("a"), F.greatest("i.id", "j.id").alias("b")).distinct()
 
 
@@ -353,9 +351,7 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     links = first = stored(verified(lines, pairs, tau), "links")
     large = met.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("c").alias("flag"))
     if not large.isEmpty():
-        names = connected_components(first).withColumnRenamed("node", "id")
-        more = stored(verified(lines, _across(large, lines, names, tau), tau), "links")
-        links = first.union(more).distinct()
+        links = stored(first.union(verified(lines, _across(large, lines, tau), tau)).distinct(), "links")
     names = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("class"))
     degree = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     linked = names.join(degree, "key")

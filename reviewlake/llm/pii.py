@@ -181,7 +181,7 @@ def address_at(t: str, i: int) -> tuple[int, int] | None:
         while end < n and (t[end].isalpha() or t[end] in ".'-"):
             end += 1
         if k and t[start:end].rstrip(".") in _STREETS:
-            return i, end
+            return i, end if t[start:end] in STREETS else start + len(t[start:end].rstrip("."))
         j = end
         if j >= n or t[j] != " ":
             return None
