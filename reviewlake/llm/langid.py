@@ -12,6 +12,7 @@ is read whole.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -94,7 +95,7 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on at most ``rows`` labelled rows, those with the smallest hash of their id.
 
-    Only fixed-size presence rows reach the driver.  None, if no row has text and label.
+    Only the model reaches the driver.  None, if no row has text and label.
     """
     session(df)
 
@@ -110,9 +111,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         return None
     most = chosen[-1]["h"]
     got = some.filter(F.xxhash64(F.col(id_col)) <= F.lit(most)).select(F.col(label_col), F.col(text_col)).mapInArrow(run, "label string, bits binary")
-    got = sorted((r["label"], bytes(r["bits"])) for r in got.collect())
-    bits = np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1)
-    return fit(bits.astype(np.float32), [c for c, _ in got])
+
+    def learn(batches):
+        """The bounded sample is fitted in one task, and only the model comes back."""
+        rows = sorted((label, bytes(bits)) for b in batches for label, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        bits = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(bits.astype(np.float32), [c for c, _ in rows]))], pa.binary())], ["model"])
+
+    return pickle.loads(bytes(got.repartition(1).mapInArrow(learn, "model binary").first()["model"]))
 
 
 def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
