@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .common import per_text
 
 #: Remembered units, prefixes and pair checks in a worker: memory bounds; results do not depend on them.
-MEMO_UNITS, MEMO_PREFIXES, MEMO_PAIRS = 200_000, 400_000, 600_000
+MEMO_UNITS, MEMO_PREFIXES, MEMO_PAIRS = 300_000, 1_000_000, 800_000
 #: Longer units are encoded each time, not remembered.
 MEMO_CHARS = 48
 
@@ -108,9 +108,11 @@ class ByteBpe:
         at = n
         while at and word[:at] not in state:
             at -= 1
-        got = ("", 0)
+        last = state[word[:at]][0] if at else ""
         for i in range(at + 1, n + 1):
-            for j in range(max(0, i - longest.get(word[i - 1], 1)), i):
+            # Most often the last token grows by a symbol; otherwise every entry that ends here is tried.
+            grown = i - 1 - len(last)
+            for j in (grown, *range(max(0, i - longest.get(word[i - 1], 1)), i)):
                 t = word[j:i]
                 if t in vocab:
                     a, c = state[word[:j]] if j else ("", 0)
@@ -118,8 +120,9 @@ class ByteBpe:
                         ok = self.fits(a, t)
                     if ok:
                         state[word[:i]] = (t, c + 1)
+                        last = t
                         break
-        return state.get(word, got)
+        return state.get(word, ("", 0))
 
     def table(self, word: str) -> list[int]:
         """counts[i]: tokens of the first i symbols of one pre-token."""
@@ -130,6 +133,8 @@ class ByteBpe:
         return [0] + [self.state[word[:i]][1] for i in range(1, len(word) + 1)]
 
     def symbols(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():  # only the space has a stand-in then
+            return piece.replace(" ", self.shown[32])
         return piece.encode().decode("latin-1").translate(self.shown)
 
     def count(self, word: str) -> int:
@@ -177,11 +182,8 @@ class ByteBpe:
 
     def unit_counts(self, text: str) -> tuple[list[str], list[int]]:
         if self.plain(text):
-            units, memo = UNITS.findall(text), self.count_of
-            try:
-                return units, [memo[u] for u in units]
-            except KeyError:
-                return units, [memo[u] if u in memo else self.unit_count(u) for u in units]
+            units, known = UNITS.findall(text), self.count_of.get
+            return units, [known(u) or self.unit_count(u) for u in units]
         pairs = self.pieces(text)
         return [p for p, _ in pairs], [n for _, n in pairs]
 
