@@ -394,7 +394,8 @@ def _around_pivots(near: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFram
     certain = every.filter("k + low_k <= 0 and id <> low").select(F.col("low").alias("u"), F.col("id").alias("v"))
     rows = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.explode("delta").alias("token"))
     often = rows.groupBy("pivot", "token").agg(F.count("*").alias("often"))
-    rows = rows.join(often, ["pivot", "token"]).join(members, ["pivot", "id"]).join(least.select("pivot", "low_k"), "pivot")
+    members = members.join(least.select("pivot", "low_k"), "pivot")  # a row for each set, not for each token
+    rows = rows.join(often, ["pivot", "token"]).join(members, ["pivot", "id"])
     w = Window.partitionBy("pivot", "id").orderBy("often", "token")
     rest = F.col("d") - F.row_number().over(w) + 1  # most that can be shared from this token on
     rows = rows.withColumn("rest", rest).filter("often > 1")
