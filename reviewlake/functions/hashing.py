@@ -11,14 +11,19 @@ BASIS_64 = 0xCBF29CE484222325
 SEPARATOR = "\u0001"
 
 
+def bound(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it in its own lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def utf8_bytes(s: Column) -> Column:
-    """array<int> of a string's bytes."""
+    """array<bigint> of a string's bytes."""
     digits = F.hex(F.encode(s, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint"))
+    return bound(digits, lambda d: F.transform(F.sequence(F.lit(1), F.length(d), F.lit(2)), lambda i: F.conv(F.substring(d, i, F.lit(2)), 16, 10).cast("bigint")))
 
 
 def _bytes_or_none(s: Column) -> Column:
-    return F.when(F.length(s) > 0, utf8_bytes(s)).otherwise(F.array().cast("array<bigint>"))
+    return bound(s, lambda x: F.when(F.length(x) > 0, utf8_bytes(x)).otherwise(F.array().cast("array<bigint>")))
 
 
 def fnv1a32(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hashing import fnv1a32, utf8_bytes
+from .hashing import bound, fnv1a32, utf8_bytes
 
 #: Dimensions of the hashed embedding and characters of its tokens.
 DIM = 256
@@ -58,11 +58,6 @@ def hashed_cells(s: Column, dim: int = DIM) -> Column:
     return F.transform(tokens(s), cell)
 
 
-def bound(x: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it in its own lambdas."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def feature_hash(s: Column, dim: int = DIM) -> Column:
     """L2-normalised array<double> of signed token counts; all zero without tokens."""
     def dense(cells: Column) -> Column:
