@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,15 @@ def absent() -> list[str]:
     return [t for t in TOOLS if shutil.which(t) is None]
 
 
+def offline_ruleset(home: str, variable: str = "RULESET") -> str | None:
+    """A local rule set for a scanner: what the environment names, else a file below ``home``."""
+    own = os.environ.get(variable)
+    if own:
+        return own if os.path.exists(own) else None
+    default = os.path.join(home, "rules")
+    return default if os.path.exists(default) else None
+
+
 def _or(c: str, default) -> F.Column:
     return F.coalesce(F.col(c), F.lit(default))
 

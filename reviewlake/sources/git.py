@@ -59,6 +59,13 @@ def diff_text(root: str, mode: Mode) -> str:
     return git(root, "diff", "--unified=3", "--no-color", "--no-ext-diff", *mode.arguments())
 
 
+def changed_paths(root: str, mode: Mode) -> list[str]:
+    """Paths that a change touches and that still exist; every tracked path for ``all``."""
+    if mode.kind == "all":
+        return git(root, "ls-files").splitlines()
+    return git(root, "diff", "--name-only", "--diff-filter=d", *mode.arguments()).splitlines()
+
+
 def patches(spark: SparkSession, root: str, mode: Mode) -> DataFrame:
     """(patch_id, text): the change set as one patch."""
     return spark.createDataFrame([(root, diff_text(root, mode))], "patch_id string, text string")

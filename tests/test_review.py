@@ -51,6 +51,8 @@ def test_modes(work_tree):
     assert "console.log" in git.diff_text(str(work_tree), git.Mode("working"))
     assert git.diff_text(str(work_tree), git.Mode("staged")) == ""
     assert "export function" in git.diff_text(str(work_tree), git.Mode("all"))
+    assert git.changed_paths(str(work_tree), git.Mode("working")) == ["src/a.ts"]
+    assert len(git.changed_paths(str(work_tree), git.Mode("all"))) == 4
     with pytest.raises(git.GitError):
         git.Mode("base", "--output=x").arguments()
 
