@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_bytes, mix64, session, shared_folder, text_bytes
+from .common import connected_components, input_bytes, mix64, release, session, shared_folder, text_bytes
 
 #: Ids that are broadcast to filter a scan; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
@@ -241,6 +241,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             k1 = _sum_by(mix64(tokens ^ _U(0x243F6A8885A308D3)), bounds).astype(np.int64)
             k2 = _sum_by(mix64(tokens + _U(0x13198A2E03707344)), bounds).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(k1), pa.array(k2)], ["id", "n", "k1", "k2"])
+        release()
 
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
 
@@ -274,6 +275,7 @@ def _shared_signatures(docs: DataFrame, bands: Bands, width: int, buckets: int)
                 c.append(x)
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "base", "sig", "ids", "flags", "units", "info"])
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b", "c", "d"]
@@ -323,6 +325,8 @@ def _shared_signatures(docs: DataFrame, bands: Bands, width: int, buckets: int)
         if len(pairs):
             pairs, times = np.unique(pairs, axis=0, return_counts=True)
             yield from rows(1, pairs[:, 0], pairs[:, 1], times, np.zeros(len(times)))
+        del sig, who, flag, unit, first, order, group, keep
+        release()
 
     flat = docs.mapInArrow(spread, "bucket int, base long, sig binary, ids binary, flags binary, units binary, info binary")
     return flat.repartition(max(8, buckets // 4), "bucket").mapInArrow(meet, "kind int, a long, b long, c long, d int")
@@ -358,6 +362,7 @@ def compared(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int, reac
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, t) for c, t in zip(rows, kinds, strict=True)]], ["a", "b", "na", "nb", "apart", "linked", "delta"])
+        release()
 
     full = with_texts(docs, pairs)
     return full.select("a", "ta", "b", "tb").mapInArrow(run, "a long, b long, na long, nb long, apart long, linked boolean, delta array<long>")

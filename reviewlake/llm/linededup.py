@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_bytes, mix64, session
+from .common import connected_components, input_bytes, mix64, release, session
 from .jaccard import INDEX, PROBE, only_ids, portions, stored
 
 #: Edits, and the least code points of a line that is compared.
@@ -219,6 +219,8 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
                 for c, x in zip(cols, (k, low[a:z].tobytes(), who[a:z].tobytes(), mark[a:z].tobytes()), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sig", "keys", "flags"])
+        seen.clear()
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, whos, flags = [], [], []
@@ -266,6 +268,8 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
         for g in large:
             s = slice(begin[g], end[g])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end[g] - begin[g], np.int32)), pa.array(sig[s].astype(np.int64)), pa.array(who[s]), pa.array(flag[s].astype(np.int32))], names)
+        del sig, who, flag, order, same
+        release()
 
     flat = docs.select("text").mapInArrow(spread, "bucket int, sig binary, keys binary, flags binary")
     return flat.repartition(max(8, buckets // 4), "bucket").mapInArrow(meet, "kind int, a long, b long, c int")
@@ -302,6 +306,7 @@ def verified(lines: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
         for b in batches:
             mask = pa.array(edit_distances(b.column(1).to_pylist(), b.column(3).to_pylist(), tau) <= tau)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(2).filter(mask)], ["u", "v"])
+        release()
 
     full = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     return full.select("a", "la", "b", "lb").mapInArrow(run, "u long, v long")
