@@ -147,9 +147,10 @@ def train(labelled: DataFrame) -> Model | None:
 
     rows = labelled.select(F.col("label").cast("int"), "stats").mapInArrow(run, "label int, m array<double>")
     size = 1 + STATS + STATS * STATS
+    added = rows.select("label", F.posexplode("m")).groupBy("label", "pos").agg(F.sum("col").alias("total"))
     moments: dict[int, np.ndarray] = {}
-    for r in rows.collect():
-        moments[r["label"]] = moments.get(r["label"], np.zeros(size)) + np.array(r["m"])
+    for r in added.collect():  # a number for each class and moment, however many partitions there are
+        moments.setdefault(r["label"], np.zeros(size))[r["pos"]] = r["total"]
     return fit({c: (m[0], m[1 : 1 + STATS], m[1 + STATS :].reshape(STATS, STATS)) for c, m in moments.items()})
 
 

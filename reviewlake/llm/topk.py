@@ -32,7 +32,7 @@ def _quantise(scale: int):
                 x = np.floor(np.asarray(v, np.float64) * scale)
                 if np.isfinite(x).all():
                     ids.append(i)
-                    blobs.append(x.astype(np.int64).astype("<i4").tobytes())
+                    blobs.append(x.astype(np.int64).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["id", "v"])
 
     return run
@@ -42,7 +42,7 @@ def _matrix(blobs: list[bytes], dims: int) -> np.ndarray:
     """Postings by term: row t has the weights of term t; missing components weigh nothing."""
     out = np.zeros((dims, len(blobs)), np.int64)
     for k, b in enumerate(blobs):
-        x = np.frombuffer(b, "<i4")
+        x = np.frombuffer(b, "<i8")
         out[: len(x), k] = x
     return out
 
@@ -98,7 +98,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024,
             return empty
         cand = cand.sort_values("id", ignore_index=True)
         ids, who = cand["id"].to_numpy(), ask["id"].to_numpy()
-        dims = max(len(b) for b in [*cand["v"], *ask["v"]]) // 4
+        dims = max(len(b) for b in [*cand["v"], *ask["v"]]) // 8
         postings = _matrix(list(cand["v"]), dims)
         rows, cols = [], []
         vals = []
