@@ -139,7 +139,11 @@ def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = fe
     """Memories after (kind, text, scope, file) rows came; near copies of the same kind add nothing."""
     fresh = new.select("kind", "text", F.coalesce("scope", F.lit("repo")).alias("scope"), "file").withColumn("embedding", embed(F.col("text")))
     fresh = fresh.withColumn("id", memory_id(F.col("kind"), F.col("text"))).dropDuplicates(["id"])
-    near = fresh.alias("n").join(F.broadcast(memories.select("kind", F.col("embedding").alias("old"))).alias("m"), (F.col("n.kind") == F.col("m.kind")) & (dot(F.col("n.embedding"), F.col("m.old")) >= DUPLICATE), "left_anti") if memories.count() <= BROADCAST_ROWS else fresh.alias("n").join(memories.select("kind", F.col("embedding").alias("old")).alias("m"), (F.col("n.kind") == F.col("m.kind")) & (dot(F.col("n.embedding"), F.col("m.old")) >= DUPLICATE), "left_anti")
+    old = memories.select("kind", F.col("embedding").alias("old"))
+    if memories.count() <= BROADCAST_ROWS:
+        old = F.broadcast(old)
+    alike = (F.col("n.kind") == F.col("m.kind")) & (dot(F.col("n.embedding"), F.col("m.old")) >= DUPLICATE)
+    near = fresh.alias("n").join(old.alias("m"), alike, "left_anti")
     return memories.unionByName(near.withColumn("ts", F.lit(now)).select(*memories.columns))
 
 
