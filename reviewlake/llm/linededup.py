@@ -1,8 +1,8 @@
 """Near-duplicate lines: segment-partition edit join.
 
 Lines are compared after every run of ASCII white space became one space and the ends were
-trimmed; lines shorter than ``MIN_CHARS`` code points are not compared.  Two lines link when
-their edit distance is at most ``TAU``.  A line is split into TAU + 1 even segments; if a
+trimmed; empty ones give no row.  Two lines of at least 3 TAU + 1 code points link when their
+edit distance is at most ``TAU``; shorter ones are only told equal or not.  A line is split into TAU + 1 even segments; if a
 line is within TAU edits of it, one segment occurs unchanged in that line, near its own place
 (the window depends on the segment's number and on both lengths).  Segments of the shorter
 line are indexed by length and number, substrings of the longer one probe them, and pairs are
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, input_bytes, mix64, release, session
 from .jaccard import INDEX, PROBE, only_ids, portions, stored
 
-#: Edits, and the least code points of a line that is compared.
-TAU, MIN_CHARS = 2, 24
+#: Edits, and the least code points of a line that gets a row.
+TAU, MIN_CHARS = 2, 1
 #: Classes of characters that are counted to tell far lines apart cheaply (a power of two).
 BAG = 16
 #: Pairs that a group may yield at once, for each of its rows.
@@ -59,6 +59,11 @@ def lines_of(text: str | None) -> list[str]:
     return [b" ".join(s.split()).decode() for s in (text or "").encode().split(b"\n")]
 
 
+def near_chars(tau: int, min_chars: int) -> int:
+    """The least code points of a line in the near join; a line of 3 tau may share no segment with a near one."""
+    return max(min_chars, 3 * tau + 1)
+
+
 def line_key(line: str) -> int:
     """64-bit name of a line in the near join."""
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
@@ -177,7 +182,7 @@ def edit_distances(left: list[str], right: list[str], tau: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, line_no, two hashes and eligibility of every compared line."""
+    """id, line_no and two hashes of every line that gets a row."""
 
     def run(batches):
         for b in batches:
@@ -336,23 +341,23 @@ def _across(large: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
 
 
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per compared line: id, line_no, class_id, class_line_no, class_size, n_links, kept.
+    """One row per line: id, line_no, class_id, class_line_no, class_size, n_links, kept.
 
     Lines are equal or linked (edit distance at most ``tau``) within a class; class_id and
     class_line_no are the first place, by id and line number, of any line of the class, which
-    is the only one kept.  n_links counts the different lines that a line links with.  Null
-    and empty texts and lines shorter than ``min_chars`` give no row.  Rows that share an id
+    is the only one kept.  n_links counts the different lines that a line links with; lines of at
+    most 3 ``tau`` code points link with none, and equal ones are a class.  Null and empty
+    texts and lines shorter than ``min_chars`` give no row.  Rows that share an id
     count as one place line by line.  Rows with a null id take no part.
     """
-    if min_chars <= 3 * tau:
-        raise ValueError("lines must be longer than three times the edits")
     session(df)
+    near = near_chars(tau, min_chars)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     every = stored(occurrences(docs, min_chars), "occurrences")
     buckets = int(min(60_000, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
-    met = stored(_meeting(docs, tau, min_chars, buckets), "segments")
+    met = stored(_meeting(docs, tau, near, buckets), "segments")
     pairs = met.filter("kind = 1").select("a", "b").distinct()
-    lines = fetched(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), min_chars)
+    lines = fetched(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), near)
     links = first = stored(verified(lines, pairs, tau), "links")
     large = met.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("c").alias("flag"))
     if not large.isEmpty():
@@ -384,7 +389,7 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """The table with later lines of every class cut out of ``text_col``.
 
-    A document that had compared lines and has no text left is a copy of earlier ones and
+    A document that had lines and has no text left is a copy of earlier ones and
     goes; documents without text stay as they are.
     """
     gone = near_lines(df, id_col, text_col, tau, min_chars).filter("not kept").groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
