@@ -181,7 +181,7 @@ def shannon_entropy(spark, sf_dir):
 
 
 @query("""
-    WITH s AS (SELECT doc_id, lower(substr(text, 1, 200)) AS t FROM documents),
+    WITH s AS (SELECT doc_id, lower(text) AS t FROM documents),
     w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9_.:/-]+')) AS w FROM s),
     g AS (SELECT doc_id, 'w:' || w AS tok FROM w UNION ALL
           SELECT doc_id, 'g:' || substr(w, CAST(i AS BIGINT), 3) AS tok FROM (SELECT doc_id, w, unnest(range(1, length(w) - 1)) AS i FROM w WHERE length(w) >= 3)),
@@ -189,8 +189,8 @@ def shannon_entropy(spark, sf_dir):
     SELECT doc_id, CAST((h >> 1) % 256 AS INTEGER) AS idx, CAST(sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS v FROM h GROUP BY ALL
 """.replace("FNV", sql_fnv("tok", 32)))
 def feature_hash_cells(spark, sf_dir):
-    cells = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.hashed_cells(F.substring("text", 1, 200))).alias("c"))
-    return cells.groupBy("doc_id", F.col("c.idx").alias("idx")).agg(F.sum("c.sign").alias("v"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return text.cell_sums(docs).withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT page_id, regexp_replace(url, '^https?://[^/]+/', '') AS path, ends_with(lower(url), '.html') AS html, CAST(length(url) AS BIGINT) AS n, CASE WHEN length(url) > 40 THEN substr(url, 1, 40) || '…' ELSE url END AS short FROM pages")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import bound, fnv1a32, utf8_bytes
+from ..runtime import ship
+from .hashing import BASIS_32, PRIME_32, bound, fnv1a32, utf8_bytes
 
 #: Dimensions of the hashed embedding and characters of its tokens.
 DIM = 256
@@ -58,6 +64,56 @@ def hashed_cells(s: Column, dim: int = DIM) -> Column:
     return F.transform(tokens(s), cell)
 
 
+def _signed_cell(token: str, dim: int) -> tuple[int, int]:
+    h = BASIS_32
+    for b in token.encode():
+        h = (h ^ b) * PRIME_32 & 0xFFFFFFFF
+    return (h >> 1) % dim, 1 if h & 1 else -1
+
+
+_gram_cell = lru_cache(1 << 17)(_signed_cell)
+
+
+def _word_cells(word: str, dim: int) -> list[tuple[int, int]]:
+    sums: Counter[int] = Counter()
+    for idx, sign in (_signed_cell("w:" + word, dim), *(_gram_cell("g:" + word[i : i + 3], dim) for i in range(len(word) - 2))):
+        sums[idx] += sign
+    return list(sums.items())
+
+
+def cell_sums(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, idx, v) of (id, text) rows: ``hashed_cells`` added up, each word hashed once a task.
+
+    Cells whose signs cancel out have a row of 0.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches):
+        words, known = re.compile(TOKEN), {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                ids, idx, v = [], [], []
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    sums: dict[int, int] = {}
+                    for w, n in Counter(words.findall((t or "").lower())).items():
+                        cells = known.get(w)
+                        if cells is None:
+                            cells = _word_cells(w, dim)
+                            if len(w) <= 64:
+                                if len(known) >= 100_000:
+                                    known.clear()
+                                known[w] = cells
+                        for c, s in cells:
+                            sums[c] = sums.get(c, 0) + s * n
+                    ids += [i] * len(sums)
+                    idx += sums.keys()
+                    v += sums.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(idx, pa.int32()), pa.array(v, pa.int64())], ["id", "idx", "v"])
+
+    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, idx int, v long")
+
+
 def feature_hash(s: Column, dim: int = DIM) -> Column:
     """L2-normalised array<double> of signed token counts; all zero without tokens."""
     def dense(cells: Column) -> Column:
