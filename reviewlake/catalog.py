@@ -269,21 +269,19 @@ def path_suffix_resolve(spark, sf_dir):
 
 # --- diffs ------------------------------------------------------------------------------
 
-HEAD_LINES = 12  # lines of a document's patch
-
 
 def patches(spark, sf_dir) -> DataFrame:
     """A patch for each document: a file section with a hunk of added, removed and context lines."""
     d = table(spark, sf_dir, "documents")
-    lines = F.slice(F.split("text", "\n", -1), 1, HEAD_LINES)
+    lines = F.split("text", "\n", -1)
     marked = F.transform(lines, lambda s, i: F.concat(F.when(i % 4 == 3, "-").when(i % 4 == 1, " ").otherwise("+"), F.translate(s, "@", "a")))
     head = F.concat(F.lit("diff --git a/d/"), "doc_id", F.lit(".txt b/d/"), "doc_id", F.lit(".txt\n--- "), F.when(F.col("doc_id") % 10 == 0, "/dev/null").otherwise(F.concat(F.lit("a/d/"), "doc_id", F.lit(".txt"))), F.lit("\n+++ b/d/"), "doc_id", F.lit(".txt\n@@ -1,9 +"), F.col("doc_id") % 50 + 1, F.lit(",9 @@\n"))
     return d.select(F.col("doc_id").alias("patch_id"), F.concat(head, F.array_join(marked, "\n"), F.lit("\n")).alias("text"))
 
 
-PATCH_SQL = f"""
+PATCH_SQL = """
     SELECT doc_id, i, CASE WHEN i % 4 = 3 THEN '-' WHEN i % 4 = 1 THEN ' ' ELSE '+' END AS marker, replace(s, '@', 'a') AS text
-    FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10))[1:{HEAD_LINES}] AS l FROM documents))
+    FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 """
 PLACED_SQL = f"SELECT *, CAST(doc_id % 50 + 1 + sum(CASE WHEN marker <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line FROM ({PATCH_SQL})"
 

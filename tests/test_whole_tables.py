@@ -23,3 +23,20 @@ def test_whole_texts_are_hashed(spark, tmp_path):
                 want.setdefault(k, Counter())[h // 2 % 256] += 1 if h % 2 else -1
     got = {(r["doc_id"], r["idx"]): r["v"] for r in catalog.feature_hash_cells(spark, str(tmp_path)).collect()}
     assert got == {(k, i): v for k, c in want.items() for i, v in c.items()}
+
+
+def test_patches_hold_every_line(spark, tmp_path):
+    save(spark, tmp_path, "documents", [(7, "\n".join(f"line {k}" for k in range(31)))], "doc_id long, text string")
+    marks = ["-" if k % 4 == 3 else " " if k % 4 == 1 else "+" for k in range(31)]
+    places = [8 + sum(m != "-" for m in marks[:k]) for k in range(31)]
+    added = {(r["line"], r["text"]) for r in catalog.diff_parse_added(spark, str(tmp_path)).collect()}
+    assert added == {(places[k], f"line {k}") for k in range(31) if marks[k] == "+"}
+    files = catalog.diff_files(spark, str(tmp_path)).first()
+    assert (files["added_count"], files["removed_count"]) == (marks.count("+"), marks.count("-"))
+    assert {r["new_line"] for r in catalog.diff_anchor_index(spark, str(tmp_path)).collect()} == {places[k] for k in range(31) if marks[k] != "-"}
+
+
+def test_findings_anchor_beyond_the_first_lines(spark, tmp_path):
+    save(spark, tmp_path, "documents", [(0, "\n".join("abcdefghijklmnopqrstuvw"))], "doc_id long, text string")
+    f = catalog.patches(spark, str(tmp_path)).select("patch_id").selectExpr("patch_id", "'d/0.txt' as file", "17 as line", "17 as end_line")
+    assert catalog.anchors.anchor(f, catalog.unified_diff.anchor_index(catalog.patches(spark, str(tmp_path))), ["patch_id"]).first()["anchor_line"] == 17
