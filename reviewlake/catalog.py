@@ -512,11 +512,11 @@ def import_resolve(spark, sf_dir):
     return graph.import_edges(imports, s.select(F.col("file").alias("path"))).select("src", "dst").distinct()
 
 
-EDGES_SQL = "SELECT 'o' || o_orderkey AS src, 'f' || (l_suppkey % 7) AS name, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 4 = 0 UNION SELECT 'c' || o_custkey, 'g', 'o' || o_orderkey FROM orders WHERE o_orderkey % 4 = 0"
+EDGES_SQL = "SELECT 'o' || o_orderkey AS src, 'f' || (l_suppkey % 7) AS name, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION SELECT 'c' || o_custkey, 'g', 'o' || o_orderkey FROM orders"
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0")
+    o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     a = li.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("f"), F.col("l_suppkey") % 7).alias("name"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     b = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.lit("g").alias("name"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))

@@ -40,3 +40,12 @@ def test_findings_anchor_beyond_the_first_lines(spark, tmp_path):
     save(spark, tmp_path, "documents", [(0, "\n".join("abcdefghijklmnopqrstuvw"))], "doc_id long, text string")
     f = catalog.patches(spark, str(tmp_path)).select("patch_id").selectExpr("patch_id", "'d/0.txt' as file", "17 as line", "17 as end_line")
     assert catalog.anchors.anchor(f, catalog.unified_diff.anchor_index(catalog.patches(spark, str(tmp_path))), ["patch_id"]).first()["anchor_line"] == 17
+
+
+def test_every_order_calls(spark, tmp_path):
+    save(spark, tmp_path, "orders", [(k, 10 + k) for k in range(1, 9)], "o_orderkey long, o_custkey long")
+    save(spark, tmp_path, "lineitem", [(k, 1) for k in range(1, 9)], "l_orderkey long, l_suppkey long")
+    save(spark, tmp_path, "supplier", [(1,)], "s_suppkey long")
+    direct = catalog.direct_callers(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, direct)) == [("s1", "f1", f"o{k}") for k in range(1, 9)]
+    assert [tuple(r) for r in catalog.transitive_callers(spark, str(tmp_path)).collect()] == [("s1", "f1", 8)]
