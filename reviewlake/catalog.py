@@ -256,15 +256,15 @@ def policy_filter(spark, sf_dir):
 
 
 @query(f"""
-    WITH t AS (SELECT p_partkey, path FROM ({PATHS_SQL}) WHERE p_partkey % 5 <> 0 AND p_partkey % 3 = 0),
-    k AS (SELECT 'repo/' || path AS key FROM ({PATHS_SQL}) WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0
-          UNION SELECT path AS key FROM ({PATHS_SQL}) WHERE p_partkey % 7 = 0 AND p_partkey % 5 <> 0)
+    WITH t AS (SELECT p_partkey, path FROM ({PATHS_SQL})),
+    k AS (SELECT 'repo/' || path AS key FROM ({PATHS_SQL})
+          UNION SELECT path AS key FROM ({PATHS_SQL}) WHERE p_partkey % 7 = 0)
     SELECT path, min_by(key, CASE WHEN key = path THEN '0' ELSE '1' END || key) AS key FROM t JOIN k ON key = path OR ends_with(key, '/' || path) OR ends_with(path, '/' || key) GROUP BY path
 """)
 def path_suffix_resolve(spark, sf_dir):
-    p = part_paths(spark, sf_dir).filter("p_partkey % 5 <> 0")
-    keys = p.filter("p_partkey % 2 = 0").select(F.concat(F.lit("repo/"), "path").alias("key")).union(p.filter("p_partkey % 7 = 0").select("path"))
-    return reports.resolve_paths(p.filter("p_partkey % 3 = 0"), keys)
+    p = part_paths(spark, sf_dir)
+    keys = p.select(F.concat(F.lit("repo/"), "path").alias("key")).union(p.filter("p_partkey % 7 = 0").select("path"))
+    return reports.resolve_paths(p, keys)
 
 
 # --- diffs ------------------------------------------------------------------------------
@@ -625,16 +625,16 @@ def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
-@query(f"SELECT a.vec_id AS l, b.vec_id AS r, round({DOT_SQL}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND {DOT_SQL} >= 0.3")
+@query(f"SELECT a.vec_id AS l, b.vec_id AS r, round({DOT_SQL}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {DOT_SQL} >= 0.3")
 def similarity_join(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return memory.similarity_pairs(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), 0.3).withColumn("sim", F.round("sim", 6))
+    return memory.similarity_pairs(v, v, 0.3).filter("l < r").withColumn("sim", F.round("sim", 6))
 
 
-@query(f"SELECT a.vec_id AS id, round(max({DOT_SQL}), 6) AS best, round(max(CASE WHEN a.label = b.label THEN {DOT_SQL} END), 6) AS best_same FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND {DOT_SQL} >= 0.25 GROUP BY a.vec_id")
+@query(f"SELECT a.vec_id AS id, round(max({DOT_SQL}), 6) AS best, round(max(CASE WHEN a.label = b.label THEN {DOT_SQL} END), 6) AS best_same FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {DOT_SQL} >= 0.25 GROUP BY a.vec_id")
 def similarity_best(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    p = memory.similarity_pairs(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), 0.25)
+    p = memory.similarity_pairs(v, v, 0.25).filter("l <> r")
     p = p.join(v.select(F.col("id").alias("l"), F.col("label").alias("x")), "l").join(v.select(F.col("id").alias("r"), F.col("label").alias("y")), "r")
     return p.groupBy(F.col("l").alias("id")).agg(F.round(F.max("sim"), 6).alias("best"), F.round(F.max(F.when(F.col("x") == F.col("y"), F.col("sim"))), 6).alias("best_same"))
 

@@ -49,3 +49,20 @@ def test_every_order_calls(spark, tmp_path):
     direct = catalog.direct_callers(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, direct)) == [("s1", "f1", f"o{k}") for k in range(1, 9)]
     assert [tuple(r) for r in catalog.transitive_callers(spark, str(tmp_path)).collect()] == [("s1", "f1", 8)]
+
+
+def test_vectors_of_any_ids_pair(spark, tmp_path):
+    rows = [(k, [1.0, 0.0] if k < 4 else [0.0, 1.0], k % 2) for k in range(5)]
+    save(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    pairs = catalog.similarity_join(spark, str(tmp_path)).collect()
+    assert sorted((r["l"], r["r"]) for r in pairs) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    best = catalog.similarity_best(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, best)) == [(k, 1.0, 1.0) for k in range(4)]
+
+
+def test_paths_of_all_parts_resolve(spark, tmp_path):
+    save(spark, tmp_path, "part", [(k,) for k in range(1, 400)], "p_partkey long")
+    paths = {r["path"] for r in catalog.part_paths(spark, str(tmp_path)).collect()}
+    found = {r["path"]: r["key"] for r in catalog.path_suffix_resolve(spark, str(tmp_path)).collect()}
+    assert found.keys() == paths and any(p.endswith("/package-lock.json") for p in found)
+    assert all(k.endswith(p) or p.endswith(k) for p, k in found.items())
