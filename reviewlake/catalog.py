@@ -687,14 +687,22 @@ def learning_upsert(spark, sf_dir):
     return rows.groupBy("key").agg(F.count_distinct(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
 
 
-@query("""
-    WITH v AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY lang, text) AS first FROM documents)
-    SELECT doc_id AS id FROM v WHERE first = doc_id
+@query(f"""
+    WITH RECURSIVE d AS (SELECT doc_id AS id, lang AS kind FROM documents QUALIFY row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) = 1),
+    c AS MATERIALIZED (SELECT d.id, d.kind, h.idx, CAST(h.v AS DOUBLE) AS v FROM d JOIN ({ORACLE_SQL["feature_hash_cells"]}) h ON h.doc_id = d.id),
+    n AS (SELECT id, sum(v * v) AS n FROM c GROUP BY id),
+    s AS (SELECT a.id AS l, b.id AS r, sum(a.v * b.v) AS s FROM c a JOIN c b ON a.kind = b.kind AND a.idx = b.idx AND a.id < b.id GROUP BY ALL),
+    p AS (SELECT l, r FROM s JOIN n x ON x.id = l JOIN n y ON y.id = r WHERE x.n > 0 AND y.n > 0 AND s / sqrt(x.n * y.n) >= {memory.DUPLICATE}),
+    o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS no, coalesce(near, CAST([] AS BIGINT[])) AS near FROM d LEFT JOIN (SELECT r, list(CAST(l AS BIGINT)) AS near FROM p GROUP BY r) ON r = id),
+    k AS (SELECT CAST(0 AS BIGINT) AS no, CAST([] AS BIGINT[]) AS kept UNION ALL
+          SELECT o.no, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, CAST(id AS BIGINT)) END FROM k JOIN o ON o.no = k.no + 1)
+    SELECT unnest(kept) AS id FROM k WHERE no = (SELECT max(no) FROM k)
 """)
 def memory_near_dup(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "text")
-    w = Window.partitionBy("kind", F.sha2("text", 256)).orderBy("id")
-    return d.withColumn("n", F.row_number().over(w)).filter("n = 1").select("id")
+    d = table(spark, sf_dir, "documents")
+    first = d.groupBy(F.col("lang").alias("kind"), F.sha2("text", 256).alias("h")).agg(F.min("doc_id").cast("long").alias("id")).select("id", "kind").localCheckpoint()
+    vecs = text.count_vectors(d.select(F.col("doc_id").alias("id"), "text").join(first.select("id"), "id", "left_semi"))
+    return first.join(memory.later_copies(vecs.join(first, "id")), "id", "left_anti").select("id")
 
 
 # --- audit: a customer is a repository, an order a floor finding ---------------------------------------

@@ -81,11 +81,8 @@ def _word_cells(word: str, dim: int) -> list[tuple[int, int]]:
     return list(sums.items())
 
 
-def cell_sums(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, idx, v) of (id, text) rows: ``hashed_cells`` added up, each word hashed once a task.
-
-    Cells whose signs cancel out have a row of 0.
-    """
+def _summed(docs: DataFrame, dim: int, emit, ddl: str) -> DataFrame:
+    """Rows that ``emit`` makes of ids and their cells' sums; each different word is hashed once a task."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -93,8 +90,8 @@ def cell_sums(docs: DataFrame, dim: int = DIM) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                ids, idx, v = [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found: list[dict[int, int]] = []
+                for t in part.column(1).to_pylist():
                     sums: dict[int, int] = {}
                     for w, n in Counter(words.findall((t or "").lower())).items():
                         cells = known.get(w)
@@ -106,12 +103,33 @@ def cell_sums(docs: DataFrame, dim: int = DIM) -> DataFrame:
                                 known[w] = cells
                         for c, s in cells:
                             sums[c] = sums.get(c, 0) + s * n
-                    ids += [i] * len(sums)
-                    idx += sums.keys()
-                    v += sums.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(idx, pa.int32()), pa.array(v, pa.int64())], ["id", "idx", "v"])
+                    found.append(sums)
+                yield emit(part.column(0).to_pylist(), found)
+
+    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, ddl)
+
+
+def cell_sums(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, idx, v) of (id, text) rows: ``hashed_cells`` added up.
+
+    Cells whose signs cancel out have a row of 0.
+    """
+
+    def emit(ids, found):
+        who = [i for i, sums in zip(ids, found, strict=True) for _ in sums]
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([c for sums in found for c in sums], pa.int32()), pa.array([v for sums in found for v in sums.values()], pa.int64())], ["id", "idx", "v"])
+
+    return _summed(docs, dim, emit, "id long, idx int, v long")
+
+
+def count_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, vec) of (id, text) rows: ``feature_hash`` before it is normalised."""
+
+    def emit(ids, found):
+        rows = [[sums.get(c, 0) for c in range(dim)] for sums in found]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["id", "vec"])
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, idx int, v long")
+    return _summed(docs, dim, emit, "id long, vec array<int>")
 
 
 def feature_hash(s: Column, dim: int = DIM) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import memory_id
 from ..functions.text import age_days, dot, feature_hash, round3
+from ..runtime import ship
 
 # Similarities and lifetimes in days.
 SAME_RULE, ANY_RULE, REINFORCE, DUPLICATE = 0.82, 0.93, 0.80, 0.97
@@ -20,6 +23,8 @@ LEARNING_DDL = "fingerprint string, rule_id string, text string, signal string,
 MEMORY_DDL = "id string, kind string, text string, scope string, file string, ts string, embedding array<double>"
 #: Learnings up to this number are broadcast to the candidates; more are joined by blocks.
 BROADCAST_ROWS = 20_000
+#: Vectors of a kind in a block, and rows of it that are multiplied at a time.
+BLOCK_ROWS, STRIP_ROWS = 10_000, 512
 
 Embedder = Callable[[Column], Column]
 
@@ -135,8 +140,66 @@ def live(learnings: DataFrame, now: str, exact_days: float = EXACT_DAYS, semanti
     return learnings.withColumn("exact_live", mute | (age <= exact_days)).withColumn("semantic_live", mute | (age <= semantic_days))
 
 
+def near_pairs(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """Pairs (l, r), l < r, of (id, kind, vec) rows of one kind with a cosine of at least ``least``.
+
+    The rows of a kind are dealt in blocks and every two blocks meet in a task of their own.
+    """
+    ship(rows.sparkSession)
+    rows = rows.filter("kind is not null")
+    most = rows.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // BLOCK_ROWS))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("kind", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "b", "id", "vec")
+
+    def meet(key, table):
+        ids = table.column("id").to_numpy()
+        vec = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
+        block, norm = table.column("b").to_numpy(), (vec * vec).sum(axis=1)
+        i, j = key[1].as_py(), key[2].as_py()
+        a, z = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = [], []
+        for lo in range(0, len(a), STRIP_ROWS):
+            some = a[lo : lo + STRIP_ROWS]
+            size = np.sqrt(norm[some, None] * norm[None, z])
+            x, y = np.nonzero((vec[some] @ vec[z].T / np.where(size > 0, size, 1)) >= least)
+            u, v = ids[some[x]], ids[z[y]]
+            ok = u < v if i == j else u != v
+            left.append(np.minimum(u, v)[ok])
+            right.append(np.maximum(u, v)[ok])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"l": np.concatenate(left or none), "r": np.concatenate(right or none)})
+
+    return dealt.groupBy("kind", "i", "j").applyInArrow(meet, "l long, r long")
+
+
+def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """Ids of (id, kind, vec) rows that add nothing when rows come one by one in the order of ids.
+
+    A row adds nothing if an earlier row that stayed is near it.  Rows whose earlier near ones
+    are all decided are decided at once, round by round.
+    """
+    # Equal vectors share their near ones, so the first stands for all; those of zeros are near to none.
+    some = rows.filter(F.exists("vec", lambda x: x != 0))
+    first = some.groupBy("kind", "vec").agg(F.min("id").alias("id"), F.collect_list("id").alias("all")).filter("kind is not null").localCheckpoint()
+    equal = first.select(F.explode("all").alias("id"), F.col("id").alias("f")).filter("id <> f").select("id")
+    pairs = near_pairs(first.select("id", "kind", "vec"), least).localCheckpoint()
+    gone = []
+    while not pairs.isEmpty():
+        stay = pairs.select("l").distinct().join(pairs.select(F.col("r").alias("l")).distinct(), "l", "left_anti")
+        out = pairs.join(stay, "l", "left_semi").select("r").distinct().localCheckpoint()
+        gone.append(out.select(F.col("r").alias("id")))
+        pairs = pairs.join(out, "r", "left_anti").join(out.select(F.col("r").alias("l")), "l", "left_anti").select("l", "r").localCheckpoint()
+    for g in gone:
+        equal = equal.union(g)
+    return equal
+
+
 def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = feature_hash) -> DataFrame:
-    """Memories after (kind, text, scope, file) rows came; near copies of the same kind add nothing."""
+    """Memories after (kind, text, scope, file) rows came; near copies of the same kind add nothing.
+
+    New rows are compared with each other as well, in the order of their ids.
+    """
     fresh = new.select("kind", "text", F.coalesce("scope", F.lit("repo")).alias("scope"), "file").withColumn("embedding", embed(F.col("text")))
     fresh = fresh.withColumn("id", memory_id(F.col("kind"), F.col("text"))).dropDuplicates(["id"])
     old = memories.select("kind", F.col("embedding").alias("old"))
@@ -144,6 +207,9 @@ def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = fe
         old = F.broadcast(old)
     alike = (F.col("n.kind") == F.col("m.kind")) & (dot(F.col("n.embedding"), F.col("m.old")) >= DUPLICATE)
     near = fresh.alias("n").join(old.alias("m"), alike, "left_anti")
+    order = near.select("id").withColumn("no", F.row_number().over(Window.orderBy("id")).cast("long")).localCheckpoint()
+    rows = near.join(order, "id").select(F.col("no").alias("id"), "kind", F.col("embedding").alias("vec"))
+    near = near.join(order.join(later_copies(rows).withColumnRenamed("id", "no"), "no").select("id"), "id", "left_anti")
     return memories.unionByName(near.withColumn("ts", F.lit(now)).select(*memories.columns))
 
 

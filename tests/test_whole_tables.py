@@ -66,3 +66,29 @@ def test_paths_of_all_parts_resolve(spark, tmp_path):
     found = {r["path"]: r["key"] for r in catalog.path_suffix_resolve(spark, str(tmp_path)).collect()}
     assert found.keys() == paths and any(p.endswith("/package-lock.json") for p in found)
     assert all(k.endswith(p) or p.endswith(k) for p, k in found.items())
+
+
+def test_near_copies_are_remembered_once(spark, tmp_path):
+    base = " ".join(f"word{k} of{k * k}" for k in range(120))
+    rows = [(1, "en", base), (2, "en", base + " more"), (3, "de", base + " more"), (4, "en", "quite another text"), (5, "en", base), (6, "en", "!!"), (7, "en", "??"), (8, "en", "!!")]
+    save(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
+    assert sorted(r["id"] for r in catalog.memory_near_dup(spark, str(tmp_path)).collect()) == [1, 3, 4, 6, 7]
+
+
+def test_a_row_is_near_only_to_rows_that_stayed(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(catalog.memory, "BLOCK_ROWS", 7)
+    turn = [(k, "a", [math.cos(k * 0.15), math.sin(k * 0.15)]) for k in range(30)]
+    kept = []
+    for k, _, v in turn:
+        if all(v[0] * w[0] + v[1] * w[1] < 0.97 for _, w in kept):
+            kept.append((k, v))
+    df = spark.createDataFrame(turn, "id long, kind string, vec array<double>")
+    assert {r["id"] for r in catalog.memory.later_copies(df).collect()} == set(range(30)) - {k for k, _ in kept}
+
+
+def test_remember_compares_new_rows(spark):
+    base = " ".join(f"word{k} of{k * k}" for k in range(120))
+    new = spark.createDataFrame([("note", base, None, None), ("note", base + " more", None, None)], "kind string, text string, scope string, file string")
+    assert catalog.memory.remember(spark.createDataFrame([], catalog.memory.MEMORY_DDL), new, "2026-06-09T00:00:00Z").count() == 1
