@@ -1,15 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over bytes cuts every text into chunks, so that a passage yields the same
-chunks wherever it stands.  A worker encodes a chunk once and keeps its ids and its decoded
-pieces; a document is put together from chunks.  Merges near a cut may differ from those of
-the whole text, so each join is repaired: the text between the last white space of the left
-chunk and the first of the right one is encoded again, and the window grows by whole chunks
-until it begins and ends at white space, where the pre-tokeniser cuts in either reading and
-both encodings agree.
-
-Sharing is per worker, not global: to ship a chunk's ids through a shuffle costs more than to
-encode it, and would move several times the input.
+chunks wherever it stands.  Three steps, each a shuffle of rows of bounded size:
+
+1. Texts become chunks.  Chunks are dealt by digest; equal ones of a task's batch are one row
+   with a list of owners (document, place), so that a passage travels once a batch.
+2. Each different chunk is encoded once, whichever documents it stands in, and its ids go to
+   all its owners.  Owners of a chunk beyond ``OWNERS`` in one map task form blocks of their
+   own, which are dealt apart: a chunk of a third of all documents is no hot key.
+3. A document's chunks meet in order.  Words at a cut may be halves, so each join is repaired:
+   the last words of the left chunk and the first of the right one are encoded again as one
+   text, and the window grows by a word on each side until the new ids begin and end exactly
+   with those that the chunks themselves had for the outermost words.
+
+Ids are decoded entry by entry where the vocabulary has no decoder, else by the library.
 """
 
 from __future__ import annotations
@@ -17,20 +21,31 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections import OrderedDict
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import per_text
-from .tokens import ODD
+from .common import per_text, portions, session, tasks_for, text_bytes
+from .tokens import ODD, byte_alphabet
 
-#: Mean bytes of a chunk (a power of two) and the bytes its cut depends on.
-CHUNK_BYTES, WINDOW = 512, 16
-#: Chunks and words that a worker remembers: memory bounds; results do not depend on them.
-KEEP_CHUNKS, KEEP_WORDS = 16_000, 150_000
+#: Mean and least bytes of a chunk (the mean a power of two) and the bytes its cut depends on.
+CHUNK_BYTES, LEAST_BYTES, WINDOW = 512, 64, 16
+#: Words at either end of a chunk whose text is kept for joins.
+EDGE = 4
+#: Owners of one chunk in a map task that are dealt by its digest alone, and in each further block.
+OWNERS, BLOCK = 32, 1024
+#: Words that a worker remembers and chunks whose owners a task counts: memory bounds; results do not depend on them.
+KEEP_WORDS, KEEP_COUNTS = 200_000, 1_000_000
+#: MB of input text for each task of the two shuffles.
+TASK_MB = 24.0
 
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -39,7 +54,10 @@ _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint3
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
-    """Positions after which a chunk ends, from a gear hash of the last ``WINDOW`` bytes."""
+    """Positions after which a chunk ends, from a gear hash of the last ``WINDOW`` bytes.
+
+    A cut inside a UTF-8 character moves to its end.
+    """
     h = _GEAR[raw]
     s = 1
     while s < WINDOW:  # doubling: after each round h covers twice as many bytes
@@ -47,129 +65,145 @@ def cuts(raw: np.ndarray) -> np.ndarray:
         h = h.copy()
         h[s:] += shifted
         s *= 2
-    return np.flatnonzero((h >> np.uint32(8)) & np.uint32(CHUNK_BYTES - 1) == 0) + 1
+    at = np.flatnonzero((h >> np.uint32(8)) & np.uint32(CHUNK_BYTES - 1) == 0) + 1
+    for _ in range(3):
+        inside = at < len(raw)
+        inside[inside] = raw[at[inside]] & 0xC0 == 0x80
+        at = at + inside
+    return np.unique(at)
+
+
+def spaced(ends: list[int], size: int) -> list[int]:
+    """The cuts of one text that lie at least ``LEAST_BYTES`` apart, and the text's end."""
+    out, last = [], 0
+    for e in ends:
+        if e - last >= LEAST_BYTES and e < size:
+            out.append(e)
+            last = e
+    return [*out, size]
+
+
+class Memory(dict):
+    """Computes what it does not know.  Of a full memory the later half stays; long keys never do."""
+
+    def __init__(self, fn):
+        self.fn, self.old = fn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.fn(key)
+        if len(key) <= 64:
+            if len(self) >= KEEP_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
 
 
 class ChunkedBpe:
+    """One vocabulary in one worker: chunks to ids, and documents from chunks."""
+
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
         spec = json.loads(self.tok.to_str())
-        self.token = {i: t for t, i in self.tok.get_vocab().items()}
+        vocab = self.tok.get_vocab()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        #: Whether white space is dropped between pre-tokens, so that it is a safe place to cut.
-        self.spaced = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[0]["pattern"].get("Regex") == SPLIT_PATTERN and spec["model"].get("end_of_word_suffix") == "</w>" and not any(re.search(r"\s", s) for s in self.special)
+        self.lowered = [s.lower() for s in self.special]
+        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
+        self.token = np.full(max(vocab.values()) + 1, "", object)
+        for t, i in vocab.items():
+            self.token[i] = t
+        self.spaced = self._drops_space(spec)
         self.joined = spec.get("decoder") is None
-        self.ends = np.zeros(max(self.token) + 1, bool)
-        for i, t in self.token.items():
-            self.ends[i] = t.endswith("</w>")
-        self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.encoded = self.reused = 0
-
-    # --- what a chunk or a join is made of -----------------------------------------------
-
-    def learn(self, words: list[str]) -> None:
-        """Encode unknown pre-tokens in one call; each ends with its only end-of-word entry."""
-        if len(self.words) + len(words) > KEEP_WORDS:
-            self.words.clear()
-        if not words:
-            return
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.ends[ids]) + 1
-        assert len(at) == len(words)
-        token, start = self.token, 0
-        for w, end in zip(words, at.tolist(), strict=True):
-            part = ids[start:end]
-            self.words[w] = (part.tobytes(), " ".join([token[i] for i in part.tolist()]))
-            start = end
-
-    def library(self, text: str) -> tuple[bytes, str]:
-        ids = self.tok.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids])
-
-    def encode_span(self, raw: bytes) -> tuple[bytes, str]:
-        """Ids and joined entries of bytes that begin and end where a cut is safe."""
+        shown = dict(enumerate(byte_alphabet()))
+        symbols = lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(shown)
+        code = lambda ids: array("H" if self.kind == "<u2" else "I", ids).tobytes()
+        #: ids of pre-tokens and of lower-cased words of plain characters, and of all other words as they stand.
+        self.pieces = Memory(lambda p: code([t.id for t in self.tok.model.tokenize(symbols(p))]))
+        self.words = Memory(lambda w: b"".join([self.pieces[p] for p in WORDS.findall(w)]))
+        self.odd = Memory(lambda w: code(self.tok.encode(w, add_special_tokens=False).ids))
+
+    def _drops_space(self, spec: dict) -> bool:
+        """Whether words between white space encode alone, the way ``encode_words`` reads them."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[0]["pattern"].get("Regex") == SPLIT_PATTERN
+        normal = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+        kinds = [n.get("type") for n in normal]
+        lower = kinds.count("Lowercase") == 1 and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        blanks = all(n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in normal if n.get("type") == "Replace")
+        return bool(split and lower and blanks and spec["model"].get("end_of_word_suffix") == "</w>" and not any(re.search(r"\s", s) for s in self.special))
+
+    # --- words, chunks, joins ------------------------------------------------------------
+
+    def encode_words(self, raw: bytes) -> list[bytes]:
+        """The ids of every word of a chunk or a window, in order."""
         text = raw.decode()
-        if ODD.search(text) or any(s in text for s in self.special):
-            return self.library(text)
-        words = WORDS.findall(text.lower())
-        if not words:
-            return b"", ""
-        known = self.words
-        try:
-            got = [known[w] for w in words]
-        except KeyError:
-            self.learn(list({w for w in words if w not in known}))
-            known = self.words
-            missing = list({w for w in words if w not in known})  # a full memory was cleared
-            if missing:
-                self.learn(missing)
-            got = [self.words[w] for w in words]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        low = text.lower()
+        if ODD.search(text) or any(s in low for s in self.lowered):
+            return [self.odd[w.decode()] for w in raw.split()]
+        return list(map(self.words.__getitem__, low.split()))
 
     def chunk(self, raw: bytes) -> tuple:
-        """(head, ids, entries, tail): the encoded middle lies between safe places."""
-        got = self.chunks.get(raw)
-        if got is not None:
-            self.chunks.move_to_end(raw)
-            self.reused += 1
-            return got
-        self.encoded += 1
-        at = [p for p in (raw.find(b" "), raw.find(b"\n")) if p >= 0]
-        if not at:
-            got = (raw, None, None, b"")
-        else:
-            i, j = min(at), max(raw.rfind(b" "), raw.rfind(b"\n"))
-            got = (raw[:i], *self.encode_span(raw[i:j]), raw[j:])
-        if len(raw) <= 8 * CHUNK_BYTES:
-            self.chunks[raw] = got
-            if len(self.chunks) > KEEP_CHUNKS:
-                self.chunks.popitem(last=False)
-        return got
+        """(ids, head, tail, ids of each of the head's words, of the tail's), or (None, raw, ...).
 
-    # --- documents -----------------------------------------------------------------------
+        Head and tail are the first and last ``EDGE`` words with the white space about them.
+        A chunk of few words has no middle and is left to its document's joins whole.
+        """
+        got = self.encode_words(raw)
+        if len(got) < 2 * EDGE:
+            return None, raw, b"", b"", b""
+        size = np.dtype(self.kind).itemsize
+        rest, lead = raw.split(None, EDGE)[-1], raw.rsplit(None, EDGE)[0]
+        counts = [np.array([len(x) // size for x in part], "<u4").tobytes() for part in (got[:EDGE], got[-EDGE:])]
+        return b"".join(got), raw[: len(raw) - len(rest)], raw[len(lead) :], *counts
 
-    def document(self, raw: bytes, ends: list[int]) -> tuple[bytes, str]:
-        ids, entries, open_, start = [], [], b"", 0
-        for end in [*ends, len(raw)]:
-            if end == start:
-                continue
-            head, mid, text, tail = self.chunk(raw[start:end])
-            open_ += head
-            start = end
-            if mid is None:  # no safe place in this chunk: the window grows
+    def document(self, chunks: Iterator[tuple]) -> bytes:
+        """The ids of a whole text from its chunks in order."""
+        out: list[bytes] = []
+        left: tuple | None = None  # tail, its ids by word
+        between = b""
+        for ids, head, tail, head_n, tail_n in chunks:
+            if ids is None:
+                between += head
                 continue
-            if open_:
-                for k, x in zip((ids, entries), self.encode_span(open_), strict=True):
-                    k.append(x)
-            ids.append(mid)
-            entries.append(text)
-            open_ = tail
-        if open_:
-            for k, x in zip((ids, entries), self.encode_span(open_), strict=True):
-                k.append(x)
-        return b"".join(ids), " ".join([e for e in entries if e])
-
-    def batch(self, texts: list) -> tuple[list[bytes], list[str]]:
-        ids, decoded = [], []
-        raws = [(t or "").encode() for t in texts]
-        if not self.spaced:
-            for t in texts:
-                got = self.tok.encode(t or "", add_special_tokens=False).ids
-                ids.append(np.array(got, "<u4").tobytes())
-                decoded.append(self.tok.decode(got, skip_special_tokens=False))
-            return ids, decoded
-        at = cuts(np.frombuffer(b"".join(raws), np.uint8))
-        offs = np.cumsum([0] + [len(r) for r in raws])
-        lo, hi = np.searchsorted(at, offs[:-1] + WINDOW), np.searchsorted(at, offs[1:])
-        for k, raw in enumerate(raws):
-            got, text = self.document(raw, (at[lo[k] : hi[k]] - offs[k]).tolist())
-            ids.append(got)
-            decoded.append(text if self.joined else self.tok.decode(np.frombuffer(got, "<u4").tolist(), skip_special_tokens=False))
-        return ids, decoded
+            size = np.dtype(self.kind).itemsize
+            a = np.cumsum(np.frombuffer(head_n, "<u4").astype(np.int64) * size)
+            z = len(ids) - np.cumsum(np.frombuffer(tail_n, "<u4")[::-1].astype(np.int64) * size)
+            first = [ids[i:j] for i, j in zip([0, *a.tolist()[:-1]], a.tolist(), strict=True)]
+            ends = [len(ids), *z.tolist()]
+            last = [ids[ends[k + 1] : ends[k]] for k in range(EDGE)][::-1]
+            if left is None and not between:
+                out += first
+            else:
+                out += self.join(left, between, (head, first))
+            out.append(ids[a[-1] : z[-1]])
+            left, between = (tail, last), b""
+        if between:
+            out += self.join(left, between, None)
+        elif left is not None:
+            out += left[1]
+        return b"".join(out)
+
+    def join(self, left: tuple | None, between: bytes, right: tuple | None) -> list[bytes]:
+        """Ids from the left chunk's tail to the right chunk's head, encoded again until they agree."""
+        for k in range(2, EDGE + 1):
+            text, start, end = between, None, None
+            if left is not None:
+                text, start = left[0][len(left[0].rsplit(None, k)[0]) if k < EDGE else 0 :] + text, left[1][-k]
+            if right is not None:
+                text, end = text + (right[0][: len(right[0]) - len(right[0].split(None, k)[-1])] if k < EDGE else right[0]), right[1][k - 1]
+            got = b"".join(self.encode_words(text))
+            if (start is None or got.startswith(start)) and (end is None or got.endswith(end)):
+                return [*(left[1][:-k] if left is not None else []), got, *(right[1][k:] if right is not None else [])]
+        raise ValueError("white space does not part this vocabulary's words")
+
+    def decode(self, ids: np.ndarray) -> str:
+        if self.joined:
+            return " ".join(self.token[ids].tolist())
+        return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
 @functools.cache
@@ -177,18 +211,149 @@ def chunked(path: str) -> ChunkedBpe:
     return ChunkedBpe(path)
 
 
+# --- Spark stages ------------------------------------------------------------------------
+
+
+def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
+    """(digest, salt, chunk, ids, names, places): the chunks of (id, text) rows with their owners.
+
+    An owner is a row's id, the digest of its text and the chunk's place in it; the last two
+    are packed, 16 and 4 bytes each.  Equal chunks of a batch are one row.
+    """
+
+    def run(batches):
+        task, sent = TaskContext.get().partitionId(), {}
+        for b in (p for whole in batches for p in portions(whole, 1)):
+            raw, offs = text_bytes(b.column(1))
+            at = cuts(raw)
+            lo, hi = np.searchsorted(at, offs[:-1] + WINDOW), np.searchsorted(at, offs[1:])
+            found: dict[tuple[bytes, int], tuple[bytes, list, list, list]] = {}
+            for d in range(b.num_rows):
+                text = raw[offs[d] : offs[d + 1]].tobytes()
+                name, start = xxhash.xxh3_128_digest(text), 0
+                for place, end in enumerate(spaced((at[lo[d] : hi[d]] - offs[d]).tolist(), len(text))):
+                    chunk, start = text[start:end], end
+                    digest = xxhash.xxh3_128_digest(chunk)
+                    n = sent[digest] = sent.get(digest, 0) + 1
+                    key = (digest, 0 if n <= OWNERS else (task << 32) + 1 + n // BLOCK)
+                    row = found.get(key)
+                    if row is None:
+                        row = found[key] = (chunk, [], [], [])
+                    row[1].append(d)
+                    row[2].append(name)
+                    row[3].append(place)
+            if len(sent) > KEEP_COUNTS:
+                sent.clear()
+            rows = list(found.values())
+            owners = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r[1]) for r in rows]), pa.int32()), b.column(0).take(pa.array([d for r in rows for d in r[1]], pa.int32())))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in found], pa.binary()),
+                    pa.array([k[1] for k in found], pa.int64()),
+                    pa.array([r[0] for r in rows], pa.binary()),
+                    owners,
+                    pa.array([b"".join(r[2]) for r in rows], pa.binary()),
+                    pa.array([np.array(r[3], "<u4").tobytes() for r in rows], pa.binary()),
+                ],
+                ["digest", "salt", "chunk", "ids", "names", "places"],
+            )
+
+    return docs.mapInArrow(run, f"digest binary, salt long, chunk binary, ids array<{kind}>, names binary, places binary")
+
+
+def encoded_chunks(chunks: DataFrame, kind: str, tokenizer: str) -> DataFrame:
+    """(id, name, place, piece...) for every owner; each chunk is encoded once, equal ones following one another."""
+    names = ["id", "name", "place", "code", "head", "tail", "head_n", "tail_n"]
+
+    def run(batches):
+        bpe, last, piece = chunked(tokenizer), None, None
+        for b in (p for whole in batches for p in portions(whole, 2)):
+            pieces, digests = [], b.column(0).to_pylist()
+            for k, digest in enumerate(digests):
+                if digest != last:
+                    last, piece = digest, bpe.chunk(b.column(2)[k].as_py())
+                pieces.append(piece)
+            places = [np.frombuffer(x, "<u4") for x in b.column(5).to_pylist()]
+            whose = np.repeat(np.arange(len(pieces)), [len(p) for p in places])
+            ids, owner = b.column(3).flatten(), b"".join(b.column(4).to_pylist())
+            cols = [pa.array(list(c), pa.binary()) for c in zip(*pieces, strict=True)] if pieces else [pa.array([], pa.binary())] * 5
+            place = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
+            for i in range(0, len(whose), 4096):  # many owners of one chunk are many rows
+                j = min(i + 4096, len(whose))
+                some = pa.array(whose[i:j])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([owner[16 * k : 16 * k + 16] for k in range(i, j)], pa.binary()), pa.array(place[i:j]), *[c.take(some) for c in cols]], names)
+
+    return chunks.mapInArrow(run, f"id {kind}, name binary, place int, code binary, head binary, tail binary, head_n binary, tail_n binary")
+
+
+def whole_texts(pieces: DataFrame, kind: str, tokenizer: str) -> DataFrame:
+    """(id, ids, decoded) from pieces that follow one another by id, text and place.
+
+    Rows that have id and text in common come together; each gets its row.
+    """
+
+    def run(batches):
+        bpe = chunked(tokenizer)
+        held: list[tuple] = []  # pieces of the document that is being read, one a place
+        many, now = 0, None
+        done: list[tuple] = []
+
+        def finish():
+            nonlocal many, held
+            if many:
+                ids = np.frombuffer(bpe.document(iter(held)), bpe.kind)
+                done.append((now[0], ids.astype(np.int32), bpe.decode(ids), many))
+            held, many = [], 0
+
+        def flush():
+            rows = (r for r in done for _ in range(r[3]))
+            for part in iter(lambda: list(islice(rows, 1000)), []):
+                codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r[1]) for r in part]), pa.int32()), pa.array(np.concatenate([r[1] for r in part])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], own), codes, pa.array([r[2] for r in part], pa.string())], ["id", "ids", "decoded"])
+            done.clear()
+
+        own, size = pa.int64(), 0
+        for b in batches:
+            own = b.column(0).type
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or row[:2] != now:
+                    finish()
+                    now = row[:2]
+                if row[2] == 0:
+                    many += 1
+                if len(held) == row[2]:
+                    held.append(row[3:])
+                    size += len(row[3] or b"")
+                if size > 1 << 20:
+                    size = 0
+                    yield from flush()
+        finish()
+        yield from flush()
+
+    return pieces.mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+
+
 def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text and decode it again: id, ids (array<int>) and decoded (string).
 
     Equal to the library's ``encode(text, add_special_tokens=False)`` and ``decode(ids,
-    skip_special_tokens=False)``.  Null texts count as empty: no ids, an empty string.
-    Vocabularies that do not drop white space are encoded text by text by the library.
+    skip_special_tokens=False)``.  Null texts count as empty: no ids, an empty string.  Rows
+    that repeat, and rows with a null id, each get a row; an empty table gives an empty one;
+    other columns are not read.  Vocabularies that do not drop white space, or that normalise
+    otherwise than by lower case, are encoded text by text by the library.
     """
+    session(df)
+    if chunked(tokenizer).spaced:
+        kind = dict(df.dtypes)[id_col]
+        docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        parts = tasks_for(docs, TASK_MB)
+        chunks = chunk_rows(docs, kind).repartition(parts, "digest", "salt").sortWithinPartitions("digest")
+        pieces = encoded_chunks(chunks, kind, tokenizer).repartition(parts, "id", "name").sortWithinPartitions("id", "name", "place")
+        return whole_texts(pieces, kind, tokenizer).withColumnRenamed("id", id_col)
 
     def run(texts: list) -> list[pa.Array]:
-        ids, decoded = chunked(tokenizer).batch(texts)
-        offs = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
-        values = pa.Array.from_buffers(pa.int32(), int(offs[-1]), [None, pa.py_buffer(b"".join(ids))])
-        return [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), values), pa.array(decoded, pa.string())]
+        bpe = chunked(tokenizer)
+        ids = [bpe.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.tok.decode(i, skip_special_tokens=False) for i in ids], pa.string())]
 
     return per_text(df, id_col, text_col, run, "ids array<int>, decoded string")

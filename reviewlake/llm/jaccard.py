@@ -21,7 +21,6 @@ of a group of copies, and no link between different components is lost.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_bytes, mix64, release, session, shared_folder, text_bytes
+from .common import connected_components, input_bytes, mix64, only_ids, portions, release, session, stored, text_bytes
 
-#: Ids that are broadcast to filter a scan; more are joined by a shuffle.
-BROADCAST_IDS = 300_000
 #: MB of input text for each bucket of signatures.
 BUCKET_MB = 2.0
 #: Sets in bands up to this size get one-deletion neighbourhoods.
@@ -109,16 +106,6 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bounds
 
 
-def portions(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts exceed ``most`` bytes, so that long texts do not meet."""
-    _, offs = text_bytes(batch.column(text))
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1)
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
@@ -217,21 +204,6 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
 # --- Spark stages ------------------------------------------------------------------------
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def only_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join with a table of ids, broadcast only while it is small."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "id", how)
-
-
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """id, n and two 64-bit sums that equal sets share."""
 

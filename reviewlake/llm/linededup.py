@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_bytes, mix64, release, session
-from .jaccard import INDEX, PROBE, only_ids, portions, stored
+from .common import connected_components, input_bytes, mix64, only_ids, portions, release, session, stored
+from .jaccard import INDEX, PROBE
 
 #: Edits, and the least code points of a line that gets a row.
 TAU, MIN_CHARS = 2, 1

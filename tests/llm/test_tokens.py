@@ -1,9 +1,11 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reviewlake.llm import chunked_bpe, packing, tokens
@@ -54,17 +56,57 @@ def test_token_count_rows(spark, library):
     assert tokens.token_counts(df.limit(0), BYTE).count() == 0
 
 
+def by_chunks(c, t):
+    raw = t.encode()
+    at = chunked_bpe.cuts(np.frombuffer(raw, np.uint8))
+    place = [0, *chunked_bpe.spaced([int(x) for x in at if x >= chunked_bpe.WINDOW], len(raw))]
+    return np.frombuffer(c.document(c.chunk(raw[i:j]) for i, j in itertools.pairwise(place)), c.kind), len(place) - 1
+
+
 @pytest.mark.parametrize("mean", [4, 64, 512])
-def test_chunks_decode_as_the_library_does(monkeypatch, mean):
+def test_chunks_join_as_the_library_encodes(monkeypatch, mean):
     monkeypatch.setattr(chunked_bpe, "CHUNK_BYTES", mean)
+    monkeypatch.setattr(chunked_bpe, "LEAST_BYTES", mean // 4)
+    monkeypatch.setattr(chunked_bpe, "KEEP_WORDS", 50)
     tok, c = Tokenizer.from_file(WORD), chunked_bpe.ChunkedBpe(WORD)
-    rows = texts(300, mean) + [" ".join(texts(40, k)) for k in range(10)] + [None, "", "x" * 5000, "word " * 4000]
-    ids, decoded = c.batch(rows + rows)
-    for t, i, d in zip(rows + rows, ids, decoded, strict=True):
-        want = tok.encode(t or "", add_special_tokens=False).ids
-        assert np.frombuffer(i, "<u4").tolist() == want, t
-        assert d == tok.decode(want, skip_special_tokens=False)
-    assert c.reused > 0
+    assert c.spaced and not chunked_bpe.ChunkedBpe(BYTE).spaced
+    chunks = 0
+    for t in texts(300, mean) + [" ".join(texts(40, k)) for k in range(10)] + ["", "x" * 5000, "word " * 4000, " " * 3000, "é" * 900]:
+        want = tok.encode(t, add_special_tokens=False).ids
+        got, n = by_chunks(c, t)
+        chunks += n
+        assert got.tolist() == want, t
+        assert c.decode(got) == tok.decode(want, skip_special_tokens=False)
+    assert chunks > 320
+
+
+def test_a_join_that_does_not_agree_is_an_error():
+    c = chunked_bpe.ChunkedBpe(WORD)
+    ids, head, tail, head_n, tail_n = c.chunk(b"one two three four five six seven eight nine")
+    wrong = (np.frombuffer(ids, c.kind)[::-1].tobytes(), head, tail, head_n, tail_n)
+    with pytest.raises(ValueError):
+        c.document(iter([wrong, wrong]))
+
+
+def test_encode_decode_rows(spark, monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "CHUNK_BYTES", 16)
+    monkeypatch.setattr(chunked_bpe, "LEAST_BYTES", 8)
+    monkeypatch.setattr(chunked_bpe, "OWNERS", 2)
+    monkeypatch.setattr(chunked_bpe, "BLOCK", 3)
+    passage = "this passage stands in many documents of the table, word for word. "
+    rows = [(k, passage * (k % 4) + f"own words {k} " + passage) for k in range(40)] + [(7, "x"), (7, "x"), (7, None), (None, "a b"), (None, "a b"), (50, ""), (51, "long text é " * 20_000), (52, "ß" * 50_000)]
+    df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, ids int, decoded string").repartition(3)
+    tok = Tokenizer.from_file(WORD)
+    want = []
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), ids, tok.decode(ids, skip_special_tokens=False)))
+    got = sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in chunked_bpe.encode_decode(df, WORD).collect())
+    assert got == sorted(want)
+    assert chunked_bpe.encode_decode(df.limit(0), WORD).count() == 0
+    chunks = chunked_bpe.chunk_rows(df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "bigint")
+    most = chunks.agg(F.max(F.size("ids")).alias("n")).first()["n"]
+    assert most <= 3  # no row, and no salt of a task, owns more than a block
 
 
 def test_other_vocabularies_round_trip(spark):
