@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm import jaccard, langid, linededup, packing, pii
-from reviewlake.llm.common import shared_folder
+from reviewlake.llm.common import BROADCAST_IDS, shared_folder, stored
 from reviewlake.llm.queries import fold
 
 #: Documents whose best language has a smaller share of the softmax are rejected.
@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     groups = jaccard.jaccard_components(docs)
-    gone = jaccard.stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    if gone.count() <= jaccard.BROADCAST_IDS:
+    gone = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
