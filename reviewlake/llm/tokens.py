@@ -32,6 +32,7 @@ UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]")
 #: White space to Python, but not to the vocabulary's own pattern.
 NO_SPACE = "\x1c\x1d\x1e\x1f"
+RUN = re.compile(r"[^\S\x1c-\x1f]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 
 
@@ -144,11 +145,11 @@ class ByteBpe:
         return (self.state.get(word) or self.grow(word))[1]
 
     def long_count(self, word: str) -> int:
-        last, counts, pairs = [""], [0], self.pairs
+        last, counts, pairs, vocab = [""], [0], self.pairs, self.vocab
         for i in range(1, len(word) + 1):
-            for j in range(max(0, i - self.longest.get(word[i - 1], 1)), i):
+            for j in (i - 1 - len(last[-1]), *range(max(0, i - self.longest.get(word[i - 1], 1)), i)):
                 t = word[j:i]
-                if t in self.vocab:
+                if t in vocab:
                     if (ok := pairs.get((last[j], t))) is None:
                         ok = self.fits(last[j], t)
                     if ok:
@@ -190,29 +191,40 @@ class ByteBpe:
     def at_every_prefix(self, text: str) -> list[int]:
         """counts[i] = number of tokens of text[:i], for every i from 0 to len(text).
 
-        A prefix that ends in white space ends with that whole run as one pre-token; one that
-        cuts a contraction ends with two pieces; one that cuts a special token's string has
-        plain text there, which is encoded from the end of the last special token.
+        A prefix that ends in white space ends with that whole run as one pre-token, so the
+        prefix table of the run answers for all of them; one that cuts a contraction ends with
+        two pieces; one that cuts a special token's string has plain text there, which is
+        encoded from the end of the last special token.
         """
-        out, base, run, run_base, segment = [0], 0, "", 0, 0
-        for piece, n in self.pieces(text):
+        out, base, segment = [0], 0, 0
+        run_end = run_base = run_at = 0
+        run_table: list[int] = []
+        pieces = self.pieces(text)
+        stops, at = [], 0  # where strings of special tokens begin
+        for piece, _ in pieces:
+            if piece in self.special:
+                stops.append(at)
+            at += len(piece)
+        stops.append(len(text))
+        for piece, n in pieces:
             if piece in self.special:
-                before = out[segment]
-                start = len(out) - 1
+                before, start = out[segment], len(out) - 1
                 out += [before + len(self.tok.encode(text[segment : start + k], add_special_tokens=False).ids) for k in range(1, len(piece))]
                 base += 1
                 out.append(base)
-                run, segment = "", len(out) - 1
+                segment, stops = len(out) - 1, stops[1:]
                 continue
             table, at = self.table(self.symbols(piece)), 0
             for k, c in enumerate(piece):
                 at += len(c.encode())
                 if c.isspace() and c not in NO_SPACE:
-                    run_base = run_base if run else out[-1]
-                    run += c
-                    out.append(run_base + self.count(self.symbols(run)))
+                    place = len(out) - 1
+                    if place >= run_end:  # a run begins
+                        run = RUN.match(text, place, stops[0])
+                        run_end, run_base, run_at, run_table = run.end(), out[-1], 0, self.table(self.symbols(run[0]))
+                    run_at += len(c.encode())
+                    out.append(run_base + run_table[run_at])
                 else:
-                    run = ""
                     out.append(base + (2 if k == 1 and piece in ("'re", "'ve", "'ll") else table[at]))
             base += n
         return out

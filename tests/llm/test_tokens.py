@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,20 @@ def test_every_prefix_has_its_count(library):
             assert b.truncate(t, budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "a", "é", "1", "\u00a0 ", "-="])
+def test_long_runs_take_linear_time(library, run):
+    b = tokens.ByteBpe(BYTE)
+    t = "word" + run * (100_000 // len(run)) + "end"
+    began = time.perf_counter()
+    n = sum(b.unit_counts(t)[1])
+    fit = b.truncate(t, n // 2)
+    assert time.perf_counter() - began < 20
+    assert n == len(library.encode(t, add_special_tokens=False).ids)
+    assert len(library.encode(t[:fit], add_special_tokens=False).ids) <= n // 2 < len(library.encode(t[: fit + 1], add_special_tokens=False).ids)
+    short = "x" + run * 90 + "<|endoftext|>" + run * 40
+    assert b.at_every_prefix(short) == [len(library.encode(short[:i], add_special_tokens=False).ids) for i in range(len(short) + 1)]
+
+
 def test_counts_do_not_depend_on_memory(library, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_UNITS", 3)
     monkeypatch.setattr(tokens, "MEMO_PREFIXES", 5)
