@@ -6,30 +6,31 @@ over landmark texts turns it into a short vector, and one ridge regression per l
 (one versus rest) scores that.  Texts are scored in batches by two matrix products: presence
 rows by landmark rows, then landmark kernels by class weights.
 
-N-grams are hashed to ``BUCKETS`` places, so a text of any length has a row of fixed size and
-is read whole.
+N-grams are hashed to ``BUCKETS`` places.  Two that meet in one place count as one, which
+costs the kernel little while a row is sparse; so a long text is read in parts of
+``PART_BYTES``, each with a row of its own, and its class scores are the means over its parts.
+Every byte of a text is read.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, text_bytes
+from .common import portions, session, text_bytes
 
 #: Places for hashed n-grams (a power of two), and the lengths that are blended.
-BUCKETS, LENGTHS = 4096, (1, 2, 3)
-#: Labelled rows the classifier is fitted on at most, by smallest hash of the id, and how many of them are landmarks.
+BUCKETS, LENGTHS = 8192, (1, 2, 3)
+#: Bytes of a text that share a row, and rows in one matrix product.
+PART_BYTES, ROWS = 8192, 256
+#: Labelled rows the classifier is fitted on at most, dealt evenly to the labels, and how many of them are landmarks.
 TRAIN_ROWS, LANDMARKS = 2000, 64
 RIDGE = 1e-2
-#: A text with none of these has no language.
-LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -50,12 +51,17 @@ def presence(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
             break
         code = code[:m] * np.uint32(257) + x[k - 1 :] + np.uint32(1)
         if k in LENGTHS:
-            place = ((code * np.uint32(2654435761)) >> np.uint32(20)) & np.uint32(BUCKETS - 1)
+            place = ((code * np.uint32(2654435761)) >> np.uint32(18)) & np.uint32(BUCKETS - 1)
             ok = left[:m] >= k
             flat[row[:m][ok] + place[ok]] = 1.0
     return out
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode categories L*)."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -67,9 +73,26 @@ class Model:
         size = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
         return (rows @ self.landmarks) / size @ self.weights + self.bias
 
+    def text_scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Class scores of whole texts: means over their parts, by the parts' bytes."""
+        size = np.diff(offs)
+        many = np.maximum(-(-size // PART_BYTES), 1)
+        text = np.repeat(np.arange(len(size)), many)
+        no = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        edges = np.append(offs[text] + size[text] * no // many[text], offs[-1])
+        out = np.zeros((len(size), len(self.classes)))
+        for a in range(0, len(text), ROWS):
+            z = min(a + ROWS, len(text))
+            got = self.scores(presence(raw[edges[a] : edges[z]], edges[a : z + 1] - edges[a])).astype(np.float64)
+            np.add.at(out, text[a:z], got * np.diff(edges[a : z + 1])[:, None])
+        return out / np.maximum(size, 1)[:, None]
+
 
 def fit(rows: np.ndarray, labels: list[str]) -> Model:
-    """Nyström features from evenly spread landmarks of every class, then ridge regressions."""
+    """Nyström features from the first rows of every class as landmarks, then ridge regressions.
+
+    Rows come in the order of their ids' hashes, so the first ones are a fair sample.
+    """
     classes = sorted(set(labels))
     y = np.array([classes.index(c) for c in labels])
     share = max(1, LANDMARKS // max(1, len(classes)))
@@ -93,30 +116,42 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled rows, those with the smallest hash of their id.
+    """Fit on at most ``rows`` labelled rows: of every label those with the smallest hash of their id.
 
-    Only the model reaches the driver.  None, if no row has text and label.
+    Labels take turns, so a rare label is not missed while there are fewer labels than rows.
+    Of a long text one part teaches, which the hash picks.  Rows that share id and label teach
+    once.  Only the model and the chosen hashes reach the driver.  None, if no row has text
+    and label.
     """
     session(df)
 
     def run(batches):
         for b in batches:
-            bits = np.packbits(presence(*text_bytes(b.column(1))).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], ["label", "bits"])
-
-    some = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    # The choice needs ids only; texts of the chosen rows are read by a second, filtered scan.
-    chosen = some.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col)).orderBy("h", id_col).limit(rows).collect()
+            raw, offs = text_bytes(b.column(2))
+            h, size = b.column(0).to_numpy(), np.diff(offs)
+            many = np.maximum(-(-size // PART_BYTES), 1)
+            no = h.astype(np.uint64).astype(np.int64) % many
+            bits = []
+            for k in range(b.num_rows):
+                part = raw[offs[k] + size[k] * no[k] // many[k] : offs[k] + size[k] * (no[k] + 1) // many[k]]
+                bits.append(np.packbits(presence(part, np.array([0, len(part)])).astype(bool)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["h", "label", "bits"])
+
+    some = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).filter("label is not null and text is not null and text <> ''")
+    # The choice needs ids and labels only; texts of the chosen rows are read by a second, filtered scan.
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    chosen = some.select("h", "label", turn.alias("turn")).filter(F.col("turn") <= rows).orderBy("turn", "h", "label").limit(rows).select("h", "label").collect()
     if not chosen:
         return None
-    most = chosen[-1]["h"]
-    got = some.filter(F.xxhash64(F.col(id_col)) <= F.lit(most)).select(F.col(label_col), F.col(text_col)).mapInArrow(run, "label string, bits binary")
+    wanted = F.broadcast(df.sparkSession.createDataFrame(sorted(set(map(tuple, chosen))), "h long, label string"))  # at most ``rows``
+    got = some.join(wanted, ["h", "label"], "left_semi").select("h", "label", "text").mapInArrow(run, "h long, label string, bits binary")
+    got = got.groupBy("h", "label").agg(F.min("bits").alias("bits"))
 
     def learn(batches):
         """The bounded sample is fitted in one task, and only the model comes back."""
-        rows = sorted((label, bytes(bits)) for b in batches for label, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        bits = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(bits.astype(np.float32), [c for c, _ in rows]))], pa.binary())], ["model"])
+        rows = sorted(r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+        bits = np.unpackbits(np.frombuffer(b"".join(b for *_, b in rows), np.uint8).reshape(len(rows), -1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(bits.astype(np.float32), [c for c, *_ in rows]))], pa.binary())], ["model"])
 
     return pickle.loads(bytes(got.repartition(1).mapInArrow(learn, "model binary").first()["model"]))
 
@@ -125,26 +160,24 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """id, ``keep`` columns, lang_pred and score (0 to 1) of every whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text when
-    nothing could be learned.  The score is the softmax share of the best class.
+    nothing could be learned.  The score is the softmax share of the best class; of classes
+    that tie the first by name is taken.  Rows that repeat each get a row, an empty table gives
+    an empty one; other columns than those named are not read and may have any names.
     """
     session(df)
     types = dict(df.dtypes)
 
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, whole.num_columns - 1)):
             texts = b.column(b.num_columns - 1)
-            real = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+            real = np.fromiter(map(has_letter, texts.to_pylist()), bool, b.num_rows)
             pred, score = np.full(len(real), "und", object), np.zeros(len(real))
             if model is not None and real.any():
-                raw, offs = text_bytes(texts)
-                for a in range(0, len(real), 250):
-                    z = min(a + 250, len(real))
-                    s = model.scores(presence(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a])).astype(np.float64) * 2
-                    e = np.exp(s - s.max(axis=1, keepdims=True))
-                    best = s.argmax(axis=1)
-                    pred[a:z] = np.array(model.classes, object)[best]
-                    score[a:z] = e[np.arange(z - a), best] / e.sum(axis=1)
-                pred[~real], score[~real] = "und", 0.0
+                s = model.text_scores(*text_bytes(texts)) * 2
+                e = np.exp(s - s.max(axis=1, keepdims=True))
+                best = s.argmax(axis=1)
+                pred[real] = np.array(model.classes, object)[best[real]]
+                score[real] = (e[np.arange(len(best)), best] / e.sum(axis=1))[real]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [id_col, *keep, "lang_pred", "score"])
 
     lead = ", ".join(f"`{c}` {types[c]}" for c in (id_col, *keep))
