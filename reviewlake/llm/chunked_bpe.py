@@ -13,6 +13,7 @@ chunks wherever it stands.  Three steps, each a shuffle of rows of bounded size:
    text, and the window grows by a word on each side until the new ids begin and end exactly
    with those that the chunks themselves had for the outermost words.
 
+Texts and ids are compressed before they travel: both shuffles move about as much as the table.
 Ids are decoded entry by entry where the vocabulary has no decoder, else by the library.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -28,6 +30,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,7 @@ from .common import per_text, portions, session, tasks_for, text_bytes
 from .tokens import ODD, byte_alphabet
 
 #: Mean and least bytes of a chunk (the mean a power of two) and the bytes its cut depends on.
-CHUNK_BYTES, LEAST_BYTES, WINDOW = 512, 64, 16
+CHUNK_BYTES, LEAST_BYTES, WINDOW = 2048, 256, 16
 #: Words at either end of a chunk whose text is kept for joins.
 EDGE = 4
 #: Owners of one chunk in a map task that are dealt by its digest alone, and in each further block.
@@ -53,6 +56,28 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+@functools.cache
+def zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=3, write_checksum=False), zstandard.ZstdDecompressor()
+
+
+def packed(piece: tuple) -> bytes:
+    """An encoded chunk as one compressed value."""
+    ids, *rest = piece
+    parts = [ids or b"", *rest]
+    return zstd()[0].compress(struct.pack("<6i", ids is not None, *map(len, parts)) + b"".join(parts))
+
+
+def unpacked(value: bytes) -> tuple:
+    raw = zstd()[1].decompress(value)
+    known, *sizes = struct.unpack_from("<6i", raw)
+    parts, at = [], 24
+    for n in sizes:
+        parts.append(raw[at : at + n])
+        at += n
+    return (parts[0] if known else None, *parts[1:])
+
+
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Positions after which a chunk ends, from a gear hash of the last ``WINDOW`` bytes.
 
@@ -217,8 +242,9 @@ def chunked(path: str) -> ChunkedBpe:
 def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
     """(digest, salt, chunk, ids, names, places): the chunks of (id, text) rows with their owners.
 
-    An owner is a row's id, the digest of its text and the chunk's place in it; the last two
-    are packed, 16 and 4 bytes each.  Equal chunks of a batch are one row.
+    An owner is a row's id, a hash of its text, which tells rows with the same id apart, and
+    the chunk's place in it; the last two are packed, 8 and 4 bytes each.  Equal chunks of a
+    batch are one row.
     """
 
     def run(batches):
@@ -230,7 +256,7 @@ def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
             found: dict[tuple[bytes, int], tuple[bytes, list, list, list]] = {}
             for d in range(b.num_rows):
                 text = raw[offs[d] : offs[d + 1]].tobytes()
-                name, start = xxhash.xxh3_128_digest(text), 0
+                name, start = xxhash.xxh3_64_digest(text), 0
                 for place, end in enumerate(spaced((at[lo[d] : hi[d]] - offs[d]).tolist(), len(text))):
                     chunk, start = text[start:end], end
                     digest = xxhash.xxh3_128_digest(chunk)
@@ -238,7 +264,7 @@ def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
                     key = (digest, 0 if n <= OWNERS else (task << 32) + 1 + n // BLOCK)
                     row = found.get(key)
                     if row is None:
-                        row = found[key] = (chunk, [], [], [])
+                        row = found[key] = (zstd()[0].compress(chunk), [], [], [])
                     row[1].append(d)
                     row[2].append(name)
                     row[3].append(place)
@@ -262,28 +288,24 @@ def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def encoded_chunks(chunks: DataFrame, kind: str, tokenizer: str) -> DataFrame:
-    """(id, name, place, piece...) for every owner; each chunk is encoded once, equal ones following one another."""
-    names = ["id", "name", "place", "code", "head", "tail", "head_n", "tail_n"]
+    """(id, name, place, piece) for every owner; each chunk is encoded once, equal ones following one another."""
 
     def run(batches):
         bpe, last, piece = chunked(tokenizer), None, None
         for b in (p for whole in batches for p in portions(whole, 2)):
-            pieces, digests = [], b.column(0).to_pylist()
-            for k, digest in enumerate(digests):
+            pieces = []
+            for digest, chunk in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if digest != last:
-                    last, piece = digest, bpe.chunk(b.column(2)[k].as_py())
+                    last, piece = digest, packed(bpe.chunk(zstd()[1].decompress(chunk)))
                 pieces.append(piece)
-            places = [np.frombuffer(x, "<u4") for x in b.column(5).to_pylist()]
-            whose = np.repeat(np.arange(len(pieces)), [len(p) for p in places])
-            ids, owner = b.column(3).flatten(), b"".join(b.column(4).to_pylist())
-            cols = [pa.array(list(c), pa.binary()) for c in zip(*pieces, strict=True)] if pieces else [pa.array([], pa.binary())] * 5
-            place = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
-            for i in range(0, len(whose), 4096):  # many owners of one chunk are many rows
-                j = min(i + 4096, len(whose))
-                some = pa.array(whose[i:j])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([owner[16 * k : 16 * k + 16] for k in range(i, j)], pa.binary()), pa.array(place[i:j]), *[c.take(some) for c in cols]], names)
+            places = np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").astype(np.int32)
+            names = np.frombuffer(b"".join(b.column(4).to_pylist()), "<i8")
+            whose, ids = np.repeat(np.arange(len(pieces)), [len(x) // 4 for x in b.column(5).to_pylist()]), b.column(3).flatten()
+            for i in range(0, len(whose), 1024):  # many owners of one chunk are many rows
+                j = min(i + 1024, len(whose))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(names[i:j]), pa.array(places[i:j]), pa.array([pieces[k] for k in whose[i:j].tolist()], pa.binary())], ["id", "name", "place", "piece"])
 
-    return chunks.mapInArrow(run, f"id {kind}, name binary, place int, code binary, head binary, tail binary, head_n binary, tail_n binary")
+    return chunks.mapInArrow(run, f"id {kind}, name long, place int, piece binary")
 
 
 def whole_texts(pieces: DataFrame, kind: str, tokenizer: str) -> DataFrame:
@@ -322,8 +344,8 @@ def whole_texts(pieces: DataFrame, kind: str, tokenizer: str) -> DataFrame:
                 if row[2] == 0:
                     many += 1
                 if len(held) == row[2]:
-                    held.append(row[3:])
-                    size += len(row[3] or b"")
+                    held.append(unpacked(row[3]))
+                    size += len(row[3])
                 if size > 1 << 20:
                     size = 0
                     yield from flush()
