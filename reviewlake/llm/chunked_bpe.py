@@ -1,20 +1,24 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over bytes cuts every text into chunks, so that a passage yields the same
-chunks wherever it stands.  Three steps, each a shuffle of rows of bounded size:
-
-1. Texts become chunks.  Chunks are dealt by digest; equal ones of a task's batch are one row
-   with a list of owners (document, place), so that a passage travels once a batch.
-2. Each different chunk is encoded once, whichever documents it stands in, and its ids go to
-   all its owners.  Owners of a chunk beyond ``OWNERS`` in one map task form blocks of their
-   own, which are dealt apart: a chunk of a third of all documents is no hot key.
-3. A document's chunks meet in order.  Words at a cut may be halves, so each join is repaired:
-   the last words of the left chunk and the first of the right one are encoded again as one
-   text, and the window grows by a word on each side until the new ids begin and end exactly
-   with those that the chunks themselves had for the outermost words.
-
-Texts and ids are compressed before they travel: both shuffles move about as much as the table.
-Ids are decoded entry by entry where the vocabulary has no decoder, else by the library.
+chunks wherever it stands.  A first pass over chunk hashes finds which occur more than once and
+marks them in a bit map of fixed size.  Texts without a marked chunk share nothing: they are
+encoded where they are read, chunk by chunk.  The others go through two shuffles:
+
+1. Marked chunks are dealt by digest; equal ones of a task's batch are one row with a list of
+   owners (document, place), so that a passage travels once a batch.  Each different chunk is
+   encoded once, whichever documents it stands in, and its ids go to all its owners.  Owners
+   of a chunk beyond ``OWNERS`` in one map task form blocks of their own, which are dealt
+   apart: a chunk of a third of all documents is no hot key.
+2. A document's chunks, shared and own, meet in order.
+
+Words at a cut may be halves, so each join of two chunks is repaired: the last words of the
+left chunk and the first of the right one are encoded again as one text, and the window grows
+by a word on each side until the new ids begin and end exactly with those that the chunks
+themselves had for the outermost words.
+
+The bit map decides only which way a chunk takes: where it is crowded, more texts travel.
+Texts and ids are compressed before they travel.  Ids are decoded entry by entry where the vocabulary has no decoder, else by the library.
 """
 
 from __future__ import annotations
@@ -48,7 +52,9 @@ OWNERS, BLOCK = 32, 1024
 #: Words that a worker remembers and chunks whose owners a task counts: memory bounds; results do not depend on them.
 KEEP_WORDS, KEEP_COUNTS = 200_000, 1_000_000
 #: MB of input text for each task of the two shuffles.
-TASK_MB = 24.0
+TASK_MB = 8.0
+#: 64-bit words of the bit map that marks shared chunks: 8 MB, whatever the input.
+MARKS = 1 << 20
 
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -239,8 +245,49 @@ def chunked(path: str) -> ChunkedBpe:
 # --- Spark stages ------------------------------------------------------------------------
 
 
-def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
-    """(digest, salt, chunk, ids, names, places): the chunks of (id, text) rows with their owners.
+def chunks_of(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, bytes, list[bytes]]]:
+    """(row, text, chunks) of every text of a batch; an empty text is one empty chunk."""
+    at = cuts(raw)
+    lo, hi = np.searchsorted(at, offs[:-1] + WINDOW), np.searchsorted(at, offs[1:])
+    for d in range(len(offs) - 1):
+        text, chunks, start = raw[offs[d] : offs[d + 1]].tobytes(), [], 0
+        for end in spaced((at[lo[d] : hi[d]] - offs[d]).tolist(), len(text)):
+            chunks.append(text[start:end])
+            start = end
+        yield d, text, chunks
+
+
+def chunk_hash(chunk: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(chunk)
+
+
+def shared_marks(docs: DataFrame) -> np.ndarray:
+    """The bit map of all chunks that occur more than once in (text) rows, and of a few others."""
+
+    def run(batches):
+        for b in (p for whole in batches for p in portions(whole, 0)):
+            found = [chunk_hash(c) for _, _, chunks in chunks_of(*text_bytes(b.column(0))) for c in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).astype(np.int64))], ["h"])
+
+    many = docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    words = many.select(F.expr(f"shiftrightunsigned(h, 6) % {MARKS}").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MARKS rows
+    out = np.zeros(MARKS, np.uint64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint64)
+    return out
+
+
+def marked(marks: np.ndarray, chunk: bytes) -> bool:
+    h = chunk_hash(chunk)
+    return bool(int(marks[(h >> 6) % len(marks)]) >> (h & 63) & 1)
+
+
+def text_name(text: bytes) -> bytes:
+    return xxhash.xxh3_64_digest(text)
+
+
+def chunk_rows(docs: DataFrame, kind: str, marks) -> DataFrame:
+    """(digest, salt, chunk, ids, names, places): the marked chunks of (id, text) rows with their owners.
 
     An owner is a row's id, a hash of its text, which tells rows with the same id apart, and
     the chunk's place in it; the last two are packed, 8 and 4 bytes each.  Equal chunks of a
@@ -250,15 +297,12 @@ def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         task, sent = TaskContext.get().partitionId(), {}
         for b in (p for whole in batches for p in portions(whole, 1)):
-            raw, offs = text_bytes(b.column(1))
-            at = cuts(raw)
-            lo, hi = np.searchsorted(at, offs[:-1] + WINDOW), np.searchsorted(at, offs[1:])
             found: dict[tuple[bytes, int], tuple[bytes, list, list, list]] = {}
-            for d in range(b.num_rows):
-                text = raw[offs[d] : offs[d + 1]].tobytes()
-                name, start = xxhash.xxh3_64_digest(text), 0
-                for place, end in enumerate(spaced((at[lo[d] : hi[d]] - offs[d]).tolist(), len(text))):
-                    chunk, start = text[start:end], end
+            for d, text, chunks in chunks_of(*text_bytes(b.column(1))):
+                name = text_name(text)
+                for place, chunk in enumerate(chunks):
+                    if not marked(marks.value, chunk):
+                        continue
                     digest = xxhash.xxh3_128_digest(chunk)
                     n = sent[digest] = sent.get(digest, 0) + 1
                     key = (digest, 0 if n <= OWNERS else (task << 32) + 1 + n // BLOCK)
@@ -287,6 +331,47 @@ def chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"digest binary, salt long, chunk binary, ids array<{kind}>, names binary, places binary")
 
 
+def own_pieces(docs: DataFrame, kind: str, marks, tokenizer: str) -> DataFrame:
+    """(id, name, place, piece) of the other chunks of texts that have a marked one."""
+
+    def run(batches):
+        bpe = chunked(tokenizer)
+        for b in (p for whole in batches for p in portions(whole, 1)):
+            rows: list[tuple] = []
+            for d, text, chunks in chunks_of(*text_bytes(b.column(1))):
+                shared = [marked(marks.value, c) for c in chunks]
+                if any(shared):
+                    name = int.from_bytes(text_name(text), "little", signed=True)
+                    rows += [(d, name, place, packed(bpe.chunk(c))) for place, (c, s) in enumerate(zip(chunks, shared, strict=True)) if not s]
+            cols = [b.column(0).take(pa.array([r[0] for r in rows], pa.int32()))]
+            cols += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "name", "place", "piece"])
+
+    return docs.mapInArrow(run, f"id {kind}, name long, place int, piece binary")
+
+
+def coded(ids: pa.Array, codes: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
+    """(id, ids, decoded) rows."""
+    flat = np.concatenate(codes).astype(np.int32) if codes else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)]), pa.int32()), pa.array(flat)), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+
+
+def own_texts(docs: DataFrame, kind: str, marks, tokenizer: str) -> DataFrame:
+    """(id, ids, decoded) of texts that share no chunk."""
+
+    def run(batches):
+        bpe = chunked(tokenizer)
+        for b in (p for whole in batches for p in portions(whole, 1)):
+            at, codes = [], []
+            for d, _, chunks in chunks_of(*text_bytes(b.column(1))):
+                if not any(marked(marks.value, c) for c in chunks):
+                    at.append(d)
+                    codes.append(np.frombuffer(bpe.document(map(bpe.chunk, chunks)), bpe.kind))
+            yield coded(b.column(0).take(pa.array(at, pa.int32())), codes, [bpe.decode(c) for c in codes])
+
+    return docs.mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+
+
 def encoded_chunks(chunks: DataFrame, kind: str, tokenizer: str) -> DataFrame:
     """(id, name, place, piece) for every owner; each chunk is encoded once, equal ones following one another."""
 
@@ -324,14 +409,13 @@ def whole_texts(pieces: DataFrame, kind: str, tokenizer: str) -> DataFrame:
             nonlocal many, held
             if many:
                 ids = np.frombuffer(bpe.document(iter(held)), bpe.kind)
-                done.append((now[0], ids.astype(np.int32), bpe.decode(ids), many))
+                done.append((now[0], ids, bpe.decode(ids), many))
             held, many = [], 0
 
         def flush():
             rows = (r for r in done for _ in range(r[3]))
             for part in iter(lambda: list(islice(rows, 1000)), []):
-                codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r[1]) for r in part]), pa.int32()), pa.array(np.concatenate([r[1] for r in part])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], own), codes, pa.array([r[2] for r in part], pa.string())], ["id", "ids", "decoded"])
+                yield coded(pa.array([r[0] for r in part], own), [r[1] for r in part], [r[2] for r in part])
             done.clear()
 
         own, size = pa.int64(), 0
@@ -368,10 +452,11 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     if chunked(tokenizer).spaced:
         kind = dict(df.dtypes)[id_col]
         docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        parts = tasks_for(docs, TASK_MB)
-        chunks = chunk_rows(docs, kind).repartition(parts, "digest", "salt").sortWithinPartitions("digest")
-        pieces = encoded_chunks(chunks, kind, tokenizer).repartition(parts, "id", "name").sortWithinPartitions("id", "name", "place")
-        return whole_texts(pieces, kind, tokenizer).withColumnRenamed("id", id_col)
+        parts, marks = tasks_for(docs, TASK_MB), df.sparkSession.sparkContext.broadcast(shared_marks(docs))
+        chunks = chunk_rows(docs, kind, marks).repartition(parts, "digest", "salt").sortWithinPartitions("digest")
+        pieces = encoded_chunks(chunks, kind, tokenizer).union(own_pieces(docs, kind, marks, tokenizer))
+        pieces = pieces.repartition(parts, "id", "name").sortWithinPartitions("id", "name", "place")
+        return own_texts(docs, kind, marks, tokenizer).union(whole_texts(pieces, kind, tokenizer)).withColumnRenamed("id", id_col)
 
     def run(texts: list) -> list[pa.Array]:
         bpe = chunked(tokenizer)

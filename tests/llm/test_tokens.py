@@ -2,6 +2,7 @@ import itertools
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -103,25 +104,33 @@ def test_a_join_that_does_not_agree_is_an_error():
         c.document(iter([wrong, wrong]))
 
 
-def test_encode_decode_rows(spark, monkeypatch):
-    monkeypatch.setattr(chunked_bpe, "CHUNK_BYTES", 16)
-    monkeypatch.setattr(chunked_bpe, "LEAST_BYTES", 8)
-    monkeypatch.setattr(chunked_bpe, "OWNERS", 2)
-    monkeypatch.setattr(chunked_bpe, "BLOCK", 3)
-    passage = "this passage stands in many documents of the table, word for word. "
-    rows = [(k, passage * (k % 4) + f"own words {k} " + passage) for k in range(40)] + [(7, "x"), (7, "x"), (7, None), (None, "a b"), (None, "a b"), (50, ""), (51, "long text é " * 20_000), (52, "ß" * 50_000)]
+def test_encode_decode_rows(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgé,'1") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    passage = prose(2500)
+    rows = [(k, prose(rng.randrange(200)) + " " + passage * (k % 3) + prose(9)) for k in range(90)] + [(7, "x"), (7, "x"), (7, None), (None, "a b"), (None, "a b"), (95, ""), (96, "long text é " * 20_000), (97, "ß" * 50_000)]
     df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, ids int, decoded string").repartition(3)
     tok = Tokenizer.from_file(WORD)
     want = []
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.append((str(i), ids, tok.decode(ids, skip_special_tokens=False)))
-    got = sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in chunked_bpe.encode_decode(df, WORD).collect())
-    assert got == sorted(want)
+    rows_of = lambda got: sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in got.collect())
+    assert rows_of(chunked_bpe.encode_decode(df, WORD)) == sorted(want)
     assert chunked_bpe.encode_decode(df.limit(0), WORD).count() == 0
-    chunks = chunked_bpe.chunk_rows(df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "bigint")
-    most = chunks.agg(F.max(F.size("ids")).alias("n")).first()["n"]
-    assert most <= 3  # no row, and no salt of a task, owns more than a block
+    docs = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    marks = chunked_bpe.shared_marks(docs)
+    raws = [(t or "").encode() for _, t in rows]
+    chunks = Counter(c for raw in raws for *_, own in chunked_bpe.chunks_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) for c in own)
+    shared = {c for c, n in chunks.items() if n > 1}
+    assert len(shared) > 3 and all(chunked_bpe.marked(marks, c) for c in shared) and sum(chunked_bpe.marked(marks, c) for c in chunks) <= len(shared) + 2
+    moved = chunked_bpe.chunk_rows(docs, "bigint", spark.sparkContext.broadcast(marks)).groupBy("digest", "salt").agg(F.sum(F.size("ids")).alias("n"))
+    assert moved.agg(F.sum("n").alias("n")).first()["n"] == sum(chunks[c] for c in shared)
+    crowded = spark.sparkContext.broadcast(np.full(1, -1, np.int64).view(np.uint64))
+    every = chunked_bpe.chunk_rows(docs, "bigint", crowded)  # a crowded map changes nothing but the way
+    assert every.agg(F.sum(F.size("ids")).alias("n")).first()["n"] == sum(chunks.values())
+    pieces = chunked_bpe.encoded_chunks(every.sortWithinPartitions("digest"), "bigint", WORD).repartition(2, "id", "name").sortWithinPartitions("id", "name", "place")
+    assert rows_of(chunked_bpe.whole_texts(pieces, "bigint", WORD).withColumnRenamed("id", "doc_id")) == sorted(want)
 
 
 def test_other_vocabularies_round_trip(spark):
