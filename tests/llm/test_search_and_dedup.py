@@ -55,9 +55,21 @@ def test_topk_equals_brute_force(spark, monkeypatch):
         want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(best)}
     assert got == want
     assert topk.topk(df.limit(0), df, 5, 8).count() == 0
+    assert topk.topk(df, df.limit(0), 5, 8).count() == 0
     assert topk.topk(df.filter("vec_id < 3"), df.filter("vec_id = 0"), 5, 8).count() == 2
 
 
+def test_topk_with_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [4.0, 0.0]), (2, [3.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (3, [9.0, 9.0]), (None, [7.0, 7.0]), (4, [1e15, 1.0])]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<double>, rank int")
+    got = lambda q, k: [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.topk(df.filter("vec_id <> 4 or vec_id is null"), df.filter(q), k, 1).orderBy("query_id", "rank").collect()]
+    assert got("vec_id = 0", 3) == [(0, 1, 3, 9), (0, 2, 1, 4), (0, 3, 2, 3)]  # a query that stands twice asks once
+    assert got("vec_id = 0 or vec_id is null", 9) == [(0, 1, 3, 9), (0, 2, 1, 4), (0, 3, 2, 3), (0, 4, 3, 2), (0, 5, 3, 2)]  # a candidate that stands twice counts twice
+    assert [r[2:] for r in got("vec_id = 3", 2)] == [(1, 36), (2, 27)]  # of a query's two vectors the better score counts
+    wide = topk.topk(df, df.filter("vec_id = 4"), 1, 1).first()
+    assert (wide["vec_id"], wide["score"]) == (3, 9 * 10**15 + 9)  # beyond 32 bits
+
+
 # --- exact dedup ----------------------------------------------------------------------------
 
 
