@@ -1,17 +1,20 @@
 """Document quality by a regularised quadratic discriminant.
 
 Each class of labelled documents has a mean and a covariance of transformed document
-statistics; covariances shrink towards their pooled form and towards a diagonal.  A score is
-the logistic of the difference of the two Gaussian log densities (Mahalanobis distances by
-Cholesky factors, taken once) and the log prior odds.
-
-The model is made of sums over all labelled rows (counts, means, cross products), which
-partitions add up; texts are read once, for their statistics.
+statistics; covariances shrink towards their pooled form and towards a diagonal.  The log
+ratio is the difference of the two Gaussian log densities (Mahalanobis distances by Cholesky
+factors, taken once) and the log prior odds.  A score is the logistic of the log ratio divided
+by the square root of the number of statistics: they depend on one another, so that untempered
+ratios are too sure; the order of documents and the side of 0.5 stay.
+
+The model is made of sums over all labelled rows (counts, sums, cross products), which
+partitions add up.  For these sums statistics are rounded to ``UNIT`` and added as integers,
+so that the model is the same in whatever order rows come, and nothing cancels out.  Texts are
+read once, for their statistics.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -25,6 +28,8 @@ from .common import checkpoint, session
 #: Shares of the pooled covariance and of its diagonal in a class covariance.
 POOLED, DIAGONAL = 0.2, 0.05
 STATS = 18
+#: Steps of a statistic in the sums of moments: a power of two.
+UNIT = 1024
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 letter, 2 capital, 3 digit, 4 space, 5 line end, 6 stop or comma, 7 symbol, 8 quote or dash
 _CLASS[97:123] = 1
@@ -39,7 +44,6 @@ for _c in b"#$%&*+/<=>@\\^_`{|}~":
     _CLASS[_c] = 7
 for _c in b"'\"()-[]":
     _CLASS[_c] = 8
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def statistics(text: str | None) -> list[float]:
@@ -104,20 +108,24 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.log_ratio(x) / np.sqrt(x.shape[1]), -30, 30)))
 
 
-def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Model | None:
-    """From each class's (rows, sum, sum of outer products); None without both classes."""
+def fit(moments: dict[int, tuple[int, list[int], list[int]]]) -> Model | None:
+    """From each class's rows, sums and sums of products, integers in UNITs; None without both classes."""
     if not all(c in moments and moments[c][0] > 1 for c in (0, 1)):
         return None
     n = [moments[c][0] for c in (0, 1)]
-    total, outer = moments[0][1] + moments[1][1], moments[0][2] + moments[1][2]
-    centre = total / sum(n)
-    scale = np.sqrt(np.maximum(np.diag(outer) / sum(n) - centre**2, 1e-8))
+    sums = [np.array(moments[c][1], object) for c in (0, 1)]
+    outer = [np.array(moments[c][2], object).reshape(STATS, STATS) for c in (0, 1)]
+
+    def spread(rows: int, total: np.ndarray, products: np.ndarray) -> np.ndarray:
+        """The covariance; the difference is taken in whole numbers."""
+        return ((rows * products - np.outer(total, total)) / (rows * rows)).astype(np.float64) / UNIT**2
+
+    centre = ((sums[0] + sums[1]) / sum(n)).astype(np.float64) / UNIT
+    scale = np.sqrt(np.maximum(np.diag(spread(sum(n), sums[0] + sums[1], outer[0] + outer[1])), 1e-8))
     means, covs = [], []
     for c in (0, 1):
-        mean = moments[c][1] / n[c]
-        cov = moments[c][2] / n[c] - np.outer(mean, mean)
-        means.append((mean - centre) / scale)
-        covs.append(cov / np.outer(scale, scale))
+        means.append(((sums[c] / n[c]).astype(np.float64) / UNIT - centre) / scale)
+        covs.append(spread(n[c], sums[c], outer[c]) / np.outer(scale, scale))
     pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
     factors, dets = [], []
     for cov in covs:
@@ -134,32 +142,32 @@ def train(labelled: DataFrame) -> Model | None:
     session(labelled)
 
     def run(batches):
-        sums: dict[int, list] = {}
+        sums = {c: np.zeros(1 + STATS + STATS * STATS, np.int64) for c in (0, 1)}
         for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(-1, STATS)
+            x = np.rint(np.asarray(b.column(1).flatten()).reshape(-1, STATS) * UNIT)
             y = np.asarray(b.column(0))
             for c in (0, 1):
-                z = x[y == c]
-                old = sums.get(c, [0.0, np.zeros(STATS), np.zeros((STATS, STATS))])
-                sums[c] = [old[0] + len(z), old[1] + z.sum(axis=0), old[2] + z.T @ z]
-        for c, (n, s, o) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.concatenate([[n], s, o.ravel()])], pa.list_(pa.float64()))], ["label", "m"])
-
-    rows = labelled.select(F.col("label").cast("int"), "stats").mapInArrow(run, "label int, m array<double>")
-    size = 1 + STATS + STATS * STATS
-    added = rows.select("label", F.posexplode("m")).groupBy("label", "pos").agg(F.sum("col").alias("total"))
-    moments: dict[int, np.ndarray] = {}
+                z = x[y == c]  # whole numbers below 2^53 in every product sum of a batch
+                sums[c] += np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()]).astype(np.int64)
+        for c, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([m], pa.list_(pa.int64()))], ["label", "m"])
+
+    rows = labelled.select(F.col("label").cast("int"), "stats").mapInArrow(run, "label int, m array<long>")
+    added = rows.select("label", F.posexplode("m")).groupBy("label", "pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("total"))
+    moments: dict[int, list[int]] = {}
     for r in added.collect():  # a number for each class and moment, however many partitions there are
-        moments.setdefault(r["label"], np.zeros(size))[r["pos"]] = r["total"]
-    return fit({c: (m[0], m[1 : 1 + STATS], m[1 + STATS :].reshape(STATS, STATS)) for c, m in moments.items()})
+        moments.setdefault(r["label"], [0] * (1 + STATS + STATS * STATS))[r["pos"]] = int(r["total"])
+    return fit({c: (m[0], m[1 : 1 + STATS], m[1 + STATS :]) for c, m in moments.items()})
 
 
 def quality(df: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """id, held_out, score and predicted of every whole text.
 
     ``held_out(id column)`` marks the rows that nothing is learned from.  Labels other than 0
-    and 1 teach nothing; a label row that repeats counts each time.  Null texts count as
-    empty and get a score too.  If one class has no labelled row, every score is 0.5.
+    and 1 teach nothing; a label row that repeats counts each time, and so does a document row,
+    each with its own text.  Null texts count as empty and get a score too; rows with a null id
+    teach nothing.  If one class has fewer than two labelled rows, every score is 0.5.  Other
+    columns are not read; an empty table gives an empty one.
     """
     stats = checkpoint(document_statistics(df, id_col, text_col))
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")

@@ -65,6 +65,68 @@ def test_quality(spark):
     assert quality.quality(d.limit(0), lab, held).count() == 0
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    """Class covariances, shrinkage and densities written out on the dense table."""
+    rng = random.Random(4)
+    docs = [(k, speech(rng, TONGUES["xx" if k % 3 else "zz"], rng.randrange(5, 90)) + "$#" * rng.randrange(9) * (k % 3 == 0)) for k in range(260)] + [(3, "again"), (3, "again"), (None, "x")]
+    labels = [(k, int(k % 3 > 0)) for k in range(0, 260, 2)] + [(4, 0), (None, 1)]
+    held = lambda key: fold(key, 3, 1)
+    d = spark.createDataFrame([(*r, 2) for r in docs], "doc_id long, text string, label int")
+    lab = spark.createDataFrame([(*r, 3) for r in labels], "doc_id long, quality int, stats int")
+    got = {(r["doc_id"], r["score"]) for r in quality.quality(d, lab, held).collect()}
+    x = np.array([quality.statistics(t) for _, t in docs])
+    out = {r["doc_id"] for r in d.filter(held(F.col("doc_id"))).collect()}
+    rows = [(y, x[n]) for i, y in labels for n, (j, _) in enumerate(docs) if i == j and i is not None and i not in out]
+    cls = [np.array([np.rint(v * quality.UNIT) / quality.UNIT for y, v in rows if y == c]) for c in (0, 1)]
+    both = np.concatenate(cls)
+    centre, scale = both.mean(axis=0), np.sqrt(np.maximum(both.var(axis=0), 1e-8))
+    cov = [np.cov(((c - centre) / scale).T, bias=True) for c in cls]
+    pooled = sum(len(c) * m for c, m in zip(cls, cov, strict=True)) / len(both)
+    z, dens = (x - centre) / scale, []
+    for c, m in zip(cls, cov, strict=True):
+        s = 0.95 * (0.8 * m + 0.2 * pooled) + 0.05 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(len(m))
+        off = z - ((c - centre) / scale).mean(axis=0)
+        dens.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off) - 0.5 * np.linalg.slogdet(s)[1])
+    want = 1 / (1 + np.exp(-(dens[1] - dens[0] + np.log(len(cls[1]) / len(cls[0]))) / np.sqrt(quality.STATS)))
+    assert len(out) > 50 and len(got) == len({(i, t) for i, t in docs})
+    for (i, _), w in zip(docs, want, strict=True):
+        assert min(abs(s - w) for j, s in got if j == i) < 1e-6
+
+
+def test_language_equals_a_dense_ridge(spark):
+    """Kernel, Nyström map and ridge regression written out on dense rows."""
+    rng = np.random.default_rng(6)
+    rows = (rng.random((90, langid.BUCKETS)) < np.where(np.arange(90) % 3 == 0, 0.02, 0.03)[:, None]).astype(np.float32)
+    rows[np.arange(90) % 3 == 1, :200] = 1
+    labels = [("b", "c", "a")[k % 3] for k in range(90)]
+    m = langid.fit(rows, labels)
+    pick = np.concatenate([[k for k in range(90) if labels[k] == c][: langid.LANDMARKS // 3] for c in "abc"])
+    x = rows.astype(np.float64)
+    kernel = lambda p, q: p @ q.T / np.sqrt(np.outer(p.sum(axis=1), q.sum(axis=1)))
+    w, v = np.linalg.eigh(kernel(x[pick], x[pick]))
+    keep = w > 1e-6 * w.max()
+    z = kernel(x, x[pick]) @ v[:, keep] / np.sqrt(w[keep])
+    y = np.where(np.array(labels)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    zc = z - z.mean(axis=0)
+    beta = np.linalg.inv(zc.T @ zc + langid.RIDGE * 90 / 100 * np.eye(zc.shape[1])) @ zc.T @ (y - y.mean(axis=0))
+    assert np.abs(m.scores(rows) - (zc @ beta + y.mean(axis=0))).max() < 1e-3
+
+
+def test_language_of_odd_rows(spark):
+    rng = random.Random(8)
+    rows = [(k, speech(rng, TONGUES[t]), t) for k, t in enumerate(["xx", "yy"] * 40)] + [(500, speech(rng, TONGUES["zz"]), "zz"), (7, "la re", "xx"), (7, "la re", "xx"), (None, "sch ung", "yy"), (8, "²½³ 12", "xx"), (9, "ª", None)]
+    df = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string")
+    model = langid.train(df, rows=6)
+    assert model.classes == ["xx", "yy", "zz"]  # a rare label is not missed
+    got = langid.identify(df, langid.train(df)).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 7 for r in got) == 3
+    assert {r["doc_id"]: r["lang_pred"] for r in got}[8] == "und" and {r["doc_id"]: r["lang_pred"] for r in got}[9] != "und"  # the second is a letter, category Lo
+    twins = langid.fit(np.ones((4, langid.BUCKETS), np.float32), ["b", "a", "a", "b"])
+    assert twins.classes[int(twins.scores(np.ones((1, langid.BUCKETS), np.float32)).argmax())] == "a"  # classes that tie: the first by name
+    million = "".join(speech(rng, TONGUES["yy"], 4000) for _ in range(60))
+    assert langid.identify(spark.createDataFrame([(1, million)], "doc_id long, text string"), langid.train(df)).first()["lang_pred"] == "yy"
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -107,3 +169,21 @@ def test_added_kinds_and_masks(spark):
     rows = {r["spans"]: r["text"] for r in pii.mask_pii(df).collect()}
     assert "me@b.org" not in rows["x"] and rows["y"] is None
     assert pii.find_pii(df).count() == 4 and pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_account_boundaries():
+    text = lambda t: [t[a:b] for a, b in pii.spans(t)["account"]]
+    good = "DE89 3704 0044 0532 0130 00"
+    assert text(f"iBaN {good} 17 items") == [good]  # what follows is no part of a number whose check digits are right
+    assert text("IBAN: GB82WEST12345698765432.") == ["GB82WEST12345698765432"]
+    assert text("Account No. 00123456 is closed") == ["00123456"] and text("account manager") == []
+    assert text("IBAN DE88 3704 0044 0532 0130 00") == ["DE88 3704 0044 0532 0130 00"]  # wrong, yet personal
+    assert pii.lowered("İ KONTO") == "İ konto" and text("İ KoNtO 123456") == ["123456"]
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = "x" * 300_000 + " a@b.co " + "1" * 200_000 + " +1 555 123-4567 " + "@" * 100_000
+    df = spark.createDataFrame([(1, long, "q", 1), (1, "a@b.co", "q", 2), (None, None, "q", 3)], "doc_id long, text string, base string, n_email int")
+    got = pii.find_pii(df).orderBy(F.length("base")).collect()
+    assert [(r["doc_id"], r["n_email"], r["n_phone"], r["base"]) for r in got] == [(None, 0, 0, ""), (1, 1, 0, "email:0:6"), (1, 1, 1, "email:300001:300007,phone:500009:500024")]
+    assert [len(r["text"] or "") for r in pii.mask_pii(df).orderBy("n_email").collect()] == [len(pii.mask(long)), 7, 0]
