@@ -83,7 +83,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristics.matches(doc_lines(spark, sf_dir), heuristics.rule_table(spark, DOC_RULES))
+    return heuristics.matches(doc_lines(spark, sf_dir), DOC_RULES)
 
 
 def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -700,9 +700,8 @@ def learning_upsert(spark, sf_dir):
 """)
 def memory_near_dup(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    first = d.groupBy(F.col("lang").alias("kind"), F.sha2("text", 256).alias("h")).agg(F.min("doc_id").cast("long").alias("id")).select("id", "kind").localCheckpoint()
-    vecs = text.count_vectors(d.select(F.col("doc_id").alias("id"), "text").join(first.select("id"), "id", "left_semi"))
-    return first.join(memory.later_copies(vecs.join(first, "id")), "id", "left_anti").select("id")
+    new = d.select(F.col("lang").alias("kind"), "text", F.lit(None).cast("string").alias("scope"), F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("seq"))
+    return memory.remember(spark.createDataFrame([], memory.MEMORY_DDL), new, NOW).select(F.col("file").cast("long").alias("id"))
 
 
 # --- audit: a customer is a repository, an order a floor finding ---------------------------------------

@@ -18,8 +18,8 @@ def bound(x: Column, f) -> Column:
 
 def utf8_bytes(s: Column) -> Column:
     """array<bigint> of a string's bytes."""
-    digits = F.hex(F.encode(s, "UTF-8"))
-    return bound(digits, lambda d: F.transform(F.sequence(F.lit(1), F.length(d), F.lit(2)), lambda i: F.conv(F.substring(d, i, F.lit(2)), 16, 10).cast("bigint")))
+    one_each = F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    return F.transform(F.split(one_each, ""), lambda c: F.ascii(c).cast("bigint"))
 
 
 def _bytes_or_none(s: Column) -> Column:

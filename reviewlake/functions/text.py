@@ -6,8 +6,10 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -24,14 +26,18 @@ def normalize_snippet(s: Column) -> Column:
 
 
 def shannon_entropy(s: Column) -> Column:
-    """Bits per byte over the byte histogram; 0 for the empty string."""
+    """Bits per byte over the byte histogram; 0 for the empty string.
 
-    def bits(octets: Column) -> Column:
-        def share(b: Column) -> Column:
-            p = F.size(F.filter(octets, lambda x: x == b)) / F.size(octets).cast("double")
-            return -p * F.log2(p)
+    Bytes are sorted and their runs counted in one pass: n log n, whatever the alphabet.
+    """
 
-        return F.aggregate(F.array_distinct(octets), F.lit(0.0), lambda a, b: a + share(b))
+    def bits(octets: Column) -> Column:
+        n = F.size(octets).cast("double")
+        part = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(F.lit(0.0))
+        start = F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+        step = lambda a, b: F.when(a["b"] == b, F.struct(a["b"].alias("b"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(b.alias("b"), F.lit(1.0).alias("run"), (a["sum"] + part(a["run"])).alias("sum")))
+        total = F.aggregate(F.array_sort(octets), start, step, lambda a: a["sum"] + part(a["run"]))
+        return F.log2(n) - total / n
 
     return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(bound(utf8_bytes(s), bits))
 
@@ -81,6 +87,11 @@ def _word_cells(word: str, dim: int) -> list[tuple[int, int]]:
     return list(sums.items())
 
 
+@lru_cache(1 << 16)
+def _known_cells(word: str, dim: int) -> list[tuple[int, int]]:
+    return _word_cells(word, dim)
+
+
 def _summed(docs: DataFrame, dim: int, emit, ddl: str) -> DataFrame:
     """Rows that ``emit`` makes of ids and their cells' sums; each different word is hashed once a task."""
     ship(docs.sparkSession)
@@ -133,15 +144,24 @@ def count_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
 
 
 def feature_hash(s: Column, dim: int = DIM) -> Column:
-    """L2-normalised array<double> of signed token counts; all zero without tokens."""
-    def dense(cells: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(c["idx"] == i, c["sign"].cast("double")).otherwise(F.lit(0.0))))
-
-    def unit(raw: Column) -> Column:
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return bound(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(raw, lambda x: x / n))
+    """L2-normalised array<double> of signed token counts; all zero without tokens or text.
 
-    return bound(bound(hashed_cells(s, dim), dense), unit)
+    Computed in Arrow batches: a text costs its words, not its words times ``dim``.
+    """
+    ship(SparkSession.active())
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        words, out = re.compile(TOKEN), []
+        for t in texts:
+            v = np.zeros(dim)
+            for w, n in Counter(words.findall((t or "").lower())).items():
+                for c, sign in _known_cells(w, dim) if len(w) <= 64 else _word_cells(w, dim):
+                    v[c] += sign * n
+            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
+        return pd.Series(out)
+
+    return run(s)
 
 
 def dot(a: Column, b: Column) -> Column:

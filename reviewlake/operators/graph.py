@@ -16,30 +16,43 @@ IMPACTFUL = ("function", "class", "const", "enum")
 
 
 def normalized_target(source: F.Column, from_file: F.Column) -> F.Column:
-    """A relative specifier as a path from the root; null if it climbs above it."""
+    """A relative specifier as a path from the root; steps above it stay at it."""
     folder = F.slice(F.split(from_file, "/"), F.lit(1), F.size(F.split(from_file, "/")) - 1)
     parts = F.filter(F.concat(folder, F.split(source, "/")), lambda s: (s != "") & (s != "."))
 
     def step(acc: F.Column, s: F.Column) -> F.Column:
-        up = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))
+        up = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
         return F.when(s == "..", up).otherwise(F.concat(acc, F.array(s)))
 
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def candidates(target: F.Column) -> F.Column:
-    """Paths that a target may mean, in order of preference."""
-    stem = F.regexp_replace(target, r"\.(js|jsx|mjs|cjs)$", "")
-    one = lambda t: F.array(t, *[F.concat(t, F.lit(e)) for e in EXTENSIONS], *[F.concat(t, F.lit("/index" + e)) for e in EXTENSIONS])
-    return F.array_distinct(F.concat(one(target), one(stem)))
+def spellings(target: F.Column) -> F.Column:
+    """What a target may be spelt as, in order of preference: a source before what it compiles to."""
+    return F.array_distinct(F.array(F.regexp_replace(target, r"\.(js|jsx|mjs|cjs)$", ""), target))
+
+
+def names_of(path: F.Column) -> F.Column:
+    """array<struct<key, place>>: the spellings by which a file is found, and their rank.
+
+    A path itself, then without its extension, then the folder of an index file.
+    """
+    known = F.element_at(F.create_map(*[F.lit(x) for k, e in enumerate(EXTENSIONS) for x in (e, k)]), F.regexp_extract(path, r"(\.[a-z]+)$", 1))
+    bare = F.regexp_replace(path, r"\.[a-z]+$", "")
+    folder = F.when(F.endswith(bare, F.lit("/index")), F.regexp_replace(bare, "/index$", ""))
+    rank = lambda key, place: F.struct(key.alias("key"), place.cast("int").alias("place"))
+    return F.filter(F.array(rank(path, F.lit(0)), rank(F.when(known.isNotNull(), bare), known + 1), rank(F.when(known.isNotNull(), folder), known + 1 + len(EXTENSIONS))), lambda x: x["key"].isNotNull())
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, name, dst) of (file, names, source) imports that resolve to a file (path)."""
-    local = imports.filter(F.startswith("source", F.lit(".")))
-    tried = local.withColumn("target", normalized_target(F.col("source"), F.col("file"))).filter("target is not null")
-    tried = tried.select("file", "names", "source", F.posexplode(candidates(F.col("target"))).alias("place", "path"))
-    found = tried.join(files.select("path").distinct(), "path").groupBy("file", "source", "names").agg(F.min_by("path", "place").alias("dst"))
+    """(src, name, dst) of (file, names, source) imports that resolve to a file (path).
+
+    An import goes out twice at most, a file three times: each side knows its own spellings.
+    """
+    local = imports.filter(F.startswith("source", F.lit("."))).withColumn("target", normalized_target(F.col("source"), F.col("file")))
+    tried = local.select("file", "names", "source", F.posexplode(spellings(F.col("target"))).alias("turn", "key"))
+    known = files.select("path").distinct().select("path", F.explode(names_of(F.col("path"))).alias("n")).select("path", "n.*")
+    found = tried.join(known, "key").groupBy("file", "source", "names").agg(F.min_by("path", F.struct("turn", "place")).alias("dst"))
     return found.select(F.col("file").alias("src"), F.explode_outer("names").alias("name"), "dst").distinct()
 
 
@@ -58,10 +71,13 @@ def transitive_callers(direct: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def heuristic_reach(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file, name, callers, direct, transitive, crosses) by the import graph."""
+    """(file, name, callers, direct, transitive, crosses) by the import graph.
+
+    A symbol crosses a boundary if its own file or a caller lies in an API folder.
+    """
     direct = direct_callers(symbols, edges)
     far = transitive_callers(direct, edges)
-    near = direct.groupBy("file", "name").agg(F.array_sort(F.collect_set("caller")).alias("callers"), F.count("*").alias("direct"), F.max(paths.is_api_path(F.col("caller"))).alias("crosses"))
+    near = direct.groupBy("file", "name").agg(F.array_sort(F.collect_set("caller")).alias("callers"), F.count("*").alias("direct"), (paths.is_api_path(F.col("file")) | F.max(paths.is_api_path(F.col("caller")))).alias("crosses"))
     return near.join(far, ["file", "name"], "left").withColumn("transitive", F.coalesce("transitive", F.lit(0).cast("long")))
 
 
@@ -90,7 +106,7 @@ def precise_reach(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     return rows.groupBy("file", "name").agg(
         F.array_sort(F.collect_set(other)).alias("callers"),
         F.count_distinct(other).alias("direct"),
-        F.coalesce(F.max(paths.is_api_path(other)), F.lit(False)).alias("crosses"),
+        (paths.is_api_path(F.col("file")) | F.coalesce(F.max(paths.is_api_path(other)), F.lit(False))).alias("crosses"),
         F.count("caller").alias("total_refs"),
     )
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import memory_id
 from ..functions.text import age_days, dot, feature_hash, round3
-from ..runtime import ship
+from ..runtime import checkpoint, ship
 
 # Similarities and lifetimes in days.
 SAME_RULE, ANY_RULE, REINFORCE, DUPLICATE = 0.82, 0.93, 0.80, 0.97
@@ -21,10 +21,8 @@ RECALL_LIMIT, RECALL_LEAST = 5, 0.2
 
 LEARNING_DDL = "fingerprint string, rule_id string, text string, signal string, scope string, at string"
 MEMORY_DDL = "id string, kind string, text string, scope string, file string, ts string, embedding array<double>"
-#: Learnings up to this number are broadcast to the candidates; more are joined by blocks.
-BROADCAST_ROWS = 20_000
-#: Vectors of a kind in a block, and rows of it that are multiplied at a time.
-BLOCK_ROWS, STRIP_ROWS = 10_000, 512
+#: Vectors in a block and rows of it that are multiplied at a time.
+BLOCK_ROWS, STRIP_ROWS = 8_000, 512
 
 Embedder = Callable[[Column], Column]
 
@@ -33,55 +31,87 @@ def eligible(rule_id: Column) -> Column:
     return ~F.rlike(rule_id, F.lit(EXEMPT))
 
 
-def similarity_pairs(left: DataFrame, right: DataFrame, least: float, dims: str = "vec", blocks: int = 8) -> DataFrame:
-    """Pairs of (left id ``l``, right id ``r``) with a dot product of at least ``least``.
+def similarity_pairs(left: DataFrame, right: DataFrame, least: float, vec: str = "vec", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (l, r, sim) of ids whose vectors have a dot product of at least ``least``.
 
-    A small right side is broadcast; a larger one is dealt in blocks: left rows go to every
-    block and right rows to one, so no task holds a side whole.
+    Both sides are dealt in blocks and every two blocks meet in a task of their own, as one
+    matrix product: no task holds a side whole.  Rows meet only where the columns ``by`` are
+    equal.  Shorter vectors count as filled up with zeros; rows without a vector have no pair.
     """
-    a = left.select(F.col("id").alias("l"), F.col(dims).alias("lv"))
-    b = right.select(F.col("id").alias("r"), F.col(dims).alias("rv"))
-    n = right.count()
-    if n <= BROADCAST_ROWS:
-        pairs = a.withColumn("__k", F.lit(0)).join(F.broadcast(b.withColumn("__k", F.lit(0))), "__k")
-    else:
-        blocks = max(blocks, -(-n // BROADCAST_ROWS))
-        a = a.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = a.join(b.withColumn("__k", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int")), "__k")
-    return pairs.withColumn("sim", dot(F.col("lv"), F.col("rv"))).filter(F.col("sim") >= least).select("l", "r", "sim")
+    ship(left.sparkSession)
+    sides = [df.filter(F.col(vec).isNotNull()).select("id", *by, F.col(vec).cast("array<double>").alias("vec")) for df in (left, right)]
+    blocks = [max(1, -(-df.count() // BLOCK_ROWS)) for df in sides]
+
+    def dealt(k: int) -> DataFrame:
+        own, other = ("__i", "__j") if k == 0 else ("__j", "__i")
+        df = sides[k].withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks[k])).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - k] - 1))))
+
+    kinds = [dict(df.dtypes)["id"] for df in sides]
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        (x, wide), (y, other) = _matrix(a), _matrix(b)
+        x, y = (np.pad(m, ((0, 0), (0, max(wide, other) - m.shape[1]))) for m in (x, y))
+        rows, cols, sims = [], [], []
+        for lo in range(0, len(x), STRIP_ROWS):
+            got = x[lo : lo + STRIP_ROWS] @ y.T
+            i, j = np.nonzero(got >= least)
+            rows.append(i + lo)
+            cols.append(j)
+            sims.append(got[i, j])
+        at = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (rows, cols)]
+        return pa.table({"l": a.column("id").take(at[0]), "r": b.column("id").take(at[1]), "sim": pa.array(np.concatenate(sims) if sims else np.zeros(0), pa.float64())})
+
+    keys = [*by, "__i", "__j"]
+    both = dealt(0).groupBy(*keys).cogroup(dealt(1).groupBy(*keys))
+    return both.applyInArrow(meet, f"l {kinds[0]}, r {kinds[1]}, sim double")
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, int]:
+    rows = table.column("vec").to_pylist()
+    wide = max(map(len, rows), default=0)
+    if rows and min(map(len, rows)) == wide:
+        return np.array(rows, np.float64), wide
+    out = np.zeros((len(rows), wide))
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out, wide
 
 
 def decide(candidates: DataFrame, learnings: DataFrame, now: str, embed: Embedder = feature_hash, same_rule: float = SAME_RULE, any_rule: float = ANY_RULE, reinforce: float = REINFORCE, exact_days: float = EXACT_DAYS, semantic_days: float = SEMANTIC_DAYS) -> DataFrame:
-    """One decision for each candidate (fingerprint, rule_id, text).
+    """One decision for each different candidate (fingerprint, rule_id, text).
 
     In this order: a fresh exact dismissal, a muted rule, a fresh similar dismissal, a stale
-    dismissal (to validate again), similarity to an accepted finding, nothing.
+    dismissal (to validate again), similarity to an accepted finding, nothing.  Texts are
+    compared once, however many candidates and learnings share them; they are named by hashes
+    of their own, so that a retried task names them alike.
     """
     clock = F.lit(now)
     dismissed = learnings.filter("signal <> 'accepted'").withColumn("age", age_days(F.col("at"), clock))
     exact = dismissed.filter("scope <> 'rule'").groupBy("fingerprint").agg(F.max("at").alias("exact_at"))
     muted = dismissed.filter("scope = 'rule'").select("rule_id", F.lit(True).alias("muted")).distinct()
-    cand = candidates.select("fingerprint", "rule_id", "text").withColumn("vec", embed(F.col("text")))
-    cand = cand.join(exact, "fingerprint", "left").join(muted, "rule_id", "left")
-
-    def side(entries: DataFrame) -> DataFrame:
-        return entries.select(F.monotonically_increasing_id().alias("id"), F.col("rule_id").alias("er"), F.col("at").alias("ea"), "age" if "age" in entries.columns else F.lit(0.0).alias("age"), embed(F.col("text")).alias("vec"))
-
-    keyed = cand.filter(eligible(F.col("rule_id"))).select(F.col("fingerprint").alias("id"), "vec").dropDuplicates(["id"])
-    # Side tables carry their attributes through the pair's right id.
-    neg, pos = side(dismissed), side(learnings.filter("signal = 'accepted'"))
-    low = min(same_rule, any_rule)
-    sims = similarity_pairs(keyed, neg, low).join(neg.select(F.col("id").alias("r"), "er", "ea", "age"), "r").join(cand.select(F.col("fingerprint").alias("l"), F.col("rule_id").alias("cr")), "l")
-    fresh, same = F.col("age") <= semantic_days, F.col("er") == F.col("cr")
-    best = sims.groupBy("l").agg(
-        F.max(F.when(fresh, F.col("sim"))).alias("best"),
-        F.max(F.when(fresh & same, F.col("sim"))).alias("best_same"),
-        F.max(F.when(~fresh, F.col("sim"))).alias("stale_best"),
-        F.max(F.when(~fresh & same, F.col("sim"))).alias("stale_same"),
-        F.max_by("ea", F.when(~fresh, F.col("sim"))).alias("stale_at"),
+    cand = candidates.select("fingerprint", "rule_id", "text").distinct().withColumn("__text", F.xxhash64("text"))
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.select("text").distinct().select(F.xxhash64("text").alias("id"), embed(F.col("text")).alias("vec"))
+
+    fresh = F.col("age") <= semantic_days
+    entries = dismissed.groupBy("rule_id", "text").agg(F.max(fresh).alias("fresh"), F.max(F.when(~fresh, F.col("at"))).alias("stale_at"))
+    entries = entries.select(F.col("rule_id").alias("er"), "fresh", "stale_at", F.xxhash64("text").alias("r"))
+    asking = cand.filter(eligible(F.col("rule_id")))
+    sims = similarity_pairs(texts(asking), texts(dismissed), min(same_rule, any_rule)).join(entries, "r")
+    sims = sims.join(asking.select("rule_id", F.col("__text").alias("l")).distinct(), "l")
+    same, sim, stale = F.col("er") == F.col("rule_id"), F.col("sim"), F.col("stale_at").isNotNull()
+    best = sims.groupBy(F.col("l").alias("__text"), "rule_id").agg(
+        F.max(F.when(F.col("fresh"), sim)).alias("best"),
+        F.max(F.when(F.col("fresh") & same, sim)).alias("best_same"),
+        F.max(F.when(stale, sim)).alias("stale_best"),
+        F.max(F.when(stale & same, sim)).alias("stale_same"),
+        F.max(F.when(stale, F.struct(sim, "stale_at")))["stale_at"].alias("stale_at"),
     )
-    good = similarity_pairs(cand.select(F.col("fingerprint").alias("id"), "vec").dropDuplicates(["id"]), pos, reinforce).groupBy("l").agg(F.max("sim").alias("reinforcement"))
-    full = cand.join(best.withColumnRenamed("l", "fingerprint"), "fingerprint", "left").join(good.withColumnRenamed("l", "fingerprint"), "fingerprint", "left")
+    good = similarity_pairs(texts(cand), texts(learnings.filter("signal = 'accepted'")), reinforce)
+    good = good.groupBy(F.col("l").alias("__text")).agg(F.max("sim").alias("reinforcement"))
+    full = cand.join(exact, "fingerprint", "left").join(muted, "rule_id", "left").join(best, ["__text", "rule_id"], "left").join(good, "__text", "left")
     return cascade(full, clock, same_rule, any_rule, exact_days).select("fingerprint", "rule_id", "suppress", "kind", "similarity", "revalidate", "stale_since", "reinforce", F.when(F.col("reinforce"), F.col("reinforcement")).alias("reinforcement"))
 
 
@@ -122,9 +152,12 @@ def learning_key(scope: str = "scope", rule: str = "rule_id", fingerprint: str =
 
 
 def upsert(learnings: DataFrame, new: DataFrame) -> DataFrame:
-    """New entries replace those of the same scope and key, whatever the signal; the latest new one wins."""
-    w = Window.partitionBy("__key").orderBy(F.desc("at"))
-    last = new.withColumn("__key", learning_key()).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """New entries replace those of the same scope and key, whatever the signal; the latest new one wins.
+
+    Of new entries with the same time the one with the greatest other fields wins.
+    """
+    fields = ["at", *[c for c in learnings.columns if c != "at"]]
+    last = new.groupBy(learning_key().alias("__key")).agg(F.max(F.struct(*fields)).alias("e")).select("__key", "e.*")
     old = learnings.withColumn("__key", learning_key()).join(last.select("__key"), "__key", "left_anti")
     return old.drop("__key").unionByName(last.drop("__key").select(*learnings.columns))
 
@@ -180,16 +213,17 @@ def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
     are all decided are decided at once, round by round.
     """
     # Equal vectors share their near ones, so the first stands for all; those of zeros are near to none.
-    some = rows.filter(F.exists("vec", lambda x: x != 0))
-    first = some.groupBy("kind", "vec").agg(F.min("id").alias("id"), F.collect_list("id").alias("all")).filter("kind is not null").localCheckpoint()
-    equal = first.select(F.explode("all").alias("id"), F.col("id").alias("f")).filter("id <> f").select("id")
-    pairs = near_pairs(first.select("id", "kind", "vec"), least).localCheckpoint()
+    some = rows.filter(F.exists("vec", lambda x: x != 0) & F.col("kind").isNotNull()).withColumn("same", F.sha2(F.to_json(F.struct("kind", "vec")), 256))
+    low = some.groupBy("same").agg(F.min("id").alias("id"))
+    first = checkpoint(some.join(low, ["same", "id"], "left_semi"))
+    equal = some.select("id").join(low.select("id"), "id", "left_anti")
+    pairs = checkpoint(near_pairs(first.select("id", "kind", "vec"), least))
     gone = []
     while not pairs.isEmpty():
         stay = pairs.select("l").distinct().join(pairs.select(F.col("r").alias("l")).distinct(), "l", "left_anti")
-        out = pairs.join(stay, "l", "left_semi").select("r").distinct().localCheckpoint()
+        out = checkpoint(pairs.join(stay, "l", "left_semi").select("r").distinct())
         gone.append(out.select(F.col("r").alias("id")))
-        pairs = pairs.join(out, "r", "left_anti").join(out.select(F.col("r").alias("l")), "l", "left_anti").select("l", "r").localCheckpoint()
+        pairs = checkpoint(pairs.join(out, "r", "left_anti").join(out.select(F.col("r").alias("l")), "l", "left_anti").select("l", "r"))
     for g in gone:
         equal = equal.union(g)
     return equal
@@ -198,19 +232,21 @@ def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
 def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = feature_hash) -> DataFrame:
     """Memories after (kind, text, scope, file) rows came; near copies of the same kind add nothing.
 
-    New rows are compared with each other as well, in the order of their ids.
+    New rows come one after another by their column ``seq`` (unique longs), or by a hash of
+    kind and text where there is none, and are compared with the old ones and with those new
+    ones before them that stayed.
     """
-    fresh = new.select("kind", "text", F.coalesce("scope", F.lit("repo")).alias("scope"), "file").withColumn("embedding", embed(F.col("text")))
-    fresh = fresh.withColumn("id", memory_id(F.col("kind"), F.col("text"))).dropDuplicates(["id"])
-    old = memories.select("kind", F.col("embedding").alias("old"))
-    if memories.count() <= BROADCAST_ROWS:
-        old = F.broadcast(old)
-    alike = (F.col("n.kind") == F.col("m.kind")) & (dot(F.col("n.embedding"), F.col("m.old")) >= DUPLICATE)
-    near = fresh.alias("n").join(old.alias("m"), alike, "left_anti")
-    order = near.select("id").withColumn("no", F.row_number().over(Window.orderBy("id")).cast("long")).localCheckpoint()
-    rows = near.join(order, "id").select(F.col("no").alias("id"), "kind", F.col("embedding").alias("vec"))
-    near = near.join(order.join(later_copies(rows).withColumnRenamed("id", "no"), "no").select("id"), "id", "left_anti")
-    return memories.unionByName(near.withColumn("ts", F.lit(now)).select(*memories.columns))
+    order = F.min("seq") if "seq" in new.columns else F.xxhash64("kind", "text")
+    rows = new.withColumn("scope", F.coalesce("scope", F.lit("repo"))).groupBy("kind", "text")
+    fresh = rows.agg(order.alias("no"), F.min(F.struct(*[c for c in ("seq",) if c in new.columns], "scope", "file")).alias("e"))
+    fresh = checkpoint(fresh.select("no", "kind", "text", "e.scope", "e.file").withColumn("embedding", embed(F.col("text"))))
+    vectors = fresh.select(F.col("no").alias("id"), "kind", F.col("embedding").alias("vec"))
+    old = memories.select("id", "kind", F.col("embedding").alias("vec"))
+    known = similarity_pairs(vectors, old, DUPLICATE, by=("kind",)).select(F.col("l").alias("id"))
+    vectors = checkpoint(vectors.join(known, "id", "left_anti"))
+    stay = vectors.join(later_copies(vectors), "id", "left_anti").select(F.col("id").alias("no"))
+    added = fresh.join(stay, "no", "left_semi").withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))
+    return memories.unionByName(added.select(*memories.columns))
 
 
 def recall(memories: DataFrame, query: Column, limit: int = RECALL_LIMIT, least: float = RECALL_LEAST, embed: Embedder | None = feature_hash) -> DataFrame:

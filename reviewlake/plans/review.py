@@ -85,7 +85,7 @@ def _history(ctx: Context) -> DataFrame | None:
 
 COLLECTORS: list[Collector] = [
     Simple("secrets", lambda c: heuristics.secrets(c.reviewable())),
-    Simple("heuristics", lambda c: heuristics.run(c.reviewable(), heuristics.rule_table(c.spark))),
+    Simple("heuristics", lambda c: heuristics.run(c.reviewable())),
     Simple("external", _external),
     Simple("coverage", lambda c: findings.union([reports.coverage_findings(c.reviewable(), rows, label) for rows, label in c.coverage]) if c.coverage else None),
     Simple("mutation", lambda c: reports.mutation_findings(c.reviewable(), c.mutants) if c.mutants is not None else None),

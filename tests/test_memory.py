@@ -71,7 +71,7 @@ def test_upsert_ignores_the_signal(spark):
 def test_blocks_give_the_same_pairs(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)], "id long, vec array<double>")
     whole = {tuple(r) for r in memory.similarity_pairs(v, v, 5.0).collect()}
-    monkeypatch.setattr(memory, "BROADCAST_ROWS", 7)
+    monkeypatch.setattr(memory, "BLOCK_ROWS", 7)
     assert {tuple(r) for r in memory.similarity_pairs(v, v, 5.0).collect()} == whole
 
 

@@ -43,7 +43,7 @@ FIRES = [
 def found(spark):
     rows = [(p, k, k + 1, t) for k, (p, t, _, _) in enumerate(FIRES)]
     added = spark.createDataFrame(rows, "path string, file_ord int, line int, text string")
-    return heuristics.run(added, heuristics.rule_table(spark)).cache()
+    return heuristics.run(added).cache()
 
 
 def test_rules_fire_and_stay_silent(found):
@@ -59,7 +59,7 @@ def test_every_rule_is_listed_once():
 
 def test_first_wins_and_is_idempotent(spark):
     added = spark.createDataFrame([("a.ts", 0, n, "console.log(x)") for n in (5, 3, 9)], "path string, file_ord int, line int, text string")
-    f = findings.first_wins(heuristics.run(added, heuristics.rule_table(spark)))
+    f = findings.first_wins(heuristics.run(added))
     assert [r["region"]["start_line"] for r in f.collect()] == [3]
     assert findings.first_wins(f).count() == 1
     assert f.unionByName(f).transform(findings.first_wins).count() == 1
