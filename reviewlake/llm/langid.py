@@ -120,7 +120,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     Labels take turns, so a rare label is not missed while there are fewer labels than rows.
     Of a long text one part teaches, which the hash picks.  Rows that share id and label teach
-    once.  Only the model and the chosen hashes reach the driver.  None, if no row has text
+    once.  Only the model, the chosen hashes and the counts
+    of at most ``rows`` labels reach the driver.  None, if no row has text
     and label.
     """
     session(df)
@@ -139,8 +140,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     some = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).filter("label is not null and text is not null and text <> ''")
     # The choice needs ids and labels only; texts of the chosen rows are read by a second, filtered scan.
+    counts = some.groupBy("label").count().orderBy(F.desc("count"), "label").limit(rows).collect()
+    share = 2 * rows // max(1, len(counts)) + 64  # of each label about so many rows, by a bound on the hash
+    least = [(r["label"], min((1 << 63) - 1, -(1 << 63) + (1 << 64) * share // r["count"])) for r in counts]
+    few = some.join(F.broadcast(df.sparkSession.createDataFrame(least, "label string, most long")), "label").filter("h <= most").select("h", "label").distinct()
     turn = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    chosen = some.select("h", "label", turn.alias("turn")).filter(F.col("turn") <= rows).orderBy("turn", "h", "label").limit(rows).select("h", "label").collect()
+    chosen = few.withColumn("turn", turn).orderBy("turn", "h", "label").limit(rows).select("h", "label").collect()
     if not chosen:
         return None
     wanted = F.broadcast(df.sparkSession.createDataFrame(sorted(set(map(tuple, chosen))), "h long, label string"))  # at most ``rows``
