@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import checkpoint, shared_folder, ship
 
 #: Edges whose components one task finds by itself; more go through the rounds of stars.
 EDGES_AT_ONCE = 400_000
@@ -30,23 +29,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again."""
     spark = df.sparkSession
@@ -62,6 +44,19 @@ def only_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, "id", how)
 
 
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``groups`` on ``keys``, where a group may hold a third of all rows.
+
+    ``size`` is the number of rows of a group.  Groups of more than ``total`` / 10 000 rows (at
+    least 100) are at most 10 000, a proven bound, and are broadcast; rows of the others meet
+    their groups in a shuffle, in which no key has more than that.
+    """
+    limit = max(100, total // 10_000)
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(size) <= limit), keys, "left")
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, which costs no job; where it has none, the bytes of all strings."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

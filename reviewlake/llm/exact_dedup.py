@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tasks_for
+from .common import checkpoint, joined_by_size, session
 
 #: ASCII white space: tab, line feed, vertical tab, form feed, carriage return and space.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Parts into which the rows of one group are dealt when they meet the group's result.
-SALT = 32
+#: Digests that a map task's index holds at most: a full one goes out and a new one begins.
+FOLD_KEYS = 200_000
+#: Rows for each reduce task over a slice of the digest space.
+SLICE_ROWS = 200_000
 
 
 class CuckooIndex:
@@ -121,8 +123,15 @@ class CuckooIndex:
             yield from b
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, keep, size) rows of one task folded to a row per digest."""
+def _rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    rows = list(index.entries())
+    for i in range(0, len(rows), 20_000):
+        part = rows[i : i + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], ["digest", "keep_id", "group_size"])
+
+
+def _fold(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(digest, keep, size) rows of one task folded to a row per digest, or per digest and ``most`` of them."""
     index = CuckooIndex()
     for b in batches:
         for key, keep, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -130,10 +139,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if old is not None:
                 keep, size = (keep if old[0] is None or (keep is not None and keep < old[0]) else old[0]), size + old[1]
             index.put(key, (keep, size))
-    rows = list(index.entries())
-    for i in range(0, len(rows), 20_000):
-        part = rows[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], ["digest", "keep_id", "group_size"])
+        if most and index.live >= most:
+            yield from _rows(index)
+            index = CuckooIndex()
+    yield from _rows(index)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,15 +153,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     their own and count in group_size; all of them are kept if the id is the smallest.  Rows
     with a null id stay only if their group has no other.
     """
+    session(df)
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     keyed = checkpoint(df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")))
     schema = "digest binary, keep_id long, group_size long"
-    parts = tasks_for(keyed, 32)
-    folded = keyed.select("digest", "id", F.lit(1).cast("long")).mapInArrow(_fold, schema)
-    groups = folded.repartition(parts, "digest").mapInArrow(_fold, schema).filter("group_size > 1")
-    # A group's rows may be a third of all: they meet its result in SALT parts.
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    out = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["digest", "salt"], "left")
+    n = keyed.count()
+    folded = keyed.select("digest", "id", F.lit(1).cast("long")).mapInArrow(lambda batches: _fold(batches, FOLD_KEYS), schema)
+    groups = folded.repartition(max(12, -(-n // SLICE_ROWS)), "digest").mapInArrow(_fold, schema).filter("group_size > 1")
+    out = joined_by_size(keyed, checkpoint(groups), ["digest"], "group_size", n)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("id").alias(id_col),
@@ -176,9 +184,7 @@ def _maintain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, size in late:
         if (old := index.get(key)) is not None:
             index.delete(key) if old[1] <= size else index.put(key, (old[0], old[1] - size))
-    rows = list(index.entries())
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())], ["digest", "keep_id", "group_size"])
+    yield from _rows(index)
 
 
 def maintain_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, parts: int = 32) -> DataFrame:

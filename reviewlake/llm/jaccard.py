@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, input_bytes, mix64, only_ids, portions, release, session, stored, text_bytes
 
-#: MB of input text for each bucket of signatures.
-BUCKET_MB = 2.0
+#: MB of input text for each bucket of signatures, and the most buckets that 24 bits can name.
+BUCKET_MB, MOST_BUCKETS = 2.0, 1 << 24
 #: Sets in bands up to this size get one-deletion neighbourhoods.
 SMALL = 64
 INDEX, PROBE = 0x4000, 0x8000
@@ -230,12 +230,12 @@ def _shared_signatures(docs: DataFrame, bands: Bands, width: int, buckets: int)
             sig, row, flag, unit, spare = signatures(tokens, bounds, bands)
             bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            held, edges = np.unique(bucket[order], return_index=True)
+            edges = np.append(edges, len(order))
             low = sig[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             who, mark, part = ids[row[order]], flag[order].astype("<u2"), unit[order].astype("<u2")
             cols: list[list] = [[], [], [], [], [], [], []]
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                a, z = edges[k], edges[k + 1]
+            for k, a, z in zip(held.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 base = int(who[a:z].min())
                 off = who[a:z] - base
                 off = off.astype("<u4" if off.max() < 1 << 32 else "<i8")
@@ -305,10 +305,21 @@ def _shared_signatures(docs: DataFrame, bands: Bands, width: int, buckets: int)
 
 
 def with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with both texts, ta and tb."""
+    """Pairs (a, b, ...) of a stored table with both texts, ta and tb.
+
+    A set may be compared with a third of all others.  The ``a`` of more than a ten-thousandth
+    of all pairs (at least 64) are at most 10 000; their text goes to several tasks, each of
+    which meets so many of the others.
+    """
+    limit = max(64, pairs.count() // 10_000)
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    hot = F.broadcast(hot.select("a", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    pairs = pairs.join(hot, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = only_ids(docs, ids, "left_semi")
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    first = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(hot, "a", "left")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    left = pairs.join(first, ["a", "salt"])
     return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
 
@@ -433,7 +444,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty = profile.filter("n = 0 and id is not null").select("id")
     # (2) signatures of representatives
     alone = only_ids(known, copies.select("id").union(empty).distinct(), "left_anti")
-    buckets = int(min(60_000, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
+    buckets = int(min(MOST_BUCKETS, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
     found = stored(_shared_signatures(alone, bands, width, buckets), "signatures")
     shared = found.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("c").alias("flags"), F.col("d").alias("unit"))
     info = found.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n"), F.min("c").alias("spare"))
@@ -442,7 +453,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = info.select("id", "n")
     stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    stars = pivots(stars.filter((low * q >= high * p) & (F.col("times") * 40 >= low)).select("a", "b", "times"))
+    stars = stored(pivots(stars.filter((low * q >= high * p) & (F.col("times") * 40 >= low)).select("a", "b", "times")), "stars")
     near = stored(compared(known, stars, width, p, q, REACH), "pivots")
     direct = near.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     certain, rows = _around_pivots(near.filter("delta is not null"), p, q)

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_bytes, mix64, only_ids, portions, release, session, stored
-from .jaccard import INDEX, PROBE
+from .common import connected_components, input_bytes, joined_by_size, mix64, only_ids, portions, release, session, stored
+from .jaccard import INDEX, MOST_BUCKETS, PROBE
 
 #: Edits, and the least code points of a line that gets a row.
 TAU, MIN_CHARS = 2, 1
@@ -33,8 +33,6 @@ TAU, MIN_CHARS = 2, 1
 BAG = 16
 #: Pairs that a group may yield at once, for each of its rows.
 PAIRS_PER_ROW = 8
-#: Parts into which the occurrences of one class are dealt when they meet its result.
-SALT = 32
 #: Characters of padded lines that are compared at a time.
 CELLS = 1 << 21
 BUCKET_MB = 4.0
@@ -213,14 +211,14 @@ def _meeting(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFra
                         fresh[k] = s
             keys = np.array(list(fresh), np.int64)
             sig, line, flag = signatures(list(fresh.values()), tau)
-            bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.uint16)
+            bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            held, edges = np.unique(bucket[order], return_index=True)
+            edges = np.append(edges, len(order))
             low = sig[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             who, mark = keys[line[order]].astype("<i8"), flag[order].astype("<u2")
             cols: list[list] = [[], [], [], []]
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                a, z = edges[k], edges[k + 1]
+            for k, a, z in zip(held.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for c, x in zip(cols, (k, low[a:z].tobytes(), who[a:z].tobytes(), mark[a:z].tobytes()), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sig", "keys", "flags"])
@@ -354,7 +352,7 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     near = near_chars(tau, min_chars)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     every = stored(occurrences(docs, min_chars), "occurrences")
-    buckets = int(min(60_000, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
+    buckets = int(min(MOST_BUCKETS, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
     met = stored(_meeting(docs, tau, near, buckets), "segments")
     pairs = met.filter("kind = 1").select("a", "b").distinct()
     lines = fetched(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), near)
@@ -365,15 +363,17 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     names = connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("class"))
     degree = links.select(F.col("u").alias("key")).union(links.select(F.col("v").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     linked = names.join(degree, "key")
-    # Lines without links are named by both hashes, linked ones by their component.
-    salt = F.pmod(F.xxhash64("id", "line_no"), F.lit(SALT)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    named = every.withColumn("salt", salt).join(linked.withColumn("salt", parts), ["key", "salt"], "left")
-    named = named.withColumn("second", F.when(F.col("class").isNull(), F.col("check"))).withColumn("class", F.coalesce("class", "key"))
+    # Different lines first, so that only one join meets all occurrences.  Lines without links
+    # are named by both hashes, linked ones by their component.
     place = F.struct("id", "line_no")
-    groups = named.groupBy("class", "second").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    groups = groups.withColumn("salt", parts).select(F.col("class").alias("gc"), F.col("second").alias("gs"), F.col("salt").alias("gsalt"), "first", "size")
-    out = named.join(groups, (F.col("class") == F.col("gc")) & F.col("second").eqNullSafe(F.col("gs")) & (F.col("salt") == F.col("gsalt")), "left")
+    distinct = every.groupBy("key", "check").agg(F.min(place).alias("own"), F.count("*").alias("times"))
+    named = distinct.join(linked, "key", "left").withColumn("alone", F.col("class").isNull())
+    named = named.withColumn("second", F.when(F.col("alone"), F.col("check")).otherwise(F.lit(0))).withColumn("class", F.coalesce("class", "key"))
+    named = stored(named, "lines")
+    groups = named.groupBy("class", "second", "alone").agg(F.min("own").alias("first"), F.sum("times").alias("size"), F.count("*").alias("lines")).filter("size > 1")
+    lined = joined_by_size(named, stored(groups, "groups"), ["class", "second", "alone"], "lines", named.count())
+    some = lined.filter("size is not null").select("key", "check", "first", "size", "n_links", "times")
+    out = joined_by_size(every, stored(some, "classes"), ["key", "check"], "times", every.count())
     head = F.coalesce("first", place)
     return out.select(
         F.col("id").alias(id_col),
@@ -390,12 +390,12 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     """The table with later lines of every class cut out of ``text_col``.
 
     A document that had lines and has no text left is a copy of earlier ones and
-    goes; documents without text stay as they are.
+    goes; documents without text, and those with a null id, stay as they are.  Of documents
+    that share an id each loses the lines that its id loses.
     """
-    gone = near_lines(df, id_col, text_col, tau, min_chars).filter("not kept").groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    both = df.join(gone, df[id_col] == gone["__id"], "left").drop("__id")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda s, k: ~F.array_contains("__gone", k)), "\n")
-    cut = both.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    cut = cut.filter(F.col("__left").isNull() | (F.trim(F.regexp_replace("__left", r"[\x20\x09-\x0D]+", " ")) != ""))
-    return cut.withColumn(text_col, F.coalesce("__left", text_col)).select(*df.columns)
+    gone = near_lines(df, id_col, text_col, tau, min_chars).filter("not kept").groupBy(F.col(id_col).alias("id")).agg(F.collect_set("line_no").alias("gone"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row"))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda s, k: ~F.array_contains("gone", k)), "\n")
+    cut = rows.join(gone, "id", "left").withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    cut = cut.filter(F.col("left").isNull() | (F.trim(F.regexp_replace("left", r"[\x20\x09-\x0D]+", " ")) != ""))
+    return cut.select(*[F.coalesce("left", "text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])

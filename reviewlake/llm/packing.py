@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import checkpoint, session
 from .tokens import bpe
 
 #: Pieces in a group that is packed by itself.
@@ -113,24 +113,33 @@ def pieces(df: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int |
 def pack(items: DataFrame, groups: int, keys: list[str], length_col: str = "length", max_tokens: int = 1024, max_docs: int | None = None, max_attention: int | None = None, rule: str = "norm") -> DataFrame:
     """Add sequence_id and offset to pieces, so that no sequence exceeds any capacity.
 
-    ``keys`` deal the rows; ties in length go by the keys, so a rerun gives the same bins.
-    By default documents and attention cost are bounded only as the tokens bound them.  Rows
-    whose length is null take no part; an empty table gives an empty one.
+    Rows are dealt by a hash of all their columns; ties in length go by the keys and then by the
+    other columns, so a rerun gives the same bins: rows that repeat in every column are
+    interchangeable, and rows with null or repeated keys are rows like others.  By default
+    documents and attention cost are bounded only as the tokens bound them.  Rows whose length
+    is null take no part; an empty table gives an empty one.
     """
     docs, attention = max_docs or max_tokens, max_attention or max_tokens * max_tokens
     fields = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
+    flat = [c for c, t in items.dtypes if c not in keys and not t.startswith(("array", "map", "struct"))]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["__group"].iloc[0])
-        pdf = pdf.drop(columns="__group").sort_values(keys, kind="stable", ignore_index=True)
+        pdf = pdf.drop(columns="__group").sort_values([*keys, *flat], kind="stable", ignore_index=True)
         bins, offsets = best_fit(pdf[length_col].to_numpy(np.int64), max_tokens, docs, attention, rule)
         return pdf.assign(sequence_id=(np.int64(group) << 32) + bins, offset=offsets)
 
-    dealt = items.filter(F.col(length_col).isNotNull()).withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    dealt = items.filter(F.col(length_col).isNotNull()).withColumn("__group", F.pmod(F.xxhash64(*keys, *flat), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """Tokenise, cut and pack whole documents; see ``pieces`` and ``pack``."""
-    groups = max(1, -(-df.count() // GROUP_PIECES))
-    return pack(pieces(df, tokenizer, max_tokens, end_id, id_col, text_col), groups, [id_col, "piece"], max_tokens=max_tokens, **limits)
+    """Tokenise, cut and pack whole documents; see ``pieces`` and ``pack``.
+
+    Documents that repeat an id, or have none, are packed each for itself.  Other columns than
+    id and text are not read.  Groups are sized by the pieces there are, so that a table of
+    long documents has more of them.
+    """
+    cut = checkpoint(pieces(df, tokenizer, max_tokens, end_id, id_col, text_col))
+    groups = max(1, -(-cut.count() // GROUP_PIECES))
+    return pack(cut, groups, [id_col, "piece"], max_tokens=max_tokens, **limits)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewlake.llm import common, exact_dedup, jaccard, linededup, topk
@@ -102,6 +103,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_hot_groups_and_long_texts(spark, monkeypatch):
+    rows = [(k, "copy of a third") for k in range(0, 900, 3)] + [(k, f"own {k % 250}") for k in range(900) if k % 3] + [(2000, "long  " * 200_000), (2001, "long " * 200_000)]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, group_size int, digest string").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(" +", " ", t), []).append(i)
+    want = {(i, min(g), len(g)) for g in groups.values() for i in g}
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(df).collect()} == want  # 300 rows are a hot group
+    folds = [b.to_pylist() for b in exact_dedup._fold(iter([pa.record_batch({"digest": [bytes([k % 7]) * 32], "id": [k], "n": [1]}) for k in range(30)]), 3)]
+    assert len(folds) > 3 and sum(r["group_size"] for b in folds for r in b) == 30
+
+
 def test_index_maintenance(spark):
     row = lambda *xs: [(bytearray([x]) * 32, i) for x, i in xs]
     frame = lambda rows: spark.createDataFrame(rows, "digest binary, id long")
@@ -150,6 +163,23 @@ def test_jaccard_odd_tables(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_around_a_hot_pivot(spark):
+    """One text is near to several hundred others that are not all near to each other."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(120)]
+    docs = [" ".join(base)]
+    for _ in range(260):
+        d = list(base)
+        d[rng.randrange(120)] = word()
+        docs.append(" ".join(d))
+    rows = list(enumerate(docs))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, a int, component_id int")).collect()}
+    assert got == components(sets, links)
+
+
 # --- lines --------------------------------------------------------------------------------------
 
 
@@ -198,6 +228,20 @@ def test_line_classes_equal_brute_force(spark):
     assert got == want
 
 
+def test_lines_of_odd_tables(spark):
+    hot = "a line that stands in every one of many documents, as licences do"
+    long = "z" * 40_000
+    rows = [(k, hot + f"\nown line {k * 7919} of its document") for k in range(150)] + [(200, long), (201, long[:-1] + "y"), (7, "x y z of the other seven\n" + hot), (None, hot), (202, None)]
+    df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, class int, first string")
+    got = linededup.near_lines(df).collect()
+    assert len(got) == 150 * 2 + 2 + 2  # a null id takes no part
+    size = {(r["doc_id"], r["line_no"]): (r["class_id"], r["class_size"]) for r in got}
+    assert size[(100, 0)] == (0, 151) and size[(201, 0)] == (200, 2) and sum(r["kept"] and r["class_size"] == 151 for r in got) == 1
+    left = linededup.drop_lines(spark.createDataFrame([(*r, 1, "n", 2) for r in rows], "doc_id long, text string, id int, gone string, `left` int"))
+    texts = {(r["doc_id"], r["text"]) for r in left.collect()}
+    assert left.columns == ["doc_id", "text", "id", "gone", "left"] and (None, hot) in texts and (202, None) in texts and (200, long) in texts and not any(i == 201 for i, _ in texts)
+
+
 def test_drop_lines(spark):
     line = "this very line is in many of the documents"
     df = spark.createDataFrame([(1, line + "\nown words of one"), (2, line.replace("very", "vary")), (3, "short\n" + line), (4, None), (5, "")], "doc_id long, text string")

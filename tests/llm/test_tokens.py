@@ -158,6 +158,42 @@ def test_pieces_and_packing(spark, library):
     assert packing.pack_documents(df.limit(0), BYTE).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (7, "one"), (7, "two two"), (7, "one"), (8, "word " * 3000), (8, "word " * 3000), (9, "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, sequence_id int")
+    frames = [packing.pack_documents(df.repartition(k), BYTE, 64).toPandas().sort_values(["sequence_id", "offset"], ignore_index=True) for k in (1, 3)]
+    assert frames[0].equals(frames[1])  # the same bins in whatever order rows come
+    got = frames[0]
+    assert got.doc_id.isna().sum() == 2 and (got.doc_id == 7).sum() == 3 and ((got.doc_id == 9) & (got.length == 1)).sum() == 1
+    ends = got.groupby("sequence_id").length.cumsum()
+    assert (got.offset == ends - got.length).all() and ends.max() <= 64
+
+
+def reference_packing(lengths, caps, weights):
+    """Vector best fit written out over all bins."""
+    bins, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        fits = [b for b, r in enumerate(bins) if all(x >= y for x, y in zip(r, need, strict=True))]
+        score = lambda b: sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(weights, bins[b], need, caps, strict=True))
+        if fits:
+            low = min(map(score, fits))
+            best = next(b for b in fits if score(b) <= low * (1 + 1e-12))
+        else:
+            best = len(bins)
+            bins.append(list(caps))
+        out[i] = best
+        bins[best] = [x - y for x, y in zip(bins[best], need, strict=True)]
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("caps", [(1024, 1024, 1024**2), (100, 5, 2500), (100, 3, 10**4)])
+def test_best_fit_equals_the_rule_written_out(caps):
+    lengths = np.random.default_rng(3).integers(1, min(caps[0], int(caps[2] ** 0.5)) + 1, 300)
+    bins, _ = packing.best_fit(lengths, *caps)
+    assert bins.tolist() == reference_packing(lengths.tolist(), caps, (1.0, 0.02, 0.02))
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     lengths = np.random.default_rng(1).integers(1, 100, 400)
