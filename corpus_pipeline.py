@@ -14,8 +14,11 @@ from reviewlake.llm.queries import fold
 
 #: Documents whose best language has a smaller share of the softmax are rejected.
 LEAST_SCORE = 0.35
+#: Documents in a sequence at most: a capacity of the packing beside its tokens.
+SEQUENCE_DOCS = 32
 
-#: Language identification, edit distance and tokens are beyond SQL; tests hold run() against a brute-force version.
+#: Language identification, edit distance and tokens are beyond SQL; tests/llm/test_pipeline.py holds run()
+#: against plain Python: all pairs of lines and of shingle sets, the patterns, and the tokens of the library.
 ORACLE_SQL = None
 
 
@@ -25,7 +28,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the classifier learns from these documents' own labels."""
+    """Documents with a language; the classifier learns from these documents' own labels.
+
+    Each row is judged by its own text, whatever its id; texts that are null or hold no letter go.
+    """
     model = langid.train(docs.filter(~fold(F.col("doc_id"), 4, 2)))
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
     found = langid.identify(whole, model, keep=("document",))
@@ -33,12 +39,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later near copies of a line go; so do documents that consisted of nothing else."""
+    """Later near copies of a line go; so do documents that consisted of nothing else.
+
+    Rows that share an id lose the same lines; rows with a null id stay as they are.
+    """
     return counted(linededup.drop_lines(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays.
+
+    Rows that share an id stay or go together; rows with a null id stay.
+    """
     groups = jaccard.jaccard_components(docs)
     gone = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
@@ -47,13 +59,17 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become their kind in brackets."""
+    """Personal data become their kind in brackets, in every row; null texts stay null."""
     return counted(pii.mask_pii(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place; rows as op6_packing returns them."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token pieces with their sequence and place, in the columns of op6_packing.
+
+    A sequence holds at most ``SEQUENCE_DOCS`` pieces.  Rows that share an id, or have none, are
+    packed each for itself.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_docs=SEQUENCE_DOCS)
 
 
 STAGES = [
