@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import hashing, paths, severity, text
 from .operators import anchors, audit, complexity, external, findings, graph, heuristics, history, memory, reports
-from .sources import contract, unified_diff
+from .plans import sinks
+from .sources import contract, stores, unified_diff
 from .sources import reports as readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,7 +118,7 @@ def rule_findings_dedup(spark, sf_dir):
 
 @query(f"SELECT rule_id, severity, file, line FROM ({DEDUP_SQL}) ORDER BY {RANK_SQL} DESC, file, line, rule_ord, id LIMIT 50")
 def finding_order_topn(spark, sf_dir):
-    f = findings.in_order(findings.first_wins(doc_findings(spark, sf_dir)).withColumn("file_ord", F.lit(0)).withColumn("line_ord", F.lit(0))).limit(50)
+    f = findings.in_order(findings.first_wins(doc_findings(spark, sf_dir))).limit(50)
     return f.select("rule_id", "severity", "file", F.col("region.start_line").cast("long").alias("line"))
 
 
@@ -132,14 +133,25 @@ def gate_failures(spark, sf_dir):
     return f.select("rule_id", "file", F.col("region.start_line").cast("long").alias("line"))
 
 
-@query(f"SELECT rule_id, {TIER_SQL} AS tier, CASE WHEN severity IN ('critical','high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, greatest(line, 1) AS start_line FROM ({DEDUP_SQL})")
+LEVEL_SQL = "CASE WHEN severity IN ('critical','high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
+
+
+@query(f"SELECT rule_id, file, {LEVEL_SQL} AS level, greatest(line, 1) AS start_line, id FROM ({DEDUP_SQL})")
 def sarif_rows(spark, sf_dir):
-    f = findings.first_wins(doc_findings(spark, sf_dir))
-    return f.select("rule_id", "tier", severity.to_level(F.col("severity")).alias("level"), F.greatest(F.col("region.start_line"), F.lit(1)).cast("long").alias("start_line"))
+    r = sinks.sarif_results(findings.first_wins(doc_findings(spark, sf_dir)))
+    place = F.get("locations", F.lit(0))["physicalLocation"]
+    return r.select(F.col("ruleId").alias("rule_id"), place["artifactLocation"]["uri"].alias("file"), "level", place["region"]["startLine"].cast("long").alias("start_line"), F.col("partialFingerprints.primary").alias("id"))
 
 
-@query(f"SELECT file, count(*) AS n, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, max({RANK_SQL}) AS worst FROM ({DEDUP_SQL}) GROUP BY file")
+@query(f"SELECT id, rule_id, severity, {TIER_SQL} AS tier, file, line, false AS suggested, false AS spread FROM ({DEDUP_SQL})")
 def report_json(spark, sf_dir):
+    """Findings written as JSON documents and read back; null fields are left out."""
+    back = stores.report_rows(sinks.json_rows(findings.first_wins(doc_findings(spark, sf_dir))), "json")
+    return back.select("id", "rule_id", "severity", "tier", "file", F.col("region.start_line").cast("long").alias("line"), F.col("suggestion").isNotNull().alias("suggested"), F.col("blast_radius").isNotNull().alias("spread"))
+
+
+@query(f"SELECT file, count(*) AS n, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, max({RANK_SQL}) AS worst FROM ({DEDUP_SQL}) GROUP BY file")
+def findings_by_file(spark, sf_dir):
     f = findings.first_wins(doc_findings(spark, sf_dir))
     return f.groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), F.max(severity.rank(F.col("severity"))).alias("worst"))
 
@@ -193,10 +205,11 @@ def feature_hash_cells(spark, sf_dir):
     return text.cell_sums(docs).withColumnRenamed("id", "doc_id")
 
 
-@query("SELECT page_id, regexp_replace(url, '^https?://[^/]+/', '') AS path, ends_with(lower(url), '.html') AS html, CAST(length(url) AS BIGINT) AS n, CASE WHEN length(url) > 40 THEN substr(url, 1, 40) || '…' ELSE url END AS short FROM pages")
+@query(r"SELECT page_id, regexp_replace(url, '^https?://[^/]+/', '') AS path, ends_with(lower(url), '.html') AS html, CAST(length(url) AS BIGINT) AS n, CASE WHEN length(url) > 40 THEN substr(url, 1, 40) || '…' ELSE url END AS short FROM pages")
 def path_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_replace("url", "^https?://[^/]+/", "").alias("path"), F.endswith(F.lower("url"), F.lit(".html")).alias("html"), F.char_length("url").cast("long").alias("n"), text.truncate(F.col("url"), 40).alias("short"))
+    other = F.concat(F.lit(" .\\"), F.replace(F.regexp_replace("url", "^https?://[^/]+/", ""), F.lit("/"), F.lit("\\")), F.lit(" "))
+    return p.select("page_id", paths.normalize(other).alias("path"), F.endswith(F.lower("url"), F.lit(".html")).alias("html"), F.char_length("url").cast("long").alias("n"), text.truncate(F.col("url"), 40).alias("short"))
 
 
 # --- synthetic paths ------------------------------------------------------------------------
@@ -438,10 +451,14 @@ def co_change(spark, sf_dir):
     return rows.select(F.col("path").cast("long").alias("p_partkey"), F.col("partner").cast("long").alias("partner"), "together", "n_stat")
 
 
-@query(r"SELECT doc_id, line_no FROM (" + DOC_LINES + r") WHERE regexp_matches(text, '(?i)\b(fix(es|ed)?|bug|bugfix|hotfix|regression|revert(s|ed)?|license(d)?)\b')")
+SUBJECTS = ["Fixes #", "prefix ", "BUG: ", "debug ", "revert: ", "reverting ", "hotfix/", "regressions ", "a Regression in "]
+
+
+@query(r"SELECT o_orderkey, regexp_matches(s, '(?i)\b(fix(es|ed)?|bug|bugfix|hotfix|regression|revert(s|ed)?)\b') AS fix FROM (SELECT o_orderkey, " + _pick(SUBJECTS, "o_orderkey") + r" || o_orderkey AS s FROM orders)")
 def fix_subjects(spark, sf_dir):
-    pattern = history.FIXING.removesuffix(r")\b") + r"|license(d)?)\b"
-    return doc_lines(spark, sf_dir).filter(F.rlike("text", F.lit(pattern))).select("doc_id", "line_no")
+    k = F.col("o_orderkey")
+    subject = F.concat(F.get(F.array(*[F.lit(v) for v in SUBJECTS]), (k % len(SUBJECTS)).cast("int")), k.cast("string"))
+    return table(spark, sf_dir, "orders").select(k, history.is_fix(subject).alias("fix"))
 
 
 # --- external tools, complexity, intervals -----------------------------------------------------------
@@ -503,13 +520,15 @@ SRC = "CAST(CASE WHEN s_suppkey % 3 = 0 THEN 'src/a/s' || s_suppkey || '.tsx' WH
     SELECT DISTINCT f.path AS src, g.path AS dst FROM t JOIN f ON f.s_suppkey = t.a JOIN f g ON g.path IN (target || '.ts', target || '.tsx', target || '/index.js')
 """)
 def import_resolve(spark, sf_dir):
+    """A compiled twin stands beside every .ts file, and some specifiers climb above the root."""
     n = table(spark, sf_dir, "supplier").count()
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(SRC.replace("VARCHAR", "STRING")).alias("file"))
     i = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_partkey") % n + 1).alias("b")).distinct()
-    up = F.when(F.col("s_suppkey") % 3 == 2, "../../").otherwise("../")
+    up = F.when(F.col("b") % 5 == 0, "../../../../../src/").when(F.col("s_suppkey") % 3 == 2, "../../").otherwise("../")
     spec = F.concat(up, F.when(F.col("b") % 3 == 0, "a").otherwise("b"), F.lit("/./s"), F.col("b").cast("string"), F.when(F.col("b") % 3 == 2, "").otherwise(".js"))
     imports = i.join(s, "s_suppkey").select("file", F.array(F.lit("x")).alias("names"), spec.alias("source"))
-    return graph.import_edges(imports, s.select(F.col("file").alias("path"))).select("src", "dst").distinct()
+    twins = s.filter("s_suppkey % 3 = 1").select(F.regexp_replace("file", "ts$", "js").alias("path"))
+    return graph.import_edges(imports, s.select(F.col("file").alias("path")).union(twins)).select("src", "dst").distinct()
 
 
 EDGES_SQL = "SELECT 'o' || o_orderkey AS src, 'f' || (l_suppkey % 7) AS name, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION SELECT 'c' || o_custkey, 'g', 'o' || o_orderkey FROM orders"
@@ -577,15 +596,25 @@ def scip_tolerant_lookup(spark, sf_dir):
     return graph.occurrence_of(q, occ)
 
 
-@query("""
-    SELECT d.doc_id, coalesce(l.quality, CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END) AS quality, CASE WHEN l.doc_id IS NOT NULL THEN 'precise' ELSE 'heuristic' END AS method
-    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+@query(f"""
+    WITH s AS (SELECT s_suppkey AS k, 's' || s_suppkey AS file, 'f' || (s_suppkey % 7) AS name, s_nationkey < 12 AS known FROM supplier),
+    p AS (SELECT l_suppkey AS k, count(DISTINCT l_partkey) AS direct FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey),
+    h AS (SELECT file, name, count(*) AS direct FROM ({DIRECT_SQL}) GROUP BY ALL),
+    t AS ({ORACLE_SQL["transitive_callers"]})
+    SELECT s.file, s.name, CASE WHEN known THEN coalesce(p.direct, 0) ELSE h.direct END AS direct, CASE WHEN known THEN 0 ELSE coalesce(t.transitive, 0) END AS transitive,
+           false AS crosses, CASE WHEN known THEN 0.97 ELSE 0.6 END AS confidence, CASE WHEN known THEN 'scip' ELSE 'import graph (ts/js)' END AS method
+    FROM s LEFT JOIN p ON p.k = s.k LEFT JOIN h ON h.file = s.file AND h.name = s.name LEFT JOIN t ON t.file = s.file AND t.name = s.name WHERE known OR h.direct IS NOT NULL
 """)
 def tiered_resolution(spark, sf_dir):
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    precise = lab.join(d.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", F.lit("precise").alias("method"))
-    rest = d.join(precise.select("doc_id"), "doc_id", "left_anti")
-    return precise.unionByName(rest.select("doc_id", F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("quality"), F.lit("heuristic").alias("method")))
+    """An index knows the suppliers of some nations; the import graph answers for the others."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    symbols = s.select(F.concat(F.lit("s"), k).alias("file"), F.concat(F.lit("f"), k % 7).alias("name"), k.cast("int").alias("start_line"))
+    known = s.filter("s_nationkey < 12").select(k, F.concat(F.lit("pkg s"), k, F.lit("/f"), k % 7, F.lit("().")).alias("symbol"))
+    defs = known.select(F.concat(F.lit("s"), k).alias("file"), k.cast("int").alias("line"), "symbol", F.lit(True).alias("is_def"))
+    uses = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").join(known, F.col("l_suppkey") == k)
+    refs = uses.select(F.concat(F.lit("p"), "l_partkey").alias("file"), F.col("l_linenumber").cast("int").alias("line"), "symbol", F.lit(False).alias("is_def"))
+    return graph.tiered_reach(symbols, edges(spark, sf_dir), defs.unionByName(refs)).drop("callers")
 
 
 # --- learned feedback -------------------------------------------------------------------------------
@@ -603,19 +632,86 @@ def event_learnings(spark, sf_dir) -> DataFrame:
     return ev.select(F.col("user_id").cast("string").alias("fingerprint"), F.col("event_type").alias("rule_id"), F.col("props").alias("text"), F.when(F.col("event_type") == "purchase", "accepted").otherwise("dismissed").alias("signal"), F.when(rule & (F.col("value") > 90), "rule").otherwise("finding").alias("scope"), iso("ts").alias("at"))
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS fingerprint, round({AGE_SQL.replace('ts', 'max(ts)')}, 6) AS age, {AGE_SQL.replace('ts', 'max(ts)')} <= 3 AS suppress FROM events WHERE event_type = 'error' GROUP BY user_id")
+def turned(s: F.Column) -> F.Column:
+    """A small embedding that SQL can compute as well: a direction on the circle."""
+    k = F.from_json(s, "k double")["k"] * (6.283185307179586 / 100)
+    return F.array(F.cos(k), F.sin(k))
+
+
+RULE_SQL = "CASE WHEN event_type = 'click' THEN 'security.click' ELSE event_type END"
+
+
+def strong_learnings(spark, sf_dir) -> DataFrame:
+    """Feedback: events of a high value; clicks are of a rule that no similarity suppresses."""
+    ev = table(spark, sf_dir, "events").filter("value > 300")
+    return ev.select(F.col("user_id").cast("string").alias("fingerprint"), F.expr(RULE_SQL).alias("rule_id"), F.col("props").alias("text"), F.when(F.col("event_type") == "purchase", "accepted").otherwise("dismissed").alias("signal"), F.when((F.col("event_type") == "error") & (F.col("value") > 340), "rule").otherwise("finding").alias("scope"), iso("ts").alias("at"))
+
+
+def event_candidates(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("fingerprint"), F.expr(RULE_SQL).alias("rule_id"), F.col("props").alias("text")).distinct()
+
+
+DECIDE_SQL = f"""
+    WITH l AS (SELECT CAST(user_id AS VARCHAR) AS fp, {RULE_SQL} AS rule, props, event_type = 'purchase' AS good, event_type = 'error' AND value > 340 AS mute, ts, {AGE_SQL} AS age FROM events WHERE value > 300),
+    ex AS (SELECT fp, max(ts) AS at, min(age) AS age FROM l WHERE NOT good AND NOT mute GROUP BY fp),
+    en AS (SELECT rule AS er, props AS y, bool_or(age <= 15) AS fresh, bool_or(age > 15) AS old FROM l WHERE NOT good GROUP BY ALL),
+    c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS fingerprint, {RULE_SQL} AS rule_id, props FROM events),
+    k AS (SELECT DISTINCT props, CAST(json_extract(props, '$.k') AS DOUBLE) * (6.283185307179586 / 100) AS k FROM events),
+    p AS (SELECT a.props AS x, b.props AS y, cos(a.k) * cos(b.k) + sin(a.k) * sin(b.k) AS sim FROM k a, k b),
+    b AS (SELECT x, rule_id, max(sim) FILTER (fresh) AS best, max(sim) FILTER (fresh AND er = rule_id) AS best_same, max(sim) FILTER (old) AS stale_best, max(sim) FILTER (old AND er = rule_id) AS stale_same
+          FROM p JOIN en USING (y) JOIN (SELECT DISTINCT rule_id, props AS x FROM c WHERE NOT regexp_matches(rule_id, '{memory.EXEMPT}')) USING (x) WHERE sim >= 0.82 GROUP BY ALL),
+    g AS (SELECT x, max(sim) AS reinforcement FROM p JOIN (SELECT DISTINCT props AS y FROM l WHERE good) USING (y) WHERE sim >= 0.8 GROUP BY x),
+    f AS (SELECT c.*, ex.at IS NOT NULL AND ex.age <= 20 AS exact_fresh, ex.at IS NOT NULL AND ex.age > 20 AS exact_stale, c.rule_id IN (SELECT rule FROM l WHERE mute) AS muted,
+                 coalesce(best_same, 0) >= 0.82 OR coalesce(best, 0) >= 0.93 AS alike, coalesce(stale_same, 0) >= 0.82 OR coalesce(stale_best, 0) >= 0.93 AS stale_alike, best, reinforcement
+          FROM c LEFT JOIN ex ON ex.fp = c.fingerprint LEFT JOIN b ON b.x = c.props AND b.rule_id = c.rule_id LEFT JOIN g ON g.x = c.props),
+    d AS (SELECT *, exact_fresh OR muted OR alike AS suppress FROM f)
+    SELECT fingerprint, rule_id, suppress, CASE WHEN exact_fresh THEN 'exact' WHEN muted THEN 'rule' WHEN alike THEN 'semantic' WHEN exact_stale THEN 'exact' WHEN stale_alike THEN 'semantic' END AS kind,
+           round(CASE WHEN NOT exact_fresh AND NOT muted AND alike THEN best END, 6) AS similarity, NOT suppress AND (exact_stale OR stale_alike) AS revalidate,
+           NOT suppress AND NOT exact_stale AND NOT stale_alike AND reinforcement IS NOT NULL AS reinforce,
+           round(CASE WHEN NOT suppress AND NOT exact_stale AND NOT stale_alike THEN reinforcement END, 6) AS reinforcement
+    FROM d
+"""
+
+
+@query(DECIDE_SQL)
+def decision_cascade(spark, sf_dir):
+    d = memory.decide(event_candidates(spark, sf_dir), strong_learnings(spark, sf_dir), NOW, embed=turned, exact_days=20, semantic_days=15)
+    return d.drop("stale_since").withColumn("similarity", F.round("similarity", 6)).withColumn("reinforcement", F.round("reinforcement", 6))
+
+
+@query(f"""
+    WITH x AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY user_id)
+    SELECT CAST(u.user_id AS VARCHAR) AS fingerprint, coalesce({AGE_SQL} <= 3, false) AS suppress, CASE WHEN ts IS NOT NULL THEN 'exact' END AS kind, coalesce({AGE_SQL} > 3, false) AS revalidate,
+           CASE WHEN {AGE_SQL} > 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END AS stale_since
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN x ON x.user_id = u.user_id
+""")
 def suppress_exact_decay(spark, sf_dir):
-    e = event_learnings(spark, sf_dir).filter("rule_id = 'error'")
-    last = e.groupBy("fingerprint").agg(F.max("at").alias("at"))
-    age = text.age_days(F.col("at"), F.lit(NOW))
-    return last.select("fingerprint", F.round(age, 6).alias("age"), (age <= 3).alias("suppress"))
+    """Dismissals of a security rule: only the same finding is suppressed, and only while they are fresh."""
+    e = event_learnings(spark, sf_dir).filter("rule_id = 'error'").withColumn("rule_id", F.lit("security.error")).withColumn("scope", F.lit("finding"))
+    c = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("fingerprint"), F.lit("security.error").alias("rule_id"), F.lit("x").alias("text"))
+    return memory.decide(c, e, NOW, embed=turned, exact_days=3).select("fingerprint", "suppress", "kind", "revalidate", "stale_since")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type <> (SELECT event_type FROM events ORDER BY value DESC, event_id LIMIT 1)")
+@query("SELECT DISTINCT CAST(event_id AS VARCHAR) AS fingerprint, event_type AS rule_id, event_type = 'error' AS suppress, CASE WHEN event_type = 'error' THEN 'rule' END AS kind FROM events")
 def suppress_rule_mute(spark, sf_dir):
+    """Mutes of a rule never age, and say nothing about other rules."""
     ev = table(spark, sf_dir, "events")
-    muted = ev.orderBy(F.desc("value"), "event_id").limit(1).select("event_type")
-    return ev.join(muted, "event_type", "left_anti").select("event_id", "user_id")
+    c = ev.select(F.col("event_id").cast("string").alias("fingerprint"), F.col("event_type").alias("rule_id"), F.lit('{"k": 0}').alias("text"))
+    mute = ev.filter("event_type = 'error'").select(F.lit("").alias("fingerprint"), F.col("event_type").alias("rule_id"), F.lit('{"k": 50}').alias("text"), F.lit("dismissed").alias("signal"), F.lit("rule").alias("scope"), iso("ts").alias("at"))
+    return memory.decide(c, mute, NOW, embed=turned, exact_days=0).select("fingerprint", "rule_id", "suppress", "kind")
+
+
+@query(f"SELECT event_id, mute OR age <= 20 AS exact_live, mute OR age <= 10 AS semantic_live FROM (SELECT event_id, event_type = 'error' AND value > 90 AS mute, {AGE_SQL} AS age FROM events)")
+def learnings_live(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", F.when((F.col("event_type") == "error") & (F.col("value") > 90), "rule").otherwise("finding").alias("scope"), iso("ts").alias("at"))
+    return memory.live(ev, NOW, exact_days=20, semantic_days=10).select("event_id", "exact_live", "semantic_live")
+
+
+@query(f"SELECT event_type, NOT regexp_matches(r, '{memory.EXEMPT}') AS eligible FROM (SELECT DISTINCT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'security.' WHEN event_type = 'error' THEN 'secret.' ELSE 'insecurity.' END || event_type AS r FROM events)")
+def rule_eligible(spark, sf_dir):
+    kind = F.col("event_type")
+    rule = F.concat(F.when(kind.isin("click", "view"), "security.").when(kind == "error", "secret.").otherwise("insecurity."), kind)
+    return table(spark, sf_dir, "events").select(kind).distinct().select("event_type", memory.eligible(rule).alias("eligible"))
 
 
 DOT_SQL = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -653,38 +749,15 @@ def reinforce(spark, sf_dir):
     return memory.similarity_pairs(v.filter("label = 1"), v.filter("label = 0"), 0.3).select(F.col("l").alias("id")).distinct()
 
 
-@query(f"""
-    WITH u AS (SELECT user_id, max(ts) FILTER (event_type = 'error') AS e, max(ts) FILTER (event_type = 'signup') AS s, bool_or(event_type = 'error' AND value > 99) AS muted, max(value) FILTER (event_type = 'view') / 100 AS best, max(value) FILTER (event_type = 'purchase') / 100 AS good FROM events GROUP BY user_id),
-    x AS (SELECT *, coalesce({AGE_SQL.replace('ts', 'e')} <= 1, false) AS fresh, e IS NOT NULL AND NOT coalesce({AGE_SQL.replace('ts', 'e')} <= 1, false) AS stale FROM u)
-    SELECT user_id, fresh OR coalesce(muted, false) OR coalesce(best, 0) >= 0.93 AS suppress,
-           CASE WHEN fresh THEN 'exact' WHEN coalesce(muted, false) THEN 'rule' WHEN coalesce(best, 0) >= 0.93 THEN 'semantic' WHEN stale THEN 'exact' END AS kind,
-           stale AND NOT (fresh OR coalesce(muted, false) OR coalesce(best, 0) >= 0.93) AS revalidate,
-           NOT (fresh OR coalesce(muted, false) OR coalesce(best, 0) >= 0.93) AND NOT stale AND good IS NOT NULL AS reinforce
-    FROM x
-""")
-def decision_cascade(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    only = lambda kind, c: F.max(F.when(F.col("event_type") == kind, c))
-    u = ev.groupBy("user_id").agg(only("error", iso("ts")).alias("exact_at"), F.max((F.col("event_type") == "error") & (F.col("value") > 99)).alias("muted"), (only("view", F.col("value")) / 100).alias("best"), (only("purchase", F.col("value")) / 100).alias("reinforcement"))
-    none = F.lit(None)
-    u = u.withColumn("best_same", none.cast("double")).withColumn("stale_best", none.cast("double")).withColumn("stale_same", none.cast("double")).withColumn("stale_at", none.cast("string"))
-    return memory.cascade(u, F.lit(NOW), exact_days=1).select("user_id", "suppress", "kind", "revalidate", "reinforce")
-
-
 @query("""
     WITH k AS (SELECT *, CASE WHEN event_type = 'error' AND value > 90 THEN 'rule:' || event_type ELSE 'fp:' || user_id END AS key FROM events)
-    SELECT key, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last FROM (SELECT key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS n FROM k) WHERE n = 1) GROUP BY key
+    SELECT key, CAST(1 AS BIGINT) AS n, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS last FROM k GROUP BY key
 """)
 def learning_upsert(spark, sf_dir):
     ev = event_learnings(spark, sf_dir)
-    ids = table(spark, sf_dir, "events").select("event_id", iso("ts").alias("at"), F.col("user_id").cast("string").alias("fingerprint"), F.col("event_type").alias("rule_id"))
-    late = ev.withColumn("at", F.col("at"))
-    old = late.filter("at < '2024-01-15'")
-    new = late.filter("at >= '2024-01-15'")
-    empty = old.limit(0)
-    store = memory.upsert(memory.upsert(empty, old), new)
-    rows = store.join(ids, ["at", "fingerprint", "rule_id"]).select(memory.learning_key().alias("key"), "event_id")
-    return rows.groupBy("key").agg(F.count_distinct(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    store = memory.upsert(ev.limit(0), ev.filter("at < '2024-01-15'"))
+    store = memory.upsert(store, ev.filter("at >= '2024-01-15'"))
+    return store.groupBy(memory.learning_key().alias("key")).agg(F.count("*").alias("n"), F.max("at").alias("last"))
 
 
 @query(f"""

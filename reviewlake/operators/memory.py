@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import memory_id
 from ..functions.text import age_days, dot, feature_hash, round3
@@ -39,17 +40,20 @@ def similarity_pairs(left: DataFrame, right: DataFrame, least: float, vec: str =
     equal.  Shorter vectors count as filled up with zeros; rows without a vector have no pair.
     """
     ship(left.sparkSession)
-    sides = [df.filter(F.col(vec).isNotNull()).select("id", *by, F.col(vec).cast("array<double>").alias("vec")) for df in (left, right)]
+    sides = [df.filter(F.col(vec).isNotNull()).select(F.col("id").alias(n), *[F.col(c).alias(c) for c in by], F.col(vec).cast("array<double>").alias("vec")) for df, n in ((left, "l"), (right, "r"))]
     blocks = [max(1, -(-df.count() // BLOCK_ROWS)) for df in sides]
 
     def dealt(k: int) -> DataFrame:
         own, other = ("__i", "__j") if k == 0 else ("__j", "__i")
-        df = sides[k].withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks[k])).cast("int"))
+        df = sides[k].withColumn(own, F.pmod(F.xxhash64("lr"[k]), F.lit(blocks[k])).cast("int"))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - k] - 1))))
 
-    kinds = [dict(df.dtypes)["id"] for df in sides]
+    kinds = [df.dtypes[0][1] for df in sides]
+    empty = pa.schema([*[(n, to_arrow_type(df.schema[n].dataType)) for n, df in zip("lr", sides, strict=True)], ("sim", pa.float64())]).empty_table()
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return empty
         (x, wide), (y, other) = _matrix(a), _matrix(b)
         x, y = (np.pad(m, ((0, 0), (0, max(wide, other) - m.shape[1]))) for m in (x, y))
         rows, cols, sims = [], [], []
@@ -60,7 +64,7 @@ def similarity_pairs(left: DataFrame, right: DataFrame, least: float, vec: str =
             cols.append(j)
             sims.append(got[i, j])
         at = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (rows, cols)]
-        return pa.table({"l": a.column("id").take(at[0]), "r": b.column("id").take(at[1]), "sim": pa.array(np.concatenate(sims) if sims else np.zeros(0), pa.float64())})
+        return pa.table({"l": a.column("l").take(at[0]), "r": b.column("r").take(at[1]), "sim": pa.array(np.concatenate(sims) if sims else np.zeros(0), pa.float64())})
 
     keys = [*by, "__i", "__j"]
     both = dealt(0).groupBy(*keys).cogroup(dealt(1).groupBy(*keys))

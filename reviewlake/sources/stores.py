@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.findings import DDL as FINDING_DDL
 from ..operators.memory import LEARNING_DDL, MEMORY_DDL
 
 
@@ -43,3 +44,18 @@ def load(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.read.schema(ddl).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], ddl)
+
+
+def report_rows(rows: DataFrame, col: str) -> DataFrame:
+    """Findings from a column of JSON documents, one a finding; other documents give none."""
+    return rows.select(F.from_json(F.col(col), FINDING_DDL).alias("f")).select("f.*").filter("id is not null")
+
+
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of a report that was written as JSON; none if it is missing or cannot be read."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], FINDING_DDL)
+    parsed = F.from_json("value", "findings array<string>")["findings"]
+    return report_rows(text.select(F.explode(parsed).alias("json")), "json")
