@@ -140,10 +140,14 @@ def cascade(rows: DataFrame, clock: Column, same_rule: float = SAME_RULE, any_ru
     )
 
 
+def candidate_text() -> Column:
+    """What findings are compared by."""
+    return F.concat_ws(" ", "rule_id", "title", "message")
+
+
 def apply(findings: DataFrame, learnings: DataFrame, now: str, **options) -> tuple[DataFrame, DataFrame]:
     """(kept, suppressed) findings with the decision's columns beside them."""
-    text = F.concat_ws(" ", "rule_id", "title", "message")
-    decided = decide(findings.select(F.col("id").alias("fingerprint"), "rule_id", text.alias("text")), learnings, now, **options)
+    decided = decide(findings.select(F.col("id").alias("fingerprint"), "rule_id", candidate_text().alias("text")), learnings, now, **options)
     both = findings.join(decided.drop("rule_id").withColumnRenamed("fingerprint", "id"), "id", "left")
     return both.filter(~F.col("suppress")), both.filter("suppress")
 

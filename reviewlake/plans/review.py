@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import complexity, external, findings, graph, heuristics, history, reports
+from ..sources.external import absent
 
 # Change sizes beyond which the deep collectors rest.
 MAX_FILES, MAX_LINES = 600, 30_000
@@ -33,8 +34,9 @@ class Context:
     files: DataFrame  # path, removed_count, added_count, is_new, is_deleted
     added: DataFrame  # path, file_ord, line, text
     mode: str = "working"
-    coverage: list[tuple[DataFrame, str]] = field(default_factory=list)  # (report, file, line, hits), label
-    mutants: DataFrame | None = None
+    coverage: list[tuple] = field(default_factory=list)  # (report, file, line, hits), label, epoch seconds of the report
+    mutants: list[tuple] = field(default_factory=list)  # (report, file, line, desc, no_coverage), epoch seconds of the report
+    modified: DataFrame | None = None  # path, modified: when changed files were last written
     commits: DataFrame | None = None
     existing: DataFrame | None = None
     tools: dict[str, DataFrame] = field(default_factory=dict)
@@ -49,6 +51,14 @@ class Context:
         live = self.files.filter(~F.col("is_deleted") & ~paths.is_generated(F.col("path"))).select("path").distinct()
         return self.added.join(live, "path", "left_semi")
 
+    def reported(self, when: float | None) -> DataFrame:
+        """Reviewable lines of files that did not change after a report; unknown times pass."""
+        lines = self.reviewable()
+        if when is None or self.modified is None:
+            return lines
+        timed = lines.join(self.modified.select("path", "modified"), "path", "left").withColumn("__at", F.timestamp_micros(F.lit(int(when * 1e6))))
+        return reports.fresh(timed, "modified", "__at").drop("modified", "__at")
+
 
 class Collector(Protocol):
     name: str
@@ -87,8 +97,8 @@ COLLECTORS: list[Collector] = [
     Simple("secrets", lambda c: heuristics.secrets(c.reviewable())),
     Simple("heuristics", lambda c: heuristics.run(c.reviewable())),
     Simple("external", _external),
-    Simple("coverage", lambda c: findings.union([reports.coverage_findings(c.reviewable(), rows, label) for rows, label in c.coverage]) if c.coverage else None),
-    Simple("mutation", lambda c: reports.mutation_findings(c.reviewable(), c.mutants) if c.mutants is not None else None),
+    Simple("coverage", lambda c: findings.union([reports.coverage_findings(c.reported(when), rows, label) for rows, label, when in c.coverage]) if c.coverage else None),
+    Simple("mutation", lambda c: findings.union([reports.mutation_findings(c.reported(when), rows) for rows, when in c.mutants]) if c.mutants else None),
     Simple("history", _history),
     Simple("blast-radius", lambda c: graph.blast_findings(c.symbols, c.reviewable(), c.edges, c.occurrences) if c.symbols is not None and c.edges is not None else None, deep=True),
     Simple("complexity", lambda c: complexity.complexity_findings(*c.functions, c.reviewable()) if c.functions else None, deep=True),
@@ -106,7 +116,7 @@ class Report:
         return findings.summary(self.findings, suppressed)
 
 
-def review(ctx: Context, collectors: list[Collector] | None = None, deep: bool = True) -> Report:
+def review(ctx: Context, collectors: list[Collector] | None = None, deep: bool = True, home: str | None = None) -> Report:
     """Run the collectors, keep the first of equal findings, and put them in order.
 
     The size check is the one action; everything else is one lazy plan.
@@ -126,10 +136,5 @@ def review(ctx: Context, collectors: list[Collector] | None = None, deep: bool =
             ran.append(c.name)
     rows = findings.union(parts) if parts else ctx.spark.createDataFrame([], findings.DDL)
     kept = findings.in_order(findings.first_wins(rows)).drop(*findings.ORDINALS) if parts else rows
-    return Report(kept, notes, ran, external_absent())
-
-
-def external_absent() -> list[str]:
-    from ..sources.external import absent
+    return Report(kept, notes, ran, absent(home))
 
-    return absent()

@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..analysis import tables
+from ..functions import paths
 from ..functions.text import feature_hash
 from ..operators import anchors, audit, graph, memory
 from ..operators.inspect import Repository, inspect
-from ..sources import contract, git, scip, stores, unified_diff
+from ..sources import contract, external, git, scip, stores, unified_diff
 from ..sources import reports as readers
 from . import sinks
 from .review import Context, Report, review
 
 
+# Fixed value: changed files whose exports a review asks to trace.
+CHANGED_SHOWN = 20
+
+
 @dataclass
 class Tools:
     """Reviews of one work tree, with its learned feedback below ``home``."""
@@ -36,12 +41,20 @@ class Tools:
         names = [r["path"] for r in unified_diff.changed_list(files).collect()]
         head = git.head_files(self.spark, self.root).filter(F.col("path").isin(names)) if names else None
         ctx = Context(self.spark, files, added, mode.kind)
+        if head is not None:
+            ctx.modified = head.select("path", "modified")
         if (found := readers.find_coverage(self.root)) is not None:
             rows = readers.normalized(readers.coverage(readers.read_report(self.spark, found), found), self.root)
-            ctx.coverage.append((rows, os.path.relpath(found, self.root)))
-        parts = [(readers.stryker if p.endswith(".json") else readers.cargo_mutants)(readers.read_report(self.spark, p)) for p in readers.find_mutation(self.root)]
-        if parts:
-            ctx.mutants = readers.normalized(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], self.root)
+            ctx.coverage.append((rows, os.path.relpath(found, self.root), os.path.getmtime(found)))
+        for p in readers.find_mutation(self.root):
+            rows = (readers.stryker if p.endswith(".json") else readers.cargo_mutants)(readers.read_report(self.spark, p))
+            ctx.mutants.append((readers.normalized(rows, self.root), os.path.getmtime(p)))
+        left = external.find(self.root)
+        ctx.tools = {t: external.read(readers.read_report(self.spark, p), t, self.root) for t, p in left.items() if not t.startswith("osv")}
+        locks = [p for p in names if os.path.basename(p).lower() in paths.LOCK_FILES]
+        if "osv" in left and locks:
+            base = external.osv(readers.read_report(self.spark, left["osv-base"])) if "osv-base" in left else None
+            ctx.vulnerabilities = (external.osv(readers.read_report(self.spark, left["osv"])), base, locks[0])
         if mode.kind != "all":
             try:
                 ctx.commits = git.parse_log(self.spark.createDataFrame([(git.log_text(self.root),)], "raw string"))
@@ -59,10 +72,25 @@ class Tools:
         return ctx
 
     def learnings(self) -> DataFrame:
-        return stores.load(self.spark, os.path.join(self.home, "learnings"), memory.LEARNING_DDL)
+        """The store; until one was saved, what a JSON file of an earlier tool holds."""
+        return self._stored("learnings", memory.LEARNING_DDL, stores.learnings)
 
     def memories(self) -> DataFrame:
-        return stores.load(self.spark, os.path.join(self.home, "memories"), memory.MEMORY_DDL)
+        return self._stored("memories", memory.MEMORY_DDL, stores.memories)
+
+    def _stored(self, name: str, ddl: str, earlier) -> DataFrame:
+        path = os.path.join(self.home, name)
+        return stores.load(self.spark, path, ddl) if os.path.isdir(path) else earlier(self.spark, path + ".json").select(*[f.split()[0] for f in ddl.split(", ")])
+
+    def changed_symbols(self, ctx: Context, mode: git.Mode, most: int = CHANGED_SHOWN) -> DataFrame:
+        """(line): ``file: a, b`` for the first changed files whose exports the hunks touch."""
+        if ctx.symbols is None:
+            return self.spark.createDataFrame([], "line string")
+        index = unified_diff.anchor_index(git.patches(self.spark, self.root, mode))
+        hunks = index.groupBy(F.col("path").alias("file"), "hunk_idx").agg(F.min("new_line").alias("lo"), F.max("new_line").alias("hi"))
+        own = ctx.symbols.filter("exported").select("file", "name", F.col("start_line").alias("line"))
+        rows = graph.changed_exports(own, hunks).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+        return rows.orderBy("file").limit(most).select(F.concat("file", F.lit(": "), "names").alias("line"))
 
     def ledger(self) -> DataFrame:
         return self.spark.createDataFrame(self.ledger_rows, "repo string, seq long, event string, key string, value string")
@@ -80,18 +108,24 @@ class Tools:
 
     def floor(self, mode: git.Mode = git.Mode()) -> DataFrame:
         """Findings after the contract, before learned suppression."""
-        rows = contract.policy(review(self.context(mode)).findings, self.preferences()).filter("reason is null").drop("reason")
+        rows = contract.policy(review(self.context(mode), home=self.home).findings, self.preferences()).filter("reason is null").drop("reason")
         for r in rows.select("id").collect():
             self._note_event("floor", r["id"])
         return rows
 
     def review(self, now: str, mode: git.Mode = git.Mode(), apply_learnings: bool = True, scip_path: str | None = None) -> tuple[Report, DataFrame]:
-        """(report of kept findings, suppressed findings); starts the ledger anew."""
-        report = review(self.context(mode, scip_path))
+        """(report of kept findings, suppressed findings); starts the ledger anew.
+
+        The ledger gets the floor's findings and the changed exports whose users are to be traced.
+        """
+        ctx = self.context(mode, scip_path)
+        report = review(ctx, home=self.home)
         kept = contract.policy(report.findings, self.preferences()).filter("reason is null").drop("reason").cache()
         self._note_event("start")
         for r in kept.select("id").collect():
             self._note_event("floor", r["id"])
+        for r in audit.parse_symbols(self.changed_symbols(ctx, mode)).collect():
+            self._note_event("symbol", r["symbol"], r["file"])
         suppressed = kept.limit(0)
         if apply_learnings:
             kept, suppressed = memory.apply(kept, self.learnings(), now)
@@ -118,14 +152,32 @@ class Tools:
         new = self.spark.createDataFrame([(fid, rule_id, text, signal, scope, now)], memory.LEARNING_DDL)
         self._save(memory.upsert(self.learnings(), new), "learnings")
 
-    def dismiss(self, fid: str, rule_id: str, text: str, now: str) -> None:
+    def _finding(self, fid: str, mode: git.Mode, rule_id: str | None, text: str | None) -> tuple[str, str]:
+        """Rule and text of a finding: what the caller says, else what the change shows now, else nothing to go by."""
+        if text is None:
+            found = review(self.context(mode)).findings.filter(F.col("id") == fid).select("rule_id", memory.candidate_text().alias("text")).first()
+            if found is not None:
+                return found["rule_id"], found["text"]
+        return rule_id or "unknown", text or ""
+
+    def dismiss(self, fid: str, now: str, rule_id: str | None = None, text: str | None = None, mode: git.Mode = git.Mode()) -> None:
+        """Teach that a finding is noise, by its id; without a text it is looked up in the change."""
+        rule_id, text = self._finding(fid, mode, rule_id, text)
         self._learn(fid, rule_id, text, "dismissed", "finding", now)
         self._note_event("dismissed", fid)
 
-    def accept(self, fid: str, rule_id: str, text: str, now: str) -> None:
+    def accept(self, fid: str, now: str, rule_id: str | None = None, text: str | None = None, mode: git.Mode = git.Mode()) -> None:
+        """Teach that a finding is real, and remember its text."""
+        rule_id, text = self._finding(fid, mode, rule_id, text)
         self._learn(fid, rule_id, text, "accepted", "finding", now)
+        if text:
+            self.note(text, now, kind="accepted")
         self._note_event("accepted", fid)
-        self.note(text, now, kind="accepted")
+
+    def index(self) -> str:
+        """Build an index of exact references, if an indexer is installed; later reviews find it."""
+        path = scip.build(self.root)
+        return f"indexed: {scip.load(self.spark, path).count()} occurrences in {os.path.relpath(path, self.root)}" if path else "no indexer is installed, or it failed; the import graph answers"
 
     def mute(self, rule_id: str, now: str) -> None:
         self._learn("", rule_id, rule_id, "dismissed", "rule", now)

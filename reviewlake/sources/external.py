@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 from ..functions import paths, severity
 
 TOOLS = ("semgrep", "ast-grep", "gitleaks", "osv-scanner")
+#: Where reports are looked for, and their names.
+PLACE = ".review/reports"
+REPORTS = {"semgrep": "semgrep.sarif", "ast-grep": "ast-grep.json", "gitleaks": "gitleaks.json", "osv": "osv.json", "osv-base": "osv-base.json"}
 SARIF = "struct<runs:array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>>>>>>"
 AST_GREP = "array<struct<ruleId:string,file:string,range:struct<start:struct<line:bigint>>,message:string,severity:string>>"
 GITLEAKS = "array<struct<RuleID:string,Description:string,File:string,StartLine:bigint>>"
 OSV = "struct<results:array<struct<packages:array<struct<package:struct<name:string,ecosystem:string,version:string>,vulnerabilities:array<struct<id:string,summary:string>>>>>>>"
 
 
-def absent() -> list[str]:
-    """Tools that are not installed, for the report's note."""
-    return [t for t in TOOLS if shutil.which(t) is None]
+def absent(home: str | None = None) -> list[str]:
+    """Tools that cannot run here, for the report's note: not installed, or a scanner without a local rule set."""
+    out = [t for t in TOOLS if shutil.which(t) is None]
+    if home and "semgrep" not in out and offline_ruleset(home) is None:
+        out.append("semgrep (no local rule set)")
+    return out
 
 
 def offline_ruleset(home: str, variable: str = "RULESET") -> str | None:
@@ -31,6 +37,18 @@ def offline_ruleset(home: str, variable: str = "RULESET") -> str | None:
     return default if os.path.exists(default) else None
 
 
+def find(root: str, folder: str = PLACE) -> dict[str, str]:
+    """The reports that tools left below a root, by tool; ``osv-base`` is the one of the base."""
+    found = {tool: os.path.join(root, folder, name) for tool, name in REPORTS.items()}
+    return {tool: path for tool, path in found.items() if os.path.isfile(path)}
+
+
+def read(reports: DataFrame, tool: str, root: str) -> DataFrame:
+    """(rule, file, line, severity, message) of one tool's (text) reports, files relative to the root."""
+    rows = sarif(reports, root) if tool == "semgrep" else ast_grep(reports) if tool == "ast-grep" else gitleaks(reports)
+    return rows.withColumn("file", paths.relative(F.col("file"), root))
+
+
 def _or(c: str, default) -> F.Column:
     return F.coalesce(F.col(c), F.lit(default))
 

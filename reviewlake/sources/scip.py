@@ -7,6 +7,8 @@ reads the binary column; no jar is involved.
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +21,8 @@ DOCUMENTS, PATH, OCCURRENCES = 2, 1, 2
 RANGE, SYMBOL, ROLES = 1, 2, 3
 DEFINITION = 1
 PLACES = ("index.scip", ".cache/index.scip")
+#: Indexers that are tried, in this order, and how each is asked for an index.
+INDEXERS = (("scip-typescript", "index", "--output", "{out}"), ("scip-python", "index", "--output", "{out}"), ("rust-analyzer", "scip", ".", "--output", "{out}"))
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -70,7 +74,7 @@ def occurrences(data: bytes) -> Iterator[tuple[str, int, str, bool]]:
                 elif f == ROLES and isinstance(v, int):
                     roles = v
             if symbol and not symbol.startswith("local "):
-                yield path, (line or 0) + 1, symbol, bool(roles & DEFINITION)
+                yield path.replace("\\", "/"), (line or 0) + 1, symbol, bool(roles & DEFINITION)
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -98,3 +102,13 @@ def find(root: str, explicit: str | None = None) -> str | None:
     if explicit:
         return explicit if os.path.isfile(explicit) else None
     return next((p for p in (os.path.join(root, n) for n in PLACES) if os.path.isfile(p)), None)
+
+
+def build(root: str) -> str | None:
+    """Let the first installed indexer write an index below the root; None if there is none or it fails."""
+    out = os.path.join(root, PLACES[0])
+    for command in INDEXERS:
+        if shutil.which(command[0]):
+            done = subprocess.run([a.format(out=out) for a in command], cwd=root, capture_output=True)
+            return out if done.returncode == 0 and os.path.isfile(out) else None
+    return None

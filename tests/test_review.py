@@ -1,10 +1,14 @@
+import json
+import os
 import subprocess
+import time
 
 import pytest
 
 from reviewlake.plans.review import COLLECTORS, Context, Simple, review
+from reviewlake.plans import sinks
 from reviewlake.plans.tools import Tools
-from reviewlake.sources import git
+from reviewlake.sources import git, stores
 
 NOW = "2026-06-09T00:00:00Z"
 
@@ -36,7 +40,7 @@ def test_review_end_to_end(spark, work_tree, tmp_path):
     assert rows["impact.blast-radius"]["blast_radius"]["direct_callers"] == 3
     assert hidden.count() == 0 and "heuristics" in report.collectors_run
     own = rows["hygiene.debug-console"]
-    tools.dismiss(own["id"], own["rule_id"], "x", NOW)
+    tools.dismiss(own["id"], NOW, own["rule_id"], "x")
     report, hidden = tools.review(NOW)
     assert own["id"] not in {r["id"] for r in report.findings.collect()} and hidden.count() == 1
     assert "Audit" in tools.report([r["id"] for r in report.findings.collect()])
@@ -47,6 +51,84 @@ def test_review_end_to_end(spark, work_tree, tmp_path):
     assert tools.pr_review(f, "s").first()["comments"][0]["line"] == 2
 
 
+def report(root, name, value):
+    path = root / ".review/reports" / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(value))
+
+
+@pytest.fixture
+def own_tree(tmp_path):
+    root = tmp_path / "own"
+    (root / "src").mkdir(parents=True)
+    run(root, "init", "-q")
+    (root / "src/a.ts").write_text("export function f(x) {\n  return x;\n}\n\nexport function g(x) {\n  return x;\n}\n")
+    (root / "package-lock.json").write_text("{}\n")
+    (root / "src/u.ts").write_text("import { f } from './a';\n")
+    run(root, "add", ".")
+    run(root, "commit", "-qm", "first")
+    (root / "src/a.ts").write_text("export function f(x) {\n  console.log(x);\n  return x;\n}\n\nexport function g(x) {\n  debugger;\n  return x;\n}\n")
+    (root / "package-lock.json").write_text("{ }\n")
+    return root
+
+
+def test_reports_of_other_tools_give_findings(spark, own_tree, tmp_path):
+    at = lambda uri, line: {"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line}}}
+    report(own_tree, "semgrep.sarif", {"runs": [{"results": [{"ruleId": "taint", "level": "error", "message": {"text": "m"}, "locations": [at(str(own_tree / "src/a.ts"), 2)]}, {"ruleId": "old", "locations": [at("src/a.ts", 3)]}]}]})
+    report(own_tree, "gitleaks.json", [{"RuleID": "key", "Description": "d", "File": "src/a.ts", "StartLine": 1}])
+    bad = lambda *ids: {"results": [{"packages": [{"package": {"name": "p", "ecosystem": "npm", "version": "1"}, "vulnerabilities": [{"id": i, "summary": "s"} for i in ids]}]}]}
+    report(own_tree, "osv.json", bad("V-1", "V-2"))
+    report(own_tree, "osv-base.json", bad("V-1"))
+    tools = Tools(spark, str(own_tree), str(tmp_path / "home"))
+    rows = {r["rule_id"]: r for r in tools.review(NOW)[0].findings.collect()}
+    assert rows["semgrep.taint"]["severity"] == "high" and rows["gitleaks.key"]["file"] == "src/a.ts" and rows["supplychain.V-2"]["file"] == "package-lock.json"
+    assert "semgrep.old" not in rows and "supplychain.V-1" not in rows  # not on an added line; known before
+    assert not any(r.startswith("gitleaks") for r in {x["rule_id"] for x in tools.floor(git.Mode("base", "HEAD")).collect()})
+
+
+@pytest.mark.parametrize("age,found", [(-3600, True), (3600, False)])
+def test_stale_reports_say_nothing(spark, own_tree, tmp_path, age, found):
+    (own_tree / "lcov.info").write_text("SF:src/a.ts\nDA:2,0\nend_of_record\n")
+    (own_tree / "mutants.out").mkdir()
+    (own_tree / "mutants.out/missed.txt").write_text("src/a.ts:2:3: replace f\n")
+    now = time.time()
+    os.utime(own_tree / "src/a.ts", (now + age, now + age))
+    rules = {r["rule_id"] for r in Tools(spark, str(own_tree), str(tmp_path / "home")).floor().collect()}
+    assert ("tests.uncovered-added-lines" in rules) == found == ("tests.surviving-mutant" in rules)
+
+
+def test_audit_traces_changed_exports(spark, own_tree, tmp_path):
+    tools = Tools(spark, str(own_tree), str(tmp_path / "home"))
+    got, _ = tools.review(NOW)
+    kept = [r["id"] for r in got.findings.collect()]
+    assert "0/2 changed exports traced" in tools.report(kept)
+    tools.inspect("callers", "f")
+    text = tools.report(kept)
+    assert "1/2 changed exports traced" in text and "never inspected: g (src/a.ts)" in text
+    assert "no indexer" in tools.index()
+
+
+def test_feedback_by_id_alone(spark, own_tree, tmp_path):
+    home = tmp_path / "home"
+    home.mkdir()
+    (home / "learnings.json").write_text(json.dumps({"version": 1, "entries": [{"fingerprint": "z", "rule_id": "r", "text": "t", "signal": "dismissed", "scope": "finding", "at": NOW}]}))
+    tools = Tools(spark, str(own_tree), str(home))
+    assert tools.learnings().count() == 1  # an earlier tool's file
+    rows = {r["rule_id"]: r["id"] for r in tools.floor().collect()}
+    tools.dismiss(rows["hygiene.debug-console"], NOW)
+    tools.accept(rows["hygiene.debugger-statement"], NOW)
+    tools.dismiss("gone", NOW, rule_id="x.y")
+    store = {r["fingerprint"]: r for r in tools.learnings().collect()}
+    assert store[rows["hygiene.debug-console"]]["text"].startswith("hygiene.debug-console Debug console")
+    assert store["gone"]["rule_id"] == "x.y" and store["gone"]["text"] == "" and "z" in store
+    assert tools.recall("debugger statement").first()["kind"] == "accepted"
+    got, hidden = tools.review(NOW)
+    assert rows["hygiene.debug-console"] in {r["id"] for r in hidden.collect()}
+    path = tmp_path / "report.json"
+    path.write_text(sinks.report_json(got.findings, got.summary()))
+    assert {r["id"] for r in stores.report(spark, str(path)).collect()} == {r["id"] for r in got.findings.collect()} and stores.report(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_modes(work_tree):
     assert "console.log" in git.diff_text(str(work_tree), git.Mode("working"))
     assert git.diff_text(str(work_tree), git.Mode("staged")) == ""
