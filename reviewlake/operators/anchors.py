@@ -24,7 +24,7 @@ def anchor(findings: DataFrame, index: DataFrame, keys: list[str] | None = None)
     keys = keys or []
     end = F.coalesce("end_line", "line")
     rows = findings.withColumn("__lo", F.least("line", end)).withColumn("__hi", F.greatest("line", end))
-    at = index.select(*keys, F.col("path").alias("file"), "new_line", "hunk_idx").dropDuplicates([*keys, "file", "new_line"])
+    at = index.groupBy(*keys, F.col("path").alias("file"), "new_line").agg(F.min("hunk_idx").alias("hunk_idx"))
     for side in ("lo", "hi"):
         own = at.withColumnRenamed("new_line", f"__{side}").withColumnRenamed("hunk_idx", f"__h{side}")
         rows = rows.join(own, [*keys, "file", f"__{side}"], "left")
