@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, exact_dedup, jaccard, langid, linededup, packing, pii, quality, tokens, topk
+from . import chunked_bpe, exact_dedup, jaccard, langid, linededup, packing, pii, quality, rankfile, resampling, tokens, topk, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_langid, op4_quality, op5_pii, op6_packing, op7_line_dedup, op8_jaccard, op9_exact_dedup, op10_token_counts)}
+def op11_rank_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rankfile.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed="2024", least_words=20, percent=10)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32, scale=64)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk, op2_bpe, op3_langid, op4_quality, op5_pii, op6_packing, op7_line_dedup, op8_jaccard, op9_exact_dedup, op10_token_counts, op11_rank_file, op12_resampling, op13_whitening)
+}
 
 ORACLE_SQL = {
     "op1_topk": """
@@ -88,6 +104,37 @@ ORACLE_SQL = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_resampling": r"""
+        WITH nibble AS (  -- what a half byte adds to a CRC
+            SELECT list(list_reduce([i, 1, 2, 3, 4], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(16) r(i)
+        ), occurrence AS (
+            SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+            UNION ALL
+            SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+        ), counted AS (
+            SELECT side, doc_id, word, count(*) AS n FROM occurrence GROUP BY ALL
+        ), digits AS (
+            SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM counted)
+        ), halves AS (  -- half bytes, the lower one of each byte first
+            SELECT word, list_transform(range(length(h)), lambda k: CAST(instr('0123456789ABCDEF', h[k + 2 - 2 * (k % 2)]) - 1 AS BIGINT)) AS v FROM digits
+        ), bucket AS (
+            SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), v), lambda a, b: xor(a >> 4, t[(xor(a, b) & 15) + 1])), 4294967295) % 10000 AS k FROM halves, nibble
+        ), total AS (
+            SELECT k, CAST(sum(n) FILTER (side = 'd') AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS DOUBLE) AS t FROM counted JOIN bucket USING (word) GROUP BY k
+        ), gain AS (
+            SELECT k, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS g FROM total
+        ), weighed AS (
+            SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight
+            FROM counted JOIN bucket USING (word) JOIN gain USING (k) WHERE side = 'd' GROUP BY doc_id
+        ), scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM documents LEFT JOIN weighed USING (doc_id)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
