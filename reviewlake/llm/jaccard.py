@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_bytes, mix64, only_ids, portions, release, session, stored, text_bytes
+from .common import BROADCAST_IDS, connected_components, input_bytes, mix64, only_ids, portions, release, session, stored, text_bytes
 
 #: MB of input text for each bucket of signatures, and the most buckets that 24 bits can name.
 BUCKET_MB, MOST_BUCKETS = 2.0, 1 << 24
@@ -425,18 +425,54 @@ def _candidates(shared: DataFrame, info: DataFrame, names: DataFrame, groups: Da
     return pays.join(probes, "sig").filter(fits).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
+def _apart(docs: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, names) where each text of an id in ``several`` is a node of its own.
+
+    ``names`` has (id, doc): the node, a hash of id and text, and the id it belongs to.  It is
+    filled for those nodes only.
+    """
+    if several.count() <= BROADCAST_IDS:
+        several = F.broadcast(several)
+    docs = docs.join(several.withColumn("many", F.lit(True)), "id", "left")
+    docs = docs.select(F.when(F.col("many"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("id"), "text", F.when(F.col("many"), F.col("id")).alias("doc"))
+    names = docs.filter("doc is not null").select("id", "doc").distinct()
+    return docs.select("id", "text"), names
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """One row per document: id, n_shingles and component_id, the smallest id reachable.
 
     Documents link when their shingle sets have Jaccard similarity p/q or more.  Null texts
     and texts without words have no shingles and link with nothing.  Rows that share an id
-    are one node with several texts; rows with a null id come back with a null component.
+    are one node with several texts: each text finds its links as if it had an id of its own,
+    then those of one id are tied together.  Rows with a null id come back with a null component.
     """
-    spark = session(df)
-    bands = Bands(p, q)
+    session(df)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = docs.filter("id is not null")
     profile = stored(profiles(docs, width), "profiles")
+    # Ids with unlike sets; sets that are equal need no names of their own.
+    unlike = F.struct("n", "k1", "k2")
+    several = profile.filter("id is not null").groupBy("id").agg((F.min(unlike) != F.max(unlike)).alias("many")).filter("many").select("id")
+    several = stored(several, "several")
+    if several.isEmpty():
+        final = _components(docs, profile, width, p, q, input_bytes(df), None).withColumnRenamed("node", "id")
+        out = profile.join(final, "id", "left")
+        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    docs, names = _apart(docs, several)
+    names = stored(names, "texts")
+    profile = stored(profiles(docs, width), "profiles")
+    ties = names.select(F.col("doc").alias("u"), F.col("id").alias("v"))
+    final = stored(_components(docs, profile, width, p, q, input_bytes(df), ties).withColumnRenamed("node", "id"), "names")
+    real = final.join(names, "id", "left_anti").groupBy("component").agg(F.min("id").alias("low"))
+    out = profile.join(final.join(real, "component"), "id", "left").join(names, "id", "left")
+    doc = F.coalesce("doc", "id")
+    return out.select(doc.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", doc).alias("component_id"))
+
+
+def _components(docs: DataFrame, profile: DataFrame, width: int, p: int, q: int, size: int, ties: DataFrame | None) -> DataFrame:
+    """(node, component) of (id, text) rows in which an id has one set; ``ties`` are links of other kinds."""
+    bands = Bands(p, q)
+    known = docs.filter("id is not null")
     # (1) equal sets: the smallest id of a class stands for it
     sets = profile.filter("n > 0 and id is not null")
     classes = sets.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last")
@@ -444,7 +480,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty = profile.filter("n = 0 and id is not null").select("id")
     # (2) signatures of representatives
     alone = only_ids(known, copies.select("id").union(empty).distinct(), "left_anti")
-    buckets = int(min(MOST_BUCKETS, max(32, input_bytes(df) / (BUCKET_MB * 1e6))))
+    buckets = int(min(MOST_BUCKETS, max(32, size / (BUCKET_MB * 1e6))))
     found = stored(_shared_signatures(alone, bands, width, buckets), "signatures")
     shared = found.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("id"), F.col("c").alias("flags"), F.col("d").alias("unit"))
     info = found.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n"), F.min("c").alias("spare"))
@@ -467,6 +503,5 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # (5) what may still link different components and pivots
     more = stored(verified(known, stored(_candidates(shared, info, names, groups, bands), "pairs"), width, p, q), "links")
     same = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    final = connected_components(links.union(more).union(same)).withColumnRenamed("node", "id")
-    out = profile.join(final, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    every = links.union(more).union(same)
+    return connected_components(every if ties is None else every.union(ties))

@@ -163,6 +163,28 @@ def test_jaccard_odd_tables(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_ids_with_unlike_texts(spark):
+    """Near copies, copies, empty texts and others under one id, against brute force over all rows."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base = [[word() for _ in range(150)] for _ in range(12)]
+    rows = [(1, "w" + " w".join(map(str, range(400)))), (2, "w" + " w".join(map(str, [*range(399), 7000]))), (2, " ".join(word() for _ in range(30)))]
+    for k in range(90):
+        i = rng.randrange(10, 50)
+        d = list(base[rng.randrange(12)])
+        for _ in range(rng.choice([0, 0, 1, 2, 9])):
+            d[rng.randrange(len(d))] = word()
+        rows.append((i, rng.choice([" ".join(d), " ".join(d), " ".join(d), "", None, " ".join(word() for _ in range(20))])))
+    rows += [(None, " ".join(base[0])), (None, None), (-5, " ".join(base[1][:-1]))]
+    sets = [shingles(t or "") for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if rows[a][0] is not None and rows[b][0] is not None and sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = components({i: None for i, _ in rows if i is not None}, [(rows[a][0], rows[b][0]) for a, b in links])
+    got = jaccard.jaccard_components(spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, doc int")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(((i, len(s), want.get(i)) for (i, _), s in zip(rows, sets, strict=True)), key=key)
+    assert want[2] == 1
+
+
 def test_jaccard_around_a_hot_pivot(spark):
     """One text is near to several hundred others that are not all near to each other."""
     rng = random.Random(21)
