@@ -641,9 +641,9 @@ def turned(s: F.Column) -> F.Column:
 RULE_SQL = "CASE WHEN event_type = 'click' THEN 'security.click' ELSE event_type END"
 
 
-def strong_learnings(spark, sf_dir) -> DataFrame:
-    """Feedback: events of a high value; clicks are of a rule that no similarity suppresses."""
-    ev = table(spark, sf_dir, "events").filter("value > 300")
+def all_learnings(spark, sf_dir) -> DataFrame:
+    """Every event is feedback; clicks are of a rule that no similarity suppresses."""
+    ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").cast("string").alias("fingerprint"), F.expr(RULE_SQL).alias("rule_id"), F.col("props").alias("text"), F.when(F.col("event_type") == "purchase", "accepted").otherwise("dismissed").alias("signal"), F.when((F.col("event_type") == "error") & (F.col("value") > 340), "rule").otherwise("finding").alias("scope"), iso("ts").alias("at"))
 
 
@@ -652,7 +652,7 @@ def event_candidates(spark, sf_dir) -> DataFrame:
 
 
 DECIDE_SQL = f"""
-    WITH l AS (SELECT CAST(user_id AS VARCHAR) AS fp, {RULE_SQL} AS rule, props, event_type = 'purchase' AS good, event_type = 'error' AND value > 340 AS mute, ts, {AGE_SQL} AS age FROM events WHERE value > 300),
+    WITH l AS (SELECT CAST(user_id AS VARCHAR) AS fp, {RULE_SQL} AS rule, props, event_type = 'purchase' AS good, event_type = 'error' AND value > 340 AS mute, ts, {AGE_SQL} AS age FROM events),
     ex AS (SELECT fp, max(ts) AS at, min(age) AS age FROM l WHERE NOT good AND NOT mute GROUP BY fp),
     en AS (SELECT rule AS er, props AS y, bool_or(age <= 15) AS fresh, bool_or(age > 15) AS old FROM l WHERE NOT good GROUP BY ALL),
     c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS fingerprint, {RULE_SQL} AS rule_id, props FROM events),
@@ -675,7 +675,7 @@ DECIDE_SQL = f"""
 
 @query(DECIDE_SQL)
 def decision_cascade(spark, sf_dir):
-    d = memory.decide(event_candidates(spark, sf_dir), strong_learnings(spark, sf_dir), NOW, embed=turned, exact_days=20, semantic_days=15)
+    d = memory.decide(event_candidates(spark, sf_dir), all_learnings(spark, sf_dir), NOW, embed=turned, exact_days=20, semantic_days=15)
     return d.drop("stale_since").withColumn("similarity", F.round("similarity", 6)).withColumn("reinforcement", F.round("reinforcement", 6))
 
 

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import memory_id
 from ..functions.text import age_days, dot, feature_hash, round3
 from ..runtime import checkpoint, ship
+from .components import components
+from .similarity import alike, earlier_near, matrix, near_forest, similarity_pairs
 
 # Similarities and lifetimes in days.
 SAME_RULE, ANY_RULE, REINFORCE, DUPLICATE = 0.82, 0.93, 0.80, 0.97
@@ -22,8 +23,8 @@ RECALL_LIMIT, RECALL_LEAST = 5, 0.2
 
 LEARNING_DDL = "fingerprint string, rule_id string, text string, signal string, scope string, at string"
 MEMORY_DDL = "id string, kind string, text string, scope string, file string, ts string, embedding array<double>"
-#: Vectors in a block and rows of it that are multiplied at a time.
-BLOCK_ROWS, STRIP_ROWS = 8_000, 512
+#: Rows of a component that one task settles, and of those too large for that the rows of a round.
+GIANT_ROWS, GIANT_BLOCK = 20_000, 4096
 
 Embedder = Callable[[Column], Column]
 
@@ -32,56 +33,6 @@ def eligible(rule_id: Column) -> Column:
     return ~F.rlike(rule_id, F.lit(EXEMPT))
 
 
-def similarity_pairs(left: DataFrame, right: DataFrame, least: float, vec: str = "vec", by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (l, r, sim) of ids whose vectors have a dot product of at least ``least``.
-
-    Both sides are dealt in blocks and every two blocks meet in a task of their own, as one
-    matrix product: no task holds a side whole.  Rows meet only where the columns ``by`` are
-    equal.  Shorter vectors count as filled up with zeros; rows without a vector have no pair.
-    """
-    ship(left.sparkSession)
-    sides = [df.filter(F.col(vec).isNotNull()).select(F.col("id").alias(n), *[F.col(c).alias(c) for c in by], F.col(vec).cast("array<double>").alias("vec")) for df, n in ((left, "l"), (right, "r"))]
-    blocks = [max(1, -(-df.count() // BLOCK_ROWS)) for df in sides]
-
-    def dealt(k: int) -> DataFrame:
-        own, other = ("__i", "__j") if k == 0 else ("__j", "__i")
-        df = sides[k].withColumn(own, F.pmod(F.xxhash64("lr"[k]), F.lit(blocks[k])).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - k] - 1))))
-
-    kinds = [df.dtypes[0][1] for df in sides]
-    empty = pa.schema([*[(n, to_arrow_type(df.schema[n].dataType)) for n, df in zip("lr", sides, strict=True)], ("sim", pa.float64())]).empty_table()
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty
-        (x, wide), (y, other) = _matrix(a), _matrix(b)
-        x, y = (np.pad(m, ((0, 0), (0, max(wide, other) - m.shape[1]))) for m in (x, y))
-        rows, cols, sims = [], [], []
-        for lo in range(0, len(x), STRIP_ROWS):
-            got = x[lo : lo + STRIP_ROWS] @ y.T
-            i, j = np.nonzero(got >= least)
-            rows.append(i + lo)
-            cols.append(j)
-            sims.append(got[i, j])
-        at = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (rows, cols)]
-        return pa.table({"l": a.column("l").take(at[0]), "r": b.column("r").take(at[1]), "sim": pa.array(np.concatenate(sims) if sims else np.zeros(0), pa.float64())})
-
-    keys = [*by, "__i", "__j"]
-    both = dealt(0).groupBy(*keys).cogroup(dealt(1).groupBy(*keys))
-    return both.applyInArrow(meet, f"l {kinds[0]}, r {kinds[1]}, sim double")
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, int]:
-    rows = table.column("vec").to_pylist()
-    wide = max(map(len, rows), default=0)
-    if rows and min(map(len, rows)) == wide:
-        return np.array(rows, np.float64), wide
-    out = np.zeros((len(rows), wide))
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out, wide
-
-
 def decide(candidates: DataFrame, learnings: DataFrame, now: str, embed: Embedder = feature_hash, same_rule: float = SAME_RULE, any_rule: float = ANY_RULE, reinforce: float = REINFORCE, exact_days: float = EXACT_DAYS, semantic_days: float = SEMANTIC_DAYS) -> DataFrame:
     """One decision for each different candidate (fingerprint, rule_id, text).
 
@@ -181,60 +132,60 @@ def live(learnings: DataFrame, now: str, exact_days: float = EXACT_DAYS, semanti
     return learnings.withColumn("exact_live", mute | (age <= exact_days)).withColumn("semantic_live", mute | (age <= semantic_days))
 
 
-def near_pairs(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
-    """Pairs (l, r), l < r, of (id, kind, vec) rows of one kind with a cosine of at least ``least``.
+def _in_blocks(rest: DataFrame, least: float) -> DataFrame:
+    """``later_copies`` of (id, vec) rows of components that are too large for one task.
 
-    The rows of a kind are dealt in blocks and every two blocks meet in a task of their own.
+    The first rows in order are settled at once; those that stay, GIANT_BLOCK vectors at most,
+    go to every task, and what is near them goes.  So a round settles a block of rows that
+    stay, and a large group of near copies is gone with its first row.
     """
-    ship(rows.sparkSession)
-    rows = rows.filter("kind is not null")
-    most = rows.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-most // BLOCK_ROWS))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("kind", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "b", "id", "vec")
-
-    def meet(key, table):
-        ids = table.column("id").to_numpy()
-        vec = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
-        block, norm = table.column("b").to_numpy(), (vec * vec).sum(axis=1)
-        i, j = key[1].as_py(), key[2].as_py()
-        a, z = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        left, right = [], []
-        for lo in range(0, len(a), STRIP_ROWS):
-            some = a[lo : lo + STRIP_ROWS]
-            size = np.sqrt(norm[some, None] * norm[None, z])
-            x, y = np.nonzero((vec[some] @ vec[z].T / np.where(size > 0, size, 1)) >= least)
-            u, v = ids[some[x]], ids[z[y]]
-            ok = u < v if i == j else u != v
-            left.append(np.minimum(u, v)[ok])
-            right.append(np.maximum(u, v)[ok])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"l": np.concatenate(left or none), "r": np.concatenate(right or none)})
-
-    return dealt.groupBy("kind", "i", "j").applyInArrow(meet, "l long, r long")
+    ship(rest.sparkSession)
+    gone = None
+    while rows := rest.orderBy("id").limit(GIANT_BLOCK).toArrow().to_pylist():
+        wide = len(rows[0]["vec"])
+        x = np.array([r["vec"] for r in rows])
+        out = earlier_near(x, least)
+        stay = x[~out]
+
+        def near(batches, stay=stay, wide=wide):
+            for b in batches:
+                v = b.column(1).flatten().to_numpy().reshape(-1, wide)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((v @ stay.T >= least).any(axis=1))], ["id", "vec", "out"])
+
+        left = checkpoint(rest.filter(F.col("id") > rows[-1]["id"]).select("id", "vec").mapInArrow(near, "id long, vec array<double>, out boolean"))
+        first = rest.sparkSession.createDataFrame([(r["id"],) for r, o in zip(rows, out, strict=True) if o], "id long")
+        found = left.filter("out").select("id").union(first)
+        gone = found if gone is None else gone.union(found)
+        rest = left.filter("not out").drop("out")
+    return gone if gone is not None else rest.select("id")
 
 
 def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
     """Ids of (id, kind, vec) rows that add nothing when rows come one by one in the order of ids.
 
-    A row adds nothing if an earlier row that stayed is near it.  Rows whose earlier near ones
-    are all decided are decided at once, round by round.
+    A row adds nothing if an earlier row of its kind that stayed has a cosine of ``least`` or
+    more with it.  Rows near each other, directly or through others, form components; what
+    goes depends on nothing outside a component, and within it one ordered pass settles all
+    rows, however long a chain is.  Components of more than GIANT_ROWS rows go by blocks.
     """
     # Equal vectors share their near ones, so the first stands for all; those of zeros are near to none.
     some = rows.filter(F.exists("vec", lambda x: x != 0) & F.col("kind").isNotNull()).withColumn("same", F.sha2(F.to_json(F.struct("kind", "vec")), 256))
     low = some.groupBy("same").agg(F.min("id").alias("id"))
-    first = checkpoint(some.join(low, ["same", "id"], "left_semi"))
     equal = some.select("id").join(low.select("id"), "id", "left_anti")
-    pairs = checkpoint(near_pairs(first.select("id", "kind", "vec"), least))
-    gone = []
-    while not pairs.isEmpty():
-        stay = pairs.select("l").distinct().join(pairs.select(F.col("r").alias("l")).distinct(), "l", "left_anti")
-        out = checkpoint(pairs.join(stay, "l", "left_semi").select("r").distinct())
-        gone.append(out.select(F.col("r").alias("id")))
-        pairs = checkpoint(pairs.join(out, "r", "left_anti").join(out.select(F.col("r").alias("l")), "l", "left_anti").select("l", "r"))
-    for g in gone:
-        equal = equal.union(g)
-    return equal
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = F.transform("vec", lambda x: x / F.col("size"))
+    first = checkpoint(some.join(low, ["same", "id"], "left_semi").withColumn("size", size).select("id", "kind", unit.alias("vec")))
+    members = components(near_forest(first, least, by=("kind",))).withColumnRenamed("node", "id")
+    many = members.groupBy("component").count()
+    members = checkpoint(first.drop("kind").join(members.join(many, "component"), "id"))
+
+    def ordered(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        gone = earlier_near(matrix(table.column("vec"), len(table.column("vec")[0])), least)
+        return table.select(["id"]).filter(pa.array(gone))
+
+    settled = members.filter(F.col("count") <= GIANT_ROWS).groupBy("component").applyInArrow(ordered, "id long")
+    return equal.union(settled).union(_in_blocks(members.filter(F.col("count") > GIANT_ROWS).select("id", "vec"), least))
 
 
 def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = feature_hash) -> DataFrame:
@@ -250,7 +201,7 @@ def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = fe
     fresh = checkpoint(fresh.select("no", "kind", "text", "e.scope", "e.file").withColumn("embedding", embed(F.col("text"))))
     vectors = fresh.select(F.col("no").alias("id"), "kind", F.col("embedding").alias("vec"))
     old = memories.select("id", "kind", F.col("embedding").alias("vec"))
-    known = similarity_pairs(vectors, old, DUPLICATE, by=("kind",)).select(F.col("l").alias("id"))
+    known = alike(vectors, old, DUPLICATE, by=("kind",))
     vectors = checkpoint(vectors.join(known, "id", "left_anti"))
     stay = vectors.join(later_copies(vectors), "id", "left_anti").select(F.col("id").alias("no"))
     added = fresh.join(stay, "no", "left_semi").withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import feature_hash
-from reviewlake.operators import memory
+from reviewlake.operators import memory, similarity
 
 NOW = "2026-06-09T00:00:00Z"
 TEXT = "hygiene.debug-console Debug console statement console.log left in src/api/users.ts"
@@ -71,7 +71,7 @@ def test_upsert_ignores_the_signal(spark):
 def test_blocks_give_the_same_pairs(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)], "id long, vec array<double>")
     whole = {tuple(r) for r in memory.similarity_pairs(v, v, 5.0).collect()}
-    monkeypatch.setattr(memory, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 7)
     assert {tuple(r) for r in memory.similarity_pairs(v, v, 5.0).collect()} == whole
 
 

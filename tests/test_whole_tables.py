@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 from reviewlake import catalog
+from reviewlake.operators import similarity
 
 
 def save(spark, folder, name, rows, ddl):
@@ -78,7 +79,7 @@ def test_near_copies_are_remembered_once(spark, tmp_path):
 def test_a_row_is_near_only_to_rows_that_stayed(spark, monkeypatch):
     import math
 
-    monkeypatch.setattr(catalog.memory, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(similarity, "STRIP_ROWS", 7)
     turn = [(k, "a", [math.cos(k * 0.15), math.sin(k * 0.15)]) for k in range(30)]
     kept = []
     for k, _, v in turn:
