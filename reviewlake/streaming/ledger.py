@@ -1,6 +1,6 @@
-"""Structured Streaming twins: fingerprint dedup, live suppressions, ledger counts.
+"""Structured Streaming twins whose state is bounded by watermarks alone: fingerprint dedup and ledger counts.
 
-The batch operators are the reference; these keep bounded state by watermarks.
+``stateful`` has those that need timers: decay, first-wins with a lifetime, and the ledger.
 """
 
 from __future__ import annotations
@@ -8,21 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.memory import EXACT_DAYS
-
 
 def first_findings(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Findings whose fingerprint was not seen within the watermark."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def live_suppressions(stream: DataFrame, now: str, days: float = EXACT_DAYS) -> DataFrame:
-    """Latest dismissal of every fingerprint and whether it still holds at ``now``."""
-    last = stream.groupBy("fingerprint").agg(F.max("ts").alias("ts"))
-    age = (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros("ts")) / F.lit(86_400_000_000.0)
-    return last.withColumn("live", age <= days)
-
-
 def ledger_counts(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Ledger events by repository, kind and window of time."""
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, window), "repo", "event").agg(F.count("*").alias("n"))

@@ -128,6 +128,7 @@ class First(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts = list(rows)
         part = pd.concat(parts) if len(parts) > 1 else parts[0]
+        part.columns = [*self.columns, "__ms", "__ord"]  # computed columns come without their names
         last = int(part["__ms"].max())
         until = last + self.keep_ms
         if self.seen.exists():

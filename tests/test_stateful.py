@@ -18,24 +18,28 @@ class Feed:
         self.spark, self.folder, self.ddl, self.name, self.n = spark, folder, ddl, name, 0
         (folder / "in").mkdir()
         stateful.with_state(spark)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2000")
         stream = spark.readStream.schema(ddl).parquet(str(folder / "in"))
-        self.query = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(folder / "state")).trigger(processingTime="0 seconds").start()
+        self.rows_in = 0
+        self.query = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(folder / "state")).trigger(processingTime="1 second").start()
 
     def add(self, *rows):
+        """One file, until its batch is done.  Timers of the clock make batches without end, so it is rows that count."""
         self.n += 1
         self.spark.createDataFrame(list(rows), self.ddl).coalesce(1).write.parquet(str(self.folder / f"part{self.n}"))
         (file,) = (self.folder / f"part{self.n}").glob("*.parquet")
         file.rename(self.folder / "in" / f"{self.n}.parquet")
-        self.query.processAllAvailable()
+        self.rows_in += len(rows)
+        self.wait(lambda: sum(p["numInputRows"] for p in self.query.recentProgress) >= self.rows_in)
 
     def rows(self):
         return [tuple(r) for r in self.spark.table(self.name).collect()]
 
     def wait(self, done, seconds=60):
         end = time.monotonic() + seconds
-        while time.monotonic() < end and not done():
+        while time.monotonic() < end and self.query.isActive and not done():
             time.sleep(0.3)
-        assert done(), self.rows()
+        assert done(), (self.query.exception(), self.rows())
 
     def state_rows(self):
         last = self.query.lastProgress

@@ -12,11 +12,9 @@ def drive(df, name, mode):
 
 def test_streaming_twins(spark, tmp_path):
     rows = [("a", "r", "floor", "2026-06-01 00:00:00"), ("a", "r", "floor", "2026-06-01 00:00:01"), ("b", "r", "inspect", "2026-06-01 02:00:00")]
-    df = spark.createDataFrame(rows, "id string, repo string, event string, t string").select("id", "repo", "event", F.to_timestamp("t").alias("ts"), F.col("id").alias("fingerprint"))
+    df = spark.createDataFrame(rows, "id string, repo string, event string, t string").select("id", "repo", "event", F.to_timestamp("t").alias("ts"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     assert drive(ledger.first_findings(stream), "firsts", "append").count() == 2
-    live = {r["fingerprint"]: r["live"] for r in drive(ledger.live_suppressions(stream, "2026-06-09 00:00:00"), "live", "complete").collect()}
-    assert live == {"a": True, "b": True}
     counts = {(r["event"], r["n"]) for r in drive(ledger.ledger_counts(stream), "counts", "complete").collect()}
     assert counts == {("floor", 2), ("inspect", 1)}
