@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from . import findings
+from ..runtime import checkpoint
+from . import findings, intervals
 
 # Extensions tried for an import, confidences, thresholds, files listed.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 HEURISTIC, PRECISE = 0.6, 0.97
 LEAST_CALLERS, MANY_CALLERS, FILES_SHOWN = 3, 8, 12
 IMPACTFUL = ("function", "class", "const", "enum")
+#: Importers from which a file is a hub.
+HUB = 10_000
+#: More callers than a point query lists.
+ALL = 2**31 - 1
 
 
 def normalized_target(source: F.Column, from_file: F.Column) -> F.Column:
@@ -62,23 +67,69 @@ def direct_callers(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return hit.filter("src <> file").select("file", "name", F.col("src").alias("caller")).distinct()
 
 
-def transitive_callers(direct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file, name, transitive): files one import further on, whatever they import."""
+def transitive_callers(direct: DataFrame, edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(file, name, transitive): files one import further on, whatever they import.
+
+    Symbols whose callers are all imported by at most ``hub`` files meet their second hop row
+    by row.  A caller with more importers is a hub: its importers are a bit map, cut in pieces
+    of 32 768 files, and a symbol unites its hubs' maps instead of reading their rows.
+    """
     hop = edges.select(F.col("dst").alias("caller"), F.col("src").alias("second")).distinct()
+    hubs = checkpoint(hop.groupBy("caller").count().filter(F.col("count") > hub).select("caller"))
+    if hubs.isEmpty():
+        return _second_hop(direct, hop)
+    # Hubs are at most as many as imports divided by ``hub``.
+    over = direct.join(hubs, "caller", "left_semi").select("file", "name").distinct()
+    light = _second_hop(direct.join(over, ["file", "name"], "left_anti"), hop)
+    return light.unionByName(_second_hop_by_maps(direct.join(over, ["file", "name"], "left_semi"), hop, hubs))
+
+
+def _second_hop(direct: DataFrame, hop: DataFrame) -> DataFrame:
     far = direct.join(hop, "caller").filter("second <> file").select("file", "name", "second").distinct()
     far = far.join(direct.select("file", "name", F.col("caller").alias("second")), ["file", "name", "second"], "left_anti")
     return far.groupBy("file", "name").agg(F.count("*").alias("transitive"))
 
 
-def heuristic_reach(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def _second_hop_by_maps(direct: DataFrame, hop: DataFrame, hubs: DataFrame) -> DataFrame:
+    """As ``_second_hop``, by bit maps: of all reached and excluded files less the excluded ones."""
+    files = direct.select(F.col("caller").alias("path")).union(direct.select("file")).union(hop.select("second")).distinct()
+    number = checkpoint(files.withColumn("no", F.monotonically_increasing_id()))
+    place = [F.bitmap_bucket_number("no").alias("bucket"), F.bitmap_bit_position("no").alias("bit")]
+    near = hop.join(number, F.col("second") == F.col("path")).select("caller", *place)
+    maps = near.join(hubs, "caller", "left_semi").groupBy("caller", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    rest = direct.join(hubs, "caller", "left_anti").join(near, "caller").select("file", "name", "bucket", "bit")
+    out = direct.select("file", "name", F.col("caller").alias("path")).union(direct.select("file", "name", "file").distinct())
+    out = out.join(number, "path").select("file", "name", *place)
+    bits = lambda rows: rows.groupBy("file", "name", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    own = bits(out)
+    every = direct.join(maps, "caller").select("file", "name", "bucket", "map").union(bits(rest)).union(own)
+    every = every.groupBy("file", "name", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("map")).alias("n"))
+    total = every.groupBy("file", "name").agg(F.sum("n").alias("n"))
+    less = own.groupBy("file", "name").agg(F.sum(F.bitmap_count("map")).alias("less"))
+    return total.join(less, ["file", "name"]).select("file", "name", (F.col("n") - F.col("less")).alias("transitive")).filter("transitive > 0")
+
+
+def first_callers(direct: DataFrame, shown: int) -> DataFrame:
+    """(file, name, callers): the first ``shown`` callers by name.
+
+    Ranks are cut before the shuffle and after it, so that no task holds all callers of a symbol.
+    """
+    w = Window.partitionBy("file", "name").orderBy("caller")
+    some = direct.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= shown)
+    return some.groupBy("file", "name").agg(F.array_sort(F.collect_list("caller")).alias("callers"))
+
+
+def heuristic_reach(symbols: DataFrame, edges: DataFrame, shown: int = FILES_SHOWN) -> DataFrame:
     """(file, name, callers, direct, transitive, crosses) by the import graph.
 
-    A symbol crosses a boundary if its own file or a caller lies in an API folder.
+    ``callers`` are the first ``shown`` ones.  A symbol crosses a boundary if its own file or a
+    caller lies in an API folder.
     """
     direct = direct_callers(symbols, edges)
     far = transitive_callers(direct, edges)
-    near = direct.groupBy("file", "name").agg(F.array_sort(F.collect_set("caller")).alias("callers"), F.count("*").alias("direct"), (paths.is_api_path(F.col("file")) | F.max(paths.is_api_path(F.col("caller")))).alias("crosses"))
-    return near.join(far, ["file", "name"], "left").withColumn("transitive", F.coalesce("transitive", F.lit(0).cast("long")))
+    near = direct.groupBy("file", "name").agg(F.count("*").alias("direct"), (paths.is_api_path(F.col("file")) | F.max(paths.is_api_path(F.col("caller")))).alias("crosses"))
+    near = near.join(first_callers(direct, shown), ["file", "name"])
+    return near.join(far, ["file", "name"], "left").withColumn("transitive", F.coalesce("transitive", F.lit(0).cast("long"))).select("file", "name", "callers", "direct", "crosses", "transitive")
 
 
 def symbol_tokens(symbol: F.Column) -> F.Column:
@@ -97,17 +148,22 @@ def occurrence_of(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     return hit.groupBy("file", "name", "start_line").agg(F.min_by("symbol", F.struct("turn", "symbol")).alias("symbol"))
 
 
-def precise_reach(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
+def precise_reach(symbols: DataFrame, occurrences: DataFrame, shown: int = FILES_SHOWN) -> DataFrame:
     """As ``heuristic_reach``, from an index; symbols it knows and nobody uses have no callers."""
     own = occurrence_of(symbols, occurrences)
-    refs = occurrences.filter("not is_def").select("symbol", F.col("file").alias("caller"))
-    rows = own.join(refs, "symbol", "left")
-    other = F.when(F.col("caller") != F.col("file"), F.col("caller"))
-    return rows.groupBy("file", "name").agg(
-        F.array_sort(F.collect_set(other)).alias("callers"),
-        F.count_distinct(other).alias("direct"),
-        (paths.is_api_path(F.col("file")) | F.coalesce(F.max(paths.is_api_path(other)), F.lit(False))).alias("crosses"),
-        F.count("caller").alias("total_refs"),
+    # References are counted by symbol and file first, so that a much used symbol shrinks before it is joined.
+    refs = occurrences.filter("not is_def").groupBy("symbol", F.col("file").alias("caller")).agg(F.count("*").alias("n"))
+    rows = own.join(refs, "symbol").groupBy("file", "name", "caller").agg(F.sum("n").alias("n"))
+    other = rows.filter("caller <> file").select("file", "name", "caller")
+    counts = rows.groupBy("file", "name").agg(F.count_if(F.col("caller") != F.col("file")).alias("direct"), F.max(paths.is_api_path(F.col("caller")) & (F.col("caller") != F.col("file"))).alias("api"), F.sum("n").alias("total_refs"))
+    out = own.select("file", "name").distinct().join(counts, ["file", "name"], "left").join(first_callers(other, shown), ["file", "name"], "left")
+    return out.select(
+        "file",
+        "name",
+        F.coalesce("callers", F.array().cast("array<string>")).alias("callers"),
+        F.coalesce("direct", F.lit(0).cast("long")).alias("direct"),
+        (paths.is_api_path(F.col("file")) | F.coalesce("api", F.lit(False))).alias("crosses"),
+        F.coalesce("total_refs", F.lit(0).cast("long")).alias("total_refs"),
     )
 
 
@@ -123,10 +179,8 @@ def tiered_reach(symbols: DataFrame, edges: DataFrame, occurrences: DataFrame |
 
 def touched(symbols: DataFrame, added: DataFrame) -> DataFrame:
     """Symbols (file, start_line, end_line) with an added line between their ends."""
-    lines = added.select(F.col("path").alias("file"), F.col("line").alias("__line")).distinct()
-    a = symbols.alias("s")
-    hit = (F.col("s.file") == lines["file"]) & (lines["__line"] >= F.col("s.start_line")) & (lines["__line"] <= F.col("s.end_line"))
-    return a.join(lines, hit, "left_semi")
+    lines = added.select(F.col("path").alias("file"), F.col("line").alias("__line"))
+    return intervals.holding(symbols, lines, "file", "start_line", "end_line", "__line")
 
 
 def blast_findings(symbols: DataFrame, added: DataFrame, edges: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
@@ -136,7 +190,7 @@ def blast_findings(symbols: DataFrame, added: DataFrame, edges: DataFrame, occur
     reach = reach.filter((F.col("direct") >= LEAST_CALLERS) | (F.col("crosses") & (F.col("direct") >= 1)))
     first = own.groupBy("file", "name").agg(F.min("start_line").alias("line"))
     rows = reach.join(first, ["file", "name"]).withColumn("line_ord", F.col("line"))
-    blast = F.struct(F.col("name").alias("symbol"), F.col("direct").cast("int").alias("direct_callers"), F.col("transitive").cast("int").alias("transitive_callers"), F.slice("callers", 1, FILES_SHOWN).alias("files_affected"), F.col("crosses").alias("crosses_api_boundary"), F.col("confidence").cast("float").alias("resolution_confidence"), F.col("method").alias("resolution_method"))
+    blast = F.struct(F.col("name").alias("symbol"), F.col("direct").cast("int").alias("direct_callers"), F.col("transitive").cast("int").alias("transitive_callers"), F.col("callers").alias("files_affected"), F.col("crosses").alias("crosses_api_boundary"), F.col("confidence").cast("float").alias("resolution_confidence"), F.col("method").alias("resolution_method"))
     message = F.concat(F.col("name"), F.lit(" is used by "), F.col("direct").cast("string"), F.lit(" file(s)"), F.when(F.col("crosses"), ", across an API boundary").otherwise(""))
     level = F.when((F.col("direct") >= MANY_CALLERS) | F.col("crosses"), "medium").otherwise("low")
     return findings.make(rows, rule_id="impact.blast-radius", category="impact", severity=level, confidence="confidence", title="Change with a wide reach", message=message, anchor_kind="graph", anchor_detail="name", source="blast-radius", key=F.concat_ws("::", "file", "name"), blast=blast)
@@ -149,7 +203,11 @@ def export_spans(symbols: DataFrame) -> DataFrame:
 
 
 def changed_exports(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(file, name) of exports (file, name, line) whose span meets a hunk (file, lo, hi)."""
-    spans = export_spans(symbols)
-    meet = (spans["file"] == hunks["file"]) & (hunks["hi"] >= spans["line"]) & (hunks["lo"] <= spans["until"])
-    return spans.join(hunks, meet, "left_semi").select("file", "name").distinct()
+    """(file, name) of exports (file, name, line) whose span meets a hunk (file, lo, hi).
+
+    Two intervals meet if one holds the other's first number.
+    """
+    spans = export_spans(symbols).select("file", "name", "line", "until")
+    begun = intervals.holding(spans, hunks.select("file", "lo"), "file", "line", "until", "lo")
+    held = intervals.inside(spans, hunks, "file", "lo", "hi", "line")
+    return begun.select("file", "name").union(held.select("file", "name")).distinct()

@@ -54,11 +54,11 @@ def inspect(repo: Repository, kind: str, target: str, file: str | None = None) -
         one = repo.symbols.filter((F.col("name") == target) & (F.col("file") == own["file"]))
         row = None
         if kind == "blast_radius" and repo.occurrences is not None:
-            row = graph.precise_reach(one, repo.occurrences).first()
+            row = graph.precise_reach(one, repo.occurrences, graph.ALL).first()
         if row is not None:
             reach = {"direct_callers": row["direct"], "transitive_callers": row["total_refs"], "confidence": graph.PRECISE, "method": "scip"}
         else:
-            row = graph.heuristic_reach(one, repo.edges).first()
+            row = graph.heuristic_reach(one, repo.edges, graph.ALL).first()
             reach = {"direct_callers": row["direct"] if row else 0, "transitive_callers": row["transitive"] if row else 0, "confidence": graph.HEURISTIC, "method": "import graph (TS/JS)"}
         callers = list(row["callers"]) if row else []
         out = {"kind": kind, "target": target, "file": own["file"], "line": own["start_line"], "callers": callers, **reach}
