@@ -214,7 +214,7 @@ def path_text(spark, sf_dir):
 
 # --- synthetic paths ------------------------------------------------------------------------
 
-EXTS = ["ts", "tsx", "py", "go", "rs", "java", "cs", "cpp", "h", "php", "rb", "kt", "swift", "scala", "sh", "md", "TS", "mjs"]
+EXTS = ["ts", "tsx", "py", "go", "rs", "java", "cs", "cpp", "h", "php", "rb", "kt", "swift", "scala", "sh", "md", "TS", "mjs", "jsx"]
 FOLDERS = ["src", "src/api", "dist", "lib/routes", "node_modules/x", "redist/y", "web/pages", "a/__generated__", "core", "vendor"]
 NAMES = ["file", "package-lock.json", "x.min", "requirements.txt", "Cargo.lock", "main", "index"]
 
@@ -642,28 +642,38 @@ RULE_SQL = "CASE WHEN event_type = 'click' THEN 'security.click' ELSE event_type
 
 
 def all_learnings(spark, sf_dir) -> DataFrame:
-    """Every event is feedback; clicks are of a rule that no similarity suppresses."""
-    ev = table(spark, sf_dir, "events")
-    return ev.select(F.col("user_id").cast("string").alias("fingerprint"), F.expr(RULE_SQL).alias("rule_id"), F.col("props").alias("text"), F.when(F.col("event_type") == "purchase", "accepted").otherwise("dismissed").alias("signal"), F.when((F.col("event_type") == "error") & (F.col("value") > 340), "rule").otherwise("finding").alias("scope"), iso("ts").alias("at"))
+    """Every event is feedback; clicks are of a rule that no similarity suppresses.
+
+    Texts lie on parts of the circle: fresh ones on a quarter, older ones on a third, accepted ones on half of it.
+    """
+    ev, k = table(spark, sf_dir, "events"), F.from_json("props", "k int")["k"]
+    part = F.when(F.col("event_type") == "purchase", 2).when(text.age_days(iso("ts"), F.lit(NOW)) > 15, 3).otherwise(4)
+    said = F.concat(F.lit('{"k": '), F.floor(k / part).cast("string"), F.lit("}"))
+    return ev.select(fingerprinted(0), F.expr(RULE_SQL).alias("rule_id"), said.alias("text"), F.when(F.col("event_type") == "purchase", "accepted").otherwise("dismissed").alias("signal"), F.when((F.col("event_type") == "error") & (F.col("value") > 340), "rule").otherwise("finding").alias("scope"), iso("ts").alias("at"))
+
+
+def fingerprinted(step: int) -> F.Column:
+    return F.concat_ws("/", F.col("user_id").cast("string"), ((F.col("event_id") + step) % 50).cast("string")).alias("fingerprint")
 
 
 def event_candidates(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("fingerprint"), F.expr(RULE_SQL).alias("rule_id"), F.col("props").alias("text")).distinct()
+    return table(spark, sf_dir, "events").select(fingerprinted(7), F.expr(RULE_SQL).alias("rule_id"), F.col("props").alias("text")).distinct()
 
 
 DECIDE_SQL = f"""
-    WITH l AS (SELECT CAST(user_id AS VARCHAR) AS fp, {RULE_SQL} AS rule, props, event_type = 'purchase' AS good, event_type = 'error' AND value > 340 AS mute, ts, {AGE_SQL} AS age FROM events),
+    WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {AGE_SQL} AS age FROM events),
+    l AS (SELECT user_id || '/' || event_id % 50 AS fp, {RULE_SQL} AS rule, CASE WHEN event_type = 'purchase' THEN k // 2 WHEN age > 15 THEN k // 3 ELSE k // 4 END AS y, event_type = 'purchase' AS good, event_type = 'error' AND value > 340 AS mute, ts, age FROM e),
     ex AS (SELECT fp, max(ts) AS at, min(age) AS age FROM l WHERE NOT good AND NOT mute GROUP BY fp),
-    en AS (SELECT rule AS er, props AS y, bool_or(age <= 15) AS fresh, bool_or(age > 15) AS old FROM l WHERE NOT good GROUP BY ALL),
-    c AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS fingerprint, {RULE_SQL} AS rule_id, props FROM events),
-    k AS (SELECT DISTINCT props, CAST(json_extract(props, '$.k') AS DOUBLE) * (6.283185307179586 / 100) AS k FROM events),
-    p AS (SELECT a.props AS x, b.props AS y, cos(a.k) * cos(b.k) + sin(a.k) * sin(b.k) AS sim FROM k a, k b),
+    en AS (SELECT rule AS er, y, bool_or(age <= 15) AS fresh, bool_or(age > 15) AS old FROM l WHERE NOT good GROUP BY ALL),
+    c AS (SELECT DISTINCT user_id || '/' || (event_id + 7) % 50 AS fingerprint, {RULE_SQL} AS rule_id, k AS x FROM e),
+    w AS (SELECT DISTINCT x AS v, x * (6.283185307179586 / 100) AS k FROM (SELECT x FROM c UNION SELECT y FROM l)),
+    p AS (SELECT a.v AS x, b.v AS y, cos(a.k) * cos(b.k) + sin(a.k) * sin(b.k) AS sim FROM w a, w b),
     b AS (SELECT x, rule_id, max(sim) FILTER (fresh) AS best, max(sim) FILTER (fresh AND er = rule_id) AS best_same, max(sim) FILTER (old) AS stale_best, max(sim) FILTER (old AND er = rule_id) AS stale_same
-          FROM p JOIN en USING (y) JOIN (SELECT DISTINCT rule_id, props AS x FROM c WHERE NOT regexp_matches(rule_id, '{memory.EXEMPT}')) USING (x) WHERE sim >= 0.82 GROUP BY ALL),
-    g AS (SELECT x, max(sim) AS reinforcement FROM p JOIN (SELECT DISTINCT props AS y FROM l WHERE good) USING (y) WHERE sim >= 0.8 GROUP BY x),
+          FROM p JOIN en USING (y) JOIN (SELECT DISTINCT rule_id, x FROM c WHERE NOT regexp_matches(rule_id, '{memory.EXEMPT}')) USING (x) WHERE sim >= 0.82 GROUP BY ALL),
+    g AS (SELECT x, max(sim) AS reinforcement FROM p JOIN (SELECT DISTINCT y FROM l WHERE good) USING (y) WHERE sim >= 0.8 GROUP BY x),
     f AS (SELECT c.*, ex.at IS NOT NULL AND ex.age <= 20 AS exact_fresh, ex.at IS NOT NULL AND ex.age > 20 AS exact_stale, c.rule_id IN (SELECT rule FROM l WHERE mute) AS muted,
                  coalesce(best_same, 0) >= 0.82 OR coalesce(best, 0) >= 0.93 AS alike, coalesce(stale_same, 0) >= 0.82 OR coalesce(stale_best, 0) >= 0.93 AS stale_alike, best, reinforcement
-          FROM c LEFT JOIN ex ON ex.fp = c.fingerprint LEFT JOIN b ON b.x = c.props AND b.rule_id = c.rule_id LEFT JOIN g ON g.x = c.props),
+          FROM c LEFT JOIN ex ON ex.fp = c.fingerprint LEFT JOIN b ON b.x = c.x AND b.rule_id = c.rule_id LEFT JOIN g ON g.x = c.x),
     d AS (SELECT *, exact_fresh OR muted OR alike AS suppress FROM f)
     SELECT fingerprint, rule_id, suppress, CASE WHEN exact_fresh THEN 'exact' WHEN muted THEN 'rule' WHEN alike THEN 'semantic' WHEN exact_stale THEN 'exact' WHEN stale_alike THEN 'semantic' END AS kind,
            round(CASE WHEN NOT exact_fresh AND NOT muted AND alike THEN best END, 6) AS similarity, NOT suppress AND (exact_stale OR stale_alike) AS revalidate,

@@ -169,13 +169,6 @@ def reviewable_lines(spark, sf_dir):
     return change(spark, sf_dir).reviewable().select("path", F.col("line").cast("long").alias("line"))
 
 
-@query(f"SELECT path, CAST(p_size AS BIGINT) AS line, rule_id, severity FROM ({HITS_SQL})")
-def shipped_rules(spark, sf_dir):
-    """The rules as they are shipped, on code in the languages of the parts' paths."""
-    f = heuristics.run(change(spark, sf_dir).reviewable())
-    return f.select(F.col("file").alias("path"), F.col("region.start_line").cast("long").alias("line"), "rule_id", "severity")
-
-
 @query(f"SELECT rule_id, path AS file, severity FROM ({HITS_SQL}) GROUP BY ALL UNION ALL SELECT DISTINCT 'x.file', path, 'info' FROM ({LIVE_SQL})")
 def review_union(spark, sf_dir):
     """A review by two collectors: the rules, and one finding for each file."""

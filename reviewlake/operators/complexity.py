@@ -27,6 +27,12 @@ def with_base(head: DataFrame, base: DataFrame) -> DataFrame:
     return head.join(first, ["file", "name"], "left")
 
 
+def worst(functions: DataFrame) -> DataFrame:
+    """(file, most, functions, worst): the largest score of a file, how many functions it has, and the first with that score."""
+    best = F.struct((-F.col("score")).alias("score"), "start_line", "name")
+    return functions.groupBy("file").agg(F.max("score").alias("most"), F.count("*").alias("functions"), F.min(best)["name"].alias("worst"))
+
+
 def complexity_findings(head: DataFrame, base: DataFrame, added: DataFrame) -> DataFrame:
     """Touched functions (file, name, start_line, end_line, score) that became hard to follow."""
     rows = with_base(touched(head, added), base).withColumn("level", classify(F.col("score"), F.col("base_score"))).filter("level is not null")

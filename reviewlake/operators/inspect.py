@@ -35,8 +35,15 @@ class Repository:
 
     def definition_of(self, name: str, hint: str | None = None):
         """The hinted file's definition, else the first exported one, else the first."""
-        order = [F.desc(F.col("file").eqNullSafe(F.lit(hint))), F.desc("exported"), "file", "start_line"]
-        return self.symbols.filter(F.col("name") == name).orderBy(*order).first()
+        return picked(self.symbols.filter(F.col("name") == name), self.symbols.sparkSession.createDataFrame([(name, hint)], "name string, hint string")).first()
+
+
+def picked(symbols: DataFrame, asks: DataFrame) -> DataFrame:
+    """(name, hint, file, start_line): of each question's definitions the hinted file's, else the first exported one, else the first."""
+    rows = asks.join(symbols.select("name", "file", "start_line", "exported"), "name")
+    order = F.struct((~F.col("file").eqNullSafe(F.col("hint"))).alias("elsewhere"), (~F.col("exported")).alias("own"), "file", "start_line")
+    best = rows.groupBy("name", "hint").agg(F.min(order).alias("b"))
+    return best.select("name", "hint", "b.file", "b.start_line")
 
 
 def inspect(repo: Repository, kind: str, target: str, file: str | None = None) -> dict:

@@ -189,7 +189,12 @@ def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
 
 
 def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = feature_hash) -> DataFrame:
-    """Memories after (kind, text, scope, file) rows came; near copies of the same kind add nothing.
+    """Memories with those of ``new`` that add something."""
+    return memories.unionByName(added(memories, new, now, embed))
+
+
+def added(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = feature_hash) -> DataFrame:
+    """The (kind, text, scope, file) rows that are remembered; near copies of the same kind add nothing.
 
     New rows come one after another by their column ``seq`` (unique longs), or by a hash of
     kind and text where there is none, and are compared with the old ones and with those new
@@ -204,8 +209,8 @@ def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = fe
     known = alike(vectors, old, DUPLICATE, by=("kind",))
     vectors = checkpoint(vectors.join(known, "id", "left_anti"))
     stay = vectors.join(later_copies(vectors), "id", "left_anti").select(F.col("id").alias("no"))
-    added = fresh.join(stay, "no", "left_semi").withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))
-    return memories.unionByName(added.select(*memories.columns))
+    rows = fresh.join(stay, "no", "left_semi").withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))
+    return rows.select(*memories.columns)
 
 
 def recall(memories: DataFrame, query: Column, limit: int = RECALL_LIMIT, least: float = RECALL_LEAST, embed: Embedder | None = feature_hash) -> DataFrame:

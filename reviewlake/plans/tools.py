@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 import os
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,12 @@ from ..analysis import tables
 from ..functions import paths
 from ..functions.text import feature_hash
 from ..operators import anchors, audit, graph, memory
+from ..operators.feedback import MemoryStore, SuppressionStore
 from ..operators.inspect import Repository, inspect
+from ..runtime import shared_folder
 from ..sources import contract, external, git, scip, stores, unified_diff
 from ..sources import reports as readers
+from ..sources.log import Log
 from . import sinks
 from .review import Context, Report, review
 
@@ -24,6 +28,11 @@ from .review import Context, Report, review
 CHANGED_SHOWN = 20
 
 
+def _events(event: str, rows: DataFrame) -> DataFrame:
+    value = F.col("value") if "value" in rows.columns else F.lit(None)
+    return rows.select(F.lit(event).alias("event"), "key", value.cast("string").alias("value"))
+
+
 @dataclass
 class Tools:
     """Reviews of one work tree, with its learned feedback below ``home``."""
@@ -31,7 +40,7 @@ class Tools:
     spark: SparkSession
     root: str
     home: str
-    ledger_rows: list[tuple] = field(default_factory=list)
+    ledger_path: str | None = None
 
     # --- tables --------------------------------------------------------------------------
 
@@ -71,16 +80,24 @@ class Tools:
             ctx.occurrences = scip.load(self.spark, index)
         return ctx
 
+    def suppressions(self) -> SuppressionStore:
+        """The store; what an earlier tool or an earlier form of the store left is its seed."""
+        return SuppressionStore(self.spark, os.path.join(self.home, "learnings.log"), self._seed("learnings", memory.LEARNING_DDL, stores.learnings))
+
+    def notes(self) -> MemoryStore:
+        return MemoryStore(self.spark, os.path.join(self.home, "memories.log"), self._seed("memories", memory.MEMORY_DDL, stores.memories))
+
     def learnings(self) -> DataFrame:
-        """The store; until one was saved, what a JSON file of an earlier tool holds."""
-        return self._stored("learnings", memory.LEARNING_DDL, stores.learnings)
+        return self.suppressions().list()
 
     def memories(self) -> DataFrame:
-        return self._stored("memories", memory.MEMORY_DDL, stores.memories)
+        return self.notes().list()
 
-    def _stored(self, name: str, ddl: str, earlier) -> DataFrame:
+    def _seed(self, name: str, ddl: str, earlier) -> DataFrame | None:
         path = os.path.join(self.home, name)
-        return stores.load(self.spark, path, ddl) if os.path.isdir(path) else earlier(self.spark, path + ".json").select(*[f.split()[0] for f in ddl.split(", ")])
+        if os.path.isdir(path):
+            return stores.load(self.spark, path, ddl)
+        return earlier(self.spark, path + ".json").select(*[f.split()[0] for f in ddl.split(", ")]) if os.path.isfile(path + ".json") else None
 
     def changed_symbols(self, ctx: Context, mode: git.Mode, most: int = CHANGED_SHOWN) -> DataFrame:
         """(line): ``file: a, b`` for the first changed files whose exports the hunks touch."""
@@ -93,24 +110,27 @@ class Tools:
         return rows.orderBy("file").limit(most).select(F.concat("file", F.lit(": "), "names").alias("line"))
 
     def ledger(self) -> DataFrame:
-        return self.spark.createDataFrame(self.ledger_rows, "repo string, seq long, event string, key string, value string")
+        """Events in the order in which they were committed."""
+        return self._ledger().read().withColumn("seq", F.col("__commit")).select("repo", "seq", "event", "key", "value")
+
+    def _ledger(self) -> Log:
+        if self.ledger_path is None:
+            self.ledger_path = f"{shared_folder(self.spark)}/ledger-{uuid.uuid4().hex}"
+        return Log(self.spark, self.ledger_path, "repo string, event string, key string, value string")
 
     def _note_event(self, event: str, key: str | None = None, value: str | None = None) -> None:
-        self.ledger_rows.append((self.root, len(self.ledger_rows), event, key, value))
+        self._note_events(self.spark.createDataFrame([(event, key, value)], "event string, key string, value string"))
 
-    def _save(self, df: DataFrame, name: str) -> None:
-        """Write beside the old table, then move: the old one is read while the new one is written."""
-        new = os.path.join(self.home, name + ".new")
-        stores.save(df, new)
-        stores.save(self.spark.read.parquet(new), os.path.join(self.home, name))
+    def _note_events(self, rows: DataFrame) -> None:
+        """(event, key, value) rows, none of which passes through the driver."""
+        self._ledger().append(rows.select(F.lit(self.root).alias("repo"), "event", "key", "value"))
 
     # --- tools ---------------------------------------------------------------------------
 
     def floor(self, mode: git.Mode = git.Mode()) -> DataFrame:
         """Findings after the contract, before learned suppression."""
         rows = contract.policy(review(self.context(mode), home=self.home).findings, self.preferences()).filter("reason is null").drop("reason")
-        for r in rows.select("id").collect():
-            self._note_event("floor", r["id"])
+        self._note_events(_events("floor", rows.select(F.col("id").alias("key"))))
         return rows
 
     def review(self, now: str, mode: git.Mode = git.Mode(), apply_learnings: bool = True, scip_path: str | None = None) -> tuple[Report, DataFrame]:
@@ -122,10 +142,8 @@ class Tools:
         report = review(ctx, home=self.home)
         kept = contract.policy(report.findings, self.preferences()).filter("reason is null").drop("reason").cache()
         self._note_event("start")
-        for r in kept.select("id").collect():
-            self._note_event("floor", r["id"])
-        for r in audit.parse_symbols(self.changed_symbols(ctx, mode)).collect():
-            self._note_event("symbol", r["symbol"], r["file"])
+        symbols = audit.parse_symbols(self.changed_symbols(ctx, mode))
+        self._note_events(_events("floor", kept.select(F.col("id").alias("key"))).union(_events("symbol", symbols.select(F.col("symbol").alias("key"), F.col("file").alias("value")))))
         suppressed = kept.limit(0)
         if apply_learnings:
             kept, suppressed = memory.apply(kept, self.learnings(), now)
@@ -150,7 +168,7 @@ class Tools:
 
     def _learn(self, fid: str, rule_id: str, text: str, signal: str, scope: str, now: str) -> None:
         new = self.spark.createDataFrame([(fid, rule_id, text, signal, scope, now)], memory.LEARNING_DDL)
-        self._save(memory.upsert(self.learnings(), new), "learnings")
+        self.suppressions().record(new)
 
     def _finding(self, fid: str, mode: git.Mode, rule_id: str | None, text: str | None) -> tuple[str, str]:
         """Rule and text of a finding: what the caller says, else what the change shows now, else nothing to go by."""
@@ -183,11 +201,11 @@ class Tools:
         self._learn("", rule_id, rule_id, "dismissed", "rule", now)
 
     def recall(self, query: str, limit: int = memory.RECALL_LIMIT) -> DataFrame:
-        return memory.recall(self.memories(), F.lit(query), limit, embed=feature_hash)
+        return self.notes().recall(F.lit(query), limit, embed=feature_hash)
 
     def note(self, text: str, now: str, file: str | None = None, kind: str = "note") -> None:
         new = self.spark.createDataFrame([(kind, text, None, file)], "kind string, text string, scope string, file string")
-        self._save(memory.remember(self.memories(), new, now), "memories")
+        self.notes().remember(new, now)
 
 
 def main(argv: list[str] | None = None) -> int:

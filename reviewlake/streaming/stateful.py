@@ -128,16 +128,15 @@ class First(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts = list(rows)
         part = pd.concat(parts) if len(parts) > 1 else parts[0]
-        part.columns = [*self.columns, "__ms", "__ord"]  # computed columns come without their names
-        last = int(part["__ms"].max())
-        until = last + self.keep_ms
+        part.columns = [*self.columns, "__us", "__ord"]  # computed columns come without their names
+        until = int(part["__us"].max()) // 1000 + self.keep_ms
         if self.seen.exists():
             (old,) = self.seen.get()
             if until <= old:
                 return
             self.handle.deleteTimer(old)
         else:
-            yield part.sort_values(["__ms", "__ord"], kind="stable").head(1)[self.columns]
+            yield part.sort_values(["__us", "__ord"], kind="stable").head(1)[self.columns]
         self.seen.update((until,))
         self.handle.registerTimer(until)
 
@@ -160,7 +159,7 @@ def first_wins(findings: DataFrame, ts: str = "ts", key: str = "id", order: str
     with_state(findings.sparkSession)
     columns = findings.columns
     rows = findings.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
-    rows = rows.withColumn("__ms", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("__ord", F.col(order) if order else F.lit(0))
+    rows = rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__ord", F.col(order) if order else F.lit(0))
     out = StructType([f for f in findings.schema if f.name in columns])
     return rows.groupBy(key).transformWithStateInPandas(First(columns, int(keep_days * DAY_MS)), out, "append", "eventTime")
 

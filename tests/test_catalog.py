@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from reviewlake import catalog_io as catalog
+from reviewlake import catalog_code as catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -84,6 +84,28 @@ def test_scip_round_trip(spark):
     assert tiers["lonely"] == "scip" and tiers["z"].startswith("import graph")
 
 
+def test_scip_file_in_many_tasks(spark, tmp_path):
+    """Fields before, between and after documents, documents larger than a range, and a cut file."""
+    rows = [(f"src/f{k}.ts", 1 + k % 300, f"pkg/s{k % 90}().", k % 2) for k in range(4000)]
+    data = field(1, b"metadata " * 30) + index(rows) + field(3, b"external") + index([(f"big{k}.ts", 7, "pkg/" + "x" * 3000 + "#", 1) for k in range(40)])
+    path = tmp_path / "index.scip"
+    path.write_bytes(data)
+    want = sorted(scip.occurrences(data))
+    for split in (1, 700, 20_000, 1 << 24):
+        got = scip.load(spark, str(path), split=split)
+        assert sorted(map(tuple, got.collect())) == want
+    assert scip.load(spark, str(path), split=20_000).rdd.getNumPartitions() > 10
+    with path.open("rb") as f:
+        spans = list(scip.ranges(f, len(data), 20_000))
+    assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    (tmp_path / "cut.scip").write_bytes(data[: len(data) - 100])
+    cut = {tuple(r) for r in scip.load(spark, str(tmp_path / "cut.scip"), split=2000).collect()}
+    assert cut < set(want) and len(cut) > 3000
+    (tmp_path / "no.scip").write_bytes(b"\xff\xff")
+    (tmp_path / "empty.scip").write_bytes(b"")
+    assert scip.load(spark, str(tmp_path / "no.scip"), str(tmp_path / "empty.scip")).count() == 0
+
+
 @pytest.mark.parametrize("head,base,want", [(30, None, "medium"), (15, None, "low"), (14, None, None), (15, 10, "low"), (31, 20, "medium"), (20, 4, "medium"), (12, 2, "low"), (16, 13, None)])
 def test_classifier(spark, head, base, want):
     df = spark.createDataFrame([(head, base)], "h int, b int")

@@ -52,6 +52,18 @@ def test_rules_fire_and_stay_silent(found):
         assert ((rule, k + 1) in got) == fires, (rule, text)
 
 
+def test_every_rule_fires_in_each_of_its_languages(spark):
+    """Every rule of the query's snippets, in all languages it knows, and none on the safe form."""
+    from reviewlake.catalog_code import SNIPPETS
+    from reviewlake.functions.paths import LANGUAGES
+
+    cases = [(rule[0], f"f{k}.{LANGUAGES[lang][0]}", line, text) for k, (rule, pair) in enumerate(zip(heuristics.RULES, SNIPPETS, strict=True)) for lang in rule[6] or LANGUAGES for line, text in enumerate(pair, 1)]
+    added = spark.createDataFrame([(path, 0, line, text) for _, path, line, text in cases], "path string, file_ord int, line int, text string")
+    got = {(r["rule_id"], r["file"], r["region"]["start_line"]) for r in heuristics.run(added).collect()}
+    for rule, path, line, text in cases:
+        assert ((rule, path, line) in got) == (line == 1), (rule, path, text)
+
+
 def test_every_rule_is_listed_once():
     ids = [r[0] for r in heuristics.RULES]
     assert len(ids) == len(set(ids)) == 41
