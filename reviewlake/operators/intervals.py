@@ -25,26 +25,22 @@ def cells_of_point(at: Column) -> Column:
     return F.array(*[F.struct(_level(k), F.shiftright(at, BITS * k).alias("cell")) for k in range(SIZES)])
 
 
-def _named(cells: Column, k: int) -> Column:
-    return F.transform(cells, lambda c: F.struct(_level(k), c.alias("cell")))
-
-
 def cells_of_interval(lo: Column, hi: Column) -> Column:
     """array<struct<size, cell>> of the fewest cells that make up the numbers lo to hi; none if lo > hi."""
-    first = [F.shiftright(lo.cast("long") + ((1 << BITS * k) - 1), BITS * k) for k in range(SIZES)]
-    until = [F.shiftright(hi.cast("long") + 1, BITS * k) for k in range(SIZES)]
-    parts = []
-    for k in range(SIZES):
-        a, b = first[k], until[k]
-        none = F.array().cast("array<bigint>")
-        span = lambda x, y, none=none: F.when(x < y, F.sequence(x, y - 1)).otherwise(none)
-        if k + 1 < SIZES:  # what larger cells hold is left to them
-            inner, outer = F.shiftleft(first[k + 1], BITS), F.shiftleft(until[k + 1], BITS)
-            cells = F.when(first[k + 1] < until[k + 1], F.concat(span(a, inner), span(outer, b))).otherwise(span(a, b))
-        else:
-            cells = span(a, b)
-        parts.append(_named(F.coalesce(cells, none), k))
-    return F.concat(*parts)
+    lo, until = lo.cast("long"), hi.cast("long") + 1
+    right, left = (lambda x, n, f=f: F.call_function(f, x, n) for f in ("shiftright", "shiftleft"))
+    one, none = F.lit(1).cast("long"), F.array().cast("array<bigint>")
+    span = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(none)
+    ends = lambda bits: (right(lo + left(one, bits) - 1, bits), right(until, bits))
+
+    def level(k: Column) -> Column:
+        (a, z), (inner, outer) = ends(k * BITS), ends(k * BITS + BITS)
+        up = lambda x: left(x, F.lit(BITS))
+        # What larger cells hold is left to them.
+        cells = F.when((k < SIZES - 1) & (inner < outer), F.concat(span(a, up(inner)), span(up(outer), z))).otherwise(span(a, z))
+        return F.transform(F.coalesce(cells, none), lambda c: F.struct(k.alias("size"), c.alias("cell")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIZES - 1)), level))
 
 
 def holding(spans: DataFrame, points: DataFrame, key: str, lo: str, hi: str, at: str) -> DataFrame:

@@ -57,6 +57,8 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             yield tag >> 3, value
         elif kind == 2:
             n, at = varint(data, at)
+            if at + n > len(data):
+                raise ValueError("a field leads out of its message")
             yield tag >> 3, data[at : at + n]
             at += n
         elif kind in (1, 5):

@@ -91,15 +91,17 @@ def test_scip_file_in_many_tasks(spark, tmp_path):
     path = tmp_path / "index.scip"
     path.write_bytes(data)
     want = sorted(scip.occurrences(data))
-    for split in (1, 700, 20_000, 1 << 24):
+    for split in (9000, 20_000, 1 << 24):
         got = scip.load(spark, str(path), split=split)
         assert sorted(map(tuple, got.collect())) == want
     assert scip.load(spark, str(path), split=20_000).rdd.getNumPartitions() > 10
     with path.open("rb") as f:
-        spans = list(scip.ranges(f, len(data), 20_000))
-    assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        for split in (1, 700, 20_000):
+            spans = list(scip.ranges(f, len(data), split))
+            assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+            assert sorted(r for a, b in spans for r in scip.occurrences(data[a:b])) == want
     (tmp_path / "cut.scip").write_bytes(data[: len(data) - 100])
-    cut = {tuple(r) for r in scip.load(spark, str(tmp_path / "cut.scip"), split=2000).collect()}
+    cut = {tuple(r) for r in scip.load(spark, str(tmp_path / "cut.scip"), split=9000).collect()}
     assert cut < set(want) and len(cut) > 3000
     (tmp_path / "no.scip").write_bytes(b"\xff\xff")
     (tmp_path / "empty.scip").write_bytes(b"")
