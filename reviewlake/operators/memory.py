@@ -169,7 +169,7 @@ def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
     rows, however long a chain is.  Components of more than GIANT_ROWS rows go by blocks.
     """
     # Equal vectors share their near ones, so the first stands for all; those of zeros are near to none.
-    some = rows.filter(F.exists("vec", lambda x: x != 0) & F.col("kind").isNotNull()).withColumn("same", F.sha2(F.to_json(F.struct("kind", "vec")), 256))
+    some = rows.filter(F.exists("vec", lambda x: x != 0) & F.col("kind").isNotNull()).withColumn("same", F.sha2(F.concat_ws("\n", "kind", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")), 256))
     low = some.groupBy("same").agg(F.min("id").alias("id"))
     equal = some.select("id").join(low.select("id"), "id", "left_anti")
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))

@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -52,9 +53,13 @@ class Cells(NamedTuple):
 
 def matrix(column: pa.ChunkedArray | pa.Array, wide: int) -> np.ndarray:
     """Rows of a list column, filled up with zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), wide))
-    for k, r in enumerate(rows):
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    if len(flat) == len(column) * wide and not flat.null_count and pc.all(pc.equal(pc.list_value_length(column), wide)).as_py():
+        return flat.to_numpy(zero_copy_only=False).reshape(-1, wide).astype(np.float64, copy=False)
+    out = np.zeros((len(column), wide))
+    for k, r in enumerate(column.to_pylist()):
         out[k, : len(r)] = r
     return out
 
