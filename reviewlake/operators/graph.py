@@ -209,5 +209,5 @@ def changed_exports(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     """
     spans = export_spans(symbols).select("file", "name", "line", "until")
     begun = intervals.holding(spans, hunks.select("file", "lo"), "file", "line", "until", "lo")
-    held = intervals.inside(spans, hunks, "file", "lo", "hi", "line")
+    held = intervals.inside(spans.select("file", "name", "line"), hunks, "file", "lo", "hi", "line")
     return begun.select("file", "name").union(held.select("file", "name")).distinct()

@@ -21,7 +21,9 @@ def test_cells_make_up_an_interval(spark, lo, hi):
     assert len(parts) <= 240
 
 
-def test_touched_and_inside_as_by_comparison(spark):
+@pytest.mark.parametrize("crowded", [0, 5000, 10**7])
+def test_touched_and_inside_as_by_comparison(spark, monkeypatch, crowded):
+    monkeypatch.setattr(intervals, "CROWDED", crowded)
     rng = random.Random(8)
     spans = [(rng.choice("ab"), f"s{k}", a := rng.randrange(-50, 3000), a + rng.choice([-1, 0, 1, 7, 90, 2000])) for k in range(300)]
     points = [(rng.choice("abc"), rng.randrange(-60, 5000)) for _ in range(120)]
@@ -34,7 +36,9 @@ def test_touched_and_inside_as_by_comparison(spark):
     assert sorted(map(tuple, held)) == sorted(q for q in points if any(f == q[0] and a <= q[1] <= b for f, _, a, b in spans))
 
 
-def test_changed_exports_as_by_comparison(spark):
+@pytest.mark.parametrize("crowded", [0, 10**7])
+def test_changed_exports_as_by_comparison(spark, monkeypatch, crowded):
+    monkeypatch.setattr(intervals, "CROWDED", crowded)
     rng = random.Random(9)
     symbols = sorted({(rng.choice("ab"), rng.randrange(1, 2000)) for _ in range(120)})
     rows = [(f, f"n{k}", line) for k, (f, line) in enumerate(symbols)]
