@@ -75,17 +75,32 @@ class Model:
 
     def text_scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Class scores of whole texts: means over their parts, by the parts' bytes."""
-        size = np.diff(offs)
-        many = np.maximum(-(-size // PART_BYTES), 1)
-        text = np.repeat(np.arange(len(size)), many)
-        no = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        edges = np.append(offs[text] + size[text] * no // many[text], offs[-1])
-        out = np.zeros((len(size), len(self.classes)))
-        for a in range(0, len(text), ROWS):
-            z = min(a + ROWS, len(text))
-            got = self.scores(presence(raw[edges[a] : edges[z]], edges[a : z + 1] - edges[a])).astype(np.float64)
-            np.add.at(out, text[a:z], got * np.diff(edges[a : z + 1])[:, None])
-        return out / np.maximum(size, 1)[:, None]
+        return over_parts(raw, offs, len(self.classes), self.scores)
+
+
+def over_parts(raw: np.ndarray, offs: np.ndarray, width: int, fn) -> np.ndarray:
+    """Means of ``fn``, ``width`` figures for each presence row, over the parts of every text, by the parts' bytes."""
+    size = np.diff(offs)
+    many = np.maximum(-(-size // PART_BYTES), 1)
+    text = np.repeat(np.arange(len(size)), many)
+    no = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    edges = np.append(offs[text] + size[text] * no // many[text], offs[-1])
+    out = np.zeros((len(size), width))
+    for a in range(0, len(text), ROWS):
+        z = min(a + ROWS, len(text))
+        got = fn(presence(raw[edges[a] : edges[z]], edges[a : z + 1] - edges[a])).astype(np.float64)
+        np.add.at(out, text[a:z], got * np.diff(edges[a : z + 1])[:, None])
+    return out / np.maximum(size, 1)[:, None]
+
+
+def kernel_with(marks: np.ndarray):
+    """Presence rows to their kernel with the 0/1 rows ``marks``: counts in common are whole numbers, whatever the batch."""
+    columns, own = marks.T.astype(np.float32), np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.float64), 1))
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        return (rows @ columns).astype(np.float64) / np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.float64), 1))[:, None] / own
+
+    return kernel
 
 
 def fit(rows: np.ndarray, labels: list[str]) -> Model:
@@ -93,14 +108,21 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
 
     Rows come in the order of their ids' hashes, so the first ones are a fair sample.
     """
+    share = landmark_share(len(set(labels)))
+    pick = np.concatenate([np.flatnonzero(np.array(labels, object) == c)[:share] for c in sorted(set(labels))])
+    return ridge(rows[pick], kernel_with(rows[pick])(rows), labels)
+
+
+def landmark_share(classes: int) -> int:
+    """Landmarks of each class."""
+    return max(1, LANDMARKS // max(1, classes))
+
+
+def ridge(marks: np.ndarray, kernel: np.ndarray, labels: list[str]) -> Model:
+    """One ridge regression for each class on the Nyström map of kernel rows with 0/1 landmark rows."""
     classes = sorted(set(labels))
     y = np.array([classes.index(c) for c in labels])
-    share = max(1, LANDMARKS // max(1, len(classes)))
-    pick = np.concatenate([np.flatnonzero(y == c)[:share] for c in range(len(classes))])
-    marks = rows[pick].T / np.sqrt(np.maximum(rows[pick].sum(axis=1), 1))
-    size = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    kernel = (rows @ marks / size).astype(np.float64)
-    own = kernel[pick]
+    own = kernel_with(marks)(marks.astype(np.float32))
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * max(values.max(), 1e-12)
     to_map = vectors[:, keep] / np.sqrt(values[keep])
@@ -112,22 +134,24 @@ def fit(rows: np.ndarray, labels: list[str]) -> Model:
     beta = np.linalg.solve(gram, z.T @ (target - target.mean(axis=0)))
     weights = to_map @ beta
     bias = target.mean(axis=0) - mean @ beta
-    return Model(classes, marks.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32))
+    scaled = marks.T / np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.float64), 1))
+    return Model(classes, scaled.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on at most ``rows`` labelled rows: of every label those with the smallest hash of their id.
 
     Labels take turns, so a rare label is not missed while there are fewer labels than rows.
-    Of a long text one part teaches, which the hash picks.  Rows that share id and label teach
-    once.  Only the model, the chosen hashes and the counts
-    of at most ``rows`` labels reach the driver.  None, if no row has text
-    and label.
+    Every part of a chosen text teaches: its kernel with a landmark is the mean over its parts by
+    their bytes, as in scoring, so a text of any length is one short vector.  A landmark is one
+    part of its text, which the hash picks.  Rows that share id and label teach once.  Only the
+    model, the chosen hashes, the landmarks and the counts of at most ``rows`` labels reach the
+    driver.  None, if no row has text and label.
     """
     session(df)
 
-    def run(batches):
-        for b in batches:
+    def landmark(batches):
+        for b in (p for whole in batches for p in portions(whole, 2)):
             raw, offs = text_bytes(b.column(2))
             h, size = b.column(0).to_numpy(), np.diff(offs)
             many = np.maximum(-(-size // PART_BYTES), 1)
@@ -148,15 +172,31 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     chosen = few.withColumn("turn", turn).orderBy("turn", "h", "label").limit(rows).select("h", "label").collect()
     if not chosen:
         return None
-    wanted = F.broadcast(df.sparkSession.createDataFrame(sorted(set(map(tuple, chosen))), "h long, label string"))  # at most ``rows``
-    got = some.join(wanted, ["h", "label"], "left_semi").select("h", "label", "text").mapInArrow(run, "h long, label string, bits binary")
-    got = got.groupBy("h", "label").agg(F.min("bits").alias("bits"))
+
+    def texts(names: list[tuple[int, str]]) -> DataFrame:
+        wanted = F.broadcast(df.sparkSession.createDataFrame(names, "h long, label string"))  # at most ``rows``
+        return some.join(wanted, ["h", "label"], "left_semi").select("h", "label", "text")
+
+    every = sorted(set(map(tuple, chosen)), key=lambda r: (r[1], r[0]))
+    most = landmark_share(len({c for _, c in every}))
+    first = [r for c in sorted({c for _, c in every}) for r in [e for e in every if e[1] == c][:most]]
+    found = texts(first).mapInArrow(landmark, "h long, label string, bits binary").groupBy("h", "label").agg(F.min("bits").alias("bits")).collect()
+    found = [r["bits"] for r in sorted(found, key=lambda r: (r["label"], r["h"]))]
+    marks = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1), axis=1)
+
+    def kernels(batches):
+        kernel = kernel_with(marks)
+        for b in (p for whole in batches for p in portions(whole, 2)):
+            got = over_parts(*text_bytes(b.column(2)), len(marks), kernel)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in got], pa.binary())], ["h", "label", "kernel"])
+
+    got = texts(every).mapInArrow(kernels, "h long, label string, kernel binary").groupBy("h", "label").agg(F.min("kernel").alias("kernel"))
 
     def learn(batches):
         """The bounded sample is fitted in one task, and only the model comes back."""
         rows = sorted(r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-        bits = np.unpackbits(np.frombuffer(b"".join(b for *_, b in rows), np.uint8).reshape(len(rows), -1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(bits.astype(np.float32), [c for c, *_ in rows]))], pa.binary())], ["model"])
+        kernel = np.frombuffer(b"".join(k for *_, k in rows), np.float64).reshape(len(rows), -1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(ridge(marks, kernel, [c for c, *_ in rows]))], pa.binary())], ["model"])
 
     return pickle.loads(bytes(got.repartition(1).mapInArrow(learn, "model binary").first()["model"]))
 

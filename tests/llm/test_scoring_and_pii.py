@@ -112,6 +112,28 @@ def test_language_equals_a_dense_ridge(spark):
     assert np.abs(m.scores(rows) - (zc @ beta + y.mean(axis=0))).max() < 1e-3
 
 
+def test_every_part_of_a_long_text_teaches(spark):
+    """A tongue that stands in one part of long texts only is learned from it, wherever the hash points."""
+    rng = random.Random(12)
+    long = lambda t: "".join(speech(rng, TONGUES[t if k == 3 else "zz"], 2 * langid.PART_BYTES)[: langid.PART_BYTES] for k in range(8))
+    rows = [(k, long(t), t) for k, t in enumerate(["xx", "yy"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    test = spark.createDataFrame([(k, speech(rng, TONGUES[t]), t) for k, t in enumerate(["xx", "yy"] * 20)], "doc_id long, text string, truth string")
+    got = langid.identify(test, model, keep=("truth",)).collect()
+    assert sum(r["lang_pred"] == r["truth"] for r in got) >= 38
+    raw, offs = np.frombuffer("".join(t for _, t, _ in rows).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for _, t, _ in rows])
+    marks = (np.random.default_rng(1).random((5, langid.BUCKETS)) < 0.1).astype(np.uint8)
+    mean = langid.over_parts(raw, offs, 5, langid.kernel_with(marks))
+    for k in (0, 31):  # by hand: the mean over eighths by their bytes
+        own = raw[offs[k] : offs[k + 1]]
+        many = -(-len(own) // langid.PART_BYTES)
+        cut = [len(own) * j // many for j in range(many + 1)]
+        parts = [langid.presence(own[a:z], np.array([0, z - a]))[0] for a, z in zip(cut, cut[1:])]
+        want = sum((p @ marks.T) / np.sqrt(p.sum() * marks.sum(axis=1)) * (z - a) for p, a, z in zip(parts, cut, cut[1:])) / len(own)
+        assert np.abs(mean[k] - want).max() < 1e-5
+
+
 def test_language_of_odd_rows(spark):
     rng = random.Random(8)
     rows = [(k, speech(rng, TONGUES[t]), t) for k, t in enumerate(["xx", "yy"] * 40)] + [(500, speech(rng, TONGUES["zz"]), "zz"), (7, "la re", "xx"), (7, "la re", "xx"), (None, "sch ung", "yy"), (8, "²½³ 12", "xx"), (9, "ª", None)]
