@@ -39,6 +39,8 @@ SMALL = 64
 INDEX, PROBE = 0x4000, 0x8000
 #: Deltas to a pivot are kept up to so many times the distance of a link.
 REACH = 4
+#: Bytes of one Arrow batch handed to Python: pairs travel with two texts, so rows alone do not bound a worker.
+BATCH_BYTES = 4 << 20
 WHOLE = 0xFFFF  # unit number of a signature that is a unit of its own
 
 _U = np.uint64
@@ -447,7 +449,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are one node with several texts: each text finds its links as if it had an id of its own,
     then those of one id are tied together.  Rows with a null id come back with a null component.
     """
-    session(df)
+    session(df).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = stored(profiles(docs, width), "profiles")
     # Ids with unlike sets; sets that are equal need no names of their own.
