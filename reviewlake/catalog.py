@@ -178,6 +178,18 @@ def memory_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hashing.fnv1a32(F.col("p_name")).alias("h"), hashing.memory_id(F.lit("note"), F.col("p_name")).alias("id"))
 
 
+# Code units of UTF-16: characters beyond U+FFFF are two.
+UNITS_SQL = "flatten(list_transform(string_split({s}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END))"
+UNIT_HASH_SQL = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform({u}, lambda b: CAST(b AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+
+
+@query(f"SELECT doc_id, 'm_' || lpad(lower(to_hex(CAST({UNIT_HASH_SQL.format(u='list_concat([110, 111, 116, 101, 0], ' + UNITS_SQL.format(s='t') + ')')} AS UBIGINT))), 8, '0') AS id FROM (SELECT doc_id, text || 'é—😀' || doc_id AS t FROM documents)")
+def memory_ids_units(spark, sf_dir):
+    """Names of memories whose texts hold characters of one, two, three and four UTF-8 bytes."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", hashing.memory_id(F.lit("note"), F.concat("text", F.lit("é—😀"), F.col("doc_id").cast("string"))).alias("id"))
+
+
 @query(f"SELECT doc_id, line_no, {NORMAL_SQL} AS snippet FROM ({DOC_LINES})")
 def normalize_snippet(spark, sf_dir):
     return doc_lines(spark, sf_dir).select("doc_id", "line_no", text.normalize_snippet(F.col("text")).alias("snippet"))
@@ -402,7 +414,8 @@ def json_props(spark, sf_dir):
 
 @query("SELECT 's' || l_suppkey AS file, CAST(l_linenumber AS INTEGER) AS line, max(CAST(trunc(l_quantity) AS BIGINT)) AS hits FROM lineitem GROUP BY ALL")
 def json_report_parse(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"), F.concat("l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), F.monotonically_increasing_id()).alias("id"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"), "l_orderkey", "l_partkey")
+    li = li.withColumn("id", F.row_number().over(Window.partitionBy("s").orderBy("l_orderkey", "l_linenumber", "l_partkey", "q")).cast("string"))
     at = F.map_from_entries(F.collect_list(F.struct("id", F.struct(F.struct(F.col("l_linenumber").alias("line")).alias("start")))))
     counts = F.map_from_entries(F.collect_list(F.struct("id", "q")))
     doc = li.groupBy("s").agg(at.alias("statementMap"), counts.alias("s2")).select(F.col("s").cast("string").alias("report"), F.to_json(F.create_map(F.concat(F.lit("s"), "s"), F.struct("statementMap", F.col("s2").alias("s")))).alias("text"))
@@ -820,3 +833,26 @@ def audit_unaccounted(spark, sf_dir):
 """)
 def audit_ratio(spark, sf_dir):
     return audit.ratios(ledger(spark, sf_dir))
+
+
+@query(f"""
+    WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS repo, o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey IN ({FATE_SQL}) AS done FROM orders),
+    b AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY id) AS no FROM o WHERE k % 5 = 0 AND k % 10 <> 0),
+    u AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY id) AS no FROM o WHERE NOT done),
+    bl AS (SELECT repo, string_agg('  never inspected: ' || id || ' (f)' || chr(10), '' ORDER BY no) AS t FROM b WHERE no <= 3 GROUP BY repo),
+    ul AS (SELECT repo, string_agg('  unaccounted: ' || id || chr(10), '' ORDER BY no) AS t FROM u WHERE no <= 3 GROUP BY repo),
+    c AS (SELECT repo, count(*) AS floor, count(*) FILTER (k % 5 = 0) AS symbols, count(*) FILTER (k % 10 = 0) AS looks, count(*) FILTER (done AND k % 2 = 0) AS gone,
+          count(*) FILTER (done AND k % 2 = 1) AS taken, count(*) FILTER (NOT done) AS open, count(*) FILTER (k % 5 = 0 AND k % 10 <> 0) AS blind FROM o GROUP BY repo)
+    SELECT c.repo, 'Audit: ' || looks || '/' || symbols || ' changed exports traced, ' || looks || ' inspect call(s).' || chr(10) || coalesce(bl.t, '')
+           || CASE WHEN blind > 3 THEN '  and ' || (blind - 3) || ' more' || chr(10) ELSE '' END
+           || 'Floor: ' || floor || ' finding(s), kept not declared, ' || gone || ' dismissed, ' || taken || ' accepted, ' || open || ' unaccounted.' || chr(10) || coalesce(ul.t, '')
+           || CASE WHEN open > 3 THEN '  and ' || (open - 3) || ' more' || chr(10) ELSE '' END
+           || CASE WHEN blind = 0 AND open = 0 THEN 'AUDIT CLEAN' ELSE 'AUDIT INCOMPLETE' END AS text
+    FROM c LEFT JOIN bl USING (repo) LEFT JOIN ul USING (repo)
+""")
+def audit_blocks(spark, sf_dir):
+    """The audit of every repository as text; what came before a review's start says nothing."""
+    rows = ledger(spark, sf_dir)
+    start = rows.select("repo").distinct().select("repo", F.lit(0).cast("long").alias("seq"), F.lit("start").alias("event"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    earlier = rows.filter("event = 'floor'").withColumn("seq", F.lit(-1).cast("long")).withColumn("key", F.concat(F.lit("old"), "key"))
+    return audit.blocks(rows.union(start).union(earlier), shown=3)

@@ -26,10 +26,25 @@ def _bytes_or_none(s: Column) -> Column:
     return bound(s, lambda x: F.when(F.length(x) > 0, utf8_bytes(x)).otherwise(F.array().cast("array<bigint>")))
 
 
+def utf16_units(s: Column) -> Column:
+    """array<bigint> of a string's UTF-16 code units: one for each character, two for those beyond U+FFFF."""
+    unit = lambda digits: F.conv(digits, 16, 10).cast("bigint")
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(s, "UTF-16BE")), F.lit("(....)"), F.lit(1)), unit)
+
+
+def _fnv1a32(units: Column) -> Column:
+    step = lambda h, b: (h.bitwiseXOR(b) * F.lit(PRIME_32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(units, F.lit(BASIS_32).cast("bigint"), step)
+
+
 def fnv1a32(s: Column) -> Column:
     """FNV-1a 32 of the bytes, as a non-negative bigint."""
-    step = lambda h, b: (h.bitwiseXOR(b) * F.lit(PRIME_32)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.aggregate(_bytes_or_none(s), F.lit(BASIS_32).cast("bigint"), step)
+    return _fnv1a32(_bytes_or_none(s))
+
+
+def fnv1a32_utf16(s: Column) -> Column:
+    """FNV-1a 32 that takes a string's UTF-16 code units whole, as stores written by scripts do."""
+    return _fnv1a32(utf16_units(s))
 
 
 def fnv1a64(s: Column) -> Column:
@@ -58,5 +73,5 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def memory_id(kind: Column, text: Column) -> Column:
-    """Name of a memory; over UTF-8 bytes, which equal UTF-16 units for ASCII text."""
-    return F.concat(F.lit("m_"), F.lpad(F.lower(F.hex(fnv1a32(F.concat_ws("\u0000", kind, text)))), 8, "0"))
+    """Name of a memory, over UTF-16 units: the same as in stores that scripts have written."""
+    return F.concat(F.lit("m_"), F.lpad(F.lower(F.hex(fnv1a32_utf16(F.concat_ws("\u0000", kind, text)))), 8, "0"))

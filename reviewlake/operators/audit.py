@@ -7,7 +7,7 @@ look (value: kind) at a symbol (key); ``dismissed`` or ``accepted`` a finding id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Looks that trace a symbol's users; rows shown in a block of text.
@@ -24,10 +24,13 @@ def parse_symbols(lines: DataFrame, col: str = "line") -> DataFrame:
 
 
 def current(ledger: DataFrame) -> DataFrame:
-    """Events since the last start of each repository; none where no review began."""
-    w = Window.partitionBy("repo")
-    rows = ledger.withColumn("__s", F.max(F.when(F.col("event") == "start", F.col("seq"))).over(w))
-    return rows.filter("seq >= __s").drop("__s")
+    """Events since the last start of each repository; none where no review began.
+
+    The starts are counted before they meet the events, so a repository that holds most of the
+    ledger is split by the join and not sorted in one task.
+    """
+    start = ledger.filter("event = 'start'").groupBy("repo").agg(F.max("seq").alias("__s"))
+    return ledger.join(start, "repo").filter("seq >= __s").select(*ledger.columns)
 
 
 def fates(ledger: DataFrame) -> DataFrame:
@@ -66,21 +69,35 @@ def ratios(ledger: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     return out.withColumn("traced", F.col("symbols") - F.col("untraced")).withColumn("clean", (F.col("untraced") == 0) & (F.col("unaccounted") == 0))
 
 
+def _first_lines(rows: DataFrame, line: Column, order: list[str], shown: int, name: str) -> DataFrame:
+    """(repo, name): the first ``shown`` lines of each repository in order, cut before they are gathered."""
+    first = rows.withColumn("__no", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).filter(F.col("__no") <= shown)
+    listed = F.array_sort(F.collect_list(F.struct("__no", line.alias("line"))))
+    return first.groupBy("repo").agg(F.transform(listed, lambda r: r["line"]).alias(name))
+
+
+def blocks(ledger: DataFrame, kept: DataFrame | None = None, shown: int = SHOWN) -> DataFrame:
+    """(repo, text): the audit of every repository's current review, with at most ``shown`` rows of each list.
+
+    All texts come of one plan: counts by repository, and lists of which no task gathers more
+    than ``shown`` rows of a repository.  Repositories without a review have no row.
+    """
+    own = current(ledger)
+    blind = untraced(own)
+    seen = _first_lines(blind, F.format_string("  never inspected: %s (%s)", "symbol", "file"), ["file", "symbol"], shown, "blind_lines")
+    left = _first_lines(unaccounted(own, kept), F.format_string("  unaccounted: %s", "id"), ["id"], shown, "open_lines")
+    rows = ratios(own, kept).join(seen, "repo", "left").join(left, "repo", "left")
+    more = lambda n: F.when(F.col(n) > shown, F.array(F.format_string("  and %d more", F.col(n) - shown))).otherwise(F.array().cast("array<string>"))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    said = F.format_string("%d kept", "kept") if kept is not None else F.lit("kept not declared")
+    head = F.format_string("Audit: %d/%d changed exports traced, %d inspect call(s).", "traced", "symbols", "inspect_calls")
+    floor = F.format_string("Floor: %d finding(s), %s, %d dismissed, %d accepted, %d unaccounted.", F.col("floor"), said, F.col("dismissed"), F.col("accepted"), F.col("unaccounted"))
+    end = F.when(F.col("clean"), "AUDIT CLEAN").otherwise("AUDIT INCOMPLETE")
+    lines = F.concat(F.array(head), listed("blind_lines"), more("untraced"), F.array(floor), listed("open_lines"), more("unaccounted"), F.array(end))
+    return rows.select("repo", F.array_join(lines, "\n").alias("text"))
+
+
 def block(ledger: DataFrame, repo: str, kept: DataFrame | None = None, shown: int = SHOWN) -> str:
-    """The audit as text, with at most ``shown`` rows of each list."""
-    own = current(ledger).filter(F.col("repo") == repo)
-    row = ratios(own, kept).first()
-    if row is None:
-        return "Audit: no review was started for this repository."
-    out = [f"Audit: {row['traced']}/{row['symbols']} changed exports traced, {row['inspect_calls']} inspect call(s)."]
-    blind = untraced(own).orderBy("file", "symbol").limit(shown).collect()
-    out += [f"  never inspected: {r['symbol']} ({r['file']})" for r in blind]
-    if row["untraced"] > shown:
-        out.append(f"  and {row['untraced'] - shown} more")
-    said = f"{row['kept']} kept" if kept is not None else "kept not declared"
-    out.append(f"Floor: {row['floor']} finding(s), {said}, {row['dismissed']} dismissed, {row['accepted']} accepted, {row['unaccounted']} unaccounted.")
-    out += [f"  unaccounted: {r['id']}" for r in unaccounted(own, kept).orderBy("id").limit(shown).collect()]
-    if row["unaccounted"] > shown:
-        out.append(f"  and {row['unaccounted'] - shown} more")
-    out.append("AUDIT CLEAN" if row["clean"] else "AUDIT INCOMPLETE")
-    return "\n".join(out)
+    """The audit of one repository as text."""
+    row = blocks(ledger.filter(F.col("repo") == repo), kept, shown).first()
+    return "Audit: no review was started for this repository." if row is None else row["text"]

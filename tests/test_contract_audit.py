@@ -47,3 +47,23 @@ def test_audit_clean(spark):
 def test_symbols_are_parsed(spark):
     df = spark.createDataFrame([("src/a.ts: foo, bar",), ("nothing",), ("b.ts: ,x",)], "line string")
     assert {tuple(r) for r in audit.parse_symbols(df).collect()} == {("src/a.ts", "foo"), ("src/a.ts", "bar"), ("b.ts", "x")}
+
+
+def test_blocks_of_many_repositories(spark):
+    """One plan gives the same texts as a look at each repository, and lists are cut."""
+    rows = []
+    for r in range(30):
+        rows += [(f"r{r}", 0, "floor", "old", None), (f"r{r}", 1, "start", None, None)] if r % 5 else [(f"r{r}", 0, "floor", "early", None)]
+        rows += [(f"r{r}", 2 + k, "floor", f"f{k:02d}", None) for k in range(r)]
+        rows += [(f"r{r}", 50 + k, "symbol", f"s{k}", "a.ts") for k in range(r % 4)] + [(f"r{r}", 90, "inspect", "s0", "callers")]
+        rows += [(f"r{r}", 100 + k, "dismissed", f"f{k:02d}", None) for k in range(r // 2)]
+    df = spark.createDataFrame(rows, "repo string, seq long, event string, key string, value string")
+    got = {r["repo"]: r["text"] for r in audit.blocks(df).collect()}
+    assert set(got) == {f"r{r}" for r in range(30) if r % 5}
+    for r in (1, 7, 29):
+        assert got[f"r{r}"] == audit.block(df, f"r{r}")
+    lines = got["r29"].split("\n")
+    assert lines[0] == "Audit: 1/1 changed exports traced, 1 inspect call(s)."
+    assert lines[1] == "Floor: 29 finding(s), kept not declared, 14 dismissed, 0 accepted, 15 unaccounted."
+    assert lines[2:14] == [f"  unaccounted: f{k}" for k in range(14, 26)] and lines[14:] == ["  and 3 more", "AUDIT INCOMPLETE"]
+    assert audit.blocks(df.limit(0)).count() == 0

@@ -77,3 +77,17 @@ def test_severity(spark):
     assert one(spark, severity.tier(F.col("s")), s="medium") == "concern"
     assert one(spark, severity.from_level(F.col("s")), s="note") == "low"
     assert one(spark, severity.to_level(F.col("s")), s="info") == "note"
+
+
+def test_memory_ids_take_utf16_units(spark):
+    """Against a plain loop over code units; a null text leaves the kind alone."""
+
+    def plain(s: str) -> str:
+        raw, h = s.encode("utf-16-be"), 0x811C9DC5
+        for k in range(0, len(raw), 2):
+            h = ((h ^ (raw[k] << 8 | raw[k + 1])) * 0x01000193) & 0xFFFFFFFF
+        return f"m_{h:08x}"
+
+    texts = ["", "plain", "naïve — ça", "\u0000\u00ff\uffff", "😀 two units", "日本語\n\n", "x" * 5000 + "é"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.memory_id(F.lit("note"), F.col("t")).alias("id")).collect()
+    assert {r["t"]: r["id"] for r in got} == {t: plain(f"note\0{t}") for t in texts}
