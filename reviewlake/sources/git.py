@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -71,12 +72,31 @@ def patches(spark: SparkSession, root: str, mode: Mode) -> DataFrame:
     return spark.createDataFrame([(root, diff_text(root, mode))], "patch_id string, text string")
 
 
+def _blobs(root: str, ref: str, names: list[str]) -> Iterator[tuple[str, str | None]]:
+    """(path, content) of files at a commit, read one after the other from one process."""
+    plain = [n for n in names if "\n" not in n]  # a request is a line
+    done = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input="".join(f"{ref}:{n}\n" for n in plain).encode(errors="surrogateescape"), capture_output=True)
+    if done.returncode:
+        raise GitError(done.stderr.decode(errors="replace").strip())
+    out, at = done.stdout, 0
+    for n in plain:
+        end = out.index(b"\n", at)
+        told, at = out[at:end].split(b" "), end + 1
+        if told[-1] in (b"missing", b"ambiguous"):
+            yield n, None
+            continue
+        size = int(told[-1])
+        yield n, out[at : at + size].decode(errors="replace") if told[-2] == b"blob" else None
+        at += size + 1
+    for n in (n for n in names if "\n" in n):
+        one = subprocess.run(["git", "-C", root, "show", f"{ref}:{n}"], capture_output=True)
+        yield n, one.stdout.decode(errors="replace") if one.returncode == 0 else None
+
+
 def base_files(spark: SparkSession, root: str, mode: Mode, names: list[str]) -> DataFrame:
     """(path, content) before the change; content is null where the path was absent."""
-    ref, rows = mode.base_ref(), []
-    for p in names:
-        done = subprocess.run(["git", "-C", root, "show", f"{ref}:{p}"], capture_output=True) if ref else None
-        rows.append((p, done.stdout.decode(errors="replace") if done and done.returncode == 0 else None))
+    ref = mode.base_ref()
+    rows = list(_blobs(root, ref, names)) if ref and names else [(p, None) for p in names]
     return spark.createDataFrame(rows, "path string, content string")
 
 

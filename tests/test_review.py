@@ -152,3 +152,18 @@ def test_deleted_and_generated_files_are_left_out(spark):
     added = spark.createDataFrame([(p, 0, 1, "console.log(1)") for p in ("a.ts", "gone.ts", "dist/b.ts")], "path string, file_ord int, line int, text string")
     files = spark.createDataFrame([("a.ts", False), ("gone.ts", True), ("dist/b.ts", False)], "path string, is_deleted boolean")
     assert [r["file"] for r in review(Context(spark, files, added)).findings.collect()] == ["a.ts"]
+
+
+def test_base_contents_by_one_process(tmp_path):
+    """Names with blanks, line ends and words of git's own answers; folders and absent paths are null."""
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    files = {"a.txt": "one\n", "b c.txt": "no end", "dir/é.txt": "ü\n\nx", "empty": "", "new\nline.txt": "odd", "x blob 3": "abc"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(content)
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    names = [*files, "absent", "absent blob", "absent blob 5", "dir"]
+    assert dict(git._blobs(str(tmp_path), "HEAD", names)) == {n: files.get(n) for n in names}
+    assert not any(c for _, c in git._blobs(str(tmp_path), "nowhere", names))
