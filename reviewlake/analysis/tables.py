@@ -1,4 +1,4 @@
-"""Parsed sources as DataFrames: one Arrow pass over (path, content), filtered beforehand."""
+"""Parsed sources as DataFrames: one Arrow pass over (path, content), filtered and dealt over all tasks beforehand."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..runtime import ship
+from ..runtime import ship, spread
 from .structure import VOCABULARY, parse
 
 DDL = "file string, what string, name string, kind string, start_line int, end_line int, exported boolean, score int, names array<string>, source string"
@@ -28,7 +28,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
     ship(files.sparkSession)
     known = files.withColumn("lang", paths.language(F.col("path"))).filter(F.col("content").isNotNull() & F.col("lang").isin("python", *VOCABULARY) & ~paths.is_generated(F.col("path")))
-    return known.select("path", "lang", "content").mapInPandas(run, DDL)
+    return spread(known.select("path", "lang", "content"), "path").mapInPandas(run, DDL)
 
 
 def symbols(rows: DataFrame) -> DataFrame:

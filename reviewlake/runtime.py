@@ -1,4 +1,4 @@
-"""What every Spark job of the library needs: its package in Python workers, and a shared folder."""
+"""What every Spark job of the library needs: its package in Python workers, a shared folder, and tasks enough."""
 
 from __future__ import annotations
 
@@ -43,6 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over the session's shuffle partitions.
+
+    For work that costs a row far more than moving it: a table of few bytes is read by one or
+    two tasks, however many rows it has, and AQE joins small partitions into a few by their bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)

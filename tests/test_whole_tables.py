@@ -3,7 +3,9 @@
 import re
 from collections import Counter
 
-from reviewlake import catalog
+from pyspark.sql import functions as F
+
+from reviewlake import catalog, catalog_code
 from reviewlake.operators import similarity
 
 
@@ -93,3 +95,12 @@ def test_remember_compares_new_rows(spark):
     base = " ".join(f"word{k} of{k * k}" for k in range(120))
     new = spark.createDataFrame([("note", base, None, None), ("note", base + " more", None, None)], "kind string, text string, scope string, file string")
     assert catalog.memory.remember(spark.createDataFrame([], catalog.memory.MEMORY_DDL), new, "2026-06-09T00:00:00Z").count() == 1
+
+
+def test_parsing_is_dealt_over_all_tasks(spark, tmp_path):
+    """A part table of one file is read by one task; parsing takes as many as there are shuffle partitions."""
+    rows = [(k, k % 50) for k in range(1, 201)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    parsed = catalog_code.tables.parsed(catalog_code.code_files(spark, str(tmp_path)))
+    tasks = [r["count"] for r in parsed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 4 and max(tasks) < 2 * sum(tasks) / len(tasks)
