@@ -752,10 +752,9 @@ def similarity_join(spark, sf_dir):
 
 @query(f"SELECT a.vec_id AS id, round(max({DOT_SQL}), 6) AS best, round(max(CASE WHEN a.label = b.label THEN {DOT_SQL} END), 6) AS best_same FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {DOT_SQL} >= 0.25 GROUP BY a.vec_id")
 def similarity_best(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    p = memory.similarity_pairs(v, v, 0.25).filter("l <> r")
-    p = p.join(v.select(F.col("id").alias("l"), F.col("label").alias("x")), "l").join(v.select(F.col("id").alias("r"), F.col("label").alias("y")), "r")
-    return p.groupBy(F.col("l").alias("id")).agg(F.round(F.max("sim"), 6).alias("best"), F.round(F.max(F.when(F.col("x") == F.col("y"), F.col("sim"))), 6).alias("best_same"))
+    v = vectors(spark, sf_dir).select(F.struct("id", "label").alias("id"), "vec")  # pairs bring their labels: none is moved before the maxima are taken
+    p = memory.similarity_pairs(v, v, 0.25).filter("l.id <> r.id")
+    return p.groupBy(F.col("l.id").alias("id")).agg(F.round(F.max("sim"), 6).alias("best"), F.round(F.max(F.when(F.col("l.label") == F.col("r.label"), F.col("sim"))), 6).alias("best_same"))
 
 
 @query(f"SELECT b.vec_id AS id, floor({DOT_SQL} * 1000 + 0.5) / 1000 AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 0 AND b.vec_id <> 0 AND {DOT_SQL} >= 0.2 ORDER BY {DOT_SQL} DESC, id LIMIT 5")

@@ -206,8 +206,8 @@ def added(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = featu
     fresh = checkpoint(fresh.select("no", "kind", "text", "e.scope", "e.file").withColumn("embedding", embed(F.col("text"))))
     vectors = fresh.select(F.col("no").alias("id"), "kind", F.col("embedding").alias("vec"))
     old = memories.select("id", "kind", F.col("embedding").alias("vec"))
-    known = alike(vectors, old, DUPLICATE, by=("kind",))
-    vectors = checkpoint(vectors.join(known, "id", "left_anti"))
+    if not old.isEmpty():
+        vectors = checkpoint(vectors.join(alike(vectors, old, DUPLICATE, by=("kind",)), "id", "left_anti"))
     stay = vectors.join(later_copies(vectors), "id", "left_anti").select(F.col("id").alias("no"))
     rows = fresh.join(stay, "no", "left_semi").withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))
     return rows.select(*memories.columns)

@@ -10,13 +10,17 @@ first; the inner product of the rest is at most the product of the rests' norms
 suffix-norm bound), and only pairs whose bound still reaches the threshold are multiplied
 whole.  Both bounds lose no pair.
 
-Cells are cut in blocks of a bounded size, so that no task holds a cell whole, however many
-vectors are alike.
+Neighbouring cells share a block of a bounded size, a large cell is cut in several.  A vector is
+sent once for each block that it visits, with the numbers of the cells there, not once for each
+cell.  A task holds one block; what visits it streams by, and pairs are written as they are found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import numpy as np
@@ -26,17 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..runtime import checkpoint, ship
+from ..runtime import checkpoint, ship, spread
 from .components import spanning
 
-#: Vectors of a cell in a task, and rows of them that are multiplied at a time.
-BLOCK_ROWS, STRIP_ROWS = 8_000, 512
+#: Left vectors in a task, rows of them that are multiplied at a time, visitors of a batch, pairs of one that is written.
+BLOCK_ROWS, STRIP_ROWS, VISITORS, PAIRS = 32_000, 512, 4096, 1 << 16
+#: Tasks for each core, where the rows allow.
+TURNS = 3
 #: Vectors for each leader, the most leaders, and how many of them bound a right vector's products.
 CELL_ROWS, LEADERS, NEAREST = 16, 512, 8
 #: Leaders are no more alike than this, so that a large group of near copies has one of them.
 UNLIKE = 0.95
 #: Stars, three numbers each, that are broadcast; more are joined by a shuffle.
 LOW_ROWS = 200_000
+Meet = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray, Iterator[tuple[slice, np.ndarray]]], Iterator[pa.RecordBatch]]
 #: What rounding may add to an inner product of unit vectors.
 SLACK = 1e-9
 
@@ -131,44 +138,85 @@ def _own(x: np.ndarray, leaders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1))
 
 
-def _posted(left: DataFrame, cells: Cells, wide: int) -> DataFrame:
-    """Left rows with their cell, the angle to its leader, and a block: blocks of a cell hold about BLOCK_ROWS rows each."""
-    names, leaders, parts = left.columns, cells.leaders, np.maximum(1, -(-cells.rows // BLOCK_ROWS))
+class Blocks(NamedTuple):
+    """How the left side is cut: every cell's first block and how many it has, blocks, and turns of the right side."""
+
+    first: np.ndarray
+    many: np.ndarray
+    blocks: int
+    turns: int
+
+
+def cut(cells: Cells, tasks: int) -> Blocks:
+    """Cells next to each other share a block of BLOCK_ROWS rows at most; a larger cell has blocks of its own.
+
+    A left row is sent once for each turn, a right row once for each block that holds a cell it
+    visits; few rows are cut in about as many blocks as turns.
+    """
+    n, k = int(cells.rows.sum()), len(cells.rows)
+    most = max(1, min(BLOCK_ROWS, -(-n // max(1, math.isqrt(tasks)))))
+    like, order, rest = cells.leaders @ cells.leaders.T, [0], set(range(1, k))
+    while rest:
+        order.append(max(rest, key=lambda c: like[order[-1], c]))
+        rest.remove(order[-1])
+    first, many, at, held = np.zeros(k, np.int64), np.ones(k, np.int64), 0, 0
+    for c in order:
+        rows = int(cells.rows[c])
+        if held and held + rows > most:
+            at, held = at + 1, 0
+        first[c], many[c] = at, max(1, -(-rows // most))
+        if many[c] > 1:
+            at, held = at + int(many[c]), 0
+        else:
+            held += rows
+    return Blocks(first, many, at + 1, max(1, -(-tasks // (at + 1))))
+
+
+def _posted(left: DataFrame, cells: Cells, blocks: Blocks, wide: int) -> DataFrame:
+    """Left rows with their cell, the angle to its leader, and their block."""
+    names, leaders = left.columns, cells.leaders
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, angle = _own(matrix(b.column(names.index("vec")), wide), leaders)
-            block = b.column(names.index("__h")).to_numpy() % parts[cell]
+            block = blocks.first[cell] + b.column(names.index("__h")).to_numpy() % blocks.many[cell]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angle), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], [*names, "__angle", "cell", "block"])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in left.dtypes)
     return left.mapInArrow(run, f"{ddl}, __angle double, cell int, block int")
 
 
-def _visiting(right: DataFrame, cells: Cells, wide: int, least: float, core: float) -> DataFrame:
-    """Right rows once for each block of each cell that they visit.
+def _visiting(right: DataFrame, cells: Cells, blocks: Blocks, wide: int, least: float, core: float) -> DataFrame:
+    """Right rows once for each block that they visit, with the cells that they visit there.
 
     Rows no further than the angle ``core`` from their own leader do not visit its cell.
     """
-    names, parts = right.columns, np.maximum(1, -(-cells.rows // BLOCK_ROWS))
+    names = right.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column(names.index("vec")), wide)
-            asked = visits(x, cells, least)
-            if core >= 0:
-                own, angle = _own(x, cells.leaders)
-                asked[angle <= core, own[angle <= core]] = False
-            row, cell = np.nonzero(asked)
-            many = parts[cell]
-            at = np.repeat(np.arange(len(row)), many)
-            block = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            for k in range(0, len(at), 4096):
-                s = slice(k, k + 4096)
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row[at[s]])).columns, pa.array(cell[at[s]].astype(np.int32)), pa.array(block[s].astype(np.int32))], [*names, "cell", "block"])
+        for big in batches:
+            for lo in range(0, big.num_rows, 1024):
+                b = big.slice(lo, 1024)
+                x = matrix(b.column(names.index("vec")), wide)
+                asked = visits(x, cells, least)
+                if core >= 0:
+                    own, angle = _own(x, cells.leaders)
+                    asked[angle <= core, own[angle <= core]] = False
+                row, cell = np.nonzero(asked)
+                many = blocks.many[cell]
+                at = np.repeat(np.arange(len(row)), many)
+                block = blocks.first[cell[at]] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                row, cell = row[at], cell[at]
+                order = np.lexsort((cell, block, row))
+                row, cell, block = row[order], cell[order], block[order]
+                start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)].astype(np.int32)), pa.array(cell.astype(np.int16)))
+                for k in range(0, len(start), 4096):
+                    s = slice(k, k + 4096)
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(row[start[s]])).columns, pa.array(block[start[s]].astype(np.int32)), lists[s]], [*names, "block", "cells"])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in right.dtypes)
-    return right.mapInArrow(run, f"{ddl}, cell int, block int")
+    return right.mapInArrow(run, f"{ddl}, block int, cells array<smallint>")
 
 
 def inverted_file(left: DataFrame, n: int, wide: int) -> Cells:
@@ -207,21 +255,86 @@ def inverted_file(left: DataFrame, n: int, wide: int) -> Cells:
     return Cells(leaders, low[:, :k], high[:, :k], np.stack([low[:, k], high[:, k]], axis=1), rows)
 
 
-def _dealt(left: DataFrame, right: DataFrame, least: float, core: float = -1.0) -> tuple[DataFrame, DataFrame, int]:
-    """(left rows by cell and block, right rows where they visit, dimensions)."""
-    ship(left.sparkSession)
-    sides = [checkpoint(df.filter(F.col("vec").isNotNull()).withColumn("__h", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))) for df in (left, right)]
+def _dealt(left: DataFrame, right: DataFrame, least: float, core: float = -1.0) -> tuple[DataFrame, DataFrame, Blocks, int]:
+    """(left rows by cell and block, right rows where they visit, how they are cut, dimensions)."""
+    spark = left.sparkSession
+    ship(spark)
+    keep = lambda df: checkpoint(df.filter(F.col("vec").isNotNull()).withColumn("__h", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1))))
+    one = keep(left)
+    sides = [one, one if right is left else keep(right)]
     sizes = [df.agg(F.max(F.size("vec")), F.count("*")).first() for df in sides]
     wide = max(1, *(s[0] or 0 for s in sizes))
     cells = inverted_file(sides[0], sizes[0][1], wide)
-    return _posted(sides[0], cells, wide), _visiting(sides[1].drop("__h"), cells, wide, least, core), wide
+    blocks = cut(cells, TURNS * spark.sparkContext.defaultParallelism)
+    return _posted(sides[0], cells, blocks, wide), _visiting(sides[1], cells, blocks, wide, least, core), blocks, wide
+
+
+def _streamed(posted: DataFrame, visiting: DataFrame, blocks: Blocks, wide: int, by: tuple[str, ...], meet: Meet, ddl: str) -> DataFrame:
+    """``meet(left ids, left vectors, right ids, right vectors, cells)`` for every block and its visitors, a batch of them at a time.
+
+    A task holds one block of the left side; the right side's rows come after it and are never
+    held together, so that its memory is bounded, however many rows visit or pairs are found.
+    ``cells`` are the right rows that visit, and the left rows, of each cell.
+    """
+    if by:  # a visit to a block without rows of the kind is not sent
+        there = posted.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("block").alias("__block")).distinct()
+        there = F.broadcast(there) if there.count() <= LOW_ROWS else there
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("block") == F.col("__block")]
+        visiting = visiting.join(there, reduce(and_, same), "left_semi")
+    turn = lambda c: c.cast("int").alias("turn")
+    none = lambda df, c: F.lit(None).cast(dict(df.dtypes)[c])
+    x = posted.select(*by, "block", F.explode(F.sequence(F.lit(0), F.lit(blocks.turns - 1))).alias("turn"), F.lit(0).alias("side"), F.col("id").alias("l"), none(visiting, "id").alias("r"), "vec", "cell", none(visiting, "cells").alias("cells"))
+    y = visiting.select(*by, "block", turn(F.col("__h") % blocks.turns), F.lit(1).alias("side"), none(posted, "id").alias("l"), F.col("id").alias("r"), "vec", none(posted, "cell").alias("cell"), "cells")
+    keys = [*by, "block", "turn"]
+    rows = spread(x.unionByName(y), *keys).sortWithinPartitions(*keys, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, places, held = None, [], [], [], None
+        for b in batches:
+            who = list(zip(*(b.column(c).to_pylist() for c in (*keys, "side")), strict=True))
+            cuts = [0, *(k for k in range(1, len(who)) if who[k] != who[k - 1]), len(who)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                *key, side = who[lo]
+                if key != now:
+                    now, ids, vectors, places, held = key, [], [], [], None
+                part = b.slice(lo, hi - lo)
+                if side == 0:
+                    ids.append(part.column("l"))
+                    vectors.append(matrix(part.column("vec"), wide))
+                    places.append(part.column("cell").to_numpy())
+                    continue
+                if not ids:
+                    continue
+                if held is None:
+                    at = np.concatenate(places)
+                    order = np.argsort(at, kind="stable")
+                    held = pa.concat_arrays(ids).take(pa.array(order)), np.concatenate(vectors)[order], at[order]
+                    vectors, places = [], []
+                for k in range(0, part.num_rows, VISITORS):
+                    some = part.slice(k, VISITORS)
+                    lists = some.column("cells")
+                    row, cell = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+                    order = np.argsort(cell, kind="stable")
+                    named, start = np.unique(cell[order], return_index=True)
+                    asking = np.split(row[order], start[1:])
+                    ends = zip(np.searchsorted(held[2], named, "left").tolist(), np.searchsorted(held[2], named, "right").tolist(), asking, strict=True)
+                    yield from meet(held[0], held[1], some.column("r"), matrix(some.column("vec"), wide), ((slice(i, j), rows) for i, j, rows in ends if i < j))
+
+    return rows.mapInArrow(run, ddl)
+
 
+def _found(x: np.ndarray, y: np.ndarray, cells: Iterator[tuple[slice, np.ndarray]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(row, column, inner product, pairs multiplied whole, pairs of the strip) of all cells."""
+    for own, rows in cells:
+        for i, j, sims, whole in products(x[own], y[rows], least):
+            yield i + own.start, rows[j], sims, whole, (own.stop - own.start) * len(rows)
 
-def _met(left: DataFrame, right: DataFrame, least: float, by: tuple[str, ...], meet: Callable[[pa.Table, pa.Table, int], pa.Table], ddl: str) -> DataFrame:
-    """``meet(left rows, right rows, dimensions)`` for every block of the left side and its visitors."""
-    posted, visiting, wide = _dealt(left, right, least)
-    keys = [*by, "cell", "block"]
-    return posted.groupBy(*keys).cogroup(visiting.groupBy(*keys)).applyInArrow(lambda a, b: meet(a, b, wide), ddl)
+
+def _met(left: DataFrame, right: DataFrame, least: float, by: tuple[str, ...], meet: Meet, ddl: str) -> DataFrame:
+    posted, visiting, blocks, wide = _dealt(left, right, least)
+    return _streamed(posted, visiting, blocks, wide, by, meet, ddl)
 
 
 def _side(df: DataFrame, vec: str, by: tuple[str, ...]) -> DataFrame:
@@ -237,36 +350,46 @@ def similarity_pairs(left: DataFrame, right: DataFrame, least: float, vec: str =
     kinds = [(n, df.schema["id"].dataType, dict(df.dtypes)["id"]) for n, df in (("l", left), ("r", right))]
     schema = pa.schema([*((n, to_arrow_type(t)) for n, t, _ in kinds), ("sim", pa.float64())])
 
-    def meet(a: pa.Table, b: pa.Table, wide: int) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        found = [f[:3] for f in products(matrix(a.column("vec"), wide), matrix(b.column("vec"), wide), least)]
-        i, j, sims = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table([a.column("id").take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(sims)], schema=schema)
+    def meet(l: pa.Array, x: np.ndarray, r: pa.Array, y: np.ndarray, cells) -> Iterator[pa.RecordBatch]:  # noqa: E741
+        some, n = [], 0
+        for i, j, sims, *_ in _found(x, y, cells, least):
+            for k in range(0, len(i), PAIRS):
+                some.append((i[k : k + PAIRS], j[k : k + PAIRS], sims[k : k + PAIRS]))
+                n += len(some[-1][0])
+                if n >= PAIRS:
+                    yield batch(l, r, some)
+                    some, n = [], 0
+        if n:
+            yield batch(l, r, some)
+
+    def batch(l: pa.Array, r: pa.Array, some: list) -> pa.RecordBatch:  # noqa: E741
+        i, j, sims = (np.concatenate(p) for p in zip(*some, strict=True))
+        return pa.RecordBatch.from_arrays([l.take(pa.array(i)).cast(schema.field(0).type), r.take(pa.array(j)).cast(schema.field(1).type), pa.array(sims)], schema=schema)
 
-    return _met(_side(left, vec, by), _side(right, vec, by), least, by, meet, f"l {kinds[0][2]}, r {kinds[1][2]}, sim double")
+    one = _side(left, vec, by)
+    return _met(one, one if right is left else _side(right, vec, by), least, by, meet, f"l {kinds[0][2]}, r {kinds[1][2]}, sim double")
 
 
 def multiplied(left: DataFrame, right: DataFrame, least: float, vec: str = "vec", by: tuple[str, ...] = ()) -> DataFrame:
     """(visited, multiplied) pairs of every task of ``similarity_pairs``: what pruning left."""
 
-    def meet(a: pa.Table, b: pa.Table, wide: int) -> pa.Table:
-        whole = sum(f[3] for f in products(matrix(a.column("vec"), wide), matrix(b.column("vec"), wide), least)) if a.num_rows and b.num_rows else 0
-        return pa.table({"visited": [a.num_rows * b.num_rows], "multiplied": [whole]})
+    def meet(l: pa.Array, x: np.ndarray, r: pa.Array, y: np.ndarray, cells) -> Iterator[pa.RecordBatch]:  # noqa: E741
+        cells = list(cells)
+        whole = sum(f[3] for f in _found(x, y, iter(cells), least))
+        yield pa.RecordBatch.from_pydict({"visited": [sum((own.stop - own.start) * len(rows) for own, rows in cells)], "multiplied": [int(whole)]})
 
     return _met(_side(left, vec, by), _side(right, vec, by), least, by, meet, "visited long, multiplied long")
 
 
 def alike(left: DataFrame, right: DataFrame, least: float, vec: str = "vec", by: tuple[str, ...] = ()) -> DataFrame:
-    """Ids of the left side that have a partner; a task names each at most once, whatever the pairs."""
+    """Ids of the left side that have a partner; a task names each at most once for a batch of partners, whatever the pairs."""
     kind = to_arrow_type(left.schema["id"].dataType)
 
-    def meet(a: pa.Table, b: pa.Table, wide: int) -> pa.Table:
-        hit = np.zeros(a.num_rows, bool)
-        if a.num_rows and b.num_rows:
-            for i, *_ in products(matrix(a.column("vec"), wide), matrix(b.column("vec"), wide), least):
-                hit[i] = True
-        return pa.table([a.column("id").filter(pa.array(hit))], schema=pa.schema([("id", kind)]))
+    def meet(l: pa.Array, x: np.ndarray, r: pa.Array, y: np.ndarray, cells) -> Iterator[pa.RecordBatch]:  # noqa: E741
+        hit = np.zeros(len(x), bool)
+        for i, *_ in _found(x, y, cells, least):
+            hit[i] = True
+        yield pa.RecordBatch.from_arrays([l.filter(pa.array(hit)).cast(kind)], ["id"])
 
     return _met(_side(left, vec, by), _side(right, vec, by), least, by, meet, f"id {dict(left.dtypes)['id']}").distinct()
 
@@ -282,31 +405,31 @@ def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
     """
     core = float(np.arccos(np.clip(least, -1, 1))) / 2 - 1e-6
 
-    def meet(a: pa.Table, b: pa.Table, wide: int) -> pa.Table:
+    def meet(l: pa.Array, x: np.ndarray, r: pa.Array, y: np.ndarray, cells) -> Iterator[pa.RecordBatch]:  # noqa: E741
         edges: list[tuple[int, int]] = []
-        if a.num_rows and b.num_rows:
-            x, y = a.column("id").to_numpy(), b.column("id").to_numpy()
-            for i, j, _, _ in products(matrix(a.column("vec"), wide), matrix(b.column("vec"), wide), least):
-                if not len(i):
-                    continue
-                rows, at = np.unique(i, return_inverse=True)
-                columns, to = np.unique(j, return_inverse=True)
-                label, before = np.arange(len(rows)), None
-                while before is None or (label != before).any():
-                    before, mark = label.copy(), np.full(len(columns), len(rows))
-                    np.minimum.at(mark, to, label[at])
-                    np.minimum.at(label, at, mark[to])
-                edges += zip(x[rows].tolist(), x[rows[label]].tolist(), strict=True)
-                edges += zip(y[columns].tolist(), x[rows[mark]].tolist(), strict=True)
+        u, v = l.to_numpy(), r.to_numpy()
+        for i, j, *_ in _found(x, y, cells, least):
+            if not len(i):
+                continue
+            rows, at = np.unique(i, return_inverse=True)
+            columns, to = np.unique(j, return_inverse=True)
+            label, before = np.arange(len(rows)), None
+            while before is None or (label != before).any():
+                before, mark = label.copy(), np.full(len(columns), len(rows))
+                np.minimum.at(mark, to, label[at])
+                np.minimum.at(label, at, mark[to])
+            edges += zip(u[rows].tolist(), u[rows[label]].tolist(), strict=True)
+            edges += zip(v[columns].tolist(), u[rows[mark]].tolist(), strict=True)
+            if len(edges) > 1 << 18:
+                edges = spanning(edges)
         kept = spanning([e for e in edges if e[0] != e[1]])
-        return pa.table({"u": pa.array([e[0] for e in kept], pa.int64()), "v": pa.array([e[1] for e in kept], pa.int64())})
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     side = _side(rows, "vec", by)
-    posted, visiting, wide = _dealt(side, side, least, core)
-    posted, keys = checkpoint(posted), [*by, "cell", "block"]
+    posted, visiting, blocks, wide = _dealt(side, side, least, core)
     alike_rows = posted.filter(F.col("__angle") <= core).select(F.col("id").alias("u"), *by, "cell")
     low = alike_rows.groupBy(*by, "cell").agg(F.min("u").alias("v"))
     if low.count() <= LOW_ROWS:
         low = F.broadcast(low)
     stars = alike_rows.join(low, [*by, "cell"]).filter("u <> v").select("u", "v")
-    return posted.groupBy(*keys).cogroup(visiting.groupBy(*keys)).applyInArrow(lambda a, b: meet(a, b, wide), "u long, v long").union(stars)
+    return _streamed(posted, visiting, blocks, wide, by, meet, "u long, v long").union(stars)

@@ -136,3 +136,23 @@ def test_kinds_are_apart(spark):
     df = spark.createDataFrame(rows, "id long, kind string, vec array<double>")
     assert sorted(r["id"] for r in memory.later_copies(df).collect()) == [3, 4, 8]
     assert math.isclose(memory.DUPLICATE, 0.97)
+
+
+def test_a_row_is_sent_once_for_a_block(hashed):
+    """Not once for each cell that it visits: the rows of near-duplicate searches filled the disk."""
+    side = similarity._side(hashed, "vec", ())
+    _, visiting, blocks, _ = similarity._dealt(side, side, 0.5)
+    sent, cells = visiting.agg(F.count("*"), F.sum(F.size("cells"))).first()
+    assert sent <= hashed.count() * blocks.blocks and cells > 4 * sent
+
+
+def test_visitors_and_pairs_come_in_batches(spark, monkeypatch):
+    for name, rows in (("BLOCK_ROWS", 20), ("VISITORS", 5), ("PAIRS", 7)):
+        monkeypatch.setattr(similarity, name, rows)
+    x = [[1.0, 0.01 * k] for k in range(70)]
+    got = [(r["l"], r["r"]) for r in similarity.similarity_pairs(table(spark, x), table(spark, x), 0.9).collect()]
+    assert len(got) == len(set(got)) == 70 * 70
+    batches = []
+    monkeypatch.setattr(similarity, "_met", lambda left, right, least, by, meet, ddl: batches.extend(meet(*[v for _ in "lr" for v in (similarity.pa.array(range(70)), np.array(x))], iter([(slice(0, 70), np.arange(70))]))))
+    similarity.similarity_pairs(table(spark, x), table(spark, x), 0.9)
+    assert sum(b.num_rows for b in batches) == 70 * 70 and max(b.num_rows for b in batches) <= 2 * 7
