@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import hashing, paths, severity, text
 from .operators import anchors, audit, complexity, external, findings, graph, heuristics, history, memory, reports
 from .plans import sinks
+from .runtime import spread
 from .sources import contract, stores, unified_diff
 from .sources import reports as readers
 
@@ -437,7 +438,8 @@ COMMITS_SQL = "SELECT o_orderkey AS seq, o_orderpriority = '1-URGENT' AS fix, li
 
 
 def commits(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seq")).agg(F.collect_set(F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("files"))
+    # Dealt first: sets gathered where the table is read would hold a whole split in a task's memory.
+    li = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.lpad(F.col("l_partkey").cast("string"), 9, "0").alias("path")), "seq").groupBy("seq").agg(F.collect_set("path").alias("files"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderpriority") == "1-URGENT").alias("fix"))
     return o.join(li, "seq")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..runtime import spread
 from . import findings
 
 # Words of fixing commits; thresholds of churn and of companions; caps.
@@ -41,7 +42,8 @@ def co_change(commits: DataFrame, changed: DataFrame, mass: int = MASS_COMMIT, l
     stat = rows.groupBy("path").agg(F.count("*").alias("n_stat")).filter(F.col("n_stat") >= least_commits)
     pairs = rows.select("path", F.explode("files").alias("partner")).filter("partner <> path")
     pairs = pairs.join(own.withColumnRenamed("path", "partner"), "partner", "left_anti").filter(~paths.is_generated(F.col("partner")))
-    count = pairs.groupBy("path", "partner").agg(F.count("*").alias("together"))
+    # Most pairs are rare: counted where they are made, they would fill a task's memory and shrink little.
+    count = spread(pairs, "path", "partner").groupBy("path", "partner").agg(F.count("*").alias("together"))
     w = Window.partitionBy("path").orderBy(F.desc("together"), "partner")
     best = count.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     num, den = rate

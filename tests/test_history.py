@@ -1,3 +1,5 @@
+import re
+
 from reviewlake.operators import history
 from reviewlake.sources import git
 
@@ -37,3 +39,11 @@ def test_ties_take_the_smallest_and_mass_commits_count_only_for_churn(spark):
     mass = commits(spark, [("fix", ["a.ts", "b.ts"] + [f"f{k}.ts" for k in range(40)])] * 6)
     got = {r["rule_id"]: r["severity"] for r in history.run(mass, changed(spark, "a.ts")).collect()}
     assert got == {"history.fix-churn": "low"}
+
+
+def test_pairs_are_dealt_before_they_are_counted(spark):
+    """No aggregate stands before the shuffle of pairs: it would hold a task's pairs whole."""
+    commits = spark.createDataFrame([(k, ["a", f"b{k}"]) for k in range(9)], "seq long, files array<string>")
+    plan = history.co_change(commits, spark.createDataFrame([("a",)], "path string"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_NUM") :]
+    assert not re.search(r"HashAggregate\(keys=\[path#\d+, partner#\d+\]", below)
