@@ -167,3 +167,18 @@ def test_base_contents_by_one_process(tmp_path):
     names = [*files, "absent", "absent blob", "absent blob 5", "dir"]
     assert dict(git._blobs(str(tmp_path), "HEAD", names)) == {n: files.get(n) for n in names}
     assert not any(c for _, c in git._blobs(str(tmp_path), "nowhere", names))
+
+
+def test_sarif_runs_make_findings_once(spark):
+    """Counts, rules and results read what was kept, not what makes the findings."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(5).mapInArrow(seen, "id long")
+    region = "named_struct('start_line', 1, 'start_col', 0, 'end_line', 1, 'end_col', 0) as region"
+    f = rows.selectExpr("cast(id as string) as id", "'r' as rule_id", "'low' as severity", "'f' as file", "'m' as message", region)
+    assert len(sinks.sarif_runs(f, rows_per_run=2).collect()) >= 1 and made.value == 5
