@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -116,7 +116,10 @@ def suppressions(feedback: DataFrame, exact_days: float = EXACT_DAYS, semantic_d
 
 
 class First(StatefulProcessor):
-    """Passes the first row of a key on; a key that was not seen again for ``keep_ms`` is forgotten."""
+    """Passes the first row of a key on; a key that was not seen again for ``keep_ms`` is forgotten.
+
+    Rows come one by one: a key has few, and a frame for each key costs far more than its rows.
+    """
 
     def __init__(self, columns: list[str], keep_ms: int):
         self.columns, self.keep_ms = columns, keep_ms
@@ -125,24 +128,29 @@ class First(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "until long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
-        part = pd.concat(parts) if len(parts) > 1 else parts[0]
-        part.columns = [*self.columns, "__us", "__ord"]  # computed columns come without their names
-        until = int(part["__us"].max()) // 1000 + self.keep_ms
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best, first, latest = None, None, 0
+        for row in rows:
+            *values, us, order = row[-len(self.columns) - 2 :]  # by place: computed columns come without their names
+            at, latest = (us, order is None, order), max(latest, us) if first else us
+            if first is None or at[:2] < best[:2] or (at[:2] == best[:2] and not at[1] and at[2] < best[2]):
+                best, first = at, values
+        until = latest // 1000 + self.keep_ms
+        old = self.seen.get() if self.seen.exists() else None
+        if old is None:
+            yield Row(*self.columns)(*first)
+            self.seen.update((until,))
+            self.handle.registerTimer(until)
+        elif until > old[0]:
+            self.seen.update((until,))  # the timer that is set finds it and sets the next
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.seen.exists():
-            (old,) = self.seen.get()
-            if until <= old:
-                return
-            self.handle.deleteTimer(old)
-        else:
-            yield part.sort_values(["__us", "__ord"], kind="stable").head(1)[self.columns]
-        self.seen.update((until,))
-        self.handle.registerTimer(until)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and self.seen.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
+            (until,) = self.seen.get()
+            if until <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1):
+                self.seen.clear()
+            else:
+                self.handle.registerTimer(until)
         yield from ()
 
     def close(self) -> None:
@@ -161,7 +169,7 @@ def first_wins(findings: DataFrame, ts: str = "ts", key: str = "id", order: str
     rows = findings.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
     rows = rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__ord", F.col(order) if order else F.lit(0))
     out = StructType([f for f in findings.schema if f.name in columns])
-    return rows.groupBy(key).transformWithStateInPandas(First(columns, int(keep_days * DAY_MS)), out, "append", "eventTime")
+    return rows.groupBy(key).transformWithState(First(columns, int(keep_days * DAY_MS)), out, "append", "eventTime")
 
 
 class Ledger(StatefulProcessor):

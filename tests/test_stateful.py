@@ -138,3 +138,52 @@ def test_a_quiet_ledger_is_forgotten(feed):
     time.sleep(9)
     f.add(("r", 3, "floor", "f2", None))
     assert [r[1] for r in f.rows()] == [1]
+
+
+class Counted:
+    """State in a dict that counts how often it is asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._call(() in self.held)
+
+    def get(self):
+        return self._call(self.held.get(()))
+
+    def update(self, value):
+        self._call(self.held.update({(): value}))
+
+    def containsKey(self, k):
+        return self._call(k in self.held)
+
+    def getValue(self, k):
+        return self._call(self.held.get(k))
+
+    def updateValue(self, k, value):
+        self._call(self.held.update({k: value}))
+
+    def clear(self):
+        self._call(self.held.clear())
+
+    def registerTimer(self, at):
+        self._call()
+
+    deleteTimer = registerTimer
+
+
+def test_a_known_fingerprint_costs_a_look_and_a_write():
+    """Rows come without a frame for each key, and the timer moves only when it fires."""
+    p = stateful.First(["id", "file"], 1000)
+    p.seen, p.handle = Counted(), Counted()
+    rows = [("x", "late", 7000, 2), ("x", "none", 7000, None), ("x", "won", 7000, 1), ("x", "newest", 9000, 0)]
+    assert [tuple(r) for r in p.handleInputRows(("x",), iter(rows), None)] == [("x", "won")]
+    assert list(p.handleInputRows(("x",), iter([("x", "again", 8_000_000, 0)]), None)) == []
+    assert (p.seen.held[()], p.handle.calls) == ((9000,), 1)
+
+
