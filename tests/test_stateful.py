@@ -187,3 +187,17 @@ def test_a_known_fingerprint_costs_a_look_and_a_write():
     assert (p.seen.held[()], p.handle.calls) == ((9000,), 1)
 
 
+def test_a_ledger_entry_is_written_once_a_batch():
+    """However many events an entry has; without a review before there is nothing to read."""
+    p = stateful.Ledger(1000)
+    p.fate, p.users, p.exports, p.counts = (Counted() for _ in range(4))
+    rows = [("r", 0, "floor", "early", None), ("r", 1, "start", None, None)]
+    for n in range(2, 302):
+        event, value = [("floor", None), ("dismissed", None), ("accepted", None), ("symbol", "a.ts"), ("inspect", "callers")][n % 5]
+        rows.append(("r", n, event, f"k{n % 3}", value))
+    (got,) = p.handleInputRows(("r",), iter(rows[::-1]), None)
+    assert got.asDict() | {"repo": "r", "floor": 3, "symbols": 3, "traced": 3, "inspect_calls": 60, "unaccounted": 0, "untraced": 0, "clean": True} == got.asDict()
+    assert (got["dismissed"], got["accepted"]) == (2, 1)  # the last words are 299, 297 and 298... by key
+    assert p.fate.calls + p.users.calls + p.exports.calls == 9
+    (got,) = p.handleInputRows(("r",), iter([("r", 400, "dismissed", "k0", None), ("r", 401, "accepted", "k0", None)]), None)
+    assert got["accepted"] + got["dismissed"] == 3 and p.fate.held["k0",] == ("+accepted",)
