@@ -14,7 +14,7 @@ from .operators import complexity, findings, graph, heuristics, history
 from .operators.inspect import picked
 from .plans import sinks
 from .plans.review import Context
-from .runtime import shared_folder
+from .runtime import shared_folder, spread
 from .sources import scip
 from .streaming import stateful
 
@@ -85,8 +85,9 @@ def shipped_rules(spark, sf_dir):
     """Every rule as it is shipped: each part's file gets a line that matches and a safe one for each of them."""
     c = change(spark, sf_dir)
     lines = F.posexplode(F.array(*[F.lit(s) for s in LINES])).alias("at", "text")
-    added = c.files.select("path", F.lit(0).alias("file_ord"), lines).select("path", "file_ord", (F.col("at") + 1).alias("line"), "text")
-    f = heuristics.run(Context(spark, c.files, added).reviewable())
+    # A file's name is few bytes and its lines many: files are dealt before they become lines.
+    added = spread(c.files).select("path", F.lit(0).alias("file_ord"), lines).select("path", "file_ord", (F.col("at") + 1).alias("line"), "text")
+    f = heuristics.run(Context(spark, c.files, added).reviewable(), dealt=True)
     return f.select(F.col("file").alias("path"), F.col("region.start_line").cast("long").alias("line"), "rule_id", "severity")
 
 

@@ -6,7 +6,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from reviewlake import catalog, catalog_code
-from reviewlake.operators import similarity
+from reviewlake.operators import heuristics, similarity
+from reviewlake.plans.review import Context
 
 
 def save(spark, folder, name, rows, ddl):
@@ -104,3 +105,18 @@ def test_parsing_is_dealt_over_all_tasks(spark, tmp_path):
     parsed = catalog_code.tables.parsed(catalog_code.code_files(spark, str(tmp_path)))
     tasks = [r["count"] for r in parsed.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) == 4 and max(tasks) < 2 * sum(tasks) / len(tasks)
+
+
+def test_rules_are_dealt_over_all_tasks(spark):
+    """A change of few bytes, read by one task and joined to its files by few."""
+    added = spark.range(400).coalesce(1).selectExpr("concat('src/f', id % 40, '.ts') as path", "0 as file_ord", "cast(id as int) as line", "'console.log(a)' as text")
+    files = added.select("path", F.lit(False).alias("is_deleted")).distinct()
+    found = heuristics.run(Context(spark, files, added).reviewable())
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(tasks) == 400
+
+
+def test_shipped_rules_deal_files_before_they_become_lines(spark):
+    found = catalog_code.shipped_rules(spark, "/root/testdata/sf0.001")
+    tasks = found.groupBy(F.spark_partition_id()).count().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
