@@ -543,7 +543,7 @@ def import_resolve(spark, sf_dir):
     spec = F.concat(up, F.when(F.col("b") % 3 == 0, "a").otherwise("b"), F.lit("/./s"), F.col("b").cast("string"), F.when(F.col("b") % 3 == 2, "").otherwise(".js"))
     imports = i.join(s, "s_suppkey").select("file", F.array(F.lit("x")).alias("names"), spec.alias("source"))
     twins = s.filter("s_suppkey % 3 = 1").select(F.regexp_replace("file", "ts$", "js").alias("path"))
-    return graph.import_edges(imports, s.select(F.col("file").alias("path")).union(twins)).select("src", "dst").distinct()
+    return graph.import_edges(imports, s.select(F.col("file").alias("path")).union(twins)).select("src", "dst")  # every name is x
 
 
 EDGES_SQL = "SELECT 'o' || o_orderkey AS src, 'f' || (l_suppkey % 7) AS name, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION SELECT 'c' || o_custkey, 'g', 'o' || o_orderkey FROM orders"

@@ -11,6 +11,7 @@ from . import findings, intervals
 
 # Extensions tried for an import, confidences, thresholds, files listed.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+COMPILED = (".js", ".jsx", ".mjs", ".cjs")
 HEURISTIC, PRECISE = 0.6, 0.97
 LEAST_CALLERS, MANY_CALLERS, FILES_SHOWN = 3, 8, 12
 IMPACTFUL = ("function", "class", "const", "enum")
@@ -22,8 +23,8 @@ ALL = 2**31 - 1
 
 def normalized_target(source: F.Column, from_file: F.Column) -> F.Column:
     """A relative specifier as a path from the root; steps above it stay at it."""
-    folder = F.slice(F.split(from_file, "/"), F.lit(1), F.size(F.split(from_file, "/")) - 1)
-    parts = F.filter(F.concat(folder, F.split(source, "/")), lambda s: (s != "") & (s != "."))
+    folder = F.substr(from_file, F.lit(1), F.length(from_file) - F.length(F.substring_index(from_file, "/", -1)))
+    parts = F.filter(F.split(F.concat(folder, source), "/"), lambda s: (s != "") & (s != "."))
 
     def step(acc: F.Column, s: F.Column) -> F.Column:
         up = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
@@ -32,9 +33,11 @@ def normalized_target(source: F.Column, from_file: F.Column) -> F.Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def spellings(target: F.Column) -> F.Column:
-    """What a target may be spelt as, in order of preference: a source before what it compiles to."""
-    return F.array_distinct(F.array(F.regexp_replace(target, r"\.(js|jsx|mjs|cjs)$", ""), target))
+def targets_of(key: F.Column) -> F.Column:
+    """array<struct<target, turn>>: the targets that may be spelt as a key, a source before what it compiles to."""
+    compiled = F.rlike(key, F.lit(r"\.(js|jsx|mjs|cjs)$"))
+    own = F.struct(key.alias("target"), compiled.cast("int").alias("turn"))
+    return F.array(own, *[F.struct(F.concat(key, F.lit(e)).alias("target"), F.lit(0).alias("turn")) for e in COMPILED])
 
 
 def names_of(path: F.Column) -> F.Column:
@@ -52,13 +55,13 @@ def names_of(path: F.Column) -> F.Column:
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, name, dst) of (file, names, source) imports that resolve to a file (path).
 
-    An import goes out twice at most, a file three times: each side knows its own spellings.
+    Files are few beside imports: what each answers to is settled on their side, and an import
+    goes out once, past a hash table of the files, without a sort or a group of its own.
     """
-    local = imports.filter(F.startswith("source", F.lit("."))).withColumn("target", normalized_target(F.col("source"), F.col("file")))
-    tried = local.select("file", "names", "source", F.posexplode(spellings(F.col("target"))).alias("turn", "key"))
-    known = files.select("path").distinct().select("path", F.explode(names_of(F.col("path"))).alias("n")).select("path", "n.*")
-    found = tried.join(known, "key").groupBy("file", "source", "names").agg(F.min_by("path", F.struct("turn", "place")).alias("dst"))
-    return found.select(F.col("file").alias("src"), F.explode_outer("names").alias("name"), "dst").distinct()
+    local = imports.filter(F.startswith("source", F.lit("."))).select("file", "names", normalized_target(F.col("source"), F.col("file")).alias("target"))
+    known = files.select("path").distinct().select("path", F.explode(names_of(F.col("path"))).alias("n")).select("path", "n.place", F.explode(targets_of(F.col("n.key"))).alias("t"))
+    best = known.groupBy("t.target").agg(F.min_by("path", F.struct("t.turn", "place")).alias("dst"))
+    return local.join(best.hint("shuffle_hash"), "target").select(F.col("file").alias("src"), F.explode_outer("names").alias("name"), "dst").distinct()
 
 
 def direct_callers(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -122,3 +122,14 @@ def test_complexity_findings_compare_the_first_of_a_name(spark):
     f = complexity.complexity_findings(head, base, added).collect()
     assert len(f) == 1 and f[0]["severity"] == "medium" and "was 1" in f[0]["message"]
     assert complexity.complexity_findings(head, base, added.filter("line > 50")).count() == 0
+
+
+def test_an_import_goes_out_once(spark):
+    """Imports stream past a table of the files: they are neither sorted for a join nor grouped."""
+    files = spark.createDataFrame([("a/x.ts",), ("a/x.js",), ("a/y.js",), ("a/y/index.ts",), ("a/z.js.ts",)], "path string")
+    imports = spark.createDataFrame([("a/m.ts", ["n", "k"], s) for s in ("./x.js", "./x", "./y.js", "./y", "./z.js", "../../a/./x.mjs", "./none")] + [("a/m.ts", None, "./y/"), ("m.ts", ["r"], "./a/y.js")], "file string, names array<string>, source string")
+    edges = graph.import_edges(imports, files)
+    found = {"a/x.ts", "a/y.js", "a/z.js.ts"}
+    assert {tuple(r) for r in edges.collect()} == {("a/m.ts", n, f) for n in ("n", "k") for f in found} | {("a/m.ts", None, "a/y.js"), ("m.ts", "r", "a/y.js")}
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan and "posexplode" not in plan
