@@ -239,11 +239,11 @@ def _pick(values: list[str], by: str) -> str:
 PATHS_SQL = f"SELECT p_partkey, {_pick(FOLDERS, 'p_partkey')} || '/' || CASE WHEN p_partkey % 5 = 0 THEN {_pick(NAMES, 'p_partkey // 5')} ELSE 'f' || p_partkey || '.' || {_pick(EXTS, 'p_partkey')} END AS path FROM part"
 
 
-def part_paths(spark, sf_dir) -> DataFrame:
+def part_paths(spark, sf_dir, *more: str) -> DataFrame:
     pick = lambda vs, by: F.get(F.array(*[F.lit(v) for v in vs]), (by % len(vs)).cast("int"))
     k = F.col("p_partkey")
     name = F.when(k % 5 == 0, pick(NAMES, F.floor(k / 5))).otherwise(F.concat(F.lit("f"), k.cast("string"), F.lit("."), pick(EXTS, k)))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(FOLDERS, k), F.lit("/"), name).alias("path"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(FOLDERS, k), F.lit("/"), name).alias("path"), *more)
 
 
 def _in(values) -> str:
