@@ -554,7 +554,7 @@ def edges(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     a = li.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("f"), F.col("l_suppkey") % 7).alias("name"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     b = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.lit("g").alias("name"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
-    return a.union(b).distinct()
+    return a.union(b)  # who needs them once makes them so, after what it drops
 
 
 def supplier_symbols(spark, sf_dir) -> DataFrame:

@@ -66,7 +66,7 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def direct_callers(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(file, name, caller): other files that import the symbol by name."""
-    hit = edges.select("src", "name", F.col("dst").alias("file")).join(symbols.select("file", "name").distinct(), ["file", "name"])
+    hit = edges.select("src", "name", F.col("dst").alias("file")).join(symbols.select("file", "name").distinct().hint("shuffle_hash"), ["file", "name"])
     return hit.filter("src <> file").select("file", "name", F.col("src").alias("caller")).distinct()
 
 
@@ -77,8 +77,10 @@ def transitive_callers(direct: DataFrame, edges: DataFrame, hub: int = HUB) -> D
     by row.  A caller with more importers is a hub: its importers are a bit map, cut in pieces
     of 32 768 files, and a symbol unites its hubs' maps instead of reading their rows.
     """
-    hop = edges.select(F.col("dst").alias("caller"), F.col("src").alias("second")).distinct()
+    hop = edges.select(F.col("dst").alias("caller"), F.col("src").alias("second"))
+    # Counted with repeats, which may make a few hubs too many but spares a pass over all pairs.
     hubs = checkpoint(hop.groupBy("caller").count().filter(F.col("count") > hub).select("caller"))
+    hop = hop.distinct()
     if hubs.isEmpty():
         return _second_hop(direct, hop)
     # Hubs are at most as many as imports divided by ``hub``.

@@ -133,3 +133,19 @@ def test_an_import_goes_out_once(spark):
     assert {tuple(r) for r in edges.collect()} == {("a/m.ts", n, f) for n in ("n", "k") for f in found} | {("a/m.ts", None, "a/y.js"), ("m.ts", "r", "a/y.js")}
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan and "posexplode" not in plan
+
+
+def test_hubs_are_counted_without_a_pass_over_all_pairs(spark):
+    """Edges may repeat; repeats make neither callers nor hops more, whichever way a hub goes."""
+    e = [("a", "f", "s"), ("b", "f", "s"), ("x", "g", "a"), ("x", "h", "a"), ("y", "g", "a"), ("b", "g", "a"), ("s", "g", "b")]
+    edges = spark.createDataFrame(e + e, "src string, name string, dst string")
+    direct = graph.direct_callers(spark.createDataFrame([("s", "f")], "file string, name string"), edges)
+    assert sorted(r["caller"] for r in direct.collect()) == ["a", "b"]
+    for hub in (1, 4, 100):
+        assert [tuple(r) for r in graph.transitive_callers(direct, edges, hub).collect()] == [("s", "f", 2)]
+
+
+def test_direct_callers_are_not_sorted_for_their_join(spark):
+    edges = spark.range(9).selectExpr("concat('o', id) as src", "'f' as name", "concat('s', id % 3) as dst")
+    plan = graph.direct_callers(spark.range(3).selectExpr("concat('s', id) as file", "'f' as name"), edges)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
