@@ -67,3 +67,10 @@ def test_blocks_of_many_repositories(spark):
     assert lines[1] == "Floor: 29 finding(s), kept not declared, 14 dismissed, 0 accepted, 15 unaccounted."
     assert lines[2:14] == [f"  unaccounted: f{k}" for k in range(14, 26)] and lines[14:] == ["  and 3 more", "AUDIT INCOMPLETE"]
     assert audit.blocks(df.limit(0)).count() == 0
+
+
+def test_a_review_begins_without_sorting_the_ledger(spark):
+    rows = [("r", 1, "floor", "old", None), ("r", 2, "start", None, None), ("r", 3, "floor", "f", None), ("s", 1, "floor", "none began", None)]
+    own = audit.current(spark.createDataFrame(rows, "repo string, seq long, event string, key string, value string"))
+    assert sorted(r["seq"] for r in own.collect()) == [2, 3]
+    assert "SortMergeJoin" not in own._jdf.queryExecution().executedPlan().toString()
