@@ -80,19 +80,23 @@ def transitive_callers(direct: DataFrame, edges: DataFrame, hub: int = HUB) -> D
     hop = edges.select(F.col("dst").alias("caller"), F.col("src").alias("second"))
     # Counted with repeats, which may make a few hubs too many but spares a pass over all pairs.
     hubs = checkpoint(hop.groupBy("caller").count().filter(F.col("count") > hub).select("caller"))
-    hop = hop.distinct()
     if hubs.isEmpty():
         return _second_hop(direct, hop)
     # Hubs are at most as many as imports divided by ``hub``.
     over = direct.join(hubs, "caller", "left_semi").select("file", "name").distinct()
-    light = _second_hop(direct.join(over, ["file", "name"], "left_anti"), hop)
-    return light.unionByName(_second_hop_by_maps(direct.join(over, ["file", "name"], "left_semi"), hop, hubs))
+    light = _second_hop(direct.join(over, ["file", "name"], "left_anti"), hop.join(hubs, "caller", "left_anti"))
+    return light.unionByName(_second_hop_by_maps(direct.join(over, ["file", "name"], "left_semi"), hop.distinct(), hubs))
 
 
 def _second_hop(direct: DataFrame, hop: DataFrame) -> DataFrame:
-    far = direct.join(hop, "caller").filter("second <> file").select("file", "name", "second").distinct()
-    far = far.join(direct.select("file", "name", F.col("caller").alias("second")), ["file", "name", "second"], "left_anti")
-    return far.groupBy("file", "name").agg(F.count("*").alias("transitive"))
+    """Callers' importers that are no callers themselves: one grouping tells them apart.
+
+    No caller has many importers here, so repeated hops go where they meet the callers.
+    """
+    far = direct.join(hop.repartition("caller").distinct(), "caller").filter("second <> file").select("file", "name", "second", F.lit(False).alias("near"))
+    every = far.union(direct.select("file", "name", "caller", F.lit(True)))
+    every = every.groupBy("file", "name", "second").agg(F.max("near").alias("near")).filter("not near")
+    return every.groupBy("file", "name").agg(F.count("*").alias("transitive"))
 
 
 def _second_hop_by_maps(direct: DataFrame, hop: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -133,7 +137,8 @@ def heuristic_reach(symbols: DataFrame, edges: DataFrame, shown: int = FILES_SHO
     direct = direct_callers(symbols, edges)
     far = transitive_callers(direct, edges)
     near = direct.groupBy("file", "name").agg(F.count("*").alias("direct"), (paths.is_api_path(F.col("file")) | F.max(paths.is_api_path(F.col("caller")))).alias("crosses"))
-    near = near.join(first_callers(direct, shown), ["file", "name"])
+    # Every symbol here has callers; a left join is left out where nobody asks for their names.
+    near = near.join(first_callers(direct, shown), ["file", "name"], "left")
     return near.join(far, ["file", "name"], "left").withColumn("transitive", F.coalesce("transitive", F.lit(0).cast("long"))).select("file", "name", "callers", "direct", "crosses", "transitive")
 
 
@@ -155,7 +160,11 @@ def occurrence_of(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def precise_reach(symbols: DataFrame, occurrences: DataFrame, shown: int = FILES_SHOWN) -> DataFrame:
     """As ``heuristic_reach``, from an index; symbols it knows and nobody uses have no callers."""
-    own = occurrence_of(symbols, occurrences)
+    return _reach_of(occurrence_of(symbols, occurrences), occurrences, shown)
+
+
+def _reach_of(own: DataFrame, occurrences: DataFrame, shown: int) -> DataFrame:
+    """``precise_reach`` of symbols with their occurrences."""
     # References are counted by symbol and file first, so that a much used symbol shrinks before it is joined.
     refs = occurrences.filter("not is_def").groupBy("symbol", F.col("file").alias("caller")).agg(F.count("*").alias("n"))
     rows = own.join(refs, "symbol").groupBy("file", "name", "caller").agg(F.sum("n").alias("n"))
@@ -175,11 +184,16 @@ def precise_reach(symbols: DataFrame, occurrences: DataFrame, shown: int = FILES
 def tiered_reach(symbols: DataFrame, edges: DataFrame, occurrences: DataFrame | None) -> DataFrame:
     """The index's answer where it has one, even an empty one; else the import graph's."""
     cols = ["file", "name", "callers", "direct", "transitive", "crosses", "confidence", "method"]
-    heuristic = heuristic_reach(symbols, edges).withColumn("confidence", F.lit(HEURISTIC)).withColumn("method", F.lit("import graph (ts/js)")).select(*cols)
+
+    def of_imports(asked: DataFrame) -> DataFrame:
+        return heuristic_reach(asked, edges).withColumn("confidence", F.lit(HEURISTIC)).withColumn("method", F.lit("import graph (ts/js)")).select(*cols)
+
     if occurrences is None:
-        return heuristic
-    precise = precise_reach(symbols, occurrences).withColumn("transitive", F.lit(0).cast("long")).withColumn("confidence", F.lit(PRECISE)).withColumn("method", F.lit("scip")).select(*cols)
-    return precise.unionByName(heuristic.join(precise.select("file", "name"), ["file", "name"], "left_anti"))
+        return of_imports(symbols)
+    # The import graph is asked only for what the index does not know: its hops are most of the work.
+    own = checkpoint(occurrence_of(symbols, occurrences))
+    precise = _reach_of(own, occurrences, FILES_SHOWN).withColumn("transitive", F.lit(0).cast("long")).withColumn("confidence", F.lit(PRECISE)).withColumn("method", F.lit("scip")).select(*cols)
+    return precise.unionByName(of_imports(symbols.join(own, ["file", "name"], "left_anti")))
 
 
 def touched(symbols: DataFrame, added: DataFrame) -> DataFrame:

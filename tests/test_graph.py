@@ -149,3 +149,32 @@ def test_direct_callers_are_not_sorted_for_their_join(spark):
     edges = spark.range(9).selectExpr("concat('o', id) as src", "'f' as name", "concat('s', id % 3) as dst")
     plan = graph.direct_callers(spark.range(3).selectExpr("concat('s', id) as file", "'f' as name"), edges)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def tiers_of_two(spark):
+    """The index knows s0, the import graph s1."""
+    symbols = spark.createDataFrame([("s0", "f", 1), ("s1", "f", 1)], "file string, name string, start_line int")
+    edges = spark.createDataFrame([("a", "f", "s0"), ("a", "f", "s1"), ("b", "f", "s1"), ("c", "g", "a"), ("c", "h", "a"), ("b", "g", "a"), ("s1", "g", "b")], "src string, name string, dst string")
+    occ = spark.createDataFrame([("s0", 1, "pkg/f().", True), ("z", 4, "pkg/f().", False)], "file string, line int, symbol string, is_def boolean")
+    return symbols, edges, occ
+
+
+def test_the_import_graph_is_asked_for_what_the_index_does_not_know(spark, monkeypatch):
+    asked, reach = [], graph.heuristic_reach
+    monkeypatch.setattr(graph, "heuristic_reach", lambda symbols, *a: asked.extend(r["file"] for r in symbols.collect()) or reach(symbols, *a))
+    got = {r["file"]: (r["callers"], r["direct"], r["transitive"], r["method"]) for r in graph.tiered_reach(*tiers_of_two(spark)).collect()}
+    assert got == {"s0": (["z"], 1, 0, "scip"), "s1": (["a", "b"], 2, 1, "import graph (ts/js)")}
+    assert asked == ["s1"]
+
+
+def test_callers_that_nobody_asks_for_are_not_ranked(spark):
+    symbols, edges, occ = tiers_of_two(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan(graph.tiered_reach(symbols, edges, occ)) and "Window" not in plan(graph.tiered_reach(symbols, edges, occ).drop("callers"))
+
+
+def test_second_hops_need_no_join_back(spark):
+    symbols, edges, _ = tiers_of_two(spark)
+    far = graph.transitive_callers(graph.direct_callers(symbols, edges), edges)
+    assert sorted(map(tuple, far.collect())) == [("s0", "f", 2), ("s1", "f", 1)]
+    assert "LeftAnti" not in far._jdf.queryExecution().executedPlan().toString()
