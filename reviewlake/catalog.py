@@ -66,6 +66,8 @@ DOC_RULES = [
     ("doc.license", "License line", r"(?i)licensed under", "low", "supplychain", 0.7, ["en", "fr"]),
     ("doc.junk", "Junk symbols", r"[*#$%&]{3}", "info", "hygiene", 0.5, ["en", "de", "es"]),
 ]
+#: What every match of a rule holds; the address pattern looks at each letter of a word several times.
+DOC_NEEDS = {"doc.email": "@"}
 
 
 def _rules_sql() -> str:
@@ -85,7 +87,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristics.matches(doc_lines(spark, sf_dir), DOC_RULES)
+    return heuristics.matches(doc_lines(spark, sf_dir), DOC_RULES, needs=DOC_NEEDS)
 
 
 def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,18 @@ def test_payload(spark):
     clean = anchors.payload(f.filter("tier = 'nit'"), index, "s", True).first()
     assert clean["event"] == "APPROVE"
     assert anchors.payload(f.filter("tier = 'nit'").withColumn("id", F.lit("z")), index, "s").first()["comments"][0]["body"].endswith("<!-- review:z -->")
+
+
+def test_a_payload_makes_its_findings_once(spark):
+    """One pass gathers all parts; lines of the diff stream past the findings unsorted."""
+    index = ud.anchor_index(spark.createDataFrame([("a", TWO_HUNKS)], "patch_id string, text string"))
+    f = spark.range(20).selectExpr("concat('x', id) as id", "if(id = 3, 'must-fix', 'nit') as tier", "'f.py' as file", "cast(id as int) as line", "cast(null as int) as end_line", "'b' as body")
+    p = anchors.payload(f, index, "s")
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    r = p.first()
+    lines = {x["new_line"] for x in index.filter("path = 'f.py'").collect()} & set(range(20))
+    assert r["event"] == "REQUEST_CHANGES" and lines
+    assert [c["line"] for c in r["comments"]] == sorted(lines) and len(r["unanchored"]) == 20 - len(lines)
+    none = anchors.payload(f.limit(0), index, "s").first()
+    assert (none["event"], none["comments"], none["unanchored"]) == ("COMMENT", [], [])

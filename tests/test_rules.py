@@ -99,3 +99,14 @@ def test_secrets_need_entropy(spark):
     got = {(r["rule_id"], r["region"]["start_line"]) for r in heuristics.secrets(added).collect()}
     assert got == {("secret.aws-access-key", 0), ("secret.generic-assignment", 2), ("secret.private-key", 3)}
     assert heuristics.secrets(added).filter(F.col("anchor.kind") != "secret").count() == 0
+
+
+def test_needed_text_spares_the_search_and_loses_no_match(spark):
+    from reviewlake import catalog
+
+    lines = [("a@b.cd", "en"), ("no address", "en"), ("x @ y", "de"), ("t@x.yz ***", "fr"), ("t@x.yz ***", "es"), (None, "en"), ("", None), ("Licensed Under it", "en")]
+    df = spark.createDataFrame(lines, "text string, lang string")
+    found = heuristics.matches(df, catalog.DOC_RULES, needs=catalog.DOC_NEEDS)
+    rows = lambda x: sorted((r["text"], r["lang"], r["rule_id"]) for r in x.collect())
+    assert rows(found) == rows(heuristics.matches(df, catalog.DOC_RULES)) and len(rows(found)) == 5
+    assert "Contains(text" in found._jdf.queryExecution().executedPlan().toString().replace("contains(text", "Contains(text")
