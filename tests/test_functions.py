@@ -91,3 +91,13 @@ def test_memory_ids_take_utf16_units(spark):
     texts = ["", "plain", "naïve — ça", "\u0000\u00ff\uffff", "😀 two units", "日本語\n\n", "x" * 5000 + "é"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.memory_id(F.lit("note"), F.col("t")).alias("id")).collect()
     assert {r["t"]: r["id"] for r in got} == {t: plain(f"note\0{t}") for t in texts}
+
+
+def test_paths_lose_one_head_each(spark):
+    """Without patterns: blanks, back slashes, one ``./``, then the root, each at the start only."""
+    names = [" ./r.x/a.ts", "r.x/./r.x/a", "././r.x/b", "rxx/a", ".\\r.x\\c.ts ", "r.x/r.x/d", "", "/", None, "a/"]
+    df = spark.createDataFrame([(p,) for p in names], "p string")
+    got = df.select(paths.relative(df.p, "r.x/").alias("a"), paths.basename(df.p).alias("b"))
+    assert [r["a"] for r in got.collect()] == ["a.ts", "./r.x/a", "./r.x/b", "rxx/a", "c.ts", "r.x/d", "", "/", None, "a/"]
+    assert [r["b"] for r in got.collect()] == ["a.ts", "a", "b", "a", ".\\r.x\\c.ts ", "d", "", "", None, ""]
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -74,3 +74,20 @@ def test_external_defaults(spark):
     assert rows(external.osv(spark.createDataFrame([(osv,)], "text string")), "id", "ecosystem", "name", "version", "summary") == {("V1", "unknown", "p", "1", "Known vulnerability"), ("VULN", "unknown", "p", "1", "Known vulnerability")}
     assert external.ast_grep(spark.createDataFrame([('[{"file": "a", "range": {"start": {"line": 4}}}]',)], "text string")).first()["line"] == 5
     assert external.gitleaks(spark.createDataFrame([("nonsense",)], "text string")).count() == 0
+
+
+def test_mutants_are_counted_by_line_and_only_the_first_lines_move(spark):
+    """As ``capped`` over all hits: several reports, a report without a name, paths of one key, lines with many mutants."""
+    m = spark.createDataFrame([(r, k, n, f"m{j:02d}", j % 2 == 0) for r in ("r", None) for k in ("a.ts", "x/b.ts", "dist/c.ts", "z.ts") for n in range(1, 5) for j in range(n if r else 7)], "report string, file string, line int, desc string, no_coverage boolean")
+    lines = added(spark, [(p, n) for p in ("a.ts", "b.ts", "x/b.ts", "dist/c.ts", "q.ts") for n in (2, 3, 4)] * 2)
+    f = op.mutation_findings(lines, m)
+    keys = {"a.ts": "a.ts", "b.ts": "x/b.ts", "x/b.ts": "x/b.ts"}
+    want = []
+    for path, key in keys.items():
+        for report in ("r", None):
+            hit = sorted((r["line"], r["desc"], r["no_coverage"]) for r in m.filter(m.file == key).collect() if r["report"] == report and 2 <= r["line"] <= 4)
+            want += [(path, n, d, "low" if c else "medium", f"(+{len(hit) - 5} more in this file)" if k == 4 else "") for k, (n, d, c) in enumerate(hit[:5])]
+    got = [(r["file"], r["region"]["start_line"], r["anchor"]["detail"], r["severity"], r["message"].partition(r["anchor"]["detail"])[2].strip()) for r in f.collect()]
+    assert sorted(got) == sorted(want)
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "ShuffledHashJoin" in plan
