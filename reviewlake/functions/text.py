@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ from .hashing import BASIS_32, PRIME_32, bound, fnv1a32, utf8_bytes
 #: Dimensions of the hashed embedding and characters of its tokens.
 DIM = 256
 TOKEN = r"[a-z0-9_.:/-]+"
+#: Different words that are hashed side by side, and characters of those that are hashed alone.
+SIDE_BY_SIDE, LONG_WORD = 1 << 14, 64
 
 
 def normalize_snippet(s: Column) -> Column:
@@ -87,9 +91,84 @@ def _word_cells(word: str, dim: int) -> list[tuple[int, int]]:
     return list(sums.items())
 
 
-@lru_cache(1 << 16)
-def _known_cells(word: str, dim: int) -> list[tuple[int, int]]:
-    return _word_cells(word, dim)
+def _hashed_words(words: list[str], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, signs, end of each word's) of words of LONG_WORD characters at most: all their tokens, side by side."""
+    prime, basis = np.uint32(PRIME_32), []
+    for prefix in (b"w:", b"g:"):
+        h = BASIS_32
+        for b in prefix:
+            h = (h ^ b) * PRIME_32 & 0xFFFFFFFF
+        basis.append(np.uint32(h))
+    octets = np.frombuffer("".join(words).encode(), np.uint8).astype(np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    whole = np.full(len(words), basis[0])
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        whole[on] = (whole[on] ^ octets[start[on] + k]) * prime
+    grams = np.maximum(size - 2, 0)
+    ends = np.cumsum(grams + 1)
+    first = ends - grams - 1  # a word's own token, its pieces after it
+    piece = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    piece[first] = False
+    at = np.arange(int(grams.sum())) + np.repeat(start - (np.cumsum(grams) - grams), grams)
+    h = np.empty(len(piece), np.uint32)
+    h[first] = whole
+    part = np.full(len(at), basis[1])
+    for k in range(3):
+        part = (part ^ octets[at + k]) * prime
+    h[piece] = part
+    return ((h >> np.uint32(1)) % np.uint32(dim)).astype(np.int64), np.where(h & np.uint32(1), 1.0, -1.0), ends
+
+
+def hashed_sums(texts: Iterable[str | None], n: int, dim: int = DIM) -> np.ndarray:
+    """``hashed_cells`` added up, a row for each of ``n`` texts.
+
+    The different words of many texts are hashed side by side; sums are whole, so their order does not matter.
+    """
+    find, sums = re.compile(TOKEN).findall, np.zeros((n, dim))
+    number: dict[str, int] = {}
+    row: list[int] = []
+    word: list[int] = []
+    count: list[int] = []
+
+    def add() -> None:
+        cell, sign, ends = _hashed_words(list(number), dim)
+        w, many = np.array(word, np.int64), np.diff(ends, prepend=0)
+        lo, size = ends[w] - many[w], many[w]
+        who, by = np.array(row, np.int64) - row[0], np.array(count, float)
+        done = np.cumsum(size)
+        for a, b in _slices(done):
+            at = np.arange(int(size[a:b].sum())) + np.repeat(lo[a:b] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b])
+            first, last = who[a], who[b - 1] + 1
+            found = np.bincount(np.repeat(who[a:b] - first, size[a:b]) * dim + cell[at], sign[at] * np.repeat(by[a:b], size[a:b]), (last - first) * dim)
+            sums[row[0] + first : row[0] + last] += found.reshape(-1, dim)
+        number.clear(), row.clear(), word.clear(), count.clear()
+
+    for k, text in enumerate(texts):
+        for some in batched(Counter(find((text or "").lower())).items(), SIDE_BY_SIDE):
+            for w, c in some:
+                if len(w) > LONG_WORD:
+                    for cell, sign in _word_cells(w, dim):
+                        sums[k, cell] += sign * c
+                    continue
+                row.append(k)
+                word.append(number.setdefault(w, len(number)))
+                count.append(c)
+            if len(number) >= SIDE_BY_SIDE:
+                add()
+    if number:
+        add()
+    return sums
+
+
+def _slices(done: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of words whose tokens, counted by the running sum ``done``, are about ``most``."""
+    a = 0
+    while a < len(done):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 def _summed(docs: DataFrame, dim: int, emit, ddl: str) -> DataFrame:
@@ -152,14 +231,9 @@ def feature_hash(s: Column, dim: int = DIM) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        words, out = re.compile(TOKEN), []
-        for t in texts:
-            v = np.zeros(dim)
-            for w, n in Counter(words.findall((t or "").lower())).items():
-                for c, sign in _known_cells(w, dim) if len(w) <= 64 else _word_cells(w, dim):
-                    v[c] += sign * n
-            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
-        return pd.Series(out)
+        sums = hashed_sums(texts, len(texts), dim)
+        length = np.sqrt((sums * sums).sum(axis=1))
+        return pd.Series(list(sums / np.where(length > 0, length, 1.0)[:, None]))
 
     return run(s)
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import memory_id
 from ..functions.text import age_days, dot, feature_hash, round3
-from ..runtime import checkpoint, ship
+from ..runtime import checkpoint, ship, spread
 from .components import components
-from .similarity import alike, earlier_near, matrix, near_forest, similarity_pairs
+from .similarity import LOW_ROWS, alike, earlier_near, fronts, matrix, near, near_forest, similarity_pairs, turned
 
 # Similarities and lifetimes in days.
 SAME_RULE, ANY_RULE, REINFORCE, DUPLICATE = 0.82, 0.93, 0.80, 0.97
@@ -25,6 +27,8 @@ LEARNING_DDL = "fingerprint string, rule_id string, text string, signal string,
 MEMORY_DDL = "id string, kind string, text string, scope string, file string, ts string, embedding array<double>"
 #: Rows of a component that one task settles, and of those too large for that the rows of a round.
 GIANT_ROWS, GIANT_BLOCK = 20_000, 4096
+#: Rows, the first in order, that are settled before all others, and numbers that they hold at most.
+FIRST_ROWS, FIRST_NUMBERS = 8192, 1 << 22
 
 Embedder = Callable[[Column], Column]
 
@@ -132,6 +136,16 @@ def live(learnings: DataFrame, now: str, exact_days: float = EXACT_DAYS, semanti
     return learnings.withColumn("exact_live", mute | (age <= exact_days)).withColumn("semantic_live", mute | (age <= semantic_days))
 
 
+def _first(rows: DataFrame, many: int) -> tuple[int, pa.Table] | None:
+    """The ``many`` rows of the smallest ids, and the last of these; ids are found first, so that no task gathers vectors."""
+    last = rows.select("id").orderBy("id").limit(many).agg(F.max("id")).first()[0]
+    return None if last is None else (last, rows.filter(F.col("id") <= last).toArrow().sort_by("id"))
+
+
+def _wide(column: pa.ChunkedArray | pa.Array) -> int:
+    return max(1, pc.max(pc.list_value_length(column)).as_py() or 0)
+
+
 def _in_blocks(rest: DataFrame, least: float) -> DataFrame:
     """``later_copies`` of (id, vec) rows of components that are too large for one task.
 
@@ -141,51 +155,137 @@ def _in_blocks(rest: DataFrame, least: float) -> DataFrame:
     """
     ship(rest.sparkSession)
     gone = None
-    while rows := rest.orderBy("id").limit(GIANT_BLOCK).toArrow().to_pylist():
-        wide = len(rows[0]["vec"])
-        x = np.array([r["vec"] for r in rows])
+    while found := _first(rest.select("id", "vec"), GIANT_BLOCK):
+        last, rows = found
+        wide = _wide(rows.column("vec"))
+        x = matrix(rows.column("vec"), wide)
         out = earlier_near(x, least)
         stay = x[~out]
 
-        def near(batches, stay=stay, wide=wide):
+        def near_stay(batches, stay=stay, wide=wide):
             for b in batches:
-                v = b.column(1).flatten().to_numpy().reshape(-1, wide)
+                v = matrix(b.column(1), wide)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((v @ stay.T >= least).any(axis=1))], ["id", "vec", "out"])
 
-        left = checkpoint(rest.filter(F.col("id") > rows[-1]["id"]).select("id", "vec").mapInArrow(near, "id long, vec array<double>, out boolean"))
-        first = rest.sparkSession.createDataFrame([(r["id"],) for r, o in zip(rows, out, strict=True) if o], "id long")
+        left = checkpoint(rest.filter(F.col("id") > last).select("id", "vec").mapInArrow(near_stay, "id long, vec array<double>, out boolean"))
+        first = rest.sparkSession.createDataFrame([(i,) for i in rows.column("id").filter(pa.array(out)).to_pylist()], "id long")
         found = left.filter("out").select("id").union(first)
         gone = found if gone is None else gone.union(found)
         rest = left.filter("not out").drop("out")
     return gone if gone is not None else rest.select("id")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Sent to all tasks if it has few rows of few numbers, so that vectors stay where they are."""
+    return F.broadcast(df) if df.count() <= LOW_ROWS else df
+
+
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of length 1, which rows have a direction)."""
+    with np.errstate(all="ignore"):
+        size = np.sqrt((x * x).sum(axis=1))
+        some = np.isfinite(size) & (size > 0)
+        return x / np.where(some, size, 1.0)[:, None], some
+
+
+def _after_first(rows: DataFrame, least: float) -> DataFrame:
+    """(id, kind, same, vec, gone) of (id, kind, vec) rows, once the first rows in order are settled.
+
+    The FIRST_ROWS rows of the smallest ids are settled at once, and what is near to one that
+    stays is gone: so are large groups of near copies, whose first row is among them.  ``vec``
+    has length 1 and is null where nothing is left to tell; ``same`` names equal vectors.
+    """
+    ship(rows.sparkSession)
+    rows = rows.select("id", "kind", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("kind").isNotNull() & F.exists("vec", lambda x: x != 0))
+    wide = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+    found = _first(rows, max(1, min(FIRST_ROWS, FIRST_NUMBERS // wide)))
+    last, stay, basis = None, {}, np.eye(wide)
+    first: set[int] = set()
+    if found:
+        last, table = found
+        x, some = _unit(matrix(table.column("vec"), wide))
+        ids, kinds = table.column("id").to_numpy(), np.array(table.column("kind").to_pylist(), object)
+        basis = turned(x[some])
+        for kind in set(kinds[some]):
+            at = np.flatnonzero(some & (kinds == kind))
+            out = earlier_near(x[at], least)
+            first.update(ids[at[out]].tolist())
+            mine = x[at[~out]]
+            stay[kind] = mine, fronts(mine @ basis)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, 1024):
+                b = big.slice(k, 1024)
+                raw = matrix(b.column(2), wide)
+                x, some = _unit(raw)
+                ids, kinds = b.column(0).to_numpy(), b.column(1).to_pylist()
+                gone, early = np.array([i in first for i in ids.tolist()]), ids <= last
+                groups: dict[str, list[int]] = {}
+                for r in np.flatnonzero(some & ~early).tolist():
+                    groups.setdefault(kinds[r], []).append(r)
+                for kind, members in groups.items():
+                    if kind in stay:
+                        mine, ahead = stay[kind]
+                        y = x[members]
+                        for i, _ in near(y, mine, (fronts(y @ basis), ahead), least):
+                            gone[np.array(members)[i]] = True
+                same = [hashlib.sha256(kind.encode() + b"\n" + v.tobytes()).digest() for kind, v in zip(kinds, raw + 0.0, strict=True)]
+                left = some & ~early & ~gone
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(left, wide, 0))].astype(np.int32)), pa.array(x[left].ravel()), mask=pa.array(~left))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), lists, pa.array(gone)], ["id", "kind", "same", "vec", "gone"])
+
+    return checkpoint(rows.mapInArrow(settle, "id long, kind string, same binary, vec array<double>, gone boolean"))
+
+
+def _by_component(members: DataFrame, least: float) -> DataFrame:
+    """Ids of (component, id, vec) rows that go, each component settled by one ordered pass."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def gone() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            out = earlier_near(matrix(rows.column("vec"), _wide(rows.column("vec"))), least)
+            return pa.RecordBatch.from_arrays([rows.column("id").filter(pa.array(out)).combine_chunks()], ["id"])
+
+        for b in batches:
+            who = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if who[lo] != now and held:
+                    yield gone()
+                    held = []
+                now = who[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield gone()
+
+    return spread(members.select("component", "id", "vec"), "component").sortWithinPartitions("component", "id").mapInArrow(settle, "id long")
+
+
 def later_copies(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
     """Ids of (id, kind, vec) rows that add nothing when rows come one by one in the order of ids.
 
     A row adds nothing if an earlier row of its kind that stayed has a cosine of ``least`` or
-    more with it.  Rows near each other, directly or through others, form components; what
-    goes depends on nothing outside a component, and within it one ordered pass settles all
-    rows, however long a chain is.  Components of more than GIANT_ROWS rows go by blocks.
+    more with it.  The first rows are settled before the others.  Rows near each other,
+    directly or through others, form components; what goes depends on nothing outside a
+    component, and within it one ordered pass settles all rows, however long a chain is.
+    Components of more than GIANT_ROWS rows go by blocks.
     """
+    after = _after_first(rows, least)
     # Equal vectors share their near ones, so the first stands for all; those of zeros are near to none.
-    some = rows.filter(F.exists("vec", lambda x: x != 0) & F.col("kind").isNotNull()).withColumn("same", F.sha2(F.concat_ws("\n", "kind", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")), 256))
-    low = some.groupBy("same").agg(F.min("id").alias("id"))
-    equal = some.select("id").join(low.select("id"), "id", "left_anti")
-    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = F.transform("vec", lambda x: x / F.col("size"))
-    first = checkpoint(some.join(low, ["same", "id"], "left_semi").withColumn("size", size).select("id", "kind", unit.alias("vec")))
-    members = components(near_forest(first, least, by=("kind",))).withColumnRenamed("node", "id")
+    low = after.groupBy("same").agg(F.min("id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("same", "low")
+    equal = checkpoint(after.select("id", "same").join(low, "same").filter("id > low").select("id"))
+    rest = after.filter(F.col("vec").isNotNull()).join(_small(equal), "id", "left_anti").select("id", "kind", "vec")
+    members = components(near_forest(rest, least, by=("kind",))).withColumnRenamed("node", "id")
     many = members.groupBy("component").count()
-    members = checkpoint(first.drop("kind").join(members.join(many, "component"), "id"))
-
-    def ordered(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        gone = earlier_near(matrix(table.column("vec"), len(table.column("vec")[0])), least)
-        return table.select(["id"]).filter(pa.array(gone))
-
-    settled = members.filter(F.col("count") <= GIANT_ROWS).groupBy("component").applyInArrow(ordered, "id long")
-    return equal.union(settled).union(_in_blocks(members.filter(F.col("count") > GIANT_ROWS).select("id", "vec"), least))
+    members = checkpoint(rest.drop("kind").join(_small(members.join(many, "component")), "id"))
+    settled = _by_component(members.filter(F.col("count") <= GIANT_ROWS), least)
+    giants = _in_blocks(members.filter(F.col("count") > GIANT_ROWS).select("id", "vec"), least)
+    return checkpoint(equal.union(after.filter("gone").select("id")).union(settled).union(giants).distinct())
 
 
 def remember(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = feature_hash) -> DataFrame:
@@ -208,8 +308,9 @@ def added(memories: DataFrame, new: DataFrame, now: str, embed: Embedder = featu
     old = memories.select("id", "kind", F.col("embedding").alias("vec"))
     if not old.isEmpty():
         vectors = checkpoint(vectors.join(alike(vectors, old, DUPLICATE, by=("kind",)), "id", "left_anti"))
-    stay = vectors.join(later_copies(vectors), "id", "left_anti").select(F.col("id").alias("no"))
-    rows = fresh.join(stay, "no", "left_semi").withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))
+        fresh = fresh.join(vectors.select(F.col("id").alias("no")), "no", "left_semi")
+    rows = fresh.join(_small(later_copies(vectors).select(F.col("id").alias("no"))), "no", "left_anti")
+    rows = rows.withColumn("id", memory_id(F.col("kind"), F.col("text"))).withColumn("ts", F.lit(now))
     return rows.select(*memories.columns)
 
 

@@ -13,6 +13,10 @@ whole.  Both bounds lose no pair.
 Neighbouring cells share a block of a bounded size, a large cell is cut in several.  A vector is
 sent once for each block that it visits, with the numbers of the cells there, not once for each
 cell.  A task holds one block; what visits it streams by, and pairs are written as they are found.
+
+Near copies (``near_forest``) are too alike to each other for angles to leaders to tell them
+apart.  There, vectors are turned so that the components of most energy come first, and one
+product of single precision of those bounds the whole; blocks and visitors are of 16-bit numbers.
 """
 
 from __future__ import annotations
@@ -46,6 +50,10 @@ LOW_ROWS = 200_000
 Meet = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray, Iterator[tuple[slice, np.ndarray]]], Iterator[pa.RecordBatch]]
 #: What rounding may add to an inner product of unit vectors.
 SLACK = 1e-9
+#: Components, of all, that bound a product of near vectors; vectors that the turn is fitted on.
+FRONT, FITTED = 3 / 8, 4096
+#: Rows of a block of near vectors at most, and where there are few; what a component is multiplied with to be a whole number.
+NEAR_ROWS, FEW_ROWS, WHOLE = 100_000, 8192, 32_767
 
 
 class Cells(NamedTuple):
@@ -131,11 +139,9 @@ def products(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.nd
         yield i[near] + lo, j[near], sims[near], len(i)
 
 
-def _own(x: np.ndarray, leaders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of every row, and the angle to its leader."""
-    cosine = directions(x)[0] @ leaders.T
-    cell = np.argmax(cosine, axis=1)
-    return cell, np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1))
+def _own(x: np.ndarray, leaders: np.ndarray) -> np.ndarray:
+    """The cell of every row."""
+    return np.argmax(directions(x)[0] @ leaders.T, axis=1)
 
 
 class Blocks(NamedTuple):
@@ -173,24 +179,21 @@ def cut(cells: Cells, tasks: int) -> Blocks:
 
 
 def _posted(left: DataFrame, cells: Cells, blocks: Blocks, wide: int) -> DataFrame:
-    """Left rows with their cell, the angle to its leader, and their block."""
+    """Left rows with their cell and their block."""
     names, leaders = left.columns, cells.leaders
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell, angle = _own(matrix(b.column(names.index("vec")), wide), leaders)
+            cell = _own(matrix(b.column(names.index("vec")), wide), leaders)
             block = blocks.first[cell] + b.column(names.index("__h")).to_numpy() % blocks.many[cell]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angle), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], [*names, "__angle", "cell", "block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], [*names, "cell", "block"])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in left.dtypes)
-    return left.mapInArrow(run, f"{ddl}, __angle double, cell int, block int")
-
+    return left.mapInArrow(run, f"{ddl}, cell int, block int")
 
-def _visiting(right: DataFrame, cells: Cells, blocks: Blocks, wide: int, least: float, core: float) -> DataFrame:
-    """Right rows once for each block that they visit, with the cells that they visit there.
 
-    Rows no further than the angle ``core`` from their own leader do not visit its cell.
-    """
+def _visiting(right: DataFrame, cells: Cells, blocks: Blocks, wide: int, least: float) -> DataFrame:
+    """Right rows once for each block that they visit, with the cells that they visit there."""
     names = right.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +201,7 @@ def _visiting(right: DataFrame, cells: Cells, blocks: Blocks, wide: int, least:
             for lo in range(0, big.num_rows, 1024):
                 b = big.slice(lo, 1024)
                 x = matrix(b.column(names.index("vec")), wide)
-                asked = visits(x, cells, least)
-                if core >= 0:
-                    own, angle = _own(x, cells.leaders)
-                    asked[angle <= core, own[angle <= core]] = False
-                row, cell = np.nonzero(asked)
+                row, cell = np.nonzero(visits(x, cells, least))
                 many = blocks.many[cell]
                 at = np.repeat(np.arange(len(row)), many)
                 block = blocks.first[cell[at]] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
@@ -255,7 +254,7 @@ def inverted_file(left: DataFrame, n: int, wide: int) -> Cells:
     return Cells(leaders, low[:, :k], high[:, :k], np.stack([low[:, k], high[:, k]], axis=1), rows)
 
 
-def _dealt(left: DataFrame, right: DataFrame, least: float, core: float = -1.0) -> tuple[DataFrame, DataFrame, Blocks, int]:
+def _dealt(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Blocks, int]:
     """(left rows by cell and block, right rows where they visit, how they are cut, dimensions)."""
     spark = left.sparkSession
     ship(spark)
@@ -266,7 +265,7 @@ def _dealt(left: DataFrame, right: DataFrame, least: float, core: float = -1.0)
     wide = max(1, *(s[0] or 0 for s in sizes))
     cells = inverted_file(sides[0], sizes[0][1], wide)
     blocks = cut(cells, TURNS * spark.sparkContext.defaultParallelism)
-    return _posted(sides[0], cells, blocks, wide), _visiting(sides[1], cells, blocks, wide, least, core), blocks, wide
+    return _posted(sides[0], cells, blocks, wide), _visiting(sides[1], cells, blocks, wide, least), blocks, wide
 
 
 def _streamed(posted: DataFrame, visiting: DataFrame, blocks: Blocks, wide: int, by: tuple[str, ...], meet: Meet, ddl: str) -> DataFrame:
@@ -394,42 +393,140 @@ def alike(left: DataFrame, right: DataFrame, least: float, vec: str = "vec", by:
     return _met(_side(left, vec, by), _side(right, vec, by), least, by, meet, f"id {dict(left.dtypes)['id']}").distinct()
 
 
+def turned(some: np.ndarray) -> np.ndarray:
+    """An orthonormal basis, the directions of most energy in the rows first."""
+    return np.linalg.eigh(some.T @ some)[1][:, ::-1]
+
+
+def fronts(x: np.ndarray) -> np.ndarray:
+    """Of turned rows, the first components and the length of the rest.
+
+    An inner product of two such rows is at least that of the whole rows, but for single precision.
+    """
+    front = max(1, int(x.shape[1] * FRONT))
+    rest = np.sqrt((x[:, front:] ** 2).sum(axis=1))
+    return np.hstack([x[:, :front], rest[:, None]]).astype(np.float32)
+
+
+def near(x: np.ndarray, y: np.ndarray, ahead: tuple[np.ndarray, np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of ``x`` and ``y`` with an inner product of ``least`` or more, a strip at a time; ``ahead`` are their fronts."""
+    floor = np.float32(least - x.shape[1] * 2.0**-22)
+    for lo in range(0, len(x), STRIP_ROWS):
+        bound = ahead[0][lo : lo + STRIP_ROWS] @ ahead[1].T
+        i, j = np.divmod(np.flatnonzero(bound.ravel() >= floor), len(y))
+        if len(i) * 8 > bound.size:
+            close = (x[lo : lo + STRIP_ROWS] @ y.T)[i, j] >= least
+        else:
+            close = np.empty(len(i), bool)
+            for k in range(0, len(i), 1 << 14):
+                at = slice(k, k + (1 << 14))
+                close[at] = np.einsum("ij,ij->i", x[i[at] + lo], y[j[at]]) >= least
+        yield i[close] + lo, j[close]
+
+
+def _stars(i: np.ndarray, j: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Edges, fewer than rows, that join the ids ``u`` and ``v`` of rows as the pairs (i, j) do."""
+    rows, at = np.unique(i, return_inverse=True)
+    columns, to = np.unique(j, return_inverse=True)
+    label, before = np.arange(len(rows)), None
+    while before is None or (label != before).any():
+        before, mark = label.copy(), np.full(len(columns), len(rows))
+        np.minimum.at(mark, to, label[at])
+        np.minimum.at(label, at, mark[to])
+    edges = zip(u[rows].tolist() + v[columns].tolist(), u[rows[label]].tolist() + u[rows[mark]].tolist(), strict=True)
+    return [e for e in edges if e[0] != e[1]]
+
+
 def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(u, v) edges that join the same rows as all pairs with a cosine of ``least`` or more do.
+    """(u, v) edges that join all rows that have a cosine of ``least`` or more.
 
-    ``rows`` has long ids and vectors of length 1.  Rows within half the angle of their cell's
-    leader are all near each other: they are one star without being compared, and look for
-    others in other cells only.  A task gives fewer edges than it has rows: the labels of a
-    strip's rows and of what they are near to run along its pairs until they agree, and each
-    label is a star.
+    ``rows`` has long ids and vectors of length 1.  Components are sent as 16-bit numbers, so
+    that pairs a hair less alike (less than 1e-3 at 256) may be joined too; who needs the exact rule tells
+    within a component.  Of one kind, every block of rows meets itself and half of the other
+    blocks, in turns; a task holds one block and gives fewer edges than it sees rows.
     """
-    core = float(np.arccos(np.clip(least, -1, 1))) / 2 - 1e-6
+    spark = rows.sparkSession
+    ship(spark)
+    side = _side(rows, "vec", by).filter(F.col("vec").isNotNull()).withColumn("__h", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))
+    wide, n = side.agg(F.max(F.size("vec")), F.count("*")).first()
+    if not n or not wide:
+        return spark.createDataFrame([], "u long, v long")
+    fit = side.filter(F.col("__h") % -(-n // FITTED) == 0).select("vec").toArrow()
+    basis, slack = turned(matrix(fit.column(0), wide)), math.sqrt(wide) / WHOLE + wide * 2.0**-22
+    tasks = TURNS * spark.sparkContext.defaultParallelism
+    most = min(NEAR_ROWS, max(FEW_ROWS, -(-n // math.isqrt(2 * tasks))))
+    turns = max(1, min(-(-tasks // -(-n // most)), n // FEW_ROWS))
+    at = side.columns.index("vec")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            small = np.rint(matrix(b.column(at), wide) @ basis * WHOLE).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in small], pa.binary()) if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
+
+    small = side.mapInArrow(pack, ", ".join(f"`{c}` {'binary' if c == 'vec' else t}" for c, t in side.dtypes))
+    many = side.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias("__many"))
+    if by:
+        many = many.select(*[F.col(c).alias(f"__{c}") for c in by], "__many")
+        many = F.broadcast(many) if many.count() <= LOW_ROWS else many
+        small = small.join(many, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
+    else:
+        small = small.crossJoin(F.broadcast(many))
+    own, turn = (F.col("__h") % F.col("__many")).cast("int"), (F.shiftright("__h", 24) % turns).cast("int")
+    place = lambda block, turn, side: F.struct(block.cast("int").alias("block"), turn.alias("turn"), F.lit(side).alias("side"))
+    held = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: place(F.col("own"), t, 0))
+    # Where the blocks are even, those opposite each other meet once: the later visits the earlier.
+    others = F.filter(F.sequence(F.lit(0), F.floor(F.col("__many") / 2).cast("int")), lambda d: (d == 0) | (d * 2 != F.col("__many")) | (F.col("own") >= d))
+    visits = F.transform(others, lambda d: place(F.pmod(F.col("own") - d, F.col("__many")), F.col("turn"), 1))
+    keys = [*by, "block", "turn"]
+    sent = small.withColumn("own", own).withColumn("turn", turn).select("id", *by, "vec", F.explode(F.concat(held, visits)).alias("at")).select("id", *by, "vec", "at.*")
+    dealt = spread(sent, *keys).sortWithinPartitions(*keys, "side")
+    names = dealt.columns
 
-    def meet(l: pa.Array, x: np.ndarray, r: pa.Array, y: np.ndarray, cells) -> Iterator[pa.RecordBatch]:  # noqa: E741
-        edges: list[tuple[int, int]] = []
-        u, v = l.to_numpy(), r.to_numpy()
-        for i, j, *_ in _found(x, y, cells, least):
-            if not len(i):
-                continue
-            rows, at = np.unique(i, return_inverse=True)
-            columns, to = np.unique(j, return_inverse=True)
-            label, before = np.arange(len(rows)), None
-            while before is None or (label != before).any():
-                before, mark = label.copy(), np.full(len(columns), len(rows))
-                np.minimum.at(mark, to, label[at])
-                np.minimum.at(label, at, mark[to])
-            edges += zip(u[rows].tolist(), u[rows[label]].tolist(), strict=True)
-            edges += zip(v[columns].tolist(), u[rows[mark]].tolist(), strict=True)
-            if len(edges) > 1 << 18:
-                edges = spanning(edges)
-        kept = spanning([e for e in edges if e[0] != e[1]])
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-    side = _side(rows, "vec", by)
-    posted, visiting, blocks, wide = _dealt(side, side, least, core)
-    alike_rows = posted.filter(F.col("__angle") <= core).select(F.col("id").alias("u"), *by, "cell")
-    low = alike_rows.groupBy(*by, "cell").agg(F.min("u").alias("v"))
-    if low.count() <= LOW_ROWS:
-        low = F.broadcast(low)
-    stars = alike_rows.join(low, [*by, "cell"]).filter("u <> v").select("u", "v")
-    return _streamed(posted, visiting, blocks, wide, by, meet, "u long, v long").union(stars)
+    def whole(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, wide)
+
+    def ahead(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([fronts(x[k : k + VISITORS].astype(np.float32) / WHOLE) for k in range(0, len(x), VISITORS)])
+
+    def meet(held: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, y: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        front, y = ahead(y), y.astype(np.float32) / WHOLE
+        for lo in range(0, len(held[0]), STRIP_ROWS):
+            cut = slice(lo, lo + STRIP_ROWS)
+            for i, j in near(held[1][cut].astype(np.float32) / WHOLE, y, (held[2][cut], front), least - slack):
+                if len(i):
+                    yield _stars(i, j, held[0][cut], ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, held, edges = None, [], [], None, []
+        out = lambda edges: pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+        for b in batches:
+            who = list(zip(*(b.column(names.index(c)).to_pylist() for c in (*keys, "side")), strict=True))
+            cuts = [0, *(k for k in range(1, len(who)) if who[k] != who[k - 1]), len(who)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                *key, side = who[lo]
+                if key != now:
+                    if edges:
+                        yield out(spanning(edges))
+                    now, ids, vectors, held, edges = key, [], [], None, []
+                for k in range(lo, hi, VISITORS):
+                    part = b.slice(k, min(VISITORS, hi - k))
+                    who_part, x = part.column(names.index("id")).to_numpy(), whole(part.column(names.index("vec")))
+                    if side == 0:
+                        ids.append(who_part)
+                        vectors.append(x)
+                        continue
+                    if not ids:
+                        continue
+                    if held is None:
+                        x_held = np.concatenate(vectors)
+                        held, vectors = (np.concatenate(ids), x_held, ahead(x_held)), []
+                    for found in meet(held, who_part, x):
+                        edges += found
+                        if len(edges) > 1 << 18:
+                            edges = spanning(edges)
+        if edges:
+            yield out(spanning(edges))
+
+    return dealt.mapInArrow(run, "u long, v long")

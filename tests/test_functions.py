@@ -101,3 +101,19 @@ def test_paths_lose_one_head_each(spark):
     assert [r["a"] for r in got.collect()] == ["a.ts", "./r.x/a", "./r.x/b", "rxx/a", "c.ts", "r.x/d", "", "/", None, "a/"]
     assert [r["b"] for r in got.collect()] == ["a.ts", "a", "b", "a", ".\\r.x\\c.ts ", "d", "", "", None, ""]
     assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_words_are_hashed_side_by_side(spark, monkeypatch):
+    """As the tokens of each text one by one, however words are cut into batches."""
+    texts = ["", None, "!!", "a", "ab ab abc", "Deploys run on fridays; use pnpm/build:x_1.", "x" * 64, "y" * 65 + " abcd" * 3, "K Ōtā 日本 k", " ".join(f"w{k} v{k % 9}" for k in range(90)), "ab"]
+    want = []
+    for cells in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").orderBy("id").select(text.hashed_cells(F.coalesce("text", F.lit("")))).collect():
+        sums = [0.0] * text.DIM
+        for c in cells[0]:
+            sums[c["idx"]] += c["sign"]
+        want.append(sums)
+    for side, most in ((1 << 14, 1 << 20), (3, 5)):
+        monkeypatch.setattr(text, "SIDE_BY_SIDE", side)
+        slices = text._slices
+        monkeypatch.setattr(text, "_slices", lambda done, most=most, slices=slices: slices(done, most))
+        assert text.hashed_sums(texts, len(texts)).tolist() == want
