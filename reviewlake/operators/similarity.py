@@ -443,7 +443,9 @@ def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
     ``rows`` has long ids and vectors of length 1.  Components are sent as 16-bit numbers, so
     that pairs a hair less alike (less than 1e-3 at 256) may be joined too; who needs the exact rule tells
     within a component.  Of one kind, every block of rows meets itself and half of the other
-    blocks, in turns; a task holds one block and gives fewer edges than it sees rows.
+    blocks, in turns; a task holds one block and gives fewer edges than it sees rows.  Rows
+    come by their angle to the direction of most energy: near ones differ there by no more than
+    their own angle, so that visitors, some at a time, meet only a part of the block.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -460,10 +462,11 @@ def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            small = np.rint(matrix(b.column(at), wide) @ basis * WHOLE).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in small], pa.binary()) if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
+            x = matrix(b.column(at), wide) @ basis
+            columns = [pa.array([r.tobytes() for r in np.rint(x * WHOLE).astype(np.int16)], pa.binary()) if k == at else c for k, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arccos(np.clip(x[:, 0], -1, 1)))], [*b.schema.names, "angle"])
 
-    small = side.mapInArrow(pack, ", ".join(f"`{c}` {'binary' if c == 'vec' else t}" for c, t in side.dtypes))
+    small = side.mapInArrow(pack, ", ".join(f"`{c}` {'binary' if c == 'vec' else t}" for c, t in side.dtypes) + ", angle double")
     many = side.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias("__many"))
     if by:
         many = many.select(*[F.col(c).alias(f"__{c}") for c in by], "__many")
@@ -472,14 +475,15 @@ def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
     else:
         small = small.crossJoin(F.broadcast(many))
     own, turn = (F.col("__h") % F.col("__many")).cast("int"), (F.shiftright("__h", 24) % turns).cast("int")
-    place = lambda block, turn, side: F.struct(block.cast("int").alias("block"), turn.alias("turn"), F.lit(side).alias("side"))
-    held = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: place(F.col("own"), t, 0))
+    place = lambda block, turn, side: F.struct(block.cast("int").alias("block"), turn.alias("turn"), side.alias("side"))
+    held = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: place(F.col("own"), t, F.lit(0)))
     # Where the blocks are even, those opposite each other meet once: the later visits the earlier.
     others = F.filter(F.sequence(F.lit(0), F.floor(F.col("__many") / 2).cast("int")), lambda d: (d == 0) | (d * 2 != F.col("__many")) | (F.col("own") >= d))
-    visits = F.transform(others, lambda d: place(F.pmod(F.col("own") - d, F.col("__many")), F.col("turn"), 1))
+    visits = F.transform(others, lambda d: place(F.pmod(F.col("own") - d, F.col("__many")), F.col("turn"), F.when(d == 0, 1).otherwise(2)))
     keys = [*by, "block", "turn"]
-    sent = small.withColumn("own", own).withColumn("turn", turn).select("id", *by, "vec", F.explode(F.concat(held, visits)).alias("at")).select("id", *by, "vec", "at.*")
-    dealt = spread(sent, *keys).sortWithinPartitions(*keys, "side")
+    sent = small.withColumn("own", own).withColumn("turn", turn).select("id", *by, "vec", "angle", F.explode(F.concat(held, visits)).alias("at")).select("id", *by, "vec", "angle", "at.*")
+    dealt = spread(sent, *keys).sortWithinPartitions(*keys, "side", "angle")
+    apart = math.acos(max(-1.0, min(1.0, least))) + 1e-5
     names = dealt.columns
 
     def whole(column: pa.Array) -> np.ndarray:
@@ -488,16 +492,18 @@ def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
     def ahead(x: np.ndarray) -> np.ndarray:
         return np.concatenate([fronts(x[k : k + VISITORS].astype(np.float32) / WHOLE) for k in range(0, len(x), VISITORS)])
 
-    def meet(held: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, y: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    def meet(held: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, y: np.ndarray, angle: np.ndarray, own: bool) -> Iterator[list[tuple[int, int]]]:
         front, y = ahead(y), y.astype(np.float32) / WHOLE
-        for lo in range(0, len(held[0]), STRIP_ROWS):
-            cut = slice(lo, lo + STRIP_ROWS)
+        # Of a block's own pairs, the row of the lesser angle visits the other.
+        first, last = np.searchsorted(held[3], angle[0] - (0 if own else apart), "left"), np.searchsorted(held[3], angle[-1] + apart, "right")
+        for lo in range(first, last, STRIP_ROWS):
+            cut = slice(lo, min(last, lo + STRIP_ROWS))
             for i, j in near(held[1][cut].astype(np.float32) / WHOLE, y, (held[2][cut], front), least - slack):
                 if len(i):
                     yield _stars(i, j, held[0][cut], ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors, held, edges = None, [], [], None, []
+        now, ids, vectors, angles, held, edges = None, [], [], [], None, []
         out = lambda edges: pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
         for b in batches:
             who = list(zip(*(b.column(names.index(c)).to_pylist() for c in (*keys, "side")), strict=True))
@@ -509,20 +515,21 @@ def near_forest(rows: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
                 if key != now:
                     if edges:
                         yield out(spanning(edges))
-                    now, ids, vectors, held, edges = key, [], [], None, []
+                    now, ids, vectors, angles, held, edges = key, [], [], [], None, []
                 for k in range(lo, hi, VISITORS):
                     part = b.slice(k, min(VISITORS, hi - k))
-                    who_part, x = part.column(names.index("id")).to_numpy(), whole(part.column(names.index("vec")))
+                    own_ids, angle, x = part.column(names.index("id")).to_numpy(), part.column(names.index("angle")).to_numpy(), whole(part.column(names.index("vec")))
                     if side == 0:
-                        ids.append(who_part)
+                        ids.append(own_ids)
                         vectors.append(x)
+                        angles.append(angle)
                         continue
                     if not ids:
                         continue
                     if held is None:
                         x_held = np.concatenate(vectors)
-                        held, vectors = (np.concatenate(ids), x_held, ahead(x_held)), []
-                    for found in meet(held, who_part, x):
+                        held, vectors = (np.concatenate(ids), x_held, ahead(x_held), np.concatenate(angles)), []
+                    for found in meet(held, own_ids, x, angle, side == 1):
                         edges += found
                         if len(edges) > 1 << 18:
                             edges = spanning(edges)
