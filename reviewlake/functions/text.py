@@ -155,14 +155,14 @@ def hashed_sums(texts: Iterable[str | None], n: int, dim: int = DIM) -> np.ndarr
                 row.append(k)
                 word.append(number.setdefault(w, len(number)))
                 count.append(c)
-            if len(number) >= SIDE_BY_SIDE:
+            if len(number) >= SIDE_BY_SIDE or len(row) >= 16 * SIDE_BY_SIDE:
                 add()
     if number:
         add()
     return sums
 
 
-def _slices(done: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(done: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Slices of words whose tokens, counted by the running sum ``done``, are about ``most``."""
     a = 0
     while a < len(done):
@@ -232,8 +232,9 @@ def feature_hash(s: Column, dim: int = DIM) -> Column:
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         sums = hashed_sums(texts, len(texts), dim)
-        length = np.sqrt((sums * sums).sum(axis=1))
-        return pd.Series(list(sums / np.where(length > 0, length, 1.0)[:, None]))
+        length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        sums /= np.where(length > 0, length, 1.0)[:, None]
+        return pd.Series(list(sums))
 
     return run(s)
 
